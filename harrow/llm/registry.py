@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import html_text, quality, token_counts, warc
 
 QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
+    "op7_token_counts": token_counts.op7_token_counts,
+    "op9_warc": warc.op9_warc,
+    "op10_html_text": html_text.op10_html_text,
 }
 
 ORACLES = {
     "op4_quality_rules": quality.OP4_SQL,
+    "op9_warc": warc.OP9_SQL,
 }
