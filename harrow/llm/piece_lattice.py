@@ -32,7 +32,7 @@ from ._shared import table
 #: Lattice positions a task keeps, and characters of text that walk together.
 STATES, CHUNK = 1_500_000, 1_000_000
 UNITS = re.compile(r"\n| ?[^ \n]+| ")
-SPACE = "▁"
+SPACE = "\u2581"
 
 
 class Lattice:
@@ -69,7 +69,7 @@ class Lattice:
     def filter(self, unit: str) -> int:
         """Forward filtering of one unit: for each position, the share of every edge that ends there."""
         weights, longest = self.weights, self.longest
-        key = unit.replace(SPACE, "￿").replace(" ", SPACE)
+        key = unit.replace(SPACE, "\uffff").replace(" ", SPACE)
         base = len(self.first) - 1
         total = [1.0]
         self.first.append(len(self.cdf))  # position 0 has no edges
