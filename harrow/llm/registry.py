@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, jaccard_join, pii, piece_lattice, quality, token_counts, warc
+from . import decontaminate, html_text, jaccard_join, pii, piece_lattice, quality, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op2_sentencepiece": piece_lattice.op2_sentencepiece,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_decontaminate": decontaminate.op6_decontaminate,
