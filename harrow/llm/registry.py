@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, jaccard_join, pii, piece_lattice, quality, suffix_dedup, token_counts, warc
+from . import decontaminate, html_text, jaccard_join, lm_score, pii, piece_lattice, quality, suffix_dedup, token_counts, warc
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_sentencepiece": piece_lattice.op2_sentencepiece,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
