@@ -12,7 +12,7 @@
    exactly unless both are already connected there.
 5. Links of both steps give the components.
 
-Sets travel as sorted 64-bit shingle hashes. No step lists the pairs of a group: equal texts are one class, near copies meet
+Sets travel as deflated texts and are hashed where they are compared. No step lists the pairs of a group: equal texts are one class, near copies meet
 their leader, and a query opens a group only outside its own component.
 
 Cases: null, empty and wordless texts have no shingles and are their own component; a text of fewer than five words has one
@@ -170,18 +170,23 @@ def shared_tokens(rows: DataFrame, n: int) -> DataFrame:
     return rows.repartition(n, "token").sortWithinPartitions("token", "id").mapInArrow(scan, "token long, id long")
 
 
-def whole_sets(docs: DataFrame) -> DataFrame:
-    """(id, n, tokens): the sorted shingle hashes of each text as bytes; the id is that of the text's class."""
+def deflated(docs: DataFrame) -> DataFrame:
+    """(id, n, body): the deflated text, a third of its shingle hashes in size; the id is that of the text's class."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, off in B.text_chunks(batch, 1):
                 values, n = shingle_sets(data, off)
-                ends = np.cumsum(n)
-                sets = [values[e - k : e].tobytes() for e, k in zip(ends, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(digests(values, n, 10)), pa.array(n), pa.array(sets, pa.binary())], names=["id", "n", "tokens"])
+                bodies = [zlib.compress(data[off[k] : off[k + 1]].tobytes(), 1) for k in range(b - a)]
+                yield pa.RecordBatch.from_arrays([pa.array(digests(values, n, 10)), pa.array(n), pa.array(bodies, pa.binary())], names=["id", "n", "body"])
 
-    return docs.mapInArrow(scan, "id long, n long, tokens binary")
+    return docs.mapInArrow(scan, "id long, n long, body binary")
+
+
+def set_of(body: pa.Scalar) -> np.ndarray:
+    """The sorted shingle hashes of a deflated text."""
+    data = np.frombuffer(zlib.decompress(body.as_py()), np.uint8)
+    return shingle_sets(data, np.array([0, len(data)]))[0]
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -215,7 +220,7 @@ def leader_links(sets: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             found = []
             for g, i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                tokens = np.frombuffer(x.as_py(), U)
+                tokens = set_of(x)
                 if g != group:
                     group, leaders = g, []
                 lead = next((j for j, y in leaders if similar(tokens, y)), None)
@@ -225,13 +230,13 @@ def leader_links(sets: DataFrame, n: int) -> DataFrame:
                     found.append((lead, i))
             yield _links(found)
 
-    return sets.select("group", "id", "tokens").repartition(n, "group").sortWithinPartitions("group", "id").mapInArrow(scan, "a long, b long")
+    return sets.select("group", "id", "body").repartition(n, "group").sortWithinPartitions("group", "id").mapInArrow(scan, "a long, b long")
 
 
 def opened_links(rows: DataFrame, n: int) -> DataFrame:
     """(a, b): verified links of queries with members of the groups that they open.
 
-    Rows are (group, query, id, component, tokens), a group's members first. Members of one group belong to one component.
+    Rows are (group, query, id, component, body), a group's members first. Members of one group belong to one component.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +247,7 @@ def opened_links(rows: DataFrame, n: int) -> DataFrame:
             for g, query, i, comp, x in zip(*cols, batch.column(4)):
                 if g != group:
                     group, members, union, linked = g, [], None, set()
-                tokens = np.frombuffer(x.as_py(), U)
+                tokens = set_of(x)
                 if not query:
                     members.append((i, tokens))
                     continue
@@ -257,7 +262,7 @@ def opened_links(rows: DataFrame, n: int) -> DataFrame:
                         break
             yield _links(found)
 
-    return rows.select("group", "query", "id", "component", "tokens").repartition(n, "group").sortWithinPartitions("group", "query", "id").mapInArrow(scan, "a long, b long")
+    return rows.select("group", "query", "id", "component", "body").repartition(n, "group").sortWithinPartitions("group", "query", "id").mapInArrow(scan, "a long, b long")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,7 +283,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     grouped = asked.select("id", F.col("least.token").alias("token")).join(crowd, "token").select("id", F.xxhash64("token", F.pmod(F.hash("id"), F.col("parts"))).alias("group"))
     grouped = keep(grouped, "grouped")
     needed = classes.join(grouped, classes["s1"] == grouped["id"], "left_semi").select(F.col("rep").alias("id"))
-    sets = keep(whole_sets(source.join(needed, "id", "left_semi")).dropDuplicates(["id"]).join(grouped, "id"), "sets")
+    sets = keep(deflated(source.join(needed, "id", "left_semi")).dropDuplicates(["id"]).join(grouped, "id"), "sets")
     first = keep(leader_links(sets, n), "links")
     comps = components(first)
 
@@ -293,8 +298,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     query = with_group.join(shared, "token", "left_semi").select("token", F.col("id").alias("q"), F.col("n").alias("qn"), F.col("component").alias("qc"))
     met = query.join(cell, "token").where(f"qc > component AND {PERCENT} * least_n <= 100 * qn AND {PERCENT} * qn <= 100 * most_n")
     pairs = keep(met.select("q", "qc", "group").distinct(), "pairs")
-    queries = pairs.join(sets.select(F.col("id").alias("q"), "tokens"), "q").select("group", F.lit(1).alias("query"), F.col("q").alias("id"), F.col("qc").alias("component"), "tokens")
-    members = matrix_of.join(pairs.select("group").distinct(), "group", "left_semi").join(sets.select("id", "tokens"), "id").select("group", F.lit(0).alias("query"), "id", "component", "tokens")
+    queries = pairs.join(sets.select(F.col("id").alias("q"), "body"), "q").select("group", F.lit(1).alias("query"), F.col("q").alias("id"), F.col("qc").alias("component"), "body")
+    members = matrix_of.join(pairs.select("group").distinct(), "group", "left_semi").join(sets.select("id", "body"), "id").select("group", F.lit(0).alias("query"), "id", "component", "body")
     second = keep(opened_links(queries.unionByName(members), n), "links")
 
     final = components(first.unionAll(second))
