@@ -17,6 +17,7 @@ U+2581 is spelled in bytes, so decoding is lossless for every text; equal keys a
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -31,10 +32,29 @@ from ._shared import table
 
 #: Lattice positions a task keeps, and characters of text that walk together.
 STATES, CHUNK = 1_500_000, 1_000_000
+#: Units of up to MEDIUM characters are filtered together; multiplier of code point hashes; lift of weights per character.
+MEDIUM, STEP, MASK, LIFT = 48, 0x9E3779B97F4A7C15, (1 << 64) - 1, 2000.0
 UNITS = re.compile(r"\n| ?[^ \n]+| ")
 SPACE = "\u2581"
 
 
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype):
+        self.data, self.n = np.empty(1 << 16, dtype), 0
+
+    def extend(self, items) -> None:
+        need = self.n + len(items)
+        if need > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.empty(max(need, len(self.data) * 3 // 2) - self.n, self.data.dtype)])
+        self.data[self.n : need] = items
+        self.n = need
+
+    def view(self) -> np.ndarray:
+        return self.data[: self.n]
+
+
 class Lattice:
     """The vocabulary and the filtered lattices of the units met so far."""
 
@@ -55,28 +75,47 @@ class Lattice:
             self.bytes.append(b"" if model.is_control(i) or model.is_unknown(i) else piece.replace(SPACE, " ").encode())
             if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and model.get_score(i) > -1e8:
                 self.weights[piece] = (i, (shift - model.get_score(i)) ** -theta)
-        self.longest = max(map(len, self.weights))
+        #: Every end of a piece: a match is followed backwards only while some piece ends like it.
+        self.endings = {p[k:] for p in self.weights for k in range(len(p))}
+        # the same pieces by a hash of their code points, and a bit table that turns most strangers away
+        pieces = list(self.weights)
+        hashes = np.array([functools.reduce(lambda h, c: (h * STEP + ord(c)) & MASK, p, 0) for p in pieces], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.hash_ids = np.array([self.weights[p][0] for p in pieces], np.int32)[order]
+        # a constant per character leaves all ratios as they are and keeps sums of long units in range
+        self.hash_weights = np.array([self.weights[p][1] * LIFT ** len(p) for p in pieces])[order]
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[hashes >> np.uint64(42)] = True
+        self.longest = max(map(len, pieces))
         self.floor = (shift + 2.0 * self.size) ** -theta
         self.clear()
 
     def clear(self) -> None:
         self.ends: dict[str, int] = {}  # unit -> number of its last position
-        self.first, self.cdf, self.back, self.emits = [0], [], [], []
+        # for each position where its edges begin; for each edge its cumulative share, the position it comes from, its piece
+        self.positions, self.edges = Grown(np.int64), [Grown(np.float64), Grown(np.int32), Grown(np.int32)]
+        self.positions.extend([0])
+        self.n_positions, self.n_edges = 0, 0
+        self.new_positions, self.new_edges = [], ([], [], [])
         self.spelled: list[list[int]] = []  # byte spellings, numbered from the vocabulary's size on
         self.spellings: dict[str, int] = {}
-        self.arrays = None
 
     def filter(self, unit: str) -> int:
         """Forward filtering of one unit: for each position, the share of every edge that ends there."""
-        weights, longest = self.weights, self.longest
+        weights, endings = self.weights, self.endings
         key = unit.replace(SPACE, "\uffff").replace(" ", SPACE)
-        base = len(self.first) - 1
+        base = self.n_positions
         total = [1.0]
-        self.first.append(len(self.cdf))  # position 0 has no edges
+        cdf, back, emits = self.new_edges
+        self.new_positions.append(self.n_edges)  # position 0 has no edges
         for j in range(1, len(key) + 1):
             into, sum_ = [], 0.0
-            for i in range(max(0, j - longest), j):
-                if found := weights.get(key[i:j]):
+            for i in range(j - 1, -1, -1):
+                part = key[i:j]
+                if part not in endings:
+                    break
+                if found := weights.get(part):
                     share = total[i] * found[1]
                     sum_ += share
                     into.append((share, i, found[0]))
@@ -86,23 +125,92 @@ class Lattice:
                 into.append((share, j - 1, self.spell(unit[j - 1])))
             if sum_ < 1e-150:  # only ratios count: lift the sums that later edges can still reach
                 lift = 1.0 / sum_
-                for i in range(max(0, j - longest), j):
+                for i in range(max(0, j - 64), j):
                     total[i] *= lift
                 into = [(share * lift, i, e) for share, i, e in into]
-                sum_ *= lift
+                sum_ = 1.0
             total.append(sum_)
             run = 0.0
             for share, i, emit in into:
                 run += share / sum_
-                self.cdf.append(base + j + min(run, 1.0))
-                self.back.append(base + i)
-                self.emits.append(emit)
-            self.first.append(len(self.cdf))
-        self.arrays = None
+                cdf.append(base + j + min(run, 1.0))
+                back.append(base + i)
+                emits.append(emit)
+            self.n_edges += len(into)
+            self.new_positions.append(self.n_edges)
+        self.n_positions += len(key) + 1
         self.ends[unit] = base + len(key)
         return base + len(key)
 
+    def filter_many(self, units: list[str]) -> None:
+        """Forward filtering of many units of at most MEDIUM characters: the sums of all units move one character at a time."""
+        if not units:
+            return
+        sizes = np.array([len(u) for u in units])
+        chars = np.frombuffer("".join(units).replace(SPACE, "\uffff").replace(" ", SPACE).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        unit = np.repeat(np.arange(len(units)), sizes)
+        offset = np.arange(len(chars)) - (np.cumsum(sizes) - sizes)[unit]
+        room = sizes[unit] - offset
+        starts, lengths, ids, weights = [], [], [], []
+        h, at = np.zeros(len(chars), np.uint64), np.arange(len(chars))
+        for n in range(1, min(self.longest, int(sizes.max())) + 1):
+            live = room[at] >= n
+            at, h = at[live], h[live] * np.uint64(STEP) + chars[at[live] + n - 1]
+            near = np.flatnonzero(self.bits[h >> np.uint64(42)])
+            k = np.minimum(np.searchsorted(self.hashes, h[near]), len(self.hashes) - 1)
+            hit = self.hashes[k] == h[near]
+            starts.append(at[near][hit])
+            lengths.append(np.full(int(hit.sum()), n))
+            ids.append(self.hash_ids[k[hit]])
+            weights.append(self.hash_weights[k[hit]])
+            if n == 1:
+                bare = np.ones(len(chars), bool)
+                bare[starts[0]] = False
+                lone = np.flatnonzero(bare)
+                text = "".join(units)
+                starts.append(lone)
+                lengths.append(np.ones(len(lone), np.int64))
+                ids.append(np.array([self.spell(text[i]) for i in lone.tolist()], np.int32))
+                weights.append(np.full(len(lone), self.floor * LIFT))
+        start, length, emit, weight = map(np.concatenate, (starts, lengths, ids, weights))
+        into = offset[start] + length
+        order = np.argsort(into, kind="stable")
+        bounds = np.searchsorted(into[order], np.arange(1, int(sizes.max()) + 2))
+        source = start + unit[start]  # positions: one more than characters in each unit
+        target = source + length
+        total = np.zeros(len(chars) + len(units))
+        total[np.cumsum(sizes) - sizes + np.arange(len(units))] = 1.0
+        share = np.empty(len(start))
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            e = order[a:b]
+            share[e] = total[source[e]] * weight[e]
+            np.add.at(total, target[e], share[e])
+        share /= total[target]
+        order = np.lexsort((source, target))
+        run = np.cumsum(share[order])
+        count = np.bincount(target, minlength=len(total))
+        before = np.concatenate([[0.0], run])[np.cumsum(count) - count]
+        base = self.n_positions
+        ends_of = target[order]
+        self.edges[0].extend(base + ends_of + np.clip(run - before[ends_of], 0.0, 1.0))
+        self.edges[1].extend(base + source[order])
+        self.edges[2].extend(emit[order])
+        self.positions.extend(self.n_edges + np.cumsum(count))
+        self.n_edges += len(order)
+        self.n_positions += len(total)
+        self.ends.update(zip(units, (base + np.cumsum(sizes) + np.arange(len(units))).tolist()))
+
+    def settle(self) -> None:
+        """Put what ``filter`` has gathered behind the arrays."""
+        self.positions.extend(self.new_positions)
+        for grown, new in zip(self.edges, self.new_edges):
+            grown.extend(new)
+            new.clear()
+        self.new_positions.clear()
+
     def spell(self, char: str) -> int:
+        if char < "\x80":
+            return self.of_byte[ord(char)]
         if char not in self.spellings:
             self.spellings[char] = self.size + len(self.spelled)
             self.spelled.append([self.of_byte[b] for b in char.encode()])
@@ -110,21 +218,20 @@ class Lattice:
 
     def walk(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
         """Backward sampling for all units of some texts at once; one array of ids per text."""
-        if len(self.first) > STATES:
+        if self.n_positions > STATES:
             self.clear()
-        ends, counts = [], []
-        get = self.ends.get
-        for text in texts:
-            units = UNITS.findall(" " + text)
-            counts.append(len(units))
-            for u in units:
-                e = get(u)
-                ends.append(self.filter(u) if e is None else e)
-        if self.arrays is None:
-            self.arrays = [np.array(x) for x in (self.first, self.cdf, self.back, self.emits)]
-            self.starts = np.zeros(len(self.first), bool)
-            self.starts[np.flatnonzero(self.arrays[0][1:] == self.arrays[0][:-1])] = True  # positions without edges into them
-        first, cdf, back, emits = self.arrays
+        found = [UNITS.findall(" " + text) for text in texts]
+        counts = [len(x) for x in found]
+        units = list(itertools.chain.from_iterable(found))
+        missing = [u for u in dict.fromkeys(units) if u not in self.ends]
+        for u in missing:
+            if len(u) > MEDIUM:
+                self.filter(u)
+        self.settle()
+        self.filter_many([u for u in missing if len(u) <= MEDIUM])
+        ends = list(map(self.ends.__getitem__, units))
+        first = self.positions.view()
+        cdf, back, emits = (x.view() for x in self.edges)
         counts = np.array(counts)
         at = np.array(ends, np.int64)
         number = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -139,7 +246,8 @@ class Lattice:
             pieces.append(emits[edge])
             steps.append(np.full(len(live), step, np.int64))
             at[live] = back[edge]
-            live = live[~self.starts[at[live]]]
+            here = at[live]
+            live = live[first[here + 1] > first[here]]  # a position without edges into it is a unit's start
             step += 1
         owner, piece, order = np.concatenate(owners), np.concatenate(pieces), np.concatenate(steps)
         taken = np.bincount(owner, minlength=len(at))
