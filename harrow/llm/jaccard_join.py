@@ -7,7 +7,7 @@
 3. The rest is partitioned into groups of similar sets: those with the same least shared shingle meet, and each set is
    compared with the leaders of its group. Verified links join groups into components.
 4. The matrix holds, for each group of at most ``GROUP`` sets, the union of its prefix shingles. A set is a query against the
-   groups of other components with which it shares one. In the group's task its overlap with the union of the members'
+   groups of other components with which it shares enough of them (``reachable``). In the group's task its overlap with the union of the members'
    whole sets is the bound; only groups whose bound reaches the required overlap are opened, and each member is compared
    exactly unless both are already connected there.
 5. Links of both steps give the components.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _bytes as B
@@ -233,6 +233,18 @@ def leader_links(sets: DataFrame, n: int) -> DataFrame:
     return sets.select("group", "id", "body").repartition(n, "group").sortWithinPartitions("group", "id").mapInArrow(scan, "a long, b long")
 
 
+def reachable(both: Column, n: Column, least_n: Column, most_n: Column) -> Column:
+    """Whether a set of n can reach the threshold with some set of a group, given how many of its prefix shingles the group has.
+
+    Of two sets, take the one whose prefix ends first in the order: their common shingles up to there lie in both prefixes, and
+    at most required - 1 of its shingles come after. So the overlap is below both + required(n or m), n and m the sizes.
+    """
+    least = F.greatest(least_n, F.ceil(n * PERCENT / 100))
+    most = F.least(most_n, F.floor(n * 100 / PERCENT))
+    after = F.ceil(F.greatest(n, most) * PERCENT / 100) - 1
+    return both + after >= F.ceil((n + least) * PERCENT / (100 + PERCENT))
+
+
 def opened_links(rows: DataFrame, n: int) -> DataFrame:
     """(a, b): verified links of queries with members of the groups that they open.
 
@@ -297,7 +309,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     cell = cell.join(shared, "token", "left_semi")
     query = with_group.join(shared, "token", "left_semi").select("token", F.col("id").alias("q"), F.col("n").alias("qn"), F.col("component").alias("qc"))
     met = query.join(cell, "token").where(f"qc > component AND {PERCENT} * least_n <= 100 * qn AND {PERCENT} * qn <= 100 * most_n")
-    pairs = keep(met.select("q", "qc", "group").distinct(), "pairs")
+    met = met.groupBy("q", "qc", "qn", "group").agg(F.count("*").alias("both"), F.min("least_n").alias("least_n"), F.max("most_n").alias("most_n"))
+    pairs = keep(met.where(reachable(F.col("both"), F.col("qn"), F.col("least_n"), F.col("most_n"))).select("q", "qc", "group"), "pairs")
     queries = pairs.join(sets.select(F.col("id").alias("q"), "body"), "q").select("group", F.lit(1).alias("query"), F.col("q").alias("id"), F.col("qc").alias("component"), "body")
     members = matrix_of.join(pairs.select("group").distinct(), "group", "left_semi").join(sets.select("id", "body"), "id").select("group", F.lit(0).alias("query"), "id", "component", "body")
     second = keep(opened_links(queries.unionByName(members), n), "links")
