@@ -24,7 +24,7 @@ class SurfaceFold(StatefulProcessor):
         self.handle = handle
         self.models = handle.getMapState("models", "surface_id string", "model string, seq long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         out = []
         pdf = pd.concat(list(rows)).sort_values("seq")
         for raw, seq in zip(pdf["raw"], pdf["seq"]):
@@ -45,10 +45,10 @@ class SurfaceFold(StatefulProcessor):
                     self.models.removeKey(sid)
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield pd.DataFrame(out, columns=["run_id", "surface_id", "model", "closed_seq"])
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         left = sorted(((k[0], v[0], v[1]) for k, v in self.models.iterator()), key=lambda x: x[2])
         self.models.clear()
         yield pd.DataFrame([(key[0], s, m, n) for s, m, n in left], columns=["run_id", "surface_id", "model", "closed_seq"])
@@ -73,7 +73,7 @@ class _Newest(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.latest = handle.getValueState("latest", "ts long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         pdf = pd.concat(list(rows)).sort_values("seq")
         latest = self.latest.get()[0] if self.latest.exists() else None
         kept = []
