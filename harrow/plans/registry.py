@@ -702,3 +702,69 @@ def listing_costs(spark, d):
     price = F.concat(F.lit('{"pricingModel":"PAY_PER_EVENT","pricingPerEvent":{"actorChargeEvents":{"item":{"eventTitle":"result","isPrimaryEvent":true,"eventPriceUsd":'), (F.col("p_retailprice") / 1000).cast("string"), F.lit('},"start":{"isOneTimeEvent":true,"eventPriceUsd":0.5}}}}'))
     p = load(spark, d, "part").select(F.col("p_partkey").alias("line"), F.explode(F.array(harvest.listing_price(price))).alias("p")).select("line", "p.*")
     return harvest.listing_costs(p).select("line", "volume", "usd")
+
+
+# --- further joins and set operations ---
+
+
+@query(r"""SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 'word-' || event_type ELSE event_type END AS value FROM events""")
+def restored_words(spark, d):
+    """Redacted words set back from a vocabulary, in known columns only."""
+    e = load(spark, d, "events")
+    tokens = e.select("event_id", F.col("event_type").alias("token"), F.when(F.col("event_type") == "purchase", "other").otherwise("title").alias("column"))
+    words = e.where("event_type IN ('view', 'click', 'purchase')").select(F.col("event_type").alias("token"), F.concat(F.lit("word-"), "event_type").alias("word")).distinct()
+    return harvest.restored(tokens, words, ("title",)).select("event_id", "value")
+
+
+@query(r"""WITH x AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS i FROM lineitem)
+SELECT l_orderkey::VARCHAR AS surface_id, '/lines/' || i AS scope, l_partkey::VARCHAR AS value FROM x""")
+def bound_components(spark, d):
+    """Template lists bound to a surface's data: one row per item with its scope."""
+    items = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
+    models = items.select(F.col("l_orderkey").cast("string").alias("surface_id"), F.to_json(F.struct("lines")).alias("model"))
+    return quality.bound_rows(None, models, {"line": ("/lines", "l_partkey")}).select("surface_id", "scope", "value")
+
+
+@query(r"""SELECT event_type AS kind, bool_or(value > 99) AS seen, event_type <> 'error' AS declared, event_type = 'view' AS handled, bool_or(value > 99) AND NOT (event_type = 'view') AS gap FROM events GROUP BY event_type""")
+def interrupt_coverage(spark, d):
+    """Overlays seen against those declared and handled."""
+    e = load(spark, d, "events").select(F.col("event_type").alias("kind"), "value")
+    known = e.select("kind").distinct()
+    out = known.join(quality.interrupt_coverage(e.where("value > 99"), known.where("kind <> 'error'"), known.where("kind = 'view'")), "kind", "left").fillna(False)
+    return out.select("kind", "seen", "declared", "handled", "gap")
+
+
+@query(r"""SELECT user_id AS scene_id, max(event_id) AS version, arg_max(value, event_id) AS t0 FROM events GROUP BY user_id""")
+def merged_scenes(spark, d):
+    """The newest version of each summary (U4)."""
+    e = load(spark, d, "events").select(F.col("user_id").alias("scene_id"), F.col("event_id").alias("version"), F.col("value").alias("t0"))
+    return monitor.merged_scenes(e.where("version % 2 = 0"), e.where("version % 2 = 1"))
+
+
+@query(r"""SELECT t AS query_id, arg_min(p_partkey, struct_pack(a := p_partkey % 7 * (p_partkey % 5), b := p_partkey)) AS i FROM part, (SELECT unnest(['a', 'e', 'st']) AS t) WHERE contains(lower(p_name), t) GROUP BY t""")
+def action_targets(spark, d):
+    """The smallest element whose label holds a token."""
+    tokens = spark.createDataFrame([(t, t) for t in ("a", "e", "st")], "query_id string, token string")
+    e = load(spark, d, "part").select(F.col("p_partkey").alias("i"), F.col("p_name").alias("hay"), (F.col("p_partkey") % 7).alias("w"), (F.col("p_partkey") % 5).alias("h"))
+    return quality.targets(tokens, e)
+
+
+@query(r"""SELECT page_id, rtrim(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/') = rtrim(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/') AS same FROM pages""")
+def same_pages(spark, d):
+    """Addresses of one page, trailing slashes aside."""
+    return load(spark, d, "pages").select("page_id", quality.same_page(F.col("url"), F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.lit("/"))).alias("same"))
+
+
+@query(r"""SELECT regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, max(page_id) AS newest, min(page_id) AS first_seen FROM pages GROUP BY 1 ORDER BY 3 DESC LIMIT 5""")
+def newest_paths(spark, d):
+    """The newest response of the last paths seen."""
+    return harvest.newest_paths(load(spark, d, "pages").select("url", F.col("page_id").alias("seq")))
+
+
+@query(r"""SELECT event_id, event_type AS type, CASE WHEN event_type = 'view' THEN text ELSE regexp_replace(text, 'https?://[^\s)]+', 'https://example.invalid/…', 'g') END AS payload
+FROM (SELECT event_id, CASE event_type WHEN 'view' THEN 'scene' ELSE event_type END AS event_type, 'see https://x.example/' || event_id AS text FROM events WHERE event_type <> 'error')""".replace("event_type = 'view' THEN text", "event_type = 'scene' THEN text"))
+def published_events(spark, d):
+    """Structural events verbatim, the others scrubbed, interface messages left out."""
+    t = F.when(F.col("event_type") == "view", "scene").when(F.col("event_type") == "error", "a2ui").otherwise(F.col("event_type"))
+    e = load(spark, d, "events").select("event_id", t.alias("type"), F.concat(F.lit("see https://x.example/"), F.col("event_id").cast("string")).alias("payload"))
+    return harvest.published(e)
