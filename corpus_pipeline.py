@@ -40,7 +40,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sampled SentencePiece ids of each document, and the text that they decode to."""
     path = piece_lattice.default_model()
-    coded = piece_lattice.decoded(piece_lattice.with_pieces(docs.drop("piece_ids"), path), path)
+    coded = piece_lattice.with_pieces(docs, path, back="decoded")
     return coded.select("doc_id", "lang", "source", F.col("decoded").alias("text"), F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids")
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from ._shared import table
 
 #: Lattice positions a task keeps, and characters of text that walk together.
-STATES, CHUNK = 1_500_000, 1_000_000
+STATES, CHUNK = 1_000_000, 500_000
 #: Units of up to MEDIUM characters are filtered together; multiplier of code point hashes; lift of weights per character.
 MEDIUM, STEP, MASK, LIFT = 48, 0x9E3779B97F4A7C15, (1 << 64) - 1, 2000.0
 UNITS = re.compile(r"\n| ?[^ \n]+| ")
@@ -294,23 +294,27 @@ def encode_texts(texts: list[str | None], keys: np.ndarray, path: str, theta: fl
     return out
 
 
-def with_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", into: str = "piece_ids", theta: float = 1.0) -> DataFrame:
-    """Add the sampled ids of each text; a column called ``into`` is replaced. The key may be of any type: it is hashed."""
-    kept = [c for c in docs.columns if c != into]
+def with_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", into: str = "piece_ids", theta: float = 1.0, back: str | None = None) -> DataFrame:
+    """Add the sampled ids of each text; a column called ``into`` is replaced. The key may be of any type: it is hashed.
+
+    ``back`` names a column for the text that the ids decode to, made in the same pass.
+    """
+    kept = [c for c in docs.columns if c not in (into, back)]
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(F.col(f"`{key}`")).alias("__key"))
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(into, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(into, T.ArrayType(T.IntegerType()))] + ([T.StructField(back, T.StringType())] if back else []))
     at = kept.index(text)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+            for start in range(0, whole.num_rows, 200):
+                batch = whole.slice(start, 200)
                 ids = encode_texts(batch.column(at).to_pylist(), batch.column(len(kept)).to_numpy(zero_copy_only=False), path, theta)
                 sizes = np.array([0 if x is None else len(x) for x in ids])
                 flat = np.concatenate([x for x in ids if x is not None] or [np.empty(0, np.int64)]).astype(np.int32)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([x is None for x in ids]))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], arrays], names=[*kept, into])
+                more = [pa.array([None if x is None else lattice(path, theta).decode(x.tolist()) for x in ids], pa.string())] if back else []
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], arrays, *more], names=[*kept, into, *([back] if back else [])])
 
     return source.mapInArrow(encode, schema)
 
@@ -336,7 +340,7 @@ def default_model() -> str:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: pieces, a digest of the sampled ids, and whether decoding gives the text back."""
     path = default_model()
-    coded = decoded(with_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    coded = with_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), path, back="decoded")
     return coded.select(
         "doc_id",
         F.size("piece_ids").cast("long").alias("n_pieces"),
