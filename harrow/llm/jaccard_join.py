@@ -6,14 +6,14 @@
    Prefix shingles that only one class has are dropped; classes without a shared one have no link and leave here.
 3. The rest is partitioned into groups of similar sets: those with the same least shared shingle meet, and each set is
    compared with the leaders of its group. Verified links join groups into components.
-4. The matrix holds, for each group of at most ``GROUP`` sets, the union of its prefix shingles. A set is a query against the
-   groups of other components with which it shares enough of them (``reachable``). In the group's task its overlap with the union of the members'
-   whole sets is the bound; only groups whose bound reaches the required overlap are opened, and each member is compared
-   exactly unless both are already connected there.
+4. The matrix holds, for each group of about ``GROUP`` sets or fewer, the union of its prefix shingles. A set is a query against the
+   groups with which it shares enough of them (``reachable``), unless all their sets are connected to it already. In the
+   group's task its overlap with the union of the members' whole sets is the bound; only groups whose bound reaches the
+   required overlap are opened, and each member not yet connected there is compared exactly.
 5. Links of both steps give the components.
 
 Sets travel as deflated texts and are hashed where they are compared. No step lists the pairs of a group: equal texts are one class, near copies meet
-their leader, and a query opens a group only outside its own component.
+their leader, and a query meets groups of sets, never single sets.
 
 Cases: null, empty and wordless texts have no shingles and are their own component; a text of fewer than five words has one
 shingle; repeated rows of an id count as one document each with the same component; empty tables give no rows.
@@ -248,30 +248,35 @@ def reachable(both: Column, n: Column, least_n: Column, most_n: Column) -> Colum
 def opened_links(rows: DataFrame, n: int) -> DataFrame:
     """(a, b): verified links of queries with members of the groups that they open.
 
-    Rows are (group, query, id, component, body), a group's members first. Members of one group belong to one component.
+    Rows are (group, query, id, component, body), a group's members first. Of two sets the one with the larger id is the query.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, members, union, linked = None, [], None, set()
+        group, members, union, roots = None, [], None, {}
+
+        def root(c: int) -> int:
+            while c in roots:
+                c = roots[c]
+            return c
+
         for batch in batches:
             found = []
             cols = [batch.column(k).to_pylist() for k in range(4)]
             for g, query, i, comp, x in zip(*cols, batch.column(4)):
                 if g != group:
-                    group, members, union, linked = g, [], None, set()
+                    group, members, union, roots = g, [], None, {}
                 tokens = set_of(x)
                 if not query:
-                    members.append((i, tokens))
+                    members.append((i, comp, tokens))
                     continue
                 if union is None:
-                    union = np.unique(np.concatenate([m for _, m in members])) if members else np.empty(0, U)
-                if comp in linked or common(tokens, union) < required(len(tokens)):
-                    continue  # connected already, or the bound keeps the group shut
-                for j, y in members:
-                    if similar(tokens, y):
+                    union = np.unique(np.concatenate([m for _, _, m in members])) if members else np.empty(0, U)
+                if common(tokens, union) < required(len(tokens)):
+                    continue  # the bound keeps the group shut
+                for j, other, y in members:
+                    if j < i and root(other) != root(comp) and similar(tokens, y):
                         found.append((j, i))
-                        linked.add(comp)
-                        break
+                        roots[root(other)] = root(comp)
             yield _links(found)
 
     return rows.select("group", "query", "id", "component", "body").repartition(n, "group").sortWithinPartitions("group", "query", "id").mapInArrow(scan, "a long, b long")
@@ -291,24 +296,23 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     tokens = keep(shared_tokens(prefixes(source, sketch), n), "tokens")
     asked = tokens.groupBy("id").agg(F.min(F.struct(F.hash("token").alias("h"), "token")).alias("least"))
     # a group of more than a few thousand sets is dealt into parts; the exact step links across them
-    crowd = asked.groupBy("least.token").count().select("token", F.ceil(F.col("count") / 4096).cast("int").alias("parts"))
-    grouped = asked.select("id", F.col("least.token").alias("token")).join(crowd, "token").select("id", F.xxhash64("token", F.pmod(F.hash("id"), F.col("parts"))).alias("group"))
+    dealt = lambda most: F.xxhash64("token", F.pmod(F.hash("id"), F.ceil(F.col("count") / most).cast("int")))
+    crowd = asked.groupBy("least.token").count()
+    grouped = asked.select("id", F.col("least.token").alias("token")).join(crowd, "token").select("id", dealt(4096).alias("group"), dealt(GROUP).alias("cell"))
     grouped = keep(grouped, "grouped")
     needed = classes.join(grouped, classes["s1"] == grouped["id"], "left_semi").select(F.col("rep").alias("id"))
     sets = keep(deflated(source.join(needed, "id", "left_semi")).dropDuplicates(["id"]).join(grouped, "id"), "sets")
     first = keep(leader_links(sets, n), "links")
     comps = components(first)
 
-    member = keep(sets.select("id", "n").join(comps, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component")), "members")
-    # groups of bounded size within a component
-    crowd = member.groupBy("component").count().select("component", F.ceil(F.col("count") / GROUP).cast("int").alias("parts"))
-    matrix_of = keep(member.join(crowd, "component").select("id", "n", "component", F.xxhash64("component", F.pmod(F.hash("id"), F.col("parts"))).alias("group")), "groups")
+    matrix_of = keep(sets.select("id", "n", F.col("cell").alias("group")).join(comps, "id", "left").select("id", "n", "group", F.coalesce("component", "id").alias("component")), "groups")
     with_group = keep(tokens.join(matrix_of, "id"), "matrix")
-    cell = with_group.groupBy("token", "group", "component").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    shared = with_group.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("token")
+    cell = with_group.groupBy("token", "group").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("id").alias("first"))
+    shared = with_group.groupBy("token").agg(F.min("component").alias("t0"), F.max("component").alias("t1")).where("t0 < t1").select("token")
     cell = cell.join(shared, "token", "left_semi")
     query = with_group.join(shared, "token", "left_semi").select("token", F.col("id").alias("q"), F.col("n").alias("qn"), F.col("component").alias("qc"))
-    met = query.join(cell, "token").where(f"qc > component AND {PERCENT} * least_n <= 100 * qn AND {PERCENT} * qn <= 100 * most_n")
+    # a query needs a group that holds a smaller id of another component and sizes within reach
+    met = query.join(cell, "token").where(f"first < q AND NOT (c0 = qc AND c1 = qc) AND {PERCENT} * least_n <= 100 * qn AND {PERCENT} * qn <= 100 * most_n")
     met = met.groupBy("q", "qc", "qn", "group").agg(F.count("*").alias("both"), F.min("least_n").alias("least_n"), F.max("most_n").alias("most_n"))
     pairs = keep(met.where(reachable(F.col("both"), F.col("qn"), F.col("least_n"), F.col("most_n"))).select("q", "qc", "group"), "pairs")
     queries = pairs.join(sets.select(F.col("id").alias("q"), "body"), "q").select("group", F.lit(1).alias("query"), F.col("q").alias("id"), F.col("qc").alias("component"), "body")
