@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -54,21 +55,34 @@ def surface_messages(snaps: DataFrame, most_patches: int = 40) -> DataFrame:
 
 
 def fold_surfaces(messages: DataFrame) -> DataFrame:
-    """(run_id, surface_id, model, first_seq, last_seq): messages applied in order. A group is one surface of one run."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        model: object = {}
-        pdf = pdf.sort_values(["seq", "part"])
-        for kind, path, value, has in zip(pdf["kind"], pdf["path"], pdf["value"], pdf["has_value"]):
-            if kind == "createSurface":
-                model = {}
-            elif kind == "updateDataModel":
-                model = jsonops.set_at(model, path, json.loads(value) if has and value is not None else jsonops.ABSENT)
-        return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "surface_id": [pdf["surface_id"].iloc[0]], "model": [jsonops.canonical_text(model)], "first_seq": [pdf["seq"].min()], "last_seq": [pdf["seq"].max()]})
-
+    """(run_id, surface_id, model, first_seq, last_seq): messages applied in order.
+
+    A surface's messages are dealt and sorted by Spark and stream by; one model is held at a time.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, model, first, last = None, {}, None, None
+        for pdf in batches:
+            out = []
+            for run, sid, seq, kind, path, value, has in zip(*[pdf[c] for c in ("run_id", "surface_id", "seq", "kind", "path", "value", "has_value")]):
+                if (run, sid) != now:
+                    if now is not None:
+                        out.append((*now, jsonops.canonical_text(model), first, last))
+                    now, model, first = (run, sid), {}, seq
+                last = seq
+                if kind == "createSurface":
+                    model = {}
+                elif kind == "updateDataModel":
+                    model = jsonops.set_at(model, path, json.loads(value) if has and value is not None else jsonops.ABSENT)
+            yield pd.DataFrame(out, columns=columns)
+        if now is not None:
+            yield pd.DataFrame([(*now, jsonops.canonical_text(model), first, last)], columns=columns)
+
+    columns = ["run_id", "surface_id", "model", "first_seq", "last_seq"]
     kind = messages.schema["run_id"].dataType.simpleString()
     seq = messages.schema["seq"].dataType.simpleString()
-    return messages.groupBy("run_id", "surface_id").applyInPandas(fold, f"run_id {kind}, surface_id string, model string, first_seq {seq}, last_seq {seq}")
+    dealt = messages.repartition("run_id", "surface_id").sortWithinPartitions("run_id", "surface_id", "seq", "part")
+    return dealt.mapInPandas(fold, f"run_id {kind}, surface_id string, model string, first_seq {seq}, last_seq {seq}")
 
 
 def fold_flat(writes: DataFrame, keys: list[str], path: str = "path", value: str = "value", order: str = "seq") -> DataFrame:
