@@ -7,7 +7,8 @@ Attention, feed-forward and all weights are then trained by local gradient steps
 training texts (chosen by hash: ``SHARE`` of them, without any cap), and weights are averaged block by block in Spark.
 
 Scoring. A text is the sequence of its words' subwords and one end. Windows of ``WINDOW`` ids overlap by ``WINDOW - STRIDE``; each
-id is scored once, in the window that gives it the longest context, all windows of a batch in one masked attention. The
+id is scored once, in the window that gives it the longest context: at least ``WINDOW - STRIDE`` ids, or all that precede it.
+All windows of a batch go through one masked attention. The
 probability of an id is that of its class times that within the class; rarer subwords share a last class and divide it by
 their counts. The probabilities of all ids sum to one at every place.
 
@@ -33,12 +34,12 @@ from . import _bytes as B
 from ._shared import keep, table
 
 #: Frequent subwords with weights of their own, members of a class, width, hidden width, ids of a window, ids it scores.
-TOP, CLASS, DIM, HIDDEN, WINDOW, STRIDE = 1024, 32, 24, 32, 24, 21
+TOP, CLASS, DIM, HIDDEN, WINDOW, STRIDE = 1024, 32, 24, 48, 64, 32
 CLASSES = TOP // CLASS
 TAIL = TOP  # stands for all rarer subwords
 #: One in SHARE training texts gives gradient steps; rounds of averaging; windows of a step; rate. A chunk of few texts is gone
 #: through again until it has given LEAST_STEPS, at most MOST_PASSES times.
-SHARE, ROUNDS, STEP_WINDOWS, RATE, LEAST_STEPS, MOST_PASSES = 16, 1, 96, 0.02, 300, 8
+SHARE, ROUNDS, STEP_WINDOWS, RATE, LEAST_STEPS, MOST_PASSES = 16, 2, 96, 0.02, 300, 8
 #: Words above 1 / HOT of all tokens are broadcast.
 HOT = 500_000
 #: Rows of the weights' exchange.

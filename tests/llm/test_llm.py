@@ -228,6 +228,60 @@ def test_lm_windows_score_once():
     assert (scored == want).all() and (np.bincount(text, weights=live.sum(axis=1)) == total - 1).all()
 
 
+def test_lm_ids_have_context():
+    total = np.array([2, 40, 90, lm_score.WINDOW + 2, 700])
+    x, y, live, _ = lm_score.windows(np.arange(total.sum()), total)
+    begin = np.repeat(np.cumsum(total) - total, total - 1)
+    target = np.sort(y[live])
+    context = (np.broadcast_to(np.arange(1, lm_score.WINDOW + 1), x.shape)[live])[np.argsort(y[live])]
+    assert (context >= np.minimum(target - begin, 32)).all() and lm_score.shapes()["w1"][1] >= 48 and lm_score.ROUNDS >= 2
+
+
+def test_lm_gradients():
+    r = np.random.default_rng(3)
+    w = {k: r.standard_normal(v) * 0.3 for k, v in lm_score.shapes().items()}
+    x, y, live, _ = lm_score.windows(r.integers(0, lm_score.TOP + 1, 150), np.array([9, 41, 100]))
+
+    def loss():
+        rows = np.flatnonzero(live.ravel())
+        return -lm_score.log_probs(w, lm_score.forward(w, x)["h"][rows], y.ravel()[rows]).mean()
+
+    for k, g in lm_score.gradients(w, x, y, live).items():
+        for at in np.argsort(-np.abs(g).ravel())[[0, 1, 5, 11]]:
+            kept, ends = w[k].flat[at], []
+            for step in (1e-5, -1e-5):
+                w[k].flat[at] = kept + step
+                ends.append(loss())
+            w[k].flat[at] = kept
+            assert np.isclose((ends[0] - ends[1]) / 2e-5, g.flat[at], rtol=2e-3, atol=1e-7), k
+
+
+@pytest.fixture(scope="module")
+def chains(spark):
+    r = random.Random(11)
+
+    def chain(n):  # a word tells the next one
+        at = r.randrange(40)
+        out = [at]
+        for _ in range(n):
+            at = (at * 7 + 3) % 40 if r.random() < 0.9 else r.randrange(40)
+            out.append(at)
+        return " ".join(f"W{k}x" for k in out)
+
+    rows = [(i, chain(60)) for i in range(300)] + [(300, None), (301, "once ONLY"), (7, "again")]
+    return rows, lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+
+
+def test_lm_base_score(chains):
+    rows, got = chains
+    held = {g.doc_id: g.held_out for g in got}
+    tokens = lambda t: [low(x) for x in WORD.findall(t or "")] + [None]
+    seen = Counter(x for i, t in rows if not held[i] for x in tokens(t))
+    norm = np.log10(sum(seen.values()) + 0.5 * (len(seen) + 1))
+    want = sorted((i, sum(np.log10(seen[x] + 0.5) - norm for x in tokens(t))) for i, t in rows)
+    assert np.allclose(sorted((g.doc_id, g.base_score) for g in got), want)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
