@@ -3,8 +3,8 @@
 Learning. One scan counts, over every training text, words, subwords and adjacent subword pairs; task-level sums combine
 before and in the shuffle. The ``TOP`` most frequent subwords are set into classes of ``CLASS`` by halving along principal
 directions of their pair statistics; a factorization of those statistics gives the first embeddings and output weights.
-Attention, feed-forward and all weights are then trained by local gradient steps: each task trains on its own share of the
-training texts (chosen by hash: ``SHARE`` of them, without any cap), and weights are averaged block by block in Spark.
+Attention, feed-forward and all weights are then trained by gradient steps over every training text: a task carries weights
+and moments through all its batches, and weights are averaged block by block in Spark after each of ``ROUNDS`` rounds.
 
 Scoring. A text is the sequence of its words' subwords and one end. Windows of ``WINDOW`` ids overlap by ``WINDOW - STRIDE``; each
 id is scored once, in the window that gives it the longest context: at least ``WINDOW - STRIDE`` ids, or all that precede it.
@@ -37,9 +37,9 @@ from ._shared import keep, table
 TOP, CLASS, DIM, HIDDEN, WINDOW, STRIDE = 1024, 32, 24, 48, 64, 32
 CLASSES = TOP // CLASS
 TAIL = TOP  # stands for all rarer subwords
-#: One in SHARE training texts gives gradient steps; rounds of averaging; windows of a step; rate. A chunk of few texts is gone
-#: through again until it has given LEAST_STEPS, at most MOST_PASSES times.
-SHARE, ROUNDS, STEP_WINDOWS, RATE, LEAST_STEPS, MOST_PASSES = 16, 2, 96, 0.02, 300, 8
+#: Rounds of averaging, each over all training texts; windows of a step; rate. A task of few texts goes through them again until
+#: it has made LEAST_STEPS, at most MOST_PASSES times.
+ROUNDS, STEP_WINDOWS, RATE, LEAST_STEPS, MOST_PASSES = 3, 96, 0.02, 300, 8
 #: Words above 1 / HOT of all tokens are broadcast.
 HOT = 500_000
 #: Rows of the weights' exchange.
@@ -249,22 +249,43 @@ def windows(ids: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return ids[at], ids[np.where(inside, at + 1, 0)], inside & ((place >= overlap) | (j[:, None] == 0)), text
 
 
-def train(w: dict, ids: np.ndarray, total: np.ndarray, seed: int) -> dict:
-    """Adam steps over the windows of some texts."""
-    x, y, live, _ = windows(ids, total)
-    passes = min(MOST_PASSES, max(1, LEAST_STEPS * STEP_WINDOWS // max(len(x), 1)))
-    order = np.concatenate([np.random.default_rng(seed + 1000 * k).permutation(len(x)) for k in range(passes)])
-    first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    steps = range(0, len(order), STEP_WINDOWS)
-    for t, s in enumerate(steps, 1):
-        own = order[s : s + STEP_WINDOWS]
-        g = gradients(w, x[own], y[own], live[own])
-        rate = RATE * (1 - 0.9 * t / max(len(steps), 1)) * min(1, t / 20)
-        for k in w:
-            first[k] += F32(0.1) * (g[k] - first[k])
-            second[k] += F32(0.02) * (g[k] * g[k] - second[k])
-            w[k] -= F32(rate / (1 - 0.9**t)) * first[k] / (np.sqrt(second[k] / F32(1 - 0.98**t)) + F32(1e-6))
-    return w
+class Learner:
+    """Adam steps over the windows of a task's texts, chunk by chunk; weights, moments and the count of steps are carried on."""
+
+    def __init__(self, w: dict, round_no: int):
+        self.w, self.steps, self.seen = w, 0, 0
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+        self.rate, self.rng = RATE / (1 + round_no), np.random.default_rng(round_no)
+        self.few: list[tuple[np.ndarray, np.ndarray]] = []  # all chunks so far, while they gave less than LEAST_STEPS
+
+    def add(self, ids: np.ndarray, total: np.ndarray) -> None:
+        self.seen += len(ids)
+        self.learn(ids, total)
+        if self.steps < LEAST_STEPS:
+            self.few.append((ids, total))
+        else:
+            self.few.clear()
+
+    def finish(self) -> dict:
+        for _ in range(MOST_PASSES - 1):
+            if self.steps < LEAST_STEPS:
+                for chunk in self.few:
+                    self.learn(*chunk)
+        return self.w
+
+    def learn(self, ids: np.ndarray, total: np.ndarray) -> None:
+        x, y, live, _ = windows(ids, total)
+        order = self.rng.permutation(len(x))
+        for s in range(0, len(order), STEP_WINDOWS):
+            own = order[s : s + STEP_WINDOWS]
+            g = gradients(self.w, x[own], y[own], live[own])
+            self.steps += 1
+            t, w = self.steps, self.w
+            rate = self.rate * min(1, t / 20) / (1 + t / LEAST_STEPS) ** 0.5
+            for k in w:
+                self.first[k] += F32(0.1) * (g[k] - self.first[k])
+                self.second[k] += F32(0.02) * (g[k] * g[k] - self.second[k])
+                w[k] -= F32(rate / (1 - 0.9**t)) * self.first[k] / (np.sqrt(self.second[k] / F32(1 - 0.98**t)) + F32(1e-6))
 
 
 def packed(w: dict) -> np.ndarray:
@@ -376,20 +397,19 @@ def pair_counts(counts: DataFrame, compact) -> np.ndarray:
 
 
 def averaged(texts: DataFrame, path: str, compact, start: np.ndarray, round_no: int) -> np.ndarray:
-    """One round: every task trains from the same weights on its share of the texts; averages are weighted by ids and made per block."""
+    """One round: every task trains from the same weights on all its texts; averages are weighted by ids and made per block."""
     shared = texts.sparkSession.sparkContext.broadcast(start)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords, end, of = Subwords(path), vocabulary(path), compact.value
+        learner = Learner(unpacked(shared.value), round_no)
         for batch in batches:
-            w, seen = None, 0
             for _, _, data, starts, stops, counts, h in chunks(batch, 0):
                 ids, total = sequences(*subwords(data, starts, stops, h), counts, end)
-                w = train(unpacked(shared.value) if w is None else w, of[ids].astype(np.int64), total, round_no)
-                seen += len(ids)
-            if w is not None:
-                parts = np.array_split(packed(w), WEIGHT_BLOCKS)
-                yield pa.RecordBatch.from_arrays([pa.array(range(WEIGHT_BLOCKS), pa.int32()), pa.array([float(seen)] * WEIGHT_BLOCKS), pa.array([x.tobytes() for x in parts], pa.binary())], names=["block", "seen", "weights"])
+                learner.add(of[ids].astype(np.int64), total)
+        if learner.seen:
+            parts = np.array_split(packed(learner.finish()), WEIGHT_BLOCKS)
+            yield pa.RecordBatch.from_arrays([pa.array(range(WEIGHT_BLOCKS), pa.int32()), pa.array([float(learner.seen)] * WEIGHT_BLOCKS), pa.array([x.tobytes() for x in parts], pa.binary())], names=["block", "seen", "weights"])
 
     def mean(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = 0.0, 0.0
@@ -399,8 +419,7 @@ def averaged(texts: DataFrame, path: str, compact, start: np.ndarray, round_no:
                 seen += n
         yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "seen": pa.array([seen]), "weights": pa.array([(total / seen).astype(F32).tobytes()], pa.binary())})
 
-    share = F.pmod(F.xxhash64("text"), F.lit(SHARE)) == 0
-    rows = texts.where(~F.col("held_out") & share).select("text").mapInArrow(scan, "block int, seen double, weights binary")
+    rows = texts.where(~F.col("held_out")).select("text").mapInArrow(scan, "block int, seen double, weights binary")
     got = {r["block"]: np.frombuffer(r["weights"], F32) for r in rows.groupBy("block").applyInArrow(mean, "block int, seen double, weights binary").collect()}
     return np.concatenate([got[k] for k in range(WEIGHT_BLOCKS)]) if got else start
 

@@ -282,6 +282,34 @@ def test_lm_base_score(chains):
     assert np.allclose(sorted((g.doc_id, g.base_score) for g in got), want)
 
 
+def test_lm_held_out_score(chains):
+    mine = [g for g in chains[1] if g.held_out and g.n_tokens > 50]
+    assert len(mine) > 20 and sum(g.score for g in mine) > sum(g.base_score for g in mine)
+
+
+def test_lm_learns_from_every_text_and_batch(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    of = np.minimum(np.arange(lm_score.vocabulary(path) + 1), lm_score.TAIL).astype(np.int16)
+    r = np.random.default_rng(2)
+    start = lm_score.packed({k: r.standard_normal(v) * 0.1 for k, v in lm_score.shapes().items()})
+    texts = [words(30) for _ in range(40)]
+    rows = spark.createDataFrame([(t, False) for t in texts], "text string, held_out boolean").coalesce(1)
+    one = lambda df: lm_score.averaged(df, path, spark.sparkContext.broadcast(of), start, 0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
+    try:
+        got, left_out = one(rows), one(rows.where(F.pmod(F.xxhash64("text"), F.lit(16)) != 0))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert not np.array_equal(left_out, start)
+    subwords, learner = lm_score.Subwords(path), lm_score.Learner(lm_score.unpacked(start), 0)
+    for k in range(0, len(texts), 8):
+        batch = lm_score.pa.RecordBatch.from_pydict({"text": texts[k : k + 8]})
+        for _, _, data, starts, stops, counts, h in lm_score.chunks(batch, 0):
+            ids, total = lm_score.sequences(*subwords(data, starts, stops, h), counts, len(of) - 1)
+            learner.add(of[ids].astype(np.int64), total)
+    assert learner.steps == 5 and np.allclose(lm_score.packed(learner.finish()), got, atol=1e-3) and learner.steps == 40
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
