@@ -3,7 +3,8 @@
 1. Each page's containers are scored by the text of their own blocks, links counting against it; the best one gives the
    page's vote: its path of generalised tag-class steps (digits in classes become ``#``).
 2. Spark counts the votes per (host, path), partly before the shuffle, and keeps one path per host.
-3. Each page is read again with its host's path; a page without such a container uses its own best one.
+3. Each page is read again with its host's path; a page without such a container uses its own best one. Either is widened to
+   the articles and mains around it, and to other containers around it while what they add is text rather than links.
 
 A page is parsed in its own row: nothing gathers pages. The votes are one row per (host, path).
 
@@ -61,8 +62,12 @@ class Node:
 @dataclass
 class Container:
     path: str
+    parent: int = -1
     score: float = 0.0
     blocks: list[str] = field(default_factory=list)
+    size: int = 0  # characters of the blocks, and those within links
+    linked: int = 0
+    article: bool = False
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -106,6 +111,8 @@ def containers(page: str) -> dict[int, Container]:
             weight = max(0.0, len(text) - 3.0 * linked)
             for depth, k in enumerate(reversed(holders)):
                 found[k].blocks.append(text)
+                found[k].size += len(text)
+                found[k].linked += min(linked, len(text))
                 if depth < 3:  # blocks count for their own container, and less for those around it
                     found[k].score += weight / (1, 3, 9)[depth]
         linked = 0
@@ -168,7 +175,7 @@ def containers(page: str) -> dict[int, Container]:
         k = -1
         if tag in CONTAINERS and not skip and not new.skipped:
             k = len(found)
-            found[k] = Container(new.path)
+            found[k] = Container(new.path, next((j for _, j in reversed(stack) if j >= 0), -1), article=tag in ("article", "main"))
         stack.append((new, k))
         skip += new.skipped
         if m[3].endswith("/>") and tag not in BLOCKS:
@@ -183,14 +190,37 @@ def vote(page: str) -> tuple[str, float]:
     return (best[1].path, best[1].score) if best and best[1].score > 0 else ("", 0.0)
 
 
+def around(found: dict[int, Container], k: int) -> list[int]:
+    """A container and those around it, from the inside out."""
+    out = []
+    while k >= 0:
+        out.append(k)
+        k = found[k].parent
+    return out
+
+
+def widened(found: dict[int, Container], k: int) -> int:
+    """The widest article or main around a container; beyond it, further containers while what each adds is text rather than links."""
+    holders = around(found, k)
+    start = max((i for i, j in enumerate(holders) if found[j].article), default=0)
+    k = holders[start]
+    for j in holders[start + 1 :]:
+        size, linked = found[j].size - found[k].size, found[j].linked - found[k].linked
+        if size and size <= 2 * linked:
+            break
+        k = j
+    return k
+
+
 def main_text(page: str, path: str | None) -> str:
-    """The blocks of the outermost containers at ``path``; of the page's own best container where there is none."""
+    """The blocks of the outermost containers at ``path``, or of the page's own best container where there is none, widened."""
     found = containers(page)
-    chosen = [c for c in found.values() if path and c.path == path and c.blocks]
+    chosen = [k for k, c in found.items() if path and c.path == path and c.blocks]
     if not chosen:
         best = max(found.items(), key=lambda x: (x[1].score, len(x[1].blocks), -x[0]), default=None)
-        chosen = [best[1]] if best else []
-    return "\n".join(b for c in chosen for b in c.blocks)
+        chosen = [best[0]] if best else []
+    wide = {widened(found, k) for k in chosen}
+    return "\n".join(b for k in sorted(wide) if not wide & set(around(found, k)[1:]) for b in found[k].blocks)
 
 
 def host_of(url: Column) -> Column:

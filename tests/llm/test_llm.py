@@ -203,6 +203,25 @@ def test_html(spark):
     assert len(got) == len(rows) and text[0] == "Head & more\nFirst long paragraph of text here, with words.\nSecond one goes on, and on <x>." and text[10] == text[11] == ""
 
 
+def test_html_keeps_split_articles(spark):
+    long, nav = "<p>" + "long text of the article " * 9 + "</p>", "<nav><a href=/>home</a></nav>"
+    links = "<div class='topics'>" + "".join(f"<p><a href=/{k}>topic number {k}</a></p>" for k in range(9)) + "</div>"
+    bodies = [
+        f"{nav}<article><h1>Title</h1><div class=content>{long}{long}</div></article>",
+        f"<article><div class=lead><p>The lead.</p></div><div class=body>{long}{long}</div></article>{links}",
+        f"<main><section class=a><p>One.</p></section><section class=b>{long}</section><blockquote class=c><p>Three.</p></blockquote></main><footer>foot</footer>",
+        f"<h1>Title</h1><div class=content>{long}</div>",
+        f"<div id=page><h1>Title</h1><div class=content>{long}{long}</div></div>{links}",
+        f"<main><h1>Title</h1><article>{long}</article>{links}</main>",
+    ]
+    rows = [(10 * k + i, f"http://h{k}.example/{i}", f"<html><body>{b}</body></html>") for k, b in enumerate(bodies) for i in range(3)]
+    text = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    p = ("long text of the article " * 9).strip()
+    topics = "".join(f"\ntopic number {k}" for k in range(9))
+    want = [f"Title\n{p}\n{p}", f"The lead.\n{p}\n{p}", f"One.\n{p}\nThree.", f"Title\n{p}", f"Title\n{p}\n{p}", f"Title\n{p}{topics}"]
+    assert all(text[10 * k + i] == w for k, w in enumerate(want) for i in range(3))
+
+
 def test_lm(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     more = spark.createDataFrame([(1000 + i, words(80, 50), "s", "x", 1) for i in range(120)], docs.schema)
