@@ -348,7 +348,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     places = rows.where("NOT known").groupBy("text_key").agg(F.collect_set("place").alias("places"))
     one = texts.groupBy("text_key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max(F.octet_length("text")).alias("size"))
     one = keep(one, "texts")
-    asked = texts.join(places.join(one.select("text_key", "id"), "text_key"), ["text_key", "id"]).dropDuplicates(["text_key"])
+    first = places.join(one.select("text_key", F.col("id").alias("first")), "text_key")
+    asked = texts.join(first, "text_key").where(F.col("id").eqNullSafe(F.col("first"))).drop("first").dropDuplicates(["text_key"])
     exact = compared(asked, n)
     whole = one.where(f"copies > 1 AND size >= {LENGTH}").select("text_key", F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("end"))
 

@@ -12,7 +12,8 @@ of their range, which merges them with a loser tree by URL key, timestamp and id
 the global order. Ranges are cut at quantiles of a bounded sample of whole sort keys, so a hot URL is spread over ranges.
 
 Cases: null html is an empty payload; a null url has no target line and the key ''; payloads below ``least`` bytes are all
-responses; an empty table gives an empty index; archives are cut at ``FILE_RECORDS`` records.
+responses; a null page_id is written ``<urn:capture:null>``, read as null and comes first among equal keys and times; an
+empty table gives an empty index; archives are cut at ``FILE_RECORDS`` records.
 """
 
 from __future__ import annotations
@@ -38,6 +39,9 @@ FILE_RECORDS, SAMPLE_KEYS, RUN_CAPTURES = 5_000, 5_000, 20_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
+#: While captures are sorted: a null id, below every id, and a missing URL, which no head can spell.
+NO_ID, NO_URL = -(2**63) - 1, "\0"
+
 CAPTURE = "page_id long, url string, url_key string, captured_at string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -55,7 +59,7 @@ def records(pages: DataFrame, least: int = 1000) -> DataFrame:
     """One column ``value``: the text of each page's record, without the two line ends that close it."""
     own = with_responses(pages, least)
     revisit = F.col("refers_to").isNotNull()
-    urn = lambda c: F.concat(F.lit("<urn:capture:"), c.cast("string"), F.lit(">"))
+    urn = lambda c: F.concat(F.lit("<urn:capture:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     date = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     http = F.concat(F.lit(HTTP_HEAD + "Content-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
@@ -117,10 +121,10 @@ def parse(content: bytes) -> Iterator[tuple]:
         kind = head["WARC-Type"]
         if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
             raise ValueError(f"payload of {head['WARC-Record-ID']} differs from its digest")
-        number = lambda x: int(x[len("<urn:capture:") : -1])
+        number = lambda x: NO_ID if x == "<urn:capture:null>" else int(x[len("<urn:capture:") : -1])
         url = head.get("WARC-Target-URI")
         refers = number(head["WARC-Refers-To"]) if kind == "revisit" else None
-        yield (url_key(url), head["WARC-Date"], number(head["WARC-Record-ID"]), url, size, digest, kind, refers)
+        yield (url_key(url), head["WARC-Date"], number(head["WARC-Record-ID"]), NO_URL if url is None else url, size, digest, kind, refers)
 
 
 def front_coded(rows: list[tuple]) -> bytes:
@@ -171,7 +175,7 @@ def read_index(spark: SparkSession, path: str, ranges: int | None = None) -> Dat
         for batch in batches:
             for run in batch.column(0):
                 keys = [(r[0], r[1], r[2]) for r in decoded(run.as_py()) if zlib.crc32(f"{r[0]} {r[1]} {r[2]}".encode()) < share * 2**32]
-                yield pa.RecordBatch.from_pydict({"k": pa.array([k[0] for k in keys], pa.string()), "t": pa.array([k[1] for k in keys], pa.string()), "i": pa.array([k[2] for k in keys], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"k": pa.array([k[0] for k in keys], pa.string()), "t": pa.array([k[1] for k in keys], pa.string()), "i": pa.array([max(k[2], NO_ID + 1) for k in keys], pa.int64())})
 
     keys = sorted(tuple(r) for r in runs.mapInArrow(sample, "k string, t string, i long").limit(4 * SAMPLE_KEYS).collect())
     cuts = [keys[len(keys) * j // ranges] for j in range(1, ranges)] if keys else []
@@ -211,6 +215,7 @@ def read_index(spark: SparkSession, path: str, ranges: int | None = None) -> Dat
 
     def captures(rows: list[tuple]) -> pa.RecordBatch:
         no, place, key, at, page, url, size, digest, kind, refers = zip(*rows)
+        page, url = [None if x == NO_ID else x for x in page], [None if x == NO_URL else x for x in url]
         return pa.RecordBatch.from_arrays(
             [pa.array(no, pa.int32()), pa.array(place, pa.int64()), pa.array(page, pa.int64()), pa.array(url, pa.string()), pa.array(key, pa.string()), pa.array(at, pa.string()), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(kind, pa.string()), pa.array(refers, pa.int64())],
             names=["range_no", "place", "page_id", "url", "url_key", "captured_at", "payload_bytes", "payload_digest", "record_type", "refers_to"],

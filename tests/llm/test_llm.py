@@ -182,6 +182,14 @@ def test_pii(spark, docs):
     assert pii.find(empty(docs)).count() == 0
 
 
+def test_suffix_dedup_null_ids(spark):
+    passage, apart = words(90), [words(90) for _ in range(6)]
+    texts = [f"{apart[0]} {passage} {apart[1]}", f"{apart[2]} {passage} {apart[3]}", f"{apart[4]} {passage} {apart[5]}"]
+    run = lambda ids: {r.text: bytes(r.kept) for r in suffix_dedup.dedup(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect()}
+    want = run([1, 2, 3])
+    assert all(len(k) < len(t) - 300 for t, k in want.items()) and run([None, None, None]) == run([None, 2, None]) == want
+
+
 def test_warc(spark, tmp_path):
     html = "<p>" + "x" * 1200 + "\r\n\r\nWARC/1.1\r\n"
     rows = [(1, "http://b.example/2", html), (2, "http://a.example/1", html), (3, None, html), (4, "http://a.example/0", "short"), (5, "http://a.example/0", "short"), (6, "http://a.example/é x", None), (7, "http://a.example/1", "é" * 900)]
@@ -194,6 +202,15 @@ def test_warc(spark, tmp_path):
     assert warc.read_index(spark, warc.write(pages.limit(0), str(tmp_path / "none")), 3).count() == 0
 
 
+def test_warc_null_ids(spark, tmp_path):
+    html = "y" * 1500
+    rows = [(None, "http://a.example/1", html), (None, None, html), (None, "", "short"), (None, None, "short"), (8, "http://a.example/1", html), (9, None, html)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = warc.read_index(spark, warc.write(pages, str(tmp_path / "warc")), 3).collect()
+    want = Counter((i, u, len(h), "revisit" if i == 8 else "response", 9 if i == 8 else None) for i, u, h in rows)
+    assert Counter((r.page_id, r.url, r.payload_bytes, r.record_type, r.refers_to) for r in got) == want
+
+
 def test_html(spark):
     main = "<div class='post-%d'><h2>Head &amp; more</h2><p>First   long paragraph of text here, with words.<p>Second one<br>goes on, and on &lt;x&gt;.</div>"
     page = lambda k: f"<html><head><title>T</title></head><body><header>Top</header><nav><a href=/>home</a></nav><aside>side text that is rather long, really long, so long</aside>{main % k}<div class='comments'><p>{'reader says so ' * 30}</p></div><form>Search</form><script>var p='<p>no</p>'</script><footer>foot</footer></body></html>"
