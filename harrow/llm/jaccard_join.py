@@ -3,20 +3,25 @@
 1. One scan reduces each text to a digest of its shingle set (equal sets are one class from here on) and a count sketch of
    all shingles, of fixed size. The sketch only orders shingles, rare ones first; any order gives the same links.
 2. A set keeps a prefix in that order, long enough that two sets over the threshold share a shingle of their prefixes.
-   Prefix shingles that only one class has are dropped; classes without a shared one have no link and leave here.
-3. The rest is partitioned into groups of similar sets: those with the same least shared shingle meet, and each set is
-   compared with the leaders of its group. Verified links join groups into components.
-4. The matrix holds, for each group of about ``GROUP`` sets or fewer, the union of its prefix shingles. A set is a query against the
-   groups with which it shares enough of them (``reachable``), unless all their sets are connected to it already. In the
-   group's task its overlap with the union of the members' whole sets is the bound; only groups whose bound reaches the
-   required overlap are opened, and each member not yet connected there is compared exactly.
-5. Links of both steps give the components.
-
-Sets travel as deflated texts and are hashed where they are compared. No step lists the pairs of a group: equal texts are one class, near copies meet
-their leader, and a query meets groups of sets, never single sets.
+   Prefix shingles that no other class of a size within reach has are dropped; classes without others have no link and leave here.
+3. Crowds, the sets that hold a shingle shared by ``CROWD`` sets or more, are dealt into groups of like sets ``ROUNDS`` times, by
+   another of their shared shingles each time, and compared with the leaders of their groups. Verified links make components.
+4. The sets are partitioned into cells of about ``GROUP`` or fewer: the members of one component, or sets that are alone so
+   far and have their most shared shingle and nearly their size in common. The matrix holds, for each cell, the union of its
+   prefix shingles. A set meets, once per shingle of the union that it has, the cells of larger components and, if it is
+   alone, those of sets alone; it becomes a query of a cell only if it shares enough of the union (``reachable``). A crowd
+   that is one component thus meets none of its own cells, and strangers meet its cells, not its sets.
+5. In a cell's task the overlap with the union of the members' whole sets is the bound; only cells whose bound reaches the
+   required overlap are opened, and each member not yet connected there is compared exactly. All links give the components.
+
+No text moves before step 3, and then only those of crowds and of cells and queries within reach. Which rows to fetch is told
+by a bitmap of fixed size, made exact by a join. Sets travel as deflated texts and are hashed where they are compared. No step
+lists the pairs of a group: equal texts are one class, near copies meet leaders, and a query meets cells, never single sets.
 
 Cases: null, empty and wordless texts have no shingles and are their own component; a text of fewer than five words has one
-shingle; repeated rows of an id count as one document each with the same component; empty tables give no rows.
+shingle; rows that repeat an id count as one document each with the same component; empty tables give no rows. A null id
+links like any other; the smallest id is taken over the ids that are not null, and is null where there is none.
+Words, shingles and classes are told apart by 64-bit hashes: of N distinct sets about N * N / 2 ** 65 pairs are confused.
 """
 
 from __future__ import annotations
@@ -36,10 +41,15 @@ from ._shared import keep, partitions, table
 WIDTH = 5
 #: Required similarity in percent.
 PERCENT = 80
-#: Counters of the sketch (its size is fixed: 4 MB), blocks it travels in, sets of a group, leaders a set is compared with.
+#: Counters of the sketch (its size is fixed: 4 MB), blocks it travels in, sets of a cell, leaders a set is compared with.
 COUNTERS, BLOCKS, GROUP, LEADERS = 1 << 20, 64, 64, 32
+#: Sets that share a shingle of a crowd, rounds of grouping for crowds, sets of such a group, queries of a cell in one task.
+CROWD, ROUNDS, CROWD_GROUP, QUERIES = 64, 3, 512, 512
+#: Bits of the bitmap of wanted rows (its size is fixed: 8 MB).
+MARKS = 1 << 26
 
 U = np.uint64
+PAIR = "a long, b long"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,23 +93,23 @@ def digests(values: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds from one scan: a document (id, n, s1, s2), and blocks of the task's sketch (block, counts)."""
+    """Rows of two kinds from one scan: a row of the table (id, row_key, n, s1, s2), and blocks of the task's sketch (block, counts)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for a, b, data, off in B.text_chunks(batch, 1):
+            for a, b, data, off in B.text_chunks(batch, 2):
                 values, n = shingle_sets(data, off)
                 sketch += np.bincount((values >> U(44)).astype(np.int64), minlength=COUNTERS)
                 sig = [digests(values, n, k) for k in (10, 11)]
                 empty = pa.nulls(b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(sig[0]), pa.array(sig[1]), empty.cast(pa.int32()), empty.cast(pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in (0, 1)), pa.array(n), pa.array(sig[0]), pa.array(sig[1]), empty.cast(pa.int32()), empty.cast(pa.binary())], names=names)
         blocks = [zlib.compress(x.astype(np.int32).tobytes(), 1) for x in np.split(sketch, BLOCKS)]
         gone = pa.nulls(BLOCKS, pa.int64())
-        yield pa.RecordBatch.from_arrays([gone, gone, gone, gone, pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(blocks, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([gone, gone, gone, gone, gone, pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(blocks, pa.binary())], names=names)
 
-    names = ["id", "n", "s1", "s2", "block", "counts"]
-    return docs.mapInArrow(scan, "id long, n long, s1 long, s2 long, block int, counts binary")
+    names = ["id", "row_key", "n", "s1", "s2", "block", "counts"]
+    return docs.mapInArrow(scan, "id long, row_key long, n long, s1 long, s2 long, block int, counts binary")
 
 
 def summed_sketch(blocks: DataFrame) -> np.ndarray:
@@ -121,72 +131,105 @@ def summed_sketch(blocks: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(token, id): the prefix shingles of each text, rare ones first; the id is that of the text's class."""
+    """(token, id, n): the prefix shingles of each text, rare ones first; the id is that of the text's class. A task gives a class once."""
     rank = np.frombuffer(np.floor(np.log2(np.maximum(sketch, 1)) * 2).astype(np.uint8).tobytes(), np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(rank)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = shared.value
+        rank, given = shared.value, set()
         for batch in batches:
-            for a, b, data, off in B.text_chunks(batch, 1):
+            for a, b, data, off in B.text_chunks(batch, 0):
                 values, n = shingle_sets(data, off)
-                owner = np.repeat(np.arange(b - a), n)
+                ids = digests(values, n, 10)
+                fresh = np.zeros(b - a, bool)
+                for k, i in enumerate(ids.tolist()):
+                    fresh[k] = i not in given
+                    given.add(i)
+                here = np.repeat(fresh, n)
+                values, n, ids = values[here], n[fresh], ids[fresh]
+                owner = np.repeat(np.arange(len(n)), n)
                 # the order: rank, then a hash of the shingle, so that ties are broken alike everywhere
                 order = np.lexsort((B.mixed(values + U(7)), rank[(values >> U(44)).astype(np.int64)], owner))
                 place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
                 front = order[place < np.repeat(n - required(n) + 1, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(values[front].view(np.int64)), pa.array(digests(values, n, 10)[owner[front]])], names=["token", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(values[front].view(np.int64)), pa.array(ids[owner[front]]), pa.array(n[owner[front]].astype(np.int32))], names=["token", "id", "n"])
 
-    return docs.mapInArrow(scan, "token long, id long")
+    return docs.select("text").mapInArrow(scan, "token long, id long, n int")
 
 
 def shared_tokens(rows: DataFrame, n: int) -> DataFrame:
-    """The distinct (token, id) rows whose token has two or more ids: one sorted pass that holds one row back."""
+    """The distinct (token, id, n) rows whose token has another id with a size within reach: one pass sorted by size that holds one row back."""
 
-    def rows_of(t, i) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(i, pa.int64())], names=["token", "id"])
+    def rows_of(t, m, i) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(i, pa.int64()), pa.array(m, pa.int32())], names=["token", "id", "n"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, open_run = None, False
+        held, met = None, False
         for batch in batches:
-            t, i = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(t):
+            cols = [batch.column(k).to_numpy() for k in range(3)]
+            if not len(cols[0]):
                 continue
             if held is not None:
-                t, i = np.concatenate([held[:1], t]), np.concatenate([held[1:], i])
+                cols = [np.concatenate([h, x]) for h, x in zip(held, cols)]
+            t, _, i = cols
             new = np.ones(len(t), bool)
             new[1:] = (t[1:] != t[:-1]) | (i[1:] != i[:-1])
-            t, i = t[new], i[new]
-            same = t[1:] == t[:-1]
+            t, m, i = (x[new] for x in cols)
+            # the nearest sizes of a token stand side by side
+            near = (t[1:] == t[:-1]) & (100 * m[:-1].astype(np.int64) >= PERCENT * m[1:].astype(np.int64))
             take = np.zeros(len(t), bool)
-            take[1:] |= same
-            take[:-1] |= same
-            take[0] |= open_run
-            held, open_run = np.array([t[-1], i[-1]]), bool(take[-1])
-            yield rows_of(t[:-1][take[:-1]], i[:-1][take[:-1]])
-        if open_run:
-            yield rows_of(held[:1], held[1:])
+            take[1:] |= near
+            take[:-1] |= near
+            take[0] |= met
+            held, met = [x[-1:] for x in (t, m, i)], bool(take[-1])
+            yield rows_of(*(x[:-1][take[:-1]] for x in (t, m, i)))
+        if met:
+            yield rows_of(*held)
 
-    return rows.repartition(n, "token").sortWithinPartitions("token", "id").mapInArrow(scan, "token long, id long")
+    return rows.select("token", "n", "id").repartition(n, "token").sortWithinPartitions("token", "n", "id").mapInArrow(scan, "token long, id long, n int")
 
 
-def deflated(docs: DataFrame) -> DataFrame:
-    """(id, n, body): the deflated text, a third of its shingle hashes in size; the id is that of the text's class."""
+def place_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(MARKS)) + 1
+
+
+def bitmap(keys: DataFrame, key: str) -> np.ndarray:
+    """``MARKS`` bits, one of them set for each key."""
+    place = place_of(key)
+    rows = keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros(MARKS // 8, np.uint8)
+    for r in rows:
+        bits = np.frombuffer(r["bits"], np.uint8)
+        out[(r["bucket"] - 1) * len(bits) : r["bucket"] * len(bits)] = bits
+    return out
+
+
+def bodies(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, body): the deflated texts of the wanted classes, given as (id, row_key)."""
+    shared = source.sparkSession.sparkContext.broadcast(bitmap(wanted, "row_key"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, given = shared.value, set()
         for batch in batches:
-            for a, b, data, off in B.text_chunks(batch, 1):
-                values, n = shingle_sets(data, off)
-                bodies = [zlib.compress(data[off[k] : off[k + 1]].tobytes(), 1) for k in range(b - a)]
-                yield pa.RecordBatch.from_arrays([pa.array(digests(values, n, 10)), pa.array(n), pa.array(bodies, pa.binary())], names=["id", "n", "body"])
+            at = batch.column(1).to_numpy() - 1
+            rows = []
+            for k in np.flatnonzero(bits[at >> 3] >> (at & 7) & 1).tolist():
+                key = batch.column(0)[k].as_py()
+                if key not in given:  # a task gives a row's key once
+                    given.add(key)
+                    rows.append((key, zlib.compress(batch.column(2)[k].as_py().encode(), 1)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["row_key", "body"])
 
-    return docs.mapInArrow(scan, "id long, n long, body binary")
+    found = source.where("text IS NOT NULL").select("row_key", place_of("row_key").alias("place"), "text").mapInArrow(scan, "row_key long, body binary")
+    return found.join(wanted, "row_key").dropDuplicates(["row_key"]).select("id", "body")
 
 
-def set_of(body: pa.Scalar) -> np.ndarray:
-    """The sorted shingle hashes of a deflated text."""
-    data = np.frombuffer(zlib.decompress(body.as_py()), np.uint8)
-    return shingle_sets(data, np.array([0, len(data)]))[0]
+def sets_of(column: pa.Array, step: int = 256) -> Iterator[np.ndarray]:
+    """The sorted shingle hashes of each deflated text, hashed many at a time."""
+    for a in range(0, len(column), step):
+        texts = [zlib.decompress(x.as_py()) for x in column.slice(a, step)]
+        values, n = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+        yield from np.split(values, np.cumsum(n)[:-1])
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -219,8 +262,7 @@ def leader_links(sets: DataFrame, n: int) -> DataFrame:
         group, leaders = None, []
         for batch in batches:
             found = []
-            for g, i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                tokens = set_of(x)
+            for g, i, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets_of(batch.column(2))):
                 if g != group:
                     group, leaders = g, []
                 lead = next((j for j, y in leaders if similar(tokens, y)), None)
@@ -230,25 +272,26 @@ def leader_links(sets: DataFrame, n: int) -> DataFrame:
                     found.append((lead, i))
             yield _links(found)
 
-    return sets.select("group", "id", "body").repartition(n, "group").sortWithinPartitions("group", "id").mapInArrow(scan, "a long, b long")
+    return sets.select("group", "id", "body").repartition(n, "group").sortWithinPartitions("group", "id").mapInArrow(scan, PAIR)
 
 
 def reachable(both: Column, n: Column, least_n: Column, most_n: Column) -> Column:
-    """Whether a set of n can reach the threshold with some set of a group, given how many of its prefix shingles the group has.
+    """Whether a set of n can reach the threshold with some set of a cell, given how many of its prefix shingles the cell has.
 
     Of two sets, take the one whose prefix ends first in the order: their common shingles up to there lie in both prefixes, and
     at most required - 1 of its shingles come after. So the overlap is below both + required(n or m), n and m the sizes.
     """
     least = F.greatest(least_n, F.ceil(n * PERCENT / 100))
     most = F.least(most_n, F.floor(n * 100 / PERCENT))
-    after = F.ceil(F.greatest(n, most) * PERCENT / 100) - 1
-    return both + after >= F.ceil((n + least) * PERCENT / (100 + PERCENT))
+    # required overlap less what may come after, in units of 1 / (100 * (100 + PERCENT)): it rises up to m = n and falls from there
+    asked = lambda m: 100 * PERCENT * (n + m) - PERCENT * (100 + PERCENT) * F.greatest(n, m)
+    return (least <= most) & (both * (100 * (100 + PERCENT)) > F.least(asked(least), asked(most)))
 
 
 def opened_links(rows: DataFrame, n: int) -> DataFrame:
-    """(a, b): verified links of queries with members of the groups that they open.
+    """(a, b): verified links of queries with members of the cells that they open.
 
-    Rows are (group, query, id, component, body), a group's members first. Of two sets the one with the larger id is the query.
+    Rows are (group, query, id, component, alone, body), a group's members first. Of two sets alone the one with the larger id is the query.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,63 +304,92 @@ def opened_links(rows: DataFrame, n: int) -> DataFrame:
 
         for batch in batches:
             found = []
-            cols = [batch.column(k).to_pylist() for k in range(4)]
-            for g, query, i, comp, x in zip(*cols, batch.column(4)):
+            cols = [batch.column(k).to_pylist() for k in range(5)]
+            for g, query, i, comp, alone, tokens in zip(*cols, sets_of(batch.column(5))):
                 if g != group:
                     group, members, union, roots = g, [], None, {}
-                tokens = set_of(x)
                 if not query:
-                    members.append((i, comp, tokens))
+                    members.append((i, comp, alone, tokens))
                     continue
                 if union is None:
-                    union = np.unique(np.concatenate([m for _, _, m in members])) if members else np.empty(0, U)
+                    union = np.unique(np.concatenate([m[-1] for m in members])) if members else np.empty(0, U)
                 if common(tokens, union) < required(len(tokens)):
-                    continue  # the bound keeps the group shut
-                for j, other, y in members:
-                    if j < i and root(other) != root(comp) and similar(tokens, y):
+                    continue  # the bound keeps the cell shut
+                for j, other, apart, y in members:
+                    if (j < i or not apart) and root(other) != root(comp) and similar(tokens, y):
                         found.append((j, i))
                         roots[root(other)] = root(comp)
             yield _links(found)
 
-    return rows.select("group", "query", "id", "component", "body").repartition(n, "group").sortWithinPartitions("group", "query", "id").mapInArrow(scan, "a long, b long")
+    return rows.select("group", "query", "id", "component", "alone", "body").repartition(n, "group").sortWithinPartitions("group", "query", "id").mapInArrow(scan, PAIR)
+
+
+def crowd_groups(counted: DataFrame) -> DataFrame:
+    """(group, id): the groups of the sets that hold a crowd's shingle, one group for each round."""
+    tries = F.array(*(F.min(F.xxhash64("token", F.lit(k))) for k in range(ROUNDS)))
+    rows = counted.where(F.col("c") >= CROWD).groupBy("id").agg(tries.alias("tries")).select("id", F.posexplode("tries").alias("round", "token"))
+    sizes = rows.groupBy("token").agg(F.count("*").alias("size"))
+    return rows.join(sizes, "token").select(F.xxhash64("token", F.pmod(F.hash("id", "round"), F.ceil(F.col("size") / CROWD_GROUP).cast("int"))).alias("group"), "id")
+
+
+def cells(counted: DataFrame, comps: DataFrame) -> DataFrame:
+    """(id, component, size, cell): where each set stands in the matrix; size is that of its component."""
+    sizes = comps.groupBy("component").agg(F.count("*").alias("size"))
+    hottest = counted.groupBy("id", "n").agg(F.max(F.struct("c", F.hash("token").alias("h"), "token")).alias("top"))
+    rows = hottest.join(comps.join(sizes, "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"), "n", F.col("top.token").alias("token"))
+    near = F.floor(F.log(F.col("n")) / F.log(F.lit(1.1)))  # sizes within ten percent
+    rows = rows.select("id", "component", "size", F.when(F.col("size") > 1, F.xxhash64("component")).otherwise(F.xxhash64("token", near)).alias("base"))
+    crowd = rows.groupBy("base").agg(F.count("*").alias("sets"))
+    return rows.join(crowd, "base").select("id", "component", "size", F.xxhash64("base", F.pmod(F.hash("id"), F.ceil(F.col("sets") / GROUP).cast("int"))).alias("cell"))
+
+
+def within_reach(tokens: DataFrame, placed: DataFrame) -> DataFrame:
+    """(q, cell): the queries of each cell, told from prefix shingles."""
+    rows = keep(tokens.join(placed, "id"), "matrix")
+    of = F.struct("size", "component")
+    ends = rows.groupBy("token").agg(F.min(of).alias("t0"), F.max(of).alias("t1")).where("t0 < t1")
+    held = rows.groupBy("token", "cell").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min("id").alias("first"), F.min(of).alias("of"))
+    # the largest component of a token asks nothing there, unless it is a set alone
+    asks = rows.join(ends, "token").where((F.col("size") == 1) | (of < F.col("t1"))).select("token", F.col("id").alias("q"), F.col("n").alias("qn"), of.alias("q_of"))
+    met = asks.join(held.join(ends.select("token"), "token", "left_semi"), "token").where(
+        f"((of.size > 1 AND q_of < of) OR (of.size = 1 AND q_of.size = 1 AND first < q)) AND {PERCENT} * least_n <= 100 * qn AND {PERCENT} * qn <= 100 * most_n"
+    )
+    met = met.groupBy("q", "qn", "cell").agg(F.count("*").alias("both"), F.min("least_n").alias("least_n"), F.max("most_n").alias("most_n"))
+    return met.where(reachable(F.col("both"), F.col("qn"), F.col("least_n"), F.col("most_n"))).select("q", "cell")
+
+
+def asked_cells(pairs: DataFrame, placed: DataFrame) -> DataFrame:
+    """(group, query, id, component, alone): queries and members of each cell. A cell with more than ``QUERIES`` queries is opened in several tasks."""
+    parts = pairs.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+    whose = placed.select("id", "component", (F.col("size") == 1).alias("alone"))
+    queries = pairs.join(parts, "cell").select(F.xxhash64("cell", F.pmod(F.hash("q"), "parts")).alias("group"), F.lit(1).alias("query"), F.col("q").alias("id")).join(whose, "id")
+    members = placed.join(parts, "cell").select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cell", "id", "component", (F.col("size") == 1).alias("alone"))
+    return queries.unionByName(members.select(F.xxhash64("cell", "part").alias("group"), F.lit(0).alias("query"), "id", "component", "alone"))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) for every document. The key is an integer."""
     spark = docs.sparkSession
     n = partitions(spark)
-    source = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    k, t = F.col(f"`{key}`").cast("long"), F.col(f"`{text}`")
+    source = docs.select(k.alias("id"), F.xxhash64(k, t).alias("row_key"), t.alias("text"))
     scanned = keep(signatures(source), "signatures")
     sketch = summed_sketch(scanned.where("block IS NOT NULL").select("block", "counts"))
-    own = scanned.where("block IS NULL").select("id", "n", "s1", "s2")
-    # a class is named by the first digest; its document is the one with the smallest id
-    classes = keep(own.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
+    own = scanned.where("block IS NULL").select("id", "row_key", "n", "s1", "s2")
+    # a class is named by the first digest
+    classes = keep(own.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.min("row_key").alias("row_key")), "classes")
+    keyed = classes.select(F.col("s1").alias("id"), "row_key")
 
     tokens = keep(shared_tokens(prefixes(source, sketch), n), "tokens")
-    asked = tokens.groupBy("id").agg(F.min(F.struct(F.hash("token").alias("h"), "token")).alias("least"))
-    # a group of more than a few thousand sets is dealt into parts; the exact step links across them
-    dealt = lambda most: F.xxhash64("token", F.pmod(F.hash("id"), F.ceil(F.col("count") / most).cast("int")))
-    crowd = asked.groupBy("least.token").count()
-    grouped = asked.select("id", F.col("least.token").alias("token")).join(crowd, "token").select("id", dealt(4096).alias("group"), dealt(GROUP).alias("cell"))
-    grouped = keep(grouped, "grouped")
-    needed = classes.join(grouped, classes["s1"] == grouped["id"], "left_semi").select(F.col("rep").alias("id"))
-    sets = keep(deflated(source.join(needed, "id", "left_semi")).dropDuplicates(["id"]).join(grouped, "id"), "sets")
-    first = keep(leader_links(sets, n), "links")
-    comps = components(first)
-
-    matrix_of = keep(sets.select("id", "n", F.col("cell").alias("group")).join(comps, "id", "left").select("id", "n", "group", F.coalesce("component", "id").alias("component")), "groups")
-    with_group = keep(tokens.join(matrix_of, "id"), "matrix")
-    cell = with_group.groupBy("token", "group").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("id").alias("first"))
-    shared = with_group.groupBy("token").agg(F.min("component").alias("t0"), F.max("component").alias("t1")).where("t0 < t1").select("token")
-    cell = cell.join(shared, "token", "left_semi")
-    query = with_group.join(shared, "token", "left_semi").select("token", F.col("id").alias("q"), F.col("n").alias("qn"), F.col("component").alias("qc"))
-    # a query needs a group that holds a smaller id of another component and sizes within reach
-    met = query.join(cell, "token").where(f"first < q AND NOT (c0 = qc AND c1 = qc) AND {PERCENT} * least_n <= 100 * qn AND {PERCENT} * qn <= 100 * most_n")
-    met = met.groupBy("q", "qc", "qn", "group").agg(F.count("*").alias("both"), F.min("least_n").alias("least_n"), F.max("most_n").alias("most_n"))
-    pairs = keep(met.where(reachable(F.col("both"), F.col("qn"), F.col("least_n"), F.col("most_n"))).select("q", "qc", "group"), "pairs")
-    queries = pairs.join(sets.select(F.col("id").alias("q"), "body"), "q").select("group", F.lit(1).alias("query"), F.col("q").alias("id"), F.col("qc").alias("component"), "body")
-    members = matrix_of.join(pairs.select("group").distinct(), "group", "left_semi").join(sets.select("id", "body"), "id").select("group", F.lit(0).alias("query"), "id", "component", "body")
-    second = keep(opened_links(queries.unionByName(members), n), "links")
+    counted = keep(tokens.join(tokens.groupBy("token").agg(F.count("*").alias("c")), "token"), "counted")
+    crowds = keep(crowd_groups(counted), "crowds")
+    texts = bodies(source, keyed.join(crowds.select("id").distinct(), "id"))
+    first = keep(leader_links(crowds.join(texts, "id"), n), "links")
+
+    placed = keep(cells(counted, components(first)), "cells")
+    asked = keep(asked_cells(keep(within_reach(tokens, placed), "pairs"), placed), "asked")
+    texts = bodies(source, keyed.join(asked.select("id").distinct(), "id"))
+    second = keep(opened_links(asked.join(texts, "id"), n), "links")
 
     final = components(first.unionAll(second))
     by_class = classes.join(final, classes["s1"] == final["id"], "left").select("n", "s1", "s2", "rep", F.coalesce("component", "s1").alias("component"))
