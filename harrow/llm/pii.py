@@ -1,15 +1,21 @@
 """Personal data: candidate spans scored by boosted trees, in DataFrame operations only.
 
 Base spans are the exact formats (e-mail address, IPv4 address, payment card, international phone number). Generators with a
-higher recall propose further, overlapping spans of each kind. A candidate is described by yes/no features of its format and
-its context; Spark counts candidates per (kind, features, held-out half, valid), so every candidate of the table is learnt
-from, and the driver sees one row per distinct feature set (at most ``2 ** len(FEATURES)`` per kind), never text. Gradient
-boosting fits small regression trees to those counts; for each kind the threshold is the least score at which candidates of
-the held-out half are valid with the wanted precision. Trees and thresholds become one Column, which selects spans to add.
-What counts as valid in training is the format check that the features don't show: the candidate is a base span.
+higher recall propose further, overlapping spans of each kind, written in ways that the base formats don't know, and long
+unbroken runs that may be secrets such as access tokens. A candidate is described by yes/no features of its format and its
+context; Spark counts candidates per (kind, features, held-out half, label), so every candidate within no base span is learnt from,
+and the driver sees one row per distinct feature set (at most ``2 ** len(FEATURES)`` per kind), never text. Gradient boosting
+fits small regression trees to those counts. The held-out half calibrates them: scores become probabilities by isotonic
+regression, and a kind's threshold is the least score with a probability of ``PRECISION`` or more. Trees and thresholds become
+one Column, which selects the spans to add: those within no base span.
+
+The labels are weak ones that need no person and no base span (``plausible``): the candidate's normal form is a well-formed
+address, its octets, checksum or area code hold, its characters are as mixed as those of a random key. Of these checks the
+features show the checksum alone.
 
 Positions are code points, end exclusive. Cases: null or empty text has no spans; repeated rows get equal spans; an empty
-table trains no trees and adds nothing; a row's matches are numbered within the row, nothing is gathered across rows.
+table trains no trees and adds nothing; a kind whose candidates all fall into one half is calibrated on the half it learnt
+from; a row's matches are numbered within the row, nothing is gathered across rows.
 """
 
 from __future__ import annotations
@@ -22,7 +28,9 @@ from pyspark.sql import functions as F
 
 from ._shared import let, table
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")  # the last has no base format
+#: Least calibrated probability of a span that is added.
+PRECISION = 0.75
 
 #: Stands for a separator between two digits; a private-use code point, replaced in the text beforehand where it occurs.
 JOINT = "\ue000"
@@ -41,6 +49,7 @@ LOOSE = {
     "ip": r"(?<![0-9.])[0-9]{1,3}+(?:[.,][0-9]{1,3}+){3}(?![0-9.])",
     "card": r"(?<![0-9])[0-9]{4}[ .-]?[0-9]{4,6}[ .-]?[0-9]{4,5}(?:[ .-]?[0-9]{1,7})?(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+|00)?[0-9]{0,3}[ .-]?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}+={0,2}+(?![A-Za-z0-9_+/=-])",
 }
 
 #: Code points of context on either side, and the words in it that hint at each kind (fixed values).
@@ -60,13 +69,37 @@ def features(kind: Column, c: Column, left: Column, right: Column) -> dict[str,
         "digits_9_15": digits.between(9, 15),
         "digits_16": digits == 16,
         "first_card_digit": F.substring(c, 1, 1).isin("3", "4", "5", "6"),
-        "octets": c.rlike(r"^(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"),
+        "checksum": (kind == KINDS.index("card")) & luhn(digits_of(c)),
+        "comma": c.contains(","),
+        "hex": c.rlike("^[0-9a-f]+$"),
+        "word": c.rlike("^[A-Za-z]+$"),
+        "long": F.length(c) >= 32,
+        "assigned": left.rlike(r"(?i)(?:token|secret|key|passw|pwd|auth|bearer)[a-z]{0,8}[\"']?\s{0,3}[=:]\s{0,3}[\"']?$"),
+        "quoted": left.rlike("[\"'`]$") & right.rlike("^[\"'`]"),
         "glued": left.rlike(r"[\p{L}\p{N}_/=-]$") | right.rlike(r"^[\p{L}\p{N}_@/=-]"),
         "hint": left.rlike(HINTS),
     }
 
 
-FEATURES = ("plus", "space", "hyphen", "dot", "bracket", "at", "digits_9_15", "digits_16", "first_card_digit", "octets", "glued", "hint")
+FEATURES = ("plus", "space", "hyphen", "dot", "bracket", "at", "digits_9_15", "digits_16", "first_card_digit", "checksum", "comma", "hex", "word", "long", "assigned", "quoted", "glued", "hint")
+
+
+def plausible(kind: Column, c: Column, left: Column) -> Column:
+    """The weak label of a candidate: whether its normal form passes the check of its kind."""
+    address = F.regexp_replace(F.regexp_replace(F.lower(c), r" ?(?:@|\[at\]|\(at\)) ?", "@"), r" ?(?:\[dot\]|\(dot\)) ?", ".")
+    octets = F.forall(F.split(c, "[.,]"), lambda p: p.rlike("^(?:0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
+    digits = digits_of(c)
+    checks = (
+        address.rlike(r"^[a-z0-9][a-z0-9._%+-]*@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,}$"),
+        octets & (~c.contains(",") | left.rlike(HINTS)),
+        F.length(digits).between(13, 19) & digits.rlike("^[3-6]") & luhn(digits),
+        F.length(digits).between(9, 15) & F.substring(digits, -10, 10).rlike("^[2-9][0-9]{2}[2-9]"),
+        c.rlike("[0-9]") & c.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(c, ""))) >= 10),
+    )
+    out = F.lit(False)
+    for k, check in enumerate(checks):
+        out = F.when(kind == k, check).otherwise(out)
+    return out
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -119,7 +152,7 @@ def candidates(text: Column) -> Column:
     number, none = text.rlike("[0-9]{3}"), _none()
 
     def proposed(kind: str, pattern: str) -> Column:
-        asked = text.rlike(r"@|\[at\]|\(at\)") if kind == "email" else number
+        asked = {"email": text.rlike(r"@|\[at\]|\(at\)"), "secret": text.rlike("[A-Za-z0-9_+/-]{16}")}.get(kind, number)
         return F.transform(
             F.when(asked, located(text, pattern)).otherwise(none),
             lambda x: F.struct(
@@ -141,17 +174,21 @@ def with_spans(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("*", F.explode(F.array(F.struct(base_spans(whole).alias("base"), candidates(whole).alias("proposed")))).alias("__pii"))
 
 
+def inside(p: Column, base: Column) -> Column:
+    """Whether a candidate lies within a base span."""
+    return F.exists(base, lambda b: (b["start"] <= p["start"]) & (p["end"] <= b["end"]))
+
+
 # --- boosted trees over counted feature sets ---
 
 
 def cells(docs: DataFrame, text: str) -> list:
-    """Counts of candidates per kind, features, half and validity."""
-    found = with_spans(docs.select(F.col(f"`{text}`").alias("text")), "text").where(F.size("__pii.proposed") > 0).select(F.col("__pii.base").alias("base"), F.explode("__pii.proposed").alias("p"))
+    """Counts of the candidates that no base span contains, per kind, features, half and label."""
     p = F.col("p")
-    valid = F.exists("base", lambda b: (b["kind"] == p["kind"]) & (b["start"] == p["start"]) & (b["end"] == p["end"]))
+    found = with_spans(docs.select(F.col(f"`{text}`").alias("text")), "text").where(F.size("__pii.proposed") > 0).select(F.col("__pii.base").alias("base"), F.explode("__pii.proposed").alias("p")).where(~inside(p, F.col("base")))
     described = features(p["kind"], p["c"], p["left"], p["right"])
     held = F.pmod(F.crc32(F.encode(p["c"], "UTF-8")), F.lit(2)) == 1
-    rows = found.select(p["kind"].alias("kind"), held.alias("held"), valid.alias("valid"), *[described[f].alias(f) for f in FEATURES])
+    rows = found.select(p["kind"].alias("kind"), held.alias("held"), F.coalesce(plausible(p["kind"], p["c"], p["left"]), F.lit(False)).alias("valid"), *[described[f].alias(f) for f in FEATURES])
     return rows.groupBy(*rows.columns).count().collect()
 
 
@@ -203,36 +240,45 @@ class Trees:
         return score
 
 
-def train(docs: DataFrame, text: str = "text", precision: float = 0.9) -> dict[int, tuple[Trees, float]]:
-    """Per kind: the trees, and the least score at which the held-out half has the wanted precision; kinds without such a score are left out."""
+def calibrated(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct scores in order and the probability of each: isotonic regression by pooling neighbours, smoothed by one hit and one miss."""
+    at, which = np.unique(score, return_inverse=True)
+    pools: list[list[float]] = []  # hits, rows, scores
+    for hits, rows in zip(np.bincount(which, weights=w * y), np.bincount(which, weights=w)):
+        pools.append([hits, rows, 1])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+    return at, np.repeat([(hits + 1) / (rows + 2) for hits, rows, _ in pools], [int(n) for _, _, n in pools])
+
+
+def train(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> dict[int, tuple[Trees, float]]:
+    """Per kind: the trees, and the least score whose calibrated probability is the wanted precision; kinds without such a score are left out."""
     rows, models = cells(docs, text), {}
     for kind in range(len(KINDS)):
-        own = [r for r in rows if r["kind"] == kind]
+        own = sorted((r for r in rows if r["kind"] == kind), key=tuple)
         fit, held = [r for r in own if not r["held"]], [r for r in own if r["held"]]
-        if not fit or not held:
+        if not own:
             continue
         as_arrays = lambda rs: (np.array([[r[f] for f in FEATURES] for r in rs], bool), np.array([r["valid"] for r in rs], float), np.array([r["count"] for r in rs], float))
-        model = Trees().fit(*as_arrays(fit))
-        x, y, w = as_arrays(held)
-        score = model.predict(x)
-        order = np.argsort(-score, kind="stable")
-        hit, seen = np.cumsum((w * y)[order]), np.cumsum(w[order])
-        last = np.append(score[order][1:] != score[order][:-1], True)  # only where a score's ties are complete
-        good = np.flatnonzero(last & (hit >= precision * seen))
+        model = Trees().fit(*as_arrays(fit or held))
+        x, y, w = as_arrays(held or fit)
+        score, probability = calibrated(np.round(model.predict(x), 9), y, w)
+        good = np.flatnonzero(probability >= precision)
         if len(good):
-            models[kind] = (model, float(score[order][good[-1]]) - 1e-9)
+            models[kind] = (model, float(score[good[0]]) - 1e-6)
     return models
 
 
 def selected(proposed: Column, base: Column, models) -> Column:
-    """Proposed spans that score at their kind's threshold and overlap no base span."""
+    """Proposed spans that score at their kind's threshold and lie within no base span."""
 
     def chosen(p: Column) -> Column:
         described = features(p["kind"], p["c"], p["left"], p["right"])
         takes = F.lit(False)
         for kind, (model, least) in models.items():
             takes = F.when(p["kind"] == kind, model.column(described, FEATURES) >= least).otherwise(takes)
-        return takes & ~F.exists(base, lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"]))
+        return takes & ~inside(p, base)
 
     kept = F.filter(proposed, chosen) if models else F.filter(proposed, lambda p: F.lit(False))
     return F.transform(kept, lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
@@ -278,4 +324,4 @@ def written(spans: Column) -> Column:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = lambda kind: F.size(F.filter("base", lambda b: b["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(n, KINDS), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(n, KINDS[:4]), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
