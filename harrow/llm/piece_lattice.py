@@ -1,12 +1,13 @@
 """Sampled SentencePiece encoding by forward filtering and backward sampling, and lossless decoding.
 
-A text is cut into units (a space with the run that follows it, or a line end); no piece of the vocabulary crosses a unit.
+A text is cut into units (a run of spaces with what follows it, or a line end); no piece of the vocabulary crosses a unit.
 The lattice of a unit has an edge for each piece that fits, and a byte edge for a character without a piece. Forward
 filtering sums the weights of all paths into each position; backward sampling walks from the end, taking each edge with its
 share of that sum, so segmentations come with their exact probability. Pieces weigh by rank, ``(rank + shift) ** -theta``
 (the vocabulary's scores are merge ranks, not log-probabilities); a larger ``theta`` sharpens towards frequent pieces.
 
-Draws are a hash of (row key, unit number, step): a row gets the same segmentation wherever and however often it is read.
+Draws are a hash of (row key, unit number, step), and shares are summed within a position and kept as whole numbers of
+2 ** -31, so that a row gets the same segmentation wherever, in whatever company and however often it is read.
 A task filters each distinct unit once and keeps at most ``STATES`` lattice positions; then all units of a batch walk
 together in numpy. Rows are never shuffled.
 
@@ -34,7 +35,9 @@ from ._shared import table
 STATES, CHUNK = 1_000_000, 500_000
 #: Units of up to MEDIUM characters are filtered together; multiplier of code point hashes; lift of weights per character.
 MEDIUM, STEP, MASK, LIFT = 48, 0x9E3779B97F4A7C15, (1 << 64) - 1, 2000.0
-UNITS = re.compile(r"\n| ?[^ \n]+| ")
+UNITS = re.compile(r"\n| *[^ \n]+| +")
+#: Bits of a stored share.
+SHARE_BITS = 31
 SPACE = "\u2581"
 
 
@@ -93,8 +96,8 @@ class Lattice:
 
     def clear(self) -> None:
         self.ends: dict[str, int] = {}  # unit -> number of its last position
-        # for each position where its edges begin; for each edge its cumulative share, the position it comes from, its piece
-        self.positions, self.edges = Grown(np.int64), [Grown(np.float64), Grown(np.int32), Grown(np.int32)]
+        # for each position where its edges begin; for each edge the position it leads to with its cumulative share below, the position it comes from, its piece
+        self.positions, self.edges = Grown(np.int64), [Grown(np.int64), Grown(np.int32), Grown(np.int32)]
         self.positions.extend([0])
         self.n_positions, self.n_edges = 0, 0
         self.new_positions, self.new_edges = [], ([], [], [])
@@ -133,7 +136,7 @@ class Lattice:
             run = 0.0
             for share, i, emit in into:
                 run += share / sum_
-                cdf.append(base + j + min(run, 1.0))
+                cdf.append((base + j << SHARE_BITS) + int(min(run, 1.0) * (1 << SHARE_BITS)))
                 back.append(base + i)
                 emits.append(emit)
             self.n_edges += len(into)
@@ -187,12 +190,15 @@ class Lattice:
             np.add.at(total, target[e], share[e])
         share /= total[target]
         order = np.lexsort((source, target))
-        run = np.cumsum(share[order])
         count = np.bincount(target, minlength=len(total))
-        before = np.concatenate([[0.0], run])[np.cumsum(count) - count]
         base = self.n_positions
         ends_of = target[order]
-        self.edges[0].extend(base + ends_of + np.clip(run - before[ends_of], 0.0, 1.0))
+        # running sums within each position, one edge of every position at a time: no sum depends on other units
+        run, place = share[order], np.arange(len(order)) - (np.cumsum(count) - count)[ends_of]
+        for k in range(1, int(count.max())):
+            e = np.flatnonzero(place == k)
+            run[e] += run[e - 1]
+        self.edges[0].extend((base + ends_of << SHARE_BITS) + (np.minimum(run, 1.0) * (1 << SHARE_BITS)).astype(np.int64))
         self.edges[1].extend(base + source[order])
         self.edges[2].extend(emit[order])
         self.positions.extend(self.n_edges + np.cumsum(count))
@@ -239,9 +245,9 @@ class Lattice:
         live = np.arange(len(at))
         owners, pieces, steps, step = [], [], [], 0
         while len(live):
-            draw = (mixed(seed[live] + np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)) * 2.0**-53
+            draw = (mixed(seed[live] + np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - SHARE_BITS)).astype(np.int64)
             state = at[live]
-            edge = np.minimum(np.searchsorted(cdf, state + draw, side="right"), first[state + 1] - 1)
+            edge = np.minimum(np.searchsorted(cdf, (state << SHARE_BITS) + draw, side="right"), first[state + 1] - 1)
             owners.append(live)
             pieces.append(emits[edge])
             steps.append(np.full(len(live), step, np.int64))
