@@ -1,12 +1,16 @@
 """Main text of web pages by consensus host paths.
 
 1. Each page's containers are scored by the text of their own blocks, links counting against it; the best one gives the
-   page's vote: its path of generalised tag-class steps (digits in classes become ``#``).
-2. Spark counts the votes per (host, path), partly before the shuffle, and keeps one path per host.
+   page's vote: a digest of its path of generalised tag-class steps (digits in classes become ``#``).
+2. Spark counts the votes per (host, path), partly before the shuffle, and keeps one path per host. The pages don't move for
+   it: the winners are broadcast if their measured size is at most ``BROADCAST_BYTES``; more hosts than that are joined with
+   pages dealt by host and salt, so that a large host is no hot key.
 3. Each page is read again with its host's path; a page without such a container uses its own best one. Either is widened to
    the articles and mains around it, and to other containers around it while what they add is text rather than links.
 
-A page is parsed in its own row: nothing gathers pages. The votes are one row per (host, path).
+A page is parsed in its own row, in time and memory in proportion to its length: containers hold ranges of blocks, paths are
+digests, and open elements are found by tag. Nothing gathers pages. The votes are one row per (host, path); ties go to the
+higher summed score, then to the larger digest. A header within an article belongs to it; other headers are left out.
 
 Cases: null or empty html gives an empty text; a page without text blocks gives an empty text; a null url belongs to the
 host ``''``; repeated rows each give a row; broken markup is read as browsers do in the common cases (unclosed p, b, li).
@@ -15,16 +19,18 @@ Other columns are kept by ``extract`` unless they are called ``text`` or ``n_cha
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import keep, table
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))", re.S
@@ -50,24 +56,40 @@ SKIP_WORDS = re.compile(
 )
 
 
+#: Bytes of host paths that are broadcast; parts of each host beyond that.
+BROADCAST_BYTES, SALTS = 32 << 20, 16
+
+
 @dataclass
 class Node:
     tag: str
     step: str
     skipped: bool
-    path: str = ""
-    link: bool = False
+    holder: int = -1  # the container it opened
 
 
 @dataclass
 class Container:
     path: str
-    parent: int = -1
+    parent: int
+    article: bool
+    first: int  # its blocks are a stretch of the page's blocks
+    end: int = -1
     score: float = 0.0
-    blocks: list[str] = field(default_factory=list)
-    size: int = 0  # characters of the blocks, and those within links
-    linked: int = 0
-    article: bool = False
+
+
+@dataclass
+class Page:
+    """Containers and text blocks in page order; characters of the first k blocks, and those of them within links."""
+
+    containers: list[Container]
+    blocks: list[str]
+    sizes: list[int]
+    linked: list[int]
+
+    def size(self, k: int) -> tuple[int, int]:
+        c = self.containers[k]
+        return self.sizes[c.end] - self.sizes[c.first], self.linked[c.end] - self.linked[c.first]
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -81,11 +103,11 @@ def generalised(tag: str, cls: str) -> str:
     return tag + "".join("." + re.sub(r"\d+", "#", c.lower()) for c in sorted(set(cls.split())))
 
 
-def node(tag: str, rest: str) -> Node:
+def node(tag: str, rest: str, in_article: bool) -> Node:
     found = attributes(rest) if rest.strip(" />") else {}
     cls, name = found.get("class", ""), found.get("id", "")
     skipped = (
-        tag in SKIP
+        (tag in SKIP and not (tag == "header" and in_article))
         or found.get("role", "").lower() in SKIP_ROLES
         or "hidden" in found
         or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")))
@@ -94,40 +116,72 @@ def node(tag: str, rest: str) -> Node:
     return Node(tag, generalised(tag, cls), skipped)
 
 
-def containers(page: str) -> dict[int, Container]:
-    """The page's containers in page order, each with its path, its score and the text blocks beneath it."""
-    stack: list[tuple[Node, int]] = []  # an open element, and the container it opened or -1
-    found: dict[int, Container] = {}
+def longer(path: str, step: str) -> str:
+    """The digest of a path with one step more."""
+    return hashlib.blake2b(f"{path}>{step}".encode(), digest_size=12).hexdigest()
+
+
+class Open:
+    """The open elements, and where those of each tag stand."""
+
+    def __init__(self):
+        self.stack: list[Node] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.holders: list[int] = []  # open containers
+        self.skipped = 0
+
+    def last(self, *tags: str) -> int:
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=-1)
+
+    def push(self, new: Node) -> None:
+        self.places[new.tag].append(len(self.stack))
+        if new.tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        if new.holder >= 0:
+            self.holders.append(new.holder)
+        self.stack.append(new)
+        self.skipped += new.skipped
+
+    def pop(self) -> Node:
+        top = self.stack.pop()
+        self.places[top.tag].pop()
+        if top.tag in BLOCKS:
+            self.blocks.pop()
+        if top.holder >= 0:
+            self.holders.pop()
+        self.skipped -= top.skipped
+        return top
+
+
+def parsed(page: str) -> Page:
+    """The page's containers, each with its path and score, and its text blocks."""
+    out, now = Page([], [], [0], [0]), Open()
     parts: list[str] = []
-    linked = skip = 0
-    at = 0
+    linked = at = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
-        if text and not skip:
-            holders = [k for _, k in stack if k >= 0]
-            weight = max(0.0, len(text) - 3.0 * linked)
-            for depth, k in enumerate(reversed(holders)):
-                found[k].blocks.append(text)
-                found[k].size += len(text)
-                found[k].linked += min(linked, len(text))
-                if depth < 3:  # blocks count for their own container, and less for those around it
-                    found[k].score += weight / (1, 3, 9)[depth]
+        if text and not now.skipped and now.holders:
+            out.blocks.append(text)
+            out.sizes.append(out.sizes[-1] + len(text))
+            out.linked.append(out.linked[-1] + min(linked, len(text)))
+            for share, k in zip((1, 3, 9), reversed(now.holders)):  # a block counts for its own container, and less for those around it
+                out.containers[k].score += max(0.0, len(text) - 3.0 * linked) / share
         linked = 0
 
     def close(k: int) -> None:
-        nonlocal skip
-        while len(stack) > k:
-            top, _ = stack.pop()
-            skip -= top.skipped
+        while len(now.stack) > k:
+            if (holder := now.pop().holder) >= 0:
+                out.containers[holder].end = len(out.blocks)
 
     def text(piece: str) -> None:
         nonlocal linked
-        if piece and not skip:
+        if piece and not now.skipped:
             parts.append(piece)
-            if any(x.tag == "a" for x, _ in stack[-4:]):
+            if any(x.tag == "a" for x in now.stack[-4:]):
                 linked += len(piece)
 
     page_end = len(page)
@@ -142,13 +196,12 @@ def containers(page: str) -> dict[int, Container]:
             continue
         tag = m[2].lower()
         if m[1]:
-            opened = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0].tag == tag), -1)
+            opened = now.last(tag)
             if tag in BLOCKS:
                 flush()
-            if opened >= 0:
-                # an inline end does not close blocks around it
-                if tag in BLOCKS or not any(x.tag in BLOCKS for x, _ in stack[opened + 1 :]):
-                    close(opened)
+            # an inline end does not close blocks around it
+            if opened >= 0 and (tag in BLOCKS or not now.blocks or now.blocks[-1] <= opened):
+                close(opened)
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*+(?:>|\Z)", re.I).search(page, at)
@@ -162,50 +215,45 @@ def containers(page: str) -> dict[int, Container]:
             continue
         if tag in BLOCKS:
             flush()
-            if tag in CLOSES_P:
-                p = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0].tag == "p" or stack[k][0].tag in CONTAINERS), -1)
-                if p >= 0 and stack[p][0].tag == "p":
-                    close(p)
-            if tag == "li":
-                p = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0].tag in ("li", "ul", "ol")), -1)
-                if p >= 0 and stack[p][0].tag == "li":
-                    close(p)
-        new = node(tag, m[3][:-1] if m[3].endswith(">") else m[3])
-        new.path = (stack[-1][0].path + ">" if stack else "") + new.step if tag in CONTAINERS else (stack[-1][0].path if stack else "")
-        k = -1
-        if tag in CONTAINERS and not skip and not new.skipped:
-            k = len(found)
-            found[k] = Container(new.path, next((j for _, j in reversed(stack) if j >= 0), -1), article=tag in ("article", "main"))
-        stack.append((new, k))
-        skip += new.skipped
+            p = now.last("p")
+            if tag in CLOSES_P and p >= 0 and p > now.last(*CONTAINERS):
+                close(p)
+            if tag == "li" and (p := now.last("li")) >= 0 and p > now.last("ul", "ol"):
+                close(p)
+        new = node(tag, m[3][:-1] if m[3].endswith(">") else m[3], bool(now.places["article"]))
+        if tag in CONTAINERS and not now.skipped and not new.skipped:
+            parent = now.holders[-1] if now.holders else -1
+            new.holder = len(out.containers)
+            out.containers.append(Container(longer(out.containers[parent].path if parent >= 0 else "", new.step), parent, tag in ("article", "main"), len(out.blocks)))
+        now.push(new)
         if m[3].endswith("/>") and tag not in BLOCKS:
-            close(len(stack) - 1)
+            close(len(now.stack) - 1)
     flush()
-    return found
+    close(0)
+    return out
 
 
-def vote(page: str) -> tuple[str, float]:
-    """The path and score of the best container; ('', 0) for a page without text."""
-    best = max(containers(page).items(), key=lambda x: (x[1].score, -x[0]), default=None)
-    return (best[1].path, best[1].score) if best and best[1].score > 0 else ("", 0.0)
+def best_of(page: Page) -> int:
+    """The container of the highest score, the first of equals; -1 for a page without."""
+    return max(range(len(page.containers)), key=lambda k: (page.containers[k].score, -k), default=-1)
 
 
-def around(found: dict[int, Container], k: int) -> list[int]:
-    """A container and those around it, from the inside out."""
-    out = []
-    while k >= 0:
-        out.append(k)
-        k = found[k].parent
-    return out
+def vote(page: str) -> tuple[str, float]:
+    """The path and score of the best container; ('', 0) for a page without text."""
+    found = parsed(page)
+    k = best_of(found)
+    return (found.containers[k].path, found.containers[k].score) if k >= 0 and found.containers[k].score > 0 else ("", 0.0)
 
 
-def widened(found: dict[int, Container], k: int) -> int:
+def widened(page: Page, k: int) -> int:
     """The widest article or main around a container; beyond it, further containers while what each adds is text rather than links."""
-    holders = around(found, k)
-    start = max((i for i, j in enumerate(holders) if found[j].article), default=0)
+    holders = [k]
+    while (up := page.containers[holders[-1]].parent) >= 0:
+        holders.append(up)
+    start = max((i for i, j in enumerate(holders) if page.containers[j].article), default=0)
     k = holders[start]
     for j in holders[start + 1 :]:
-        size, linked = found[j].size - found[k].size, found[j].linked - found[k].linked
+        size, linked = (a - b for a, b in zip(page.size(j), page.size(k)))
         if size and size <= 2 * linked:
             break
         k = j
@@ -213,14 +261,18 @@ def widened(found: dict[int, Container], k: int) -> int:
 
 
 def main_text(page: str, path: str | None) -> str:
-    """The blocks of the outermost containers at ``path``, or of the page's own best container where there is none, widened."""
-    found = containers(page)
-    chosen = [k for k, c in found.items() if path and c.path == path and c.blocks]
-    if not chosen:
-        best = max(found.items(), key=lambda x: (x[1].score, len(x[1].blocks), -x[0]), default=None)
-        chosen = [best[0]] if best else []
-    wide = {widened(found, k) for k in chosen}
-    return "\n".join(b for k in sorted(wide) if not wide & set(around(found, k)[1:]) for b in found[k].blocks)
+    """The blocks of the containers at ``path``, or of the page's own best container where there is none, widened."""
+    found = parsed(page)
+    chosen = [k for k, c in enumerate(found.containers) if path and c.path == path and c.end > c.first]
+    if not chosen and (k := best_of(found)) >= 0:
+        chosen = [k]
+    out, end = [], 0
+    wides = {widened(found, k) for k in chosen}
+    for k in sorted(wides):
+        c = found.containers[k]
+        out += found.blocks[max(c.first, end) : c.end]
+        end = max(end, c.end)
+    return "\n".join(out)
 
 
 def host_of(url: Column) -> Column:
@@ -228,7 +280,7 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame, url: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per host: its winning path. Ties go to the higher summed score, then to the first path in order."""
+    """One row per host: its winning path."""
 
     @F.pandas_udf("struct<path:string,score:double>")
     def ballots(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -237,21 +289,29 @@ def host_paths(pages: DataFrame, url: str = "url", html_col: str = "html") -> Da
 
     votes = pages.select(host_of(F.col(f"`{url}`")).alias("host"), ballots(F.coalesce(F.col(f"`{html_col}`"), F.lit(""))).alias("v"))
     tally = votes.where("v.path != ''").groupBy("host", F.col("v.path").alias("path")).agg(F.count("*").alias("n"), F.round(F.sum("v.score")).alias("score"))
-    return tally.groupBy("host").agg(F.max_by("path", F.struct("n", "score", F.hash("path"), "path")).alias("path"))
+    return tally.groupBy("host").agg(F.max_by("path", F.struct("n", "score", "path")).alias("path"))
 
 
-def extract(pages: DataFrame, url: str = "url", html_col: str = "html") -> DataFrame:
-    """Add ``text`` and ``n_chars``. The join takes whichever form fits the measured size of the host table."""
+def extract(pages: DataFrame, url: str = "url", html_col: str = "html", broadcast: bool | None = None) -> DataFrame:
+    """Add ``text`` and ``n_chars``. Whether the winners are broadcast follows from their measured size unless told."""
 
     @F.pandas_udf("string")
     def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, paths in batches:
             yield pd.Series([main_text(p, path) for p, path in zip(x, paths)], dtype=object)
 
-    winners = host_paths(pages, url, html_col).select(F.col("host").alias("__host"), F.col("path").alias("__path"))
+    winners = keep(host_paths(pages, url, html_col).select(F.col("host").alias("__host"), F.col("path").alias("__path")), "hosts")
+    if broadcast is None:
+        broadcast = (winners.agg(F.sum(F.length("__host") + F.length("__path") + 16)).first()[0] or 0) <= BROADCAST_BYTES
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
-    both = pages.join(winners, host_of(pages[f"`{url}`"]) == winners["__host"], "left")
-    return both.select(*[pages[f"`{c}`"] for c in kept], read(F.coalesce(pages[f"`{html_col}`"], F.lit("")), winners["__path"]).alias("text")).withColumn(
+    host = host_of(pages[f"`{url}`"])
+    if broadcast:
+        both = pages.join(F.broadcast(winners), host == winners["__host"], "left")
+    else:
+        salted = winners.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64(pages[f"`{html_col}`"]), F.lit(SALTS)).cast("int")
+        both = pages.join(salted, (host == salted["__host"]) & (salt == salted["__salt"]), "left")
+    return both.select(*[pages[f"`{c}`"] for c in kept], read(F.coalesce(pages[f"`{html_col}`"], F.lit("")), F.col("__path")).alias("text")).withColumn(
         "n_chars", F.length("text").cast("long")
     )
 
