@@ -3,8 +3,9 @@
 Learning. One scan counts, over every training text, words, subwords and adjacent subword pairs; task-level sums combine
 before and in the shuffle. The ``TOP`` most frequent subwords are set into classes of ``CLASS`` by halving along principal
 directions of their pair statistics; a factorization of those statistics gives the first embeddings and output weights.
-Attention, feed-forward and all weights are then trained by gradient steps over every training text: a task carries weights
-and moments through all its batches, and weights are averaged block by block in Spark after each of ``ROUNDS`` rounds.
+Attention, feed-forward and all weights are then trained by gradient steps over every training text, once: the texts are dealt
+to ``ROUNDS`` rounds by a hash of id and text; in a round a task carries weights and moments through all its batches, and after it
+weights are averaged block by block in Spark, first within groups of tasks. Steps grow with the corpus.
 
 Scoring. A text is the sequence of its words' subwords and one end. Windows of ``WINDOW`` ids overlap by ``WINDOW - STRIDE``; each
 id is scored once, in the window that gives it the longest context: at least ``WINDOW - STRIDE`` ids, or all that precede it.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +39,13 @@ from ._shared import keep, table
 TOP, CLASS, DIM, HIDDEN, WINDOW, STRIDE = 1024, 32, 24, 48, 64, 32
 CLASSES = TOP // CLASS
 TAIL = TOP  # stands for all rarer subwords
-#: Rounds of averaging, each over all training texts; windows of a step; rate. A task of few texts goes through them again until
+#: Rounds of averaging, which share out all training texts; windows of a step; rate. A task of few texts goes through them again until
 #: it has made LEAST_STEPS, at most MOST_PASSES times.
 ROUNDS, STEP_WINDOWS, RATE, LEAST_STEPS, MOST_PASSES = 3, 96, 0.02, 300, 8
 #: Words above 1 / HOT of all tokens are broadcast.
 HOT = 500_000
-#: Rows of the weights' exchange.
-WEIGHT_BLOCKS = 16
+#: Rows of the weights' exchange; groups of tasks whose weights are summed apart first.
+WEIGHT_BLOCKS, TASK_GROUPS = 16, 64
 U = np.uint64
 END_WORD = np.array([0x5EEDE0D], U)  # stands for the end among word hashes
 F32 = np.float32
@@ -67,9 +69,14 @@ def vocabulary(path: str) -> int:
     return encoder(path).n_vocab
 
 
+#: Bytes that may belong to a space within a word: all beyond ASCII, and the separators among the control characters.
+ODD = re.compile(rb"[\x1c-\x1f\x80-\xff]")
+
+
 class Subwords:
-    """Ids of the words of a chunk. Each distinct word is encoded once, all of them as one text: a word's first id is the one
-    that begins with a space, and no other does."""
+    """Ids of the words of a chunk, each word with a space in front. Each distinct word is encoded once. Words without a space
+    character of any kind are encoded as one text, for no piece reaches across a word's end: a word's first id is the one that
+    begins with a space, and no other does. The rest, such as words of no-break spaces, are encoded one by one."""
 
     def __init__(self, path: str):
         own = encoder(path)
@@ -83,11 +90,16 @@ class Subwords:
         _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         raw = data.tobytes()
         words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        flat = np.array(self.encode((b" " + b" ".join(words)).decode()), np.int32)
-        begin = np.flatnonzero(self.begins[flat])
-        if len(begin) != len(words):
-            raise ValueError("a word's ids can't be told apart")
-        sizes = np.diff(np.append(begin, len(flat)))
+        odd = np.array([bool(ODD.search(w)) and re.search(r"\s", w.decode()) is not None for w in words])
+        plain = [w for w, x in zip(words, odd.tolist()) if not x]
+        flat = np.array(self.encode((b" " + b" ".join(plain)).decode()) if plain else [], np.int32)
+        begin, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        begin[~odd] = np.flatnonzero(self.begins[flat])
+        sizes[~odd] = np.diff(np.append(begin[~odd], len(flat)))
+        for k in np.flatnonzero(odd).tolist():
+            ids = np.array(self.encode(" " + words[k].decode()), np.int32)
+            begin[k], sizes[k] = len(flat), len(ids)
+            flat = np.concatenate([flat, ids])
         count = sizes[which]
         at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[which], count)
         return flat[at], count
@@ -227,24 +239,27 @@ def gradients(w: dict, x: np.ndarray, y: np.ndarray, live: np.ndarray) -> dict:
     g["wq"], g["wk"], g["wv"] = e.T @ flat(dq), e.T @ flat(dk), e.T @ flat(dv)
     de = dh1 + flat(dq) @ w["wq"].T + flat(dk) @ w["wk"].T + flat(dv) @ w["wv"].T
     g["pos"][:n] = de.reshape(b, n, DIM).sum(axis=0)
-    np.add.at(g["emb"], x.ravel(), de)
+    order = np.argsort(x, axis=None, kind="stable")
+    ids = x.ravel()[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    g["emb"][ids[first]] = np.add.reduceat(de[order], first)
     return g
 
 
-def windows(ids: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(ids: np.ndarray, total: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Windows over the sequences of texts: inputs, targets, which places score, and each place's text.
 
-    A text of n + 1 ids has n targets. Window j covers targets from j * STRIDE on; all but a text's first window score only
-    their last STRIDE places, so every target is scored once.
+    A text of n + 1 ids has n targets. Window j covers targets from j * stride on; all but a text's first window score only
+    their last ``stride`` places, so every target is scored once.
     """
     n = total - 1
-    overlap = WINDOW - STRIDE
-    per = np.maximum(1, -(-(n - overlap) // STRIDE))
+    overlap = WINDOW - stride
+    per = np.maximum(1, -(-(n - overlap) // stride))
     text = np.repeat(np.arange(len(n)), per)
     j = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-    start = np.repeat(np.cumsum(total) - total, per) + j * STRIDE
+    start = np.repeat(np.cumsum(total) - total, per) + j * stride
     place = np.arange(WINDOW)
-    inside = j[:, None] * STRIDE + place < n[text][:, None]
+    inside = j[:, None] * stride + place < n[text][:, None]
     at = np.where(inside, start[:, None] + place, 0)
     return ids[at], ids[np.where(inside, at + 1, 0)], inside & ((place >= overlap) | (j[:, None] == 0)), text
 
@@ -274,7 +289,7 @@ class Learner:
         return self.w
 
     def learn(self, ids: np.ndarray, total: np.ndarray) -> None:
-        x, y, live, _ = windows(ids, total)
+        x, y, live, _ = windows(ids, total, WINDOW)  # side by side: every id is learnt once in a pass, most with a long context
         order = self.rng.permutation(len(x))
         for s in range(0, len(order), STEP_WINDOWS):
             own = order[s : s + STEP_WINDOWS]
@@ -409,7 +424,8 @@ def averaged(texts: DataFrame, path: str, compact, start: np.ndarray, round_no:
                 learner.add(of[ids].astype(np.int64), total)
         if learner.seen:
             parts = np.array_split(packed(learner.finish()), WEIGHT_BLOCKS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(WEIGHT_BLOCKS), pa.int32()), pa.array([float(learner.seen)] * WEIGHT_BLOCKS), pa.array([x.tobytes() for x in parts], pa.binary())], names=["block", "seen", "weights"])
+            group = np.full(WEIGHT_BLOCKS, learner.seen % TASK_GROUPS, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(range(WEIGHT_BLOCKS), pa.int32()), pa.array(group), pa.array([float(learner.seen)] * WEIGHT_BLOCKS), pa.array([x.tobytes() for x in parts], pa.binary())], names=names)
 
     def mean(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = 0.0, 0.0
@@ -417,10 +433,12 @@ def averaged(texts: DataFrame, path: str, compact, start: np.ndarray, round_no:
             for n, x in zip(batch.column("seen").to_pylist(), batch.column("weights")):
                 total = total + n * np.frombuffer(x.as_py(), F32).astype(np.float64)
                 seen += n
-        yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "seen": pa.array([seen]), "weights": pa.array([(total / seen).astype(F32).tobytes()], pa.binary())})
+        keys = [pa.array([k.as_py()], pa.int32()) for k in key]
+        yield pa.RecordBatch.from_arrays([keys[0], keys[-1], pa.array([seen]), pa.array([(total / seen).astype(F32).tobytes()], pa.binary())], names=names)
 
-    rows = texts.where(~F.col("held_out")).select("text").mapInArrow(scan, "block int, seen double, weights binary")
-    got = {r["block"]: np.frombuffer(r["weights"], F32) for r in rows.groupBy("block").applyInArrow(mean, "block int, seen double, weights binary").collect()}
+    names, schema = ["block", "part", "seen", "weights"], "block int, part int, seen double, weights binary"
+    rows = texts.where(~F.col("held_out")).select("text").mapInArrow(scan, schema).groupBy("block", "part").applyInArrow(mean, schema)
+    got = {r["block"]: np.frombuffer(r["weights"], F32) for r in rows.groupBy("block").applyInArrow(mean, schema).collect()}
     return np.concatenate([got[k] for k in range(WEIGHT_BLOCKS)]) if got else start
 
 
@@ -469,7 +487,8 @@ def fit(texts: DataFrame, counts: DataFrame, path: str) -> Model:
     weights = packed(initial(totals[whole], pairs[np.ix_(whole, whole)]))
     shared = spark.sparkContext.broadcast(compact)
     for k in range(ROUNDS):
-        weights = averaged(texts, path, shared, weights, k)
+        part = texts.where(F.pmod(F.xxhash64("row_key"), F.lit(ROUNDS)) == k)
+        weights = averaged(part, path, shared, weights, k)
     return Model(weights, compact, tail)
 
 
