@@ -40,12 +40,12 @@ RULES = (
     Threshold("mean_word_length", 20.0),
     Threshold("symbol_ratio", 0.3),
     Threshold("stop_word_ratio", 0.02, least=True),
-    Threshold("dup_line_ratio", 0.5),
+    Threshold("dup_line_ratio", 0.45),
 )
 
 
 def measures(text: Column) -> Column:
-    """A struct of counts over one text: words, their code points, symbols, repeated lines, words in repeated windows, stop words."""
+    """A struct of counts over one text: words, their code points, symbols, lines with a word, repeated ones, words in repeated windows, stop words."""
     whole = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(WORD))
     stop = [F.lit(w) for w in STOP_WORDS]
@@ -55,6 +55,7 @@ def measures(text: Column) -> Column:
             F.size(words).cast("long").alias("n_words"),
             F.length(F.regexp_replace(whole, SPACES, "")).cast("long").alias("word_chars"),
             F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            F.size(lines).cast("long").alias("n_lines"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeated_words(words).alias("n_repeat_words"),
             F.size(F.filter(words, lambda w: F.lower(w).isin(*stop))).cast("long").alias("n_stop_words"),
@@ -105,7 +106,7 @@ def ratios(m: Column) -> dict[str, Column]:
         "mean_word_length": m["word_chars"] / words,
         "symbol_ratio": m["n_symbols"] / words,
         "stop_word_ratio": (m["n_stop_words"] + 1) / words,
-        "dup_line_ratio": m["n_dup_lines"] / words,
+        "dup_line_ratio": m["n_dup_lines"] / F.greatest(m["n_lines"], F.lit(1)),
     }
 
 
@@ -143,8 +144,8 @@ n AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words,
     length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
     len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-    (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
-      - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+    len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))::BIGINT AS n_lines,
+    (n_lines - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
     len(list_filter(ws, lambda x: lower(x) IN ({_STOP})))::BIGINT AS n_stop_words
   FROM w),
 g AS (SELECT doc_id, i, ws[i:i+4] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
@@ -154,7 +155,7 @@ m AS (SELECT n.*, coalesce(r.n_repeat_words, 0)::BIGINT AS n_repeat_words FROM n
 v AS (
   SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
     (word_chars / greatest(n_words, 1) >= 2.0 AND word_chars / greatest(n_words, 1) <= 20.0 AND n_symbols / greatest(n_words, 1) <= 0.3
-      AND (n_stop_words + 1) / greatest(n_words, 1) >= 0.02 AND n_dup_lines / greatest(n_words, 1) <= 0.5) AS good
+      AND (n_stop_words + 1) / greatest(n_words, 1) >= 0.02 AND n_dup_lines / greatest(n_lines, 1) <= 0.45) AS good
   FROM m)
 """
 
