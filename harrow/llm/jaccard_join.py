@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import _bytes as B
 from ._links import components
-from ._shared import keep, partitions, table
+from ._shared import WORD, keep, partitions, table
 
 WIDTH = 5
 #: Required similarity in percent.
@@ -367,12 +367,15 @@ def asked_cells(pairs: DataFrame, placed: DataFrame) -> DataFrame:
     return queries.unionByName(members.select(F.xxhash64("cell", "part").alias("group"), F.lit(0).alias("query"), "id", "component", "alone"))
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) for every document. The key is an integer."""
+def row_key(key: str, text: str) -> Column:
+    return F.xxhash64(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`"))
+
+
+def labelled(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, row_key, n, component, component_id) for every row; the component's name is null for a text without shingles."""
     spark = docs.sparkSession
     n = partitions(spark)
-    k, t = F.col(f"`{key}`").cast("long"), F.col(f"`{text}`")
-    source = docs.select(k.alias("id"), F.xxhash64(k, t).alias("row_key"), t.alias("text"))
+    source = docs.select(F.col(f"`{key}`").cast("long").alias("id"), row_key(key, text).alias("row_key"), F.col(f"`{text}`").alias("text"))
     scanned = keep(signatures(source), "signatures")
     sketch = summed_sketch(scanned.where("block IS NOT NULL").select("block", "counts"))
     own = scanned.where("block IS NULL").select("id", "row_key", "n", "s1", "s2")
@@ -394,8 +397,22 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     final = components(first.unionAll(second))
     by_class = classes.join(final, classes["s1"] == final["id"], "left").select("n", "s1", "s2", "rep", F.coalesce("component", "s1").alias("component"))
     named = by_class.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = by_class.join(named, "component").select("n", "s1", "s2", "component_id")
-    return own.join(labels, ["n", "s1", "s2"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    labels = by_class.join(named, "component").select("n", "s1", "s2", "component", "component_id")
+    return own.join(labels, ["n", "s1", "s2"], "left").select("id", "row_key", "n", "component", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id) for every document. The key is an integer."""
+    return labelled(docs, key, text).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of the rows of each component one: that with the smallest id, nulls last. Texts without shingles are linked with nothing and all stay."""
+    best = labelled(docs, key, text).where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_key")).alias("b")).select(F.col("b.row_key").alias("__row_key"))
+    keyed = docs.withColumn("__row_key", row_key(key, text))
+    bare = ~F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(WORD)
+    kept = keyed.where(~bare).join(best, "__row_key", "left_semi").dropDuplicates(["__row_key"])
+    return kept.unionByName(keyed.where(bare)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
