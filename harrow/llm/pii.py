@@ -152,7 +152,7 @@ def candidates(text: Column) -> Column:
     number, none = text.rlike("[0-9]{3}"), _none()
 
     def proposed(kind: str, pattern: str) -> Column:
-        asked = {"email": text.rlike(r"@|\[at\]|\(at\)"), "secret": text.rlike("[A-Za-z0-9_+/-]{16}")}.get(kind, number)
+        asked = {"email": text.rlike(r"@|\[at\]|\(at\)"), "ip": text.rlike(r"[0-9][.,][0-9]{1,3}[.,][0-9]"), "secret": text.rlike("[A-Za-z0-9_+/-]{16}")}.get(kind, number)
         return F.transform(
             F.when(asked, located(text, pattern)).otherwise(none),
             lambda x: F.struct(
@@ -187,7 +187,7 @@ def cells(docs: DataFrame, text: str) -> list:
     p = F.col("p")
     found = with_spans(docs.select(F.col(f"`{text}`").alias("text")), "text").where(F.size("__pii.proposed") > 0).select(F.col("__pii.base").alias("base"), F.explode("__pii.proposed").alias("p")).where(~inside(p, F.col("base")))
     described = features(p["kind"], p["c"], p["left"], p["right"])
-    held = F.pmod(F.crc32(F.encode(p["c"], "UTF-8")), F.lit(2)) == 1
+    held = F.pmod(F.crc32(F.encode(F.concat(p["left"], p["c"], p["right"]), "UTF-8")), F.lit(2)) == 1
     rows = found.select(p["kind"].alias("kind"), held.alias("held"), F.coalesce(plausible(p["kind"], p["c"], p["left"]), F.lit(False)).alias("valid"), *[described[f].alias(f) for f in FEATURES])
     return rows.groupBy(*rows.columns).count().collect()
 
@@ -272,16 +272,20 @@ def train(docs: DataFrame, text: str = "text", precision: float = PRECISION) ->
 
 def selected(proposed: Column, base: Column, models) -> Column:
     """Proposed spans that score at their kind's threshold and lie within no base span."""
+    if not models:
+        return F.filter(base, lambda b: F.lit(False))
+
+    def scored(p: Column) -> Column:  # features once per candidate, then trees over plain booleans
+        found = features(p["kind"], p["c"], p["left"], p["right"])
+        return F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end"), F.struct(*(found[f].alias(f) for f in FEATURES)).alias("f"))
 
     def chosen(p: Column) -> Column:
-        described = features(p["kind"], p["c"], p["left"], p["right"])
         takes = F.lit(False)
         for kind, (model, least) in models.items():
-            takes = F.when(p["kind"] == kind, model.column(described, FEATURES) >= least).otherwise(takes)
+            takes = F.when(p["kind"] == kind, model.column({f: p["f"][f] for f in FEATURES}, FEATURES) >= least).otherwise(takes)
         return takes & ~inside(p, base)
 
-    kept = F.filter(proposed, chosen) if models else F.filter(proposed, lambda p: F.lit(False))
-    return F.transform(kept, lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
+    return F.transform(F.filter(F.transform(proposed, scored), chosen), lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
 
 
 def find(docs: DataFrame, text: str = "text", models=None) -> DataFrame:
