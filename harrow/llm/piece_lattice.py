@@ -4,7 +4,7 @@ A text is cut into units (a run of spaces with what follows it, or a line end);
 The lattice of a unit has an edge for each piece that fits, and a byte edge for a character without a piece. Forward
 filtering sums the weights of all paths into each position; backward sampling walks from the end, taking each edge with its
 share of that sum, so segmentations come with their exact probability. Pieces weigh by rank, ``(rank + shift) ** -theta``
-(the vocabulary's scores are merge ranks, not log-probabilities); a larger ``theta`` sharpens towards frequent pieces.
+(the vocabulary's scores are merge ranks, not log-probabilities; a piece that no merge makes, such as a run of spaces, has its place in the vocabulary for a rank); a larger ``theta`` sharpens towards frequent pieces.
 
 Draws are a hash of (row key, unit number, step), and shares are summed within a position and kept as whole numbers of
 2 ** -31, so that a row gets the same segmentation wherever, in whatever company and however often it is read.
@@ -69,6 +69,7 @@ class Lattice:
         self.weights: dict[str, tuple[int, float]] = {}
         self.bytes: list[bytes] = []
         self.of_byte = [0] * 256
+        first = next(i for i in range(self.size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)))
         for i in range(self.size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -76,8 +77,9 @@ class Lattice:
                 self.bytes.append(bytes([int(piece[3:5], 16)]))
                 continue
             self.bytes.append(b"" if model.is_control(i) or model.is_unknown(i) else piece.replace(SPACE, " ").encode())
-            if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and model.get_score(i) > -1e8:
-                self.weights[piece] = (i, (shift - model.get_score(i)) ** -theta)
+            if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+                merged = model.get_score(i) > -1e8
+                self.weights[piece] = (i, (shift - model.get_score(i) if merged else shift + i - first) ** -theta)
         #: Every end of a piece: a match is followed backwards only while some piece ends like it.
         self.endings = {p[k:] for p in self.weights for k in range(len(p))}
         # the same pieces by a hash of their code points, and a bit table that turns most strangers away
