@@ -510,6 +510,7 @@ def scored(texts: DataFrame, path: str, model: Model, hot: dict[str, np.ndarray]
                 part = np.bincount(owner[hit], weights=logs[at[hit]], minlength=b - a)
                 known = np.bincount(owner[hit], minlength=b - a)
                 head = [batch.column(k).slice(a, b - a) for k in range(3)]
+                part = part.astype(np.float64)  # whole numbers where there is no word
                 yield pa.RecordBatch.from_arrays([*head, pa.array(counts + 1), pa.array(known), pa.array(part), pa.array(score)], names=names)
 
     names = ["id", "row_key", "held_out", "n_tokens", "hot_known", "hot_sum", "score"]
