@@ -1,0 +1,262 @@
+"""Whole results of text operators and of the pipeline against brute force, with planted truth."""
+
+import itertools
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from harrow.llm import decontaminate, html_text, jaccard_join, lm_score, pii, piece_lattice
+
+from . import brute
+
+rng = random.Random(8)
+PLAIN = "the of and to in a is that it for was on be with as by are this from or house river stone light water green small early wind north".split()
+
+
+def prose(n, vocabulary=None):
+    return " ".join(rng.choice(vocabulary or PLAIN) + str(rng.randrange(40)) * (rng.random() < 0.5) for _ in range(n))
+
+
+def hexes(n):
+    return "".join(rng.choice("0123456789abcdef") for _ in range(n))
+
+
+def card():
+    d = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+    return next(d + c for c in "0123456789" if brute.luhn(d + c))
+
+
+@pytest.fixture(scope="module")
+def planted():
+    """Texts with personal data in forms that the base doesn't know, decoys, and the spans that are true."""
+    texts, truth = [], []
+    for k in range(160):
+        made = [
+            ("email", f"anna{k} [at] post{k % 7} [dot] example [dot] org"), ("email", f"b{k}(at)mail.example.com"), ("ip", f"{rng.randrange(1, 250)},{rng.randrange(250)},0,{rng.randrange(250)}"), ("card", ".".join(re.findall("....", card()))),
+            ("phone", f"020 {rng.randrange(200, 999)} 555 {rng.randrange(1000, 9999)}"), ("secret", hexes(40)), ("secret", "Zx9" + hexes(30).upper() + "q"),
+        ]
+        kind, value = made[k % len(made)]
+        before = {"ip": "server address ", "secret": 'token = "', "phone": "call ", "card": "card "}.get(kind, "")
+        head = prose(12) + " " + before
+        texts.append(head + value + ('"' if kind == "secret" else "") + " " + prose(10))
+        truth.append({(pii.KINDS.index(kind), len(head), len(head) + len(value))})
+    for decoy in ("internationalisierungen", "a-very-well-known-and-long-word", "totals 1,234,567,890 now", "version 900.901.902.903", "----------------------------"):
+        for _ in range(6):
+            texts.append(prose(9) + " " + decoy + " " + prose(8))
+            truth.append(set())
+    texts += [None, "", "mail a.b@c.example.org and 10.0.0.1 ok", "x" * 200_000, texts[0], "é🎉 " + texts[5]]
+    truth += [set(), set(), {(0, 5, 22), (1, 27, 35)}, set(), truth[0], {(k, a + 3, b + 3) for k, a, b in truth[5]}]
+    return texts, truth
+
+
+def test_pii_adds_planted_spans(spark, planted):
+    texts, truth = planted
+    docs = spark.createDataFrame([(i, t, "b", "s") for i, t in enumerate(texts)], "doc_id long, text string, base string, spans string").repartition(3)
+    models = pii.train(docs)
+    got = {r.doc_id: sorted(map(tuple, r.spans)) for r in pii.find(docs, models=models).collect()}
+    assert [got[i] for i in range(len(texts))] == brute.all_spans(texts, models)
+    added = [(i, x) for i, t in enumerate(texts) for x in got[i] if x not in brute.base_spans(t or "")]
+    right = sum(x in truth[i] for i, x in added)
+    wanted = sum(x not in brute.base_spans(t or "") for t, s in zip(texts, truth) for x in s)
+    assert len(added) > 100 and right >= 0.9 * len(added) and right >= 0.9 * wanted
+
+
+def test_pii_counts_and_labels(spark, planted):
+    texts, _ = planted
+    rows = pii.cells(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
+    want = {}
+    for t in texts:
+        base = brute.base_spans(t or "")
+        for kind, a, b, c, left, right in brute.candidates(t or ""):
+            if not any(x <= a and b <= y for _, x, y in base):
+                f = brute.described(kind, c, left, right)
+                key = (kind, brute.label(kind, c, left), *(f[k] for k in pii.FEATURES))
+                want[key] = want.get(key, 0) + 1
+    got = {}
+    for r in rows:
+        key = (r["kind"], r["valid"], *(r[k] for k in pii.FEATURES))
+        got[key] = got.get(key, 0) + r["count"]
+    assert got == want
+
+
+def test_pii_calibration():
+    r = np.random.default_rng(4)
+    score, w = r.integers(0, 12, 300) / 3.0, r.integers(1, 5, 300).astype(float)
+    y = (r.random(300) < score / 4).astype(float)
+    at, p = pii.calibrated(score, y, w)
+    assert (np.diff(p) >= -0.05).all() and p[0] < 0.3 < 0.7 < p[-1] and len(at) == len(p) == 12
+
+
+def test_masks_miss_no_stretch():
+    for n in range(decontaminate.SPAN, decontaminate.STRETCH + 1):
+        for k in range(n - int(np.ceil(decontaminate.SHARE * n)) + 1):
+            for gone in itertools.combinations(range(n), k):
+                left = set(range(n)) - set(gone)
+                assert any(all(a + m in left for m in mask) for mask in decontaminate.MASKS for a in range(n - mask[-1]))
+
+
+def test_decontamination_by_definition(spark):
+    items = [prose(n) for n in (5, 6, 9, 16, 17, 40)] + ["alpha beta gamma delta epsilon", "quasar", "quark gluon", "one two three four", None, "", "quasar"]
+    texts = ["so alpha ZZ gamma delta epsilon it is", "alpha beta gamma zz zz", "a Quasar here", "quark then gluon", "quark, gluon", "one two three five", "ONE TWO three four!", None, "", "quasar"]
+    for item in items[:6]:
+        for share in (0.1, 0.2, 0.3):
+            w = item.split()
+            for k in rng.sample(range(len(w)), int(len(w) * share)):
+                w[k] = "zzz"
+            texts.append(prose(rng.randrange(30)) + " " + " ".join(w) + " " + prose(rng.randrange(30)))
+        texts.append(item[: len(item) // 2])
+    texts.append(" ".join([items[5]] * 40 + [prose(4000)]))  # a long text with many hits
+    docs = spark.createDataFrame([(None if i == 4 else i, t, 1, "k") for i, t in enumerate(texts)], "doc_id long, text string, seed int, item string")
+    bench = spark.createDataFrame([(None if i == 9 else 3 if i == 4 else i, t, 2, "n") for i, t in enumerate(items)], "item_id long, text string, place int, h string")
+    key = lambda i, n: None if i == n else i
+    want = {(key(i, 4), 3 if j == 4 else key(j, 9)) for i, t in enumerate(texts) for j, b in enumerate(items) if brute.leaks(t, b)}
+    assert (0, 6) in want and (None, 8) in want and (3, 8) not in want
+    for broadcast in (True, False):
+        got = [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, broadcast=broadcast).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_jaccard_of_a_crowd(spark):
+    """Near copies by the hundred, strangers that share a passage, a chain of links, exact copies, null ids and rows that repeat."""
+    base, passage, texts = prose(60), prose(46), []
+    for k in range(420):
+        w = base.split()
+        for j in rng.sample(range(len(w)), rng.randrange(4)):
+            w[j] = f"q{k}{j}"
+        texts.append(" ".join(w))
+    for k in range(150):
+        texts.append(f"{prose(rng.randrange(5, 30))} {passage} {prose(rng.randrange(5, 30))}")
+    chain = prose(200).split()
+    for k in range(30):
+        texts.append(" ".join(chain))
+        at = (k * 6) % 190
+        chain = chain[:at] + [f"c{k}", f"d{k}", f"e{k}"] + chain[at + 3 :]
+    texts += [base] * 30 + [None, "", "one two"] + ["one TWO"]
+    pair = prose(60).split()
+    texts += [" ".join(pair), " ".join([*pair[:30], "other", *pair[31:]])]
+    ids = [*range(len(texts) - 2), None, None]
+    want = brute.groups(texts)
+    rows = [(i, t, 1, 2) for i, t in zip(ids, texts)] + [(5, texts[5], 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long, cell long").repartition(5)
+    got = jaccard_join.join(docs).collect()
+    named = [ids[g] for g in want] + [ids[want[5]]]
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == sorted((i, len(brute.shingles(t)), c) for (i, t, *_), c in zip(rows, named) if i is not None)
+    assert [(r.n_shingles, r.component_id) for r in got if r.doc_id is None] == [(len(brute.shingles(t)), None) for t in texts[-2:]]
+    kept = jaccard_join.one_of_each(docs).collect()
+    bare = [i for i, t in zip(ids, texts) if not brute.shingles(t)]
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept) == sorted((i is None, i) for i in {ids[g] for g, t in zip(want, texts) if brute.shingles(t)} | set(bare)) and kept[0].__fields__ == docs.columns
+
+
+def test_jaccard_bitmap(spark):
+    rows = spark.range(3000).select(F.xxhash64("id").alias("row_key"))
+    bits = jaccard_join.bitmap(rows, "row_key")
+    at = np.array([r[0] for r in rows.select(jaccard_join.place_of("row_key")).collect()]) - 1
+    want = np.zeros(jaccard_join.MARKS, bool)
+    want[at] = True
+    assert (np.unpackbits(bits, bitorder="little").astype(bool) == want).all()
+
+
+def test_lattice_of_spaces():
+    path, text, n = piece_lattice.default_model(), "a    b", 20_000
+    own, key, want = piece_lattice.lattice(path), "▁a▁▁▁▁b", {}
+    for m in range(1 << len(key) - 1):
+        cuts = [0, *[i + 1 for i in range(len(key) - 1) if m >> i & 1], len(key)]
+        parts = [key[a:b] for a, b in zip(cuts, cuts[1:])]
+        if all(p in own.weights for p in parts):
+            want[tuple(own.weights[p][0] for p in parts)] = float(np.prod([own.weights[p][1] for p in parts]))
+    got, total = {}, sum(want.values())
+    for x in piece_lattice.encode_texts([text] * n, np.arange(n), path):
+        got[tuple(x.tolist())] = got.get(tuple(x.tolist()), 0) + 1 / n
+    assert set(got) <= set(want) and any("▁▁" in own_piece for own_piece in own.weights) and max(abs(got.get(k, 0) - v / total) for k, v in want.items()) < 0.02
+    assert any(own.weights["▁▁"][0] in k for k in got)
+
+
+def test_lattice_does_not_depend_on_company(spark):
+    path = piece_lattice.default_model()
+    texts = [prose(rng.randrange(1, 60)) + " " * rng.randrange(20) + "\n  x" for _ in range(300)] + ["z" * 5000, "é🎉▁ \t" * 50]
+    keys = np.arange(len(texts))
+    piece_lattice.lattice.cache_clear()
+    whole = piece_lattice.encode_texts(texts, keys, path)
+    piece_lattice.lattice.cache_clear()
+    for k in reversed(range(len(texts))):
+        assert np.array_equal(piece_lattice.encode_texts([texts[k]], keys[k : k + 1], path)[0], whole[k])
+
+
+def test_words_are_encoded_apart():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    subwords, encode, alphabet = lm_score.Subwords(path), lm_score.encoder(path).encode_ordinary, "ab1.é\xa0\x85 　\x1c\x1f日🎉'-#﻿​\x00  \n"
+    for _ in range(60):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(20)] + ["\xa0\xa0\x85 \xa0"]
+        for _, _, data, starts, ends, _, h in lm_score.chunks(pa.RecordBatch.from_pydict({"t": texts}), 0):
+            ids, per_word = subwords(data, starts, ends, h)
+            raw = data.tobytes()
+            assert ids.tolist() == [i for a, b in zip(starts, ends) for i in encode(" " + raw[a:b].decode())] and per_word.sum() == len(ids)
+
+
+def test_lm_of_odd_spaces(spark):
+    rows = [(i, t) for i, t in enumerate(["\xa0\xa0\x85 \xa0", "\xa0", None, "a  b\xa0", "word " * 30_000])]
+    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {0: 3, 1: 2, 2: 1, 3: 3, 4: 30_001} and all(r.score < 0 for r in got)
+
+
+def test_html_hosts_by_salt(spark):
+    page = lambda k: f"<header><h1>Site</h1></header><nav>menu</nav><article><header><h1>Title {k}</h1></header><div class=b{k}><p>{'words of the text ' * 9}</p></div></article><footer>end</footer>"
+    rows = [(k, f"http://big.example/{k}" if k % 3 else None, page(k), "h", "p") for k in range(60)] + [(60, "http://none.example", "", "", ""), (61, None, None, "", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, path string").repartition(3)
+    once, salted = ({r.page_id: r.text for r in html_text.extract(pages, broadcast=b).collect()} for b in (True, False))
+    assert once == salted and once[1] == "Title 1\n" + ("words of the text " * 9).strip() and once[60] == once[61] == "" and html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_html_votes_tie_and_repeat(spark):
+    p = "<p>" + "some words of text here " * 5 + "</p>"
+    rows = [(k, "http://h.example/", f"<div class={'a' if k % 2 else 'b'}>{p}</div>") for k in range(8)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    first, again = ({r.host: r.path for r in html_text.host_paths(pages.repartition(n)).collect()} for n in (1, 5))
+    texts = {r.text for r in html_text.extract(pages).collect()}
+    assert first == again and texts == {("some words of text here " * 5).strip()}
+
+
+def test_html_is_linear():
+    assert html_text.main_text("<div>" * 100_000 + "deep", None) == "deep"
+    assert html_text.main_text("<div><p>x</p>" * 20_000 + "</div>" * 20_000, None).count("\n") == 19_999
+    assert html_text.main_text("<span>" * 50_000 + "</b>" * 50_000 + "<p>t", None) in ("", "t")
+    wide = html_text.parsed("<div class='x'>" * 4_000 + "y")
+    assert sum(len(c.path) for c in wide.containers) < 100 * len(wide.containers)
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    items = [prose(30), prose(25)]
+    base = [prose(rng.randrange(40, 90)) for _ in range(40)]
+    texts = list(base)
+    for t in base[:14]:
+        w = t.split()
+        w[rng.randrange(len(w))] = "edited"
+        texts.append(" ".join(w))
+    texts += base[20:26] + [f"{prose(20)} {items[0]} {prose(20)}", items[1] + "\n" + prose(30), "too short", None, "", "## $$ %% " * 30, prose(30) + "\n" + "the same line\n" * 40]
+    texts += [f"{prose(30)} mail a{k}@b.example.org, ip 10.0.0.{k}, token = \"{hexes(40)}\" {prose(20)}" for k in range(12)]
+    texts += ["a  b   c " + prose(30), base[30], base[31]]
+    rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    rows[-1], rows[-2] = (None, *rows[-1][1:]), (30, *rows[-2][1:])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    kept = [r for r in rows if brute.kept_by_quality(r[1])]
+    kept.sort(key=lambda r: (r[0] is None, r[0]))
+    group = brute.groups([r[1] for r in kept])
+    kept = [r for k, r in enumerate(kept) if group[k] == k]
+    kept = [r for r in kept if not any(brute.leaks(r[1], b) for b in items)]
+    models = pii.train(spark.createDataFrame(kept, docs.schema))
+    spans = brute.all_spans([r[1] for r in kept], models)
+    want = sorted((r[0], brute.redacted(r[1], s)) for r, s in zip(kept, spans))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == want and 4 in models and any("[SECRET]" in t for _, t in want)
+    own = piece_lattice.lattice(piece_lattice.default_model())
+    assert all(own.decode(r.piece_ids) == r.text and r.n_pieces == len(r.piece_ids) for r in got)
