@@ -109,12 +109,16 @@ def capture(c: Column, pattern: str) -> Column:
     return F.when(c.rlike(pattern), value)
 
 
+#: How far display counts may be apart, in parts of the expected one, with a unit letter and without.
+TOLERANCES = {"unit": 0.051, "plain": 0.001}
+
+
 def values_match(expected: Column, got: Column) -> Column:
     """Tolerant equality of display values: an unseen expectation passes, counts match within what their display shows, texts
     match when equal or when one of at least four characters holds the other."""
     e, g = display_count(expected), display_count(got)
     shown = expected.rlike(r"(?i)^[\d.,\sKMB]+$")
-    close = F.abs(e - g) <= F.greatest(F.lit(1.0), F.abs(e) * F.when(expected.rlike("(?i)[KMB]"), 0.051).otherwise(0.001))
+    close = F.abs(e - g) <= F.greatest(F.lit(1.0), F.abs(e) * F.when(expected.rlike("(?i)[KMB]"), TOLERANCES["unit"]).otherwise(TOLERANCES["plain"]))
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[#@]", ""), _WHITE, " "))
     a, b = plain(expected), plain(got)
     text = (a == b) | ((F.length(a) >= 4) & b.contains(a)) | ((F.length(b) >= 4) & a.contains(b))
@@ -195,9 +199,28 @@ def facet_family(pointer: Column) -> Column:
     return F.element_at(F.filter(F.split(facet_path(pointer), "/"), lambda x: x != ""), 1)
 
 
-def field_name(selector: Column) -> Column:
-    """A camel-case field name from a selector: the attribute's value, else the last class, else the tag."""
-    attribute = F.regexp_extract(selector, r"\[[^=\]]+[*^$]?=[\"']?([^\"'\]]+)", 1)
-    last = F.regexp_extract(selector, r"([A-Za-z0-9_-]+)[^A-Za-z0-9_-]*$", 1)
-    words = F.filter(F.split(F.lower(F.when(attribute != "", attribute).otherwise(last)), "[^a-z0-9]+"), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w, i: F.when(i == 0, w).otherwise(F.initcap(w))), "")
+#: Attributes that name an element, and the element names in front of generated class names.
+NAMING = "data-e2e|data-testid|data-test|aria-label|name|role"
+CLASS_PREFIX = r"^(?:Div|Span|Strong|Img|A|H\d|P|Picture|Video|Button|Ul|Li)(?=[A-Z])"
+
+
+def camel(c: Column) -> Column:
+    """Words of letters and digits as one camel-case name."""
+    words = F.filter(F.split(c, "[^a-zA-Z0-9]+"), lambda w: w != "")
+    name = F.array_join(F.transform(words, lambda w, i: F.when(i == 0, w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w))))), "")
+    return F.concat(F.lower(F.substring(name, 1, 1)), name.substr(F.lit(2), F.length(name)))
+
+
+def field_name(selector: Column, attribute: Column | None = None, fallback: str = "field") -> Column:
+    """A field's name: its attribute, else a naming attribute of the selector, else its generated class without the element's name."""
+    named = F.regexp_extract(selector, rf'\[(?:{NAMING})="([^"]+)"\]', 1)
+    cls = F.regexp_replace(F.regexp_extract(selector, r'class\*="-([A-Za-z]+)"', 1), CLASS_PREFIX, "")
+    own = F.coalesce(F.lit(None).cast("string") if attribute is None else F.nullif(attribute, F.lit("")), F.nullif(named, F.lit("")), F.nullif(cls, F.lit("")))
+    return F.coalesce(camel(own), F.lit(fallback))
+
+
+def unique_names(names: Column) -> Column:
+    """Names of one list told apart: the second of a name gets a 2, and so on; an empty one is called field."""
+    full = F.transform(names, lambda n: F.when(n.isNull() | (n == ""), F.lit("field")).otherwise(n))
+    seen = lambda arr, n, i: F.size(F.filter(F.slice(arr, 1, i + 1), lambda x: x == n))
+    return F.transform(full, lambda n, i: F.concat(n, F.when(seen(full, n, i) > 1, seen(full, n, i).cast("string")).otherwise("")))

@@ -31,12 +31,16 @@ class Element:
 
 
 def _texts(e: Element, own: bool):
-    for p in e.parts:
-        if isinstance(p, str):
+    todo = [iter(e.parts)]
+    while todo:
+        p = next(todo[-1], None)
+        if p is None:
+            todo.pop()
+        elif isinstance(p, str):
             yield p
         elif not own and p.tag not in UNSEEN:
             yield " " if p.tag in ("br", "p", "div", "li") else ""
-            yield from _texts(p, own)
+            todo.append(iter(p.parts))
 
 
 class _Builder(HTMLParser):
@@ -94,9 +98,11 @@ class Page:
 
 
 def descendants(e: Element):
-    for c in e.children:
+    todo = e.children[::-1]
+    while todo:
+        c = todo.pop()
         yield c
-        yield from descendants(c)
+        todo += reversed(c.children)
 
 
 _SIMPLE = re.compile(
@@ -204,13 +210,20 @@ def value_of(e: Element, get: str, url: str, page: Page) -> str | None:
 
 
 def inner_html(e: Element) -> str:
-    out = []
-    for p in e.parts:
-        if isinstance(p, str):
-            out.append(p if e.tag in ("script", "style") else entities.escape(p, quote=False))
+    out: list[str] = []
+    todo = [(e, iter(e.parts))]
+    while todo:
+        at, parts = todo[-1]
+        p = next(parts, None)
+        if p is None:
+            todo.pop()
+            out.append(f"</{at.tag}>" if todo else "")
+        elif isinstance(p, str):
+            out.append(p if at.tag in ("script", "style") else entities.escape(p, quote=False))
         else:
-            attrs = "".join(f' {k}="{entities.escape(v)}"' for k, v in p.attrs.items())
-            out.append(f"<{p.tag}{attrs}>" + ("" if p.tag in VOID else f"{inner_html(p)}</{p.tag}>"))
+            out.append("<" + p.tag + "".join(f' {k}="{entities.escape(v)}"' for k, v in p.attrs.items()) + ">")
+            if p.tag not in VOID:
+                todo.append((p, iter(p.parts)))
     return "".join(out)
 
 
@@ -223,15 +236,25 @@ def hidden(e: Element) -> bool:
     return "hidden" in e.attrs or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", e.attrs.get("style", "")))
 
 
-def structure(e: Element, depth: int = 0, out: list[str] | None = None) -> list[str]:
-    """Preorder ``depth:tag`` tokens; equal sibling subtrees once."""
-    out = [] if out is None else out
-    seen = set()
-    for c in e.children:
-        tokens = [f"{depth}:{c.tag}", *structure(c, depth + 1)]
-        if tuple(tokens) not in seen:
-            seen.add(tuple(tokens))
-            out.extend(tokens)
+def structure(root: Element) -> list[str]:
+    """Preorder ``depth:tag`` tokens; equal sibling subtrees once. Subtrees are compared by numbers given to each form, children first."""
+    order, todo = [], [(root, 0)]
+    while todo:
+        e, depth = todo.pop()
+        order.append((e, depth))
+        todo += [(c, depth + 1) for c in reversed(e.children)]
+    forms: dict[tuple, int] = {}
+    form: dict[int, int] = {}
+    kept: dict[int, list[Element]] = {}
+    for e, _ in reversed(order):  # what is below comes first
+        once = {form[c.i]: c for c in reversed(e.children)}
+        kept[e.i] = sorted(once.values(), key=lambda c: c.i)
+        form[e.i] = forms.setdefault((e.tag, *(form[c.i] for c in kept[e.i])), len(forms))
+    out, todo = [], [(c, 0) for c in reversed(kept[root.i])]
+    while todo:
+        e, depth = todo.pop()
+        out.append(f"{depth}:{e.tag}")
+        todo += [(c, depth + 1) for c in reversed(kept[e.i])]
     return out
 
 

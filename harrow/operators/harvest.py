@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harrow.functions import casts
+from harrow.functions import casts, jsonops
 
 # --- responses ---
 
@@ -15,7 +15,7 @@ from harrow.functions import casts
 def routed(responses: DataFrame, sources: DataFrame) -> DataFrame:
     """Responses with each source (source_id, url_re, method or null) that takes them. Sources are a declared list."""
     s = sources.select("source_id", "url_re", F.upper("method").alias("source_method"))
-    return responses.join(F.broadcast(s), F.expr("url RLIKE url_re AND (source_method IS NULL OR source_method = upper(method))"))
+    return responses.join(s, F.expr("url RLIKE url_re AND (source_method IS NULL OR source_method = upper(method))"))
 
 
 def selected_items(responses: DataFrame, body: str, schema: str, items: str, fields: Mapping[str, str]) -> DataFrame:
@@ -59,6 +59,19 @@ def newest_paths(responses: DataFrame, n: int = 5) -> DataFrame:
     return own.orderBy(F.desc("first_seen")).limit(n)
 
 
+def preview(items: DataFrame, most: int = 5) -> DataFrame:
+    """The first items of each source, in order of arrival, each with the number of all its items: they become expected records."""
+    w = Window.partitionBy("source_id").orderBy("seq", "item_no")
+    n = items.groupBy("source_id").agg(F.count("*").alias("items"))
+    return items.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n").join(n, "source_id")
+
+
+def paging_hints(responses: DataFrame) -> DataFrame:
+    """(source_id, seq, paging): the paging keys of the last response of each source."""
+    last = responses.groupBy("source_id").agg(F.max("seq").alias("seq"), F.max_by("body", "seq").alias("body"))
+    return last.select("source_id", "seq", jsonops.paging_keys(F.col("body")).alias("paging"))
+
+
 # --- derived schemas ---
 
 
@@ -68,7 +81,8 @@ def path_patterns(urls: DataFrame) -> DataFrame:
     own = urls.select("view", F.size(parts).alias("depth"), F.posexplode(parts).alias("pos", "part"))
     seg = own.groupBy("view", "depth", "pos").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.bool_and(F.col("part").rlike("^@")).alias("handles"), F.bool_and(F.col("part").rlike(r"^\d+$")).alias("numbers"))
     escaped = F.regexp_replace("a", r"([.*+?^${}()|\[\]\\])", r"\\$1")
-    text = F.when(F.col("a") == F.col("b"), escaped).when(F.col("handles"), "@[^/]+").when(F.col("numbers"), r"\d+").otherwise("[^/]+")
+    # a constant with five digits in a row is an id that the samples happen to share
+    text = F.when((F.col("a") == F.col("b")) & ~F.col("a").rlike(r"\d{5,}"), escaped).when(F.col("handles"), "@[^/]+").when(F.col("numbers"), r"\d+").otherwise("[^/]+")
     return seg.groupBy("view", "depth").agg(F.concat(F.lit("^/"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("t")))), lambda x: x["t"]), "/"), F.lit("/?$")).alias("pattern"))
 
 
@@ -114,7 +128,7 @@ def static_labels(fields: DataFrame) -> DataFrame:
 def repeated_groups(elements: DataFrame, least: int = 3, most: int = 10) -> DataFrame:
     """Siblings with one signature, at least ``least`` of them; the largest groups of each page, by count times text."""
     own = elements.groupBy("page_id", "parent", "sig").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min("i").alias("first")).where(F.col("n") >= least)
-    w = Window.partitionBy("page_id").orderBy(F.desc(F.col("n") * F.greatest("chars", F.lit(1))), "first")
+    w = Window.partitionBy("page_id").orderBy(F.desc(F.col("n") * F.greatest("chars", F.lit(1))), "first", "parent", "sig")
     return own.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,15 +13,18 @@ from pyspark.sql import functions as F
 # --- faults ---
 
 
+#: Classes of errors and the wording of their messages, in order; letter case is ignored.
+ERRORS = (
+    ("timeout", r"timed? ?out|Timeout \d+ms exceeded|TimeoutError"),
+    ("crash", r"Target (page, context or browser )?(has been )?closed|crash|Session closed|Browser has been closed|Protocol error|WebSocket is not open|Execution context was destroyed|Connection closed"),
+    ("network", r"net::ERR_|NS_ERROR_|ECONNRESET|ECONNREFUSED|ETIMEDOUT|socket hang up"),
+    ("missing", r"not found|not rendered|no element|not visible|detached|intercepts pointer events|not on page|no active"),
+)
+
+
 def error_class(message: Column) -> Column:
     """timeout, crash, network, missing or unknown; the first that fits."""
-    return (
-        F.when(message.rlike(r"(?i)timed? ?out|timeout \d+ms exceeded|timeouterror"), "timeout")
-        .when(message.rlike(r"(?i)target (page, context or browser )?(has been )?closed|crash|session closed|browser has been closed|protocol error|websocket is not open|execution context was destroyed|connection closed"), "crash")
-        .when(message.rlike(r"(?i)net::err_|ns_error_|econnreset|econnrefused|etimedout|socket hang up"), "network")
-        .when(message.rlike(r"(?i)not found|not rendered|no element|not visible|detached|intercepts pointer events|not on page|no active"), "missing")
-        .otherwise("unknown")
-    )
+    return F.coalesce(*[F.when(message.rlike(f"(?i){pattern}"), name) for name, pattern in ERRORS], F.lit("unknown"))
 
 
 def navigation_class(status: Column, view: Column, fatal: tuple[int, ...] = (404, 410, 451)) -> Column:
@@ -91,12 +95,19 @@ def run_totals(events: DataFrame) -> DataFrame:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of the token counts of two arrays, made of array functions."""
-    kinds = F.array_union(a, b)
-    n = lambda arr, t: F.size(F.filter(arr, lambda x: x == t))
-    total = lambda f: F.aggregate(kinds, F.lit(0.0), lambda s, t: s + f(t))
-    norm = F.sqrt(total(lambda t: n(a, t) * n(a, t))) * F.sqrt(total(lambda t: n(b, t) * n(b, t)))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(norm == 0, 0.0).otherwise(total(lambda t: n(a, t) * n(b, t)) / norm)
+    """Cosine of the token counts of two arrays. Tokens are counted once per array and batch, so the work is linear in them."""
+
+    @F.pandas_udf("double")
+    def compared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in batches:
+            out = []
+            for p, q in zip(x, y):
+                p, q = Counter(p if p is not None else ()), Counter(q if q is not None else ())
+                norm = (sum(n * n for n in p.values()) * sum(n * n for n in q.values())) ** 0.5
+                out.append(1.0 if not p and not q else sum(n * q[t] for t, n in p.items()) / norm if norm else 0.0)
+            yield pd.Series(out, dtype="float64")
+
+    return compared(a, b)
 
 
 def similarity(shape_a: Column, shape_b: Column, ax_a: Column | None = None, ax_b: Column | None = None) -> Column:

@@ -187,8 +187,13 @@ def broken(hits: DataFrame) -> DataFrame:
     return hits.groupBy("page_id", "view").agg(F.count("*").alias("total"), F.count_if(F.col("hits") > 0).alias("resolved"), F.count_if(bad).alias("broken"))
 
 
-#: Wording that tells overlays apart.
-OVERLAYS = (("captcha", r"(?i)captcha|robot|verify you"), ("cookie", r"(?i)cookie|consent|gdpr"), ("login", r"(?i)log ?in|sign ?in|sign ?up|password"), ("prompt", r"(?i)subscribe|newsletter|app|notification"))
+#: Kinds of overlays and the wording that tells them apart, in order.
+OVERLAYS = (
+    ("captcha", r"(?i)captcha|verify you are human|drag the slider|puzzle"),
+    ("cookie-banner", r"(?i)cookie|consent|gdpr|privacy choices"),
+    ("login", r"(?i)log ?in|sign ?in|sign ?up|continue with"),
+    ("prompt", r"(?i)notification|allow|install the app|open app"),
+)
 DIALOGS = "[role=dialog],[role=alertdialog],[aria-modal=true],dialog[open]"
 
 
@@ -217,14 +222,14 @@ def _above(e: Element):
 KEPT = ("id", "class", "href", "src", "alt", "title", "role", "name", "type", "aria-label", "aria-modal", "itemprop", "poster", "srcset", "style")
 
 
-def elements(pages: DataFrame, most: int = 5_000) -> DataFrame:
-    """(page_id, i, parent, tag, text, sig, attrs): the element table; scripts and styles are left out."""
+def elements(pages: DataFrame, most: int | None = None, chars: int | None = None) -> DataFrame:
+    """(page_id, i, parent, tag, text, sig, attrs): the element table; scripts and styles are left out. Whole pages and texts unless limits are given."""
 
     def rows(i, url, page):
         shown = [e for e in page.all if e.tag not in ("script", "style", "noscript", "template")]
         for e in shown[:most]:
-            attrs = {k: v[:300] for k, v in e.attrs.items() if k in KEPT or k.startswith("data-")}
-            yield (i, e.i, e.parent.i, e.tag, e.text(own=True)[:200], signature(e), attrs)
+            attrs = {k: v[:chars] for k, v in e.attrs.items() if k in KEPT or k.startswith("data-")}
+            yield (i, e.i, e.parent.i, e.tag, e.text(own=True)[:chars], signature(e), attrs)
 
     return _each_page(pages, rows, "page_id long, i int, parent int, tag string, text string, sig string, attrs map<string,string>")
 
@@ -232,11 +237,13 @@ def elements(pages: DataFrame, most: int = 5_000) -> DataFrame:
 def group_fields(pages: DataFrame, least: int = 3, sample: int = 12, share: float = 0.8) -> DataFrame:
     """(page_id, parent, sig, n, field): leaves, relative to the item, found in most of the first items of repeated siblings."""
 
-    def leaves(e: Element, at: str = "") -> set[str]:
-        out = set()
-        for c in e.children:
-            here = f"{at} > {signature(c)}" if at else signature(c)
-            out |= leaves(c, here) if c.children else {here}
+    def leaves(e: Element) -> set[str]:
+        out, todo = set(), [(c, signature(c)) for c in e.children]
+        while todo:
+            c, here = todo.pop()
+            todo += [(x, f"{here} > {signature(x)}") for x in c.children]
+            if not c.children:
+                out.add(here)
         return out
 
     def rows(i, url, page):
@@ -295,21 +302,21 @@ def role_tokens(nodes: DataFrame) -> DataFrame:
         for r in pdf.sort_values("pos").itertuples():
             kids.setdefault(r.parent_id if isinstance(r.parent_id, str) else None, []).append(r)
         out: list[str] = []
-
-        def visit(parent, depth):
-            seen = set()
-            for r in kids.get(parent, []):
+        todo = [(iter(kids.get(None, [])), 0, set(), 0)]  # children to come, their depth, what stood among them, where the parent began
+        while todo:
+            rest, depth, seen, begun = todo[-1]
+            r = next(rest, None)
+            if r is not None:
                 shown = not r.ignored and r.role not in skipped
-                at = len(out)
-                if shown:
-                    out.append(f"{depth}:{r.role}")
-                visit(r.node_id, depth + shown)
-                tokens = tuple(out[at:])
-                if tokens and tokens in seen:
-                    del out[at:]
-                seen.add(tokens)
-
-        visit(None, 0)
+                todo.append((iter(kids.get(r.node_id, [])), depth + shown, set(), len(out)))
+                out += [f"{depth}:{r.role}"] if shown else []
+                continue
+            todo.pop()
+            if todo:
+                tokens, among = tuple(out[begun:]), todo[-1][2]
+                if tokens and tokens in among:
+                    del out[begun:]
+                among.add(tokens)
         return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "ax": [out]})
 
     return nodes.groupBy("page_id").applyInPandas(walk, "page_id long, ax array<string>")

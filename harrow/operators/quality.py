@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.functions import casts, jsonops
+from harrow.operators import records
 
 ID_FIELDS = ("id", "videoId", "itemId", "webVideoUrl", "url")
 
@@ -38,29 +38,44 @@ def pair_by_key(expected: DataFrame, produced: DataFrame, route_keys: DataFrame
     return by(e).join(p, ["route", "key_field", "key", "rank"], "left").select("route", "seq", "key", F.col("fields").alias("expected"), "produced_seq", "produced")
 
 
+def rarer_values(expected: DataFrame, produced: DataFrame) -> DataFrame:
+    """(route, seq, produced_seq): pairs that share one of the expected record's rarer values.
+
+    A pair with half of its values equal shares one of any half and one more; the rarest are taken, so that a value which all
+    records share lists no pairs unless a record has nothing else.
+    """
+    filled = lambda m: F.explode(F.map_entries(F.map_filter(m, lambda k, v: v.isNotNull() & (v != "")))).alias("f")
+    plain = F.lower(F.regexp_replace("f.value", "[#@]", "")).alias("value")
+    words = lambda df: df.select("route", "seq", filled(F.col("fields"))).select("route", "seq", F.col("f.key").alias("field"), plain)
+    own, theirs = words(expected), words(produced)
+    often = theirs.groupBy("route", "field", "value").agg(F.count("*").alias("n"))
+    ranked = own.join(often, ["route", "field", "value"], "left").withColumn("place", F.row_number().over(Window.partitionBy("route", "seq").orderBy(F.coalesce("n", F.lit(0)), "field")))
+    need = Window.partitionBy("route", "seq")
+    rare = ranked.withColumn("need", F.count("*").over(need)).where(F.col("place") <= F.col("need") - F.ceil(F.col("need") / 2) + 1).where("n IS NOT NULL")
+    return rare.select("route", "field", "value", "seq").join(theirs.withColumnRenamed("seq", "produced_seq"), ["route", "field", "value"]).select("route", "seq", "produced_seq").distinct()
+
+
 def pair_by_overlap(expected: DataFrame, produced: DataFrame) -> DataFrame:
-    """Pairs of keyless expected records: candidates share a (field, value), scores count matching fields, and each route
-    takes the best unused candidate in expected order, if it holds at least half of the fields."""
+    """Pairs of keyless expected records. Candidates are told by their rarer values, scores count matching fields, and each route takes the
+    best unused candidate in expected order, if it holds at least half of the fields.
+
+    Picks are made in rounds: a record takes its best candidate once no earlier record can still ask for it. Each round settles the
+    first open record of every route at least, and mostly all of them.
+    """
+    near = rarer_values(expected, produced)
     filled = lambda m: F.explode(F.map_entries(F.map_filter(m, lambda k, v: v.isNotNull() & (v != "")))).alias("f")
-    words = lambda df: df.select("route", "seq", filled(F.col("fields"))).select("route", "seq", F.col("f.key").alias("field"), F.lower(F.regexp_replace("f.value", "[#@]", "")).alias("value"))
-    near = words(expected).join(words(produced).withColumnRenamed("seq", "produced_seq"), ["route", "field", "value"]).select("route", "seq", "produced_seq").distinct()
     both = near.join(expected.select("route", "seq", F.col("fields").alias("expected")), ["route", "seq"]).join(produced.select("route", F.col("seq").alias("produced_seq"), F.col("fields").alias("produced")), ["route", "produced_seq"])
-    each = both.select("route", "seq", "produced_seq", "expected", "produced", filled(F.col("expected")))
-    each = each.select("route", "seq", "produced_seq", "expected", "produced", casts.values_match(F.col("f.value"), F.try_element_at("produced", F.col("f.key"))).cast("int").alias("hit"))
-    scored = each.groupBy("route", "seq", "produced_seq").agg(F.sum("hit").alias("hits"), F.count("*").alias("need"))
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for seq, rows in pdf.sort_values(["seq", "hits", "produced_seq"], ascending=[True, False, True]).groupby("seq", sort=False):
-            for p, hits, need in zip(rows["produced_seq"], rows["hits"], rows["need"]):
-                if p not in used:
-                    if hits >= max(1, need / 2):
-                        used.add(p)
-                        out.append((pdf["route"].iloc[0], seq, p))
-                    break
-        return pd.DataFrame(out, columns=["route", "seq", "produced_seq"])
-
-    pairs = scored.groupBy("route").applyInPandas(take, "route string, seq long, produced_seq long")
+    each = both.select("route", "seq", "produced_seq", "produced", filled(F.col("expected")))
+    each = each.select("route", "seq", "produced_seq", casts.values_match(F.col("f.value"), F.try_element_at("produced", F.col("f.key"))).cast("int").alias("hit"))
+    scored = each.groupBy("route", "seq", "produced_seq").agg(F.sum("hit").alias("hits"), F.count("*").alias("need")).where("hits >= greatest(1, need / 2)").select("route", "seq", "produced_seq", "hits")
+    open_, pairs = records.cut(scored, "candidates"), None
+    while not open_.isEmpty():
+        best = open_.groupBy("route", "seq").agg(F.min_by("produced_seq", F.struct((-F.col("hits")).alias("a"), "produced_seq")).alias("produced_seq"))
+        first = open_.groupBy("route", "produced_seq").agg(F.min("seq").alias("seq"))
+        took = records.cut(best.join(first, ["route", "produced_seq", "seq"]), "pairs")
+        pairs = took if pairs is None else pairs.unionByName(took)
+        open_ = records.cut(open_.join(took.select("route", "seq"), ["route", "seq"], "left_anti").join(took.select("route", "produced_seq"), ["route", "produced_seq"], "left_anti"), "candidates")
+    pairs = scored.select("route", "seq", "produced_seq").limit(0) if pairs is None else pairs
     return expected.select("route", "seq", F.lit("?").alias("key"), F.col("fields").alias("expected")).join(
         pairs.join(produced.select("route", F.col("seq").alias("produced_seq"), F.col("fields").alias("produced")), ["route", "produced_seq"]), ["route", "seq"], "left"
     ).select("route", "seq", "key", "expected", "produced_seq", "produced")
@@ -122,6 +137,14 @@ def grounded_share(values: DataFrame, pages: DataFrame, by: list[str]) -> DataFr
     return seen.groupBy(*by).agg(F.avg(F.col("seen").cast("int")).alias("share"), F.count("*").alias("n"))
 
 
+def render_equivalence(values: DataFrame, window: Column, least: float = 0.9, by: str = "step") -> DataFrame:
+    """Per step, from bound values (step, item_no or null, seen): how many were judged, the visible share and whether it holds. Items beyond
+    the compared window of a list are left out and counted."""
+    judged = F.col("item_no").isNull() | (F.col("item_no") <= window)
+    share = F.coalesce(F.avg(F.when(judged, F.col("seen").cast("int"))), F.lit(1.0))
+    return values.groupBy(by).agg(F.count_if(judged).alias("judged"), F.count_if(~judged).alias("left_out"), share.alias("share")).withColumn("passed", F.col("share") >= least)
+
+
 #: Least rate of each kind of check for a run to pass.
 GATES = {"render-equivalence": 0.9, "emit-grounding": 0.75, "list-parity": 0.9, "url-sync": 1.0}
 
@@ -156,7 +179,7 @@ def same_page(a: Column, b: Column) -> Column:
 
 def targets(queries: DataFrame, elements: DataFrame) -> DataFrame:
     """The smallest clickable element whose label holds a query's token: queries (query_id, token), elements (i, hay, w, h)."""
-    hits = elements.join(F.broadcast(queries), F.contains(F.lower("hay"), F.lower("token")))
+    hits = elements.join(queries, F.contains(F.lower("hay"), F.lower("token")))
     return hits.groupBy("query_id").agg(F.min_by("i", F.struct((F.col("w") * F.col("h")).alias("area"), "i")).alias("i"))
 
 
@@ -169,7 +192,7 @@ def bound_rows(components: DataFrame, models: DataFrame, bindings: dict[str, tup
             "surface_id", F.lit(name).alias("component"), F.concat(F.lit(pointer + "/"), F.col("i").cast("string")).alias("scope"), F.try_variant_get("item", f"$['{field}']", "string").alias("value")
         )
         out = rows if out is None else out.unionAll(rows)
-    return out.join(F.broadcast(components), "component", "left_semi") if components is not None else out
+    return out.join(components, "component", "left_semi") if components is not None else out
 
 
 def interrupt_coverage(seen: DataFrame, declared: DataFrame, handled: DataFrame) -> DataFrame:

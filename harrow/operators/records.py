@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STATUSES = ("running", "done", "failed", "skipped")
 
 
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """Write a table in the folder that the cluster shares and read it back, so that rounds of a loop don't grow their lineage."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def record_key(df: DataFrame, key: str | None, missing: Column | None = None) -> Column:
     """The text by which records are equal: the key (``null`` for null, ``undefined`` where ``missing``), else a digest of the whole record."""
     if key is None:
@@ -96,3 +113,21 @@ def recent(units: DataFrame, n: int = 15) -> DataFrame:
 def planned_not_done(planned: DataFrame, units: DataFrame) -> DataFrame:
     """Planned units without a completed one; skipped counts as completed."""
     return planned.join(units.where(F.col("status").isin("done", "skipped")).select("id"), "id", "left_anti")
+
+
+def input_units(inputs: DataFrame, defaults: dict, handles: str | None = None, required: tuple[str, ...] = ()) -> DataFrame:
+    """One unit of work per row of an input table: defaults where a value is null, a list of handles (commas, spaces or lines between
+    them) split into one row each without its ``@``, and ``error`` naming the required values that are missing."""
+    out = inputs.withColumns({k: F.coalesce(F.col(f"`{k}`"), F.lit(v)) for k, v in defaults.items() if k in inputs.columns} | {k: F.lit(v) for k, v in defaults.items() if k not in inputs.columns})
+    if handles is not None:
+        names = F.filter(F.transform(F.split(F.coalesce(F.col(handles), F.lit("")), r"[,\s]+"), lambda x: F.regexp_replace(x, "^@", "")), lambda x: x != "")
+        out = out.select("*", F.explode_outer(F.array_distinct(names)).alias("handle"))
+    needed = [*required, *(["handle"] if handles is not None else [])]
+    missing = F.array_compact(F.array(*[F.when(F.col(k).isNull() | (F.col(k).cast("string") == ""), F.lit(f"{k} is missing")) for k in needed])) if needed else F.array().cast("array<string>")
+    return out.withColumn("error", F.array_join(missing, "; "))
+
+
+def rates(rows: DataFrame, walls: DataFrame, run: str = "run_id", dataset: str = "dataset") -> DataFrame:
+    """(run, dataset, records, per_second) of stored records and the runs' wall times in milliseconds (run, wall_ms); null for no time."""
+    n = rows.groupBy(run, dataset).agg(F.count("*").alias("records"))
+    return n.join(walls.select(run, "wall_ms"), run, "left").select(run, dataset, "records", F.when(F.col("wall_ms") > 0, F.col("records") / (F.col("wall_ms") / 1000.0)).alias("per_second"))

@@ -170,3 +170,23 @@ def message_errors(raw: Column) -> Column:
             F.when((n == 1) & surface.isNull(), "surfaceId is missing"),
         )
     )
+
+
+def with_lookup(items: DataFrame, listed: DataFrame, run: list[str], key: str, fields: list[str]) -> DataFrame:
+    """Items with fields of the first entry of another view's list that has their key, in the same run; nulls where there is none."""
+    order = [F.col(c) for c in ("item_no",) if c in listed.columns] or [F.to_json(F.struct(*fields))]
+    first = listed.groupBy(*run, key).agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("__found"))
+    return items.join(first, [*run, key], "left").select(*[F.col(f"`{c}`") for c in items.columns], *[F.col("__found")[f].alias(f) for f in fields])
+
+
+def folded_log(lines: DataFrame) -> DataFrame:
+    """(run_id, n, row): equal rows of a run's log in a row as one with ``×N``; state lines are told elsewhere and left out."""
+    shown = lines.where(~F.col("line").rlike(r"^\s*state\s"))
+    runs = islands(shown, ["run_id"], ["line"], ["n"]).groupBy("run_id", "island").agg(F.max("n").alias("n"), F.first("line").alias("line"), F.count("*").alias("times"))
+    return runs.select("run_id", "n", F.concat("line", F.when(F.col("times") > 1, F.concat(F.lit(" ×"), F.col("times").cast("string"))).otherwise("")).alias("row"))
+
+
+def split_actions(messages: DataFrame, raw: str = "raw") -> DataFrame:
+    """Messages of both directions with ``is_action``: a client's action, or a server's message; texts that are no JSON object go."""
+    parsed = F.try_parse_json(raw)
+    return messages.where(F.schema_of_variant(parsed).startswith("OBJECT")).withColumn("is_action", F.try_variant_get(parsed, "$.action", "variant").isNotNull())

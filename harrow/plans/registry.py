@@ -140,7 +140,7 @@ def repeated_groups(spark, d):
 
 @query(r"""WITH x AS (SELECT regexp_extract(url, '//[^/]*/([a-z]+)/', 1) AS view, string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') AS ps FROM pages),
 y AS (SELECT view, list_filter(ps, lambda s: s <> '') AS ps FROM x), z AS (SELECT view, len(ps) AS depth, unnest(ps) AS part, generate_subscripts(ps, 1) - 1 AS pos FROM y),
-s AS (SELECT view, depth, pos, CASE WHEN min(part) = max(part) THEN regexp_replace(min(part), '([.*+?^${}()|\[\]\\])', '\\\1', 'g') WHEN bool_and(starts_with(part, '@')) THEN '@[^/]+' WHEN bool_and(regexp_full_match(part, '[0-9]+')) THEN '\d+' ELSE '[^/]+' END AS t FROM z GROUP BY ALL)
+s AS (SELECT view, depth, pos, CASE WHEN min(part) = max(part) AND NOT regexp_matches(min(part), '[0-9]{5,}') THEN regexp_replace(min(part), '([.*+?^${}()|\[\]\\])', '\\\1', 'g') WHEN bool_and(starts_with(part, '@')) THEN '@[^/]+' WHEN bool_and(regexp_full_match(part, '[0-9]+')) THEN '\d+' ELSE '[^/]+' END AS t FROM z GROUP BY ALL)
 SELECT view, depth::INTEGER AS depth, '^/' || string_agg(t, '/' ORDER BY pos) || '/?$' AS pattern FROM s GROUP BY view, depth""")
 def path_patterns(spark, d):
     """Path pattern of each view."""

@@ -59,7 +59,7 @@ SPANS = f"struct<resourceSpans:array<struct<scopeSpans:array<struct<spans:array<
 
 
 def _nanos(c: Column) -> Column:
-    return F.timestamp_micros(F.expr(f"try_cast({c} AS BIGINT)") / 1000) if isinstance(c, str) else F.timestamp_micros((c.try_cast("long") / 1000).cast("long"))
+    return F.timestamp_micros(F.call_function("div", c.try_cast("long"), F.lit(1000)))  # whole numbers: a double can't hold so many digits
 
 
 def trace_spans(df: DataFrame, otlp: str = "otlp") -> DataFrame:
