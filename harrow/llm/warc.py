@@ -5,7 +5,8 @@ asks for, so any file system that Spark writes to holds the archives, and a lost
 payloads of at least ``least`` bytes the largest id is the response and the others are revisits of it: one grouped maximum
 per digest, and a join in which a hot digest may be split.
 
-Reading: an archive is inflated piece by piece and cut into records by Content-Length; payload digests are checked.
+Reading: an archive is inflated piece by piece and cut into records by Content-Length; payload digests are checked. The index
+tells each capture's archive and its place and length in the inflated archive, and ``record_at`` fetches it from there.
 
 Index: a reading task sorts its captures into runs, one per key range, front-coded. Runs travel as single rows to the task
 of their range, which merges them with a loser tree by URL key, timestamp and id; range order and merge order together are
@@ -13,7 +14,8 @@ the global order. Ranges are cut at quantiles of a bounded sample of whole sort
 
 Cases: null html is an empty payload; a null url has no target line and the key ''; payloads below ``least`` bytes are all
 responses; a null page_id is written ``<urn:capture:null>``, read as null and comes first among equal keys and times; an
-empty table gives an empty index; archives are cut at ``FILE_RECORDS`` records.
+empty table gives an empty index; archives are cut at ``FILE_RECORDS`` records, and earlier if that many of the longest page would pass
+``FILE_BYTES``, so that an archive can be read as one value.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from ._shared import keep, new_path, partitions, table
 
 #: Records of an archive file, keys in the sample that cuts the ranges, captures of a run that a task sorts at once.
 FILE_RECORDS, SAMPLE_KEYS, RUN_CAPTURES = 5_000, 5_000, 20_000
+#: Bytes of an archive before compression, and of a record besides its payload.
+FILE_BYTES, HEAD_BYTES = 1 << 30, 8_192
 
 #: Fixed values of the format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -42,7 +46,7 @@ HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 #: While captures are sorted: a null id, below every id, and a missing URL, which no head can spell.
 NO_ID, NO_URL = -(2**63) - 1, "\0"
 
-CAPTURE = "page_id long, url string, url_key string, captured_at string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+CAPTURE = "page_id long, url string, url_key string, captured_at string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, file_offset long, file_length long"
 
 
 def with_responses(pages: DataFrame, least: int = 1000) -> DataFrame:
@@ -81,10 +85,24 @@ def records(pages: DataFrame, least: int = 1000) -> DataFrame:
 
 def write(pages: DataFrame, path: str, least: int = 1000) -> str:
     """Write the archives of a table of pages (page_id, url, html) under ``path``."""
-    records(pages, least).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    longest = pages.agg(F.max(F.octet_length("html") + F.coalesce(F.octet_length("url"), F.lit(0)))).first()[0] or 0
+    most = max(1, min(FILE_RECORDS, FILE_BYTES // (longest + HEAD_BYTES)))
+    records(pages, least).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
     return path
 
 
+def record_at(content: bytes, offset: int, length: int) -> bytes:
+    """The bytes of one record, from the place that the index tells."""
+    inflate, seen, out = zlib.decompressobj(wbits=31), 0, bytearray()
+    for at in range(0, len(content), 262_144):
+        piece = inflate.decompress(content[at : at + 262_144])
+        out += piece[max(0, offset - seen) : max(0, offset + length - seen)]
+        seen += len(piece)
+        if seen >= offset + length:
+            break
+    return bytes(out)
+
+
 def url_key(url: str | None) -> str:
     """Host labels from the top level down, then path and query: neighbours in order are neighbours on the web."""
     m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)([^#]*)", url or "")
@@ -93,7 +111,7 @@ def url_key(url: str | None) -> str:
 
 def parse(content: bytes) -> Iterator[tuple]:
     """The captures of one archive, in file order."""
-    inflate, at, buffer = zlib.decompressobj(wbits=31), 0, bytearray()
+    inflate, at, buffer, begun = zlib.decompressobj(wbits=31), 0, bytearray(), 0
 
     def more(need: int) -> bool:
         nonlocal at
@@ -115,6 +133,7 @@ def parse(content: bytes) -> Iterator[tuple]:
             raise ValueError("an archive ends within a record")
         block = bytes(buffer[end + 4 : end + 4 + length])
         del buffer[: end + 8 + length]
+        place, begun = begun, begun + end + 8 + length
         http, _, payload = block.partition(b"\r\n\r\n")
         size = int(re.search(rb"Content-Length: (\d+)", http)[1])
         digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -124,7 +143,7 @@ def parse(content: bytes) -> Iterator[tuple]:
         number = lambda x: NO_ID if x == "<urn:capture:null>" else int(x[len("<urn:capture:") : -1])
         url = head.get("WARC-Target-URI")
         refers = number(head["WARC-Refers-To"]) if kind == "revisit" else None
-        yield (url_key(url), head["WARC-Date"], number(head["WARC-Record-ID"]), NO_URL if url is None else url, size, digest, kind, refers)
+        yield (url_key(url), head["WARC-Date"], number(head["WARC-Record-ID"]), NO_URL if url is None else url, size, digest, kind, refers, place, begun - place)
 
 
 def front_coded(rows: list[tuple]) -> bytes:
@@ -149,14 +168,14 @@ def decoded(run: bytes) -> Iterator[tuple]:
 def read_index(spark: SparkSession, path: str, ranges: int | None = None) -> DataFrame:
     """Every capture of the archives under ``path``, in the order of (range_no, place): URL key, timestamp, id."""
     ranges = ranges or partitions(spark)
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("content", "path")
 
     def read_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                rows = []
+            for content, path in zip(batch.column(0), batch.column(1).to_pylist()):
+                rows, name = [], path.rpartition("/")[2]
                 for row in parse(content.as_py()):
-                    rows.append(row)
+                    rows.append((*row, name))
                     if len(rows) == RUN_CAPTURES:
                         yield sorted_run(rows)
                         rows = []
@@ -214,11 +233,11 @@ def read_index(spark: SparkSession, path: str, ranges: int | None = None) -> Dat
             yield captures(rows)
 
     def captures(rows: list[tuple]) -> pa.RecordBatch:
-        no, place, key, at, page, url, size, digest, kind, refers = zip(*rows)
+        no, place, key, at, page, url, size, digest, kind, refers, offset, length, file = zip(*rows)
         page, url = [None if x == NO_ID else x for x in page], [None if x == NO_URL else x for x in url]
         return pa.RecordBatch.from_arrays(
-            [pa.array(no, pa.int32()), pa.array(place, pa.int64()), pa.array(page, pa.int64()), pa.array(url, pa.string()), pa.array(key, pa.string()), pa.array(at, pa.string()), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(kind, pa.string()), pa.array(refers, pa.int64())],
-            names=["range_no", "place", "page_id", "url", "url_key", "captured_at", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+            [pa.array(no, pa.int32()), pa.array(place, pa.int64()), pa.array(page, pa.int64()), pa.array(url, pa.string()), pa.array(key, pa.string()), pa.array(at, pa.string()), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(kind, pa.string()), pa.array(refers, pa.int64()), pa.array(file, pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())],
+            names=["range_no", "place", "page_id", "url", "url_key", "captured_at", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "file_offset", "file_length"],
         )
 
     dealt = runs.select("run").mapInArrow(deal, "range_no int, run binary").repartition(ranges, "range_no").sortWithinPartitions("range_no")

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from harrow.llm import decontaminate, html_text, jaccard_join, lm_score, pii, piece_lattice
+from harrow.llm import decontaminate, html_text, jaccard_join, lm_score, pii, piece_lattice, warc
 
 from . import brute
 
@@ -204,6 +204,21 @@ def test_lm_of_odd_spaces(spark):
     assert {r.doc_id: r.n_tokens for r in got} == {0: 3, 1: 2, 2: 1, 3: 3, 4: 30_001} and all(r.score < 0 for r in got)
 
 
+def test_warc_index_locates_records(spark, tmp_path, monkeypatch):
+    rows = [(None if k == 3 else k, f"http://h{k % 3}.example/{k}", None if k == 5 else prose(rng.randrange(1, 400)), 1, "f") for k in range(40)] + [(41, None, "long " * 300_000, 2, "g")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, place int, file string").repartition(3)
+    monkeypatch.setattr(warc, "FILE_BYTES", 4_000_000)
+    path = warc.write(pages, str(tmp_path / "warc"))
+    files = {p.name: p.read_bytes() for p in (tmp_path / "warc").glob("part-*")}
+    assert len(files) > 12  # two of the longest page fit into an archive
+    got = warc.read_index(spark, path, 4).orderBy("range_no", "place").collect()
+    assert [(r.url_key, r.captured_at, -1 if r.page_id is None else r.page_id) for r in got] == sorted((r.url_key, r.captured_at, -1 if r.page_id is None else r.page_id) for r in got) and len(got) == len(rows)
+    text = {i: h or "" for i, _, h, *_ in rows}
+    for r in got:
+        raw = warc.record_at(files[r.file], r.file_offset, r.file_length)
+        assert raw.startswith(b"WARC/1.1\r\n") and raw.endswith(b"\r\n\r\n") and raw[:-4].partition(b"\r\n\r\n")[2].partition(b"\r\n\r\n")[2].decode() == text[r.page_id]
+
+
 def test_html_hosts_by_salt(spark):
     page = lambda k: f"<header><h1>Site</h1></header><nav>menu</nav><article><header><h1>Title {k}</h1></header><div class=b{k}><p>{'words of the text ' * 9}</p></div></article><footer>end</footer>"
     rows = [(k, f"http://big.example/{k}" if k % 3 else None, page(k), "h", "p") for k in range(60)] + [(60, "http://none.example", "", "", ""), (61, None, None, "", "")]
