@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from harrow.functions import casts, expr, jsonops
 from harrow.operators import harvest, monitor, pages, quality, records, stream
 from harrow.sources import readers
+from harrow.streaming import live
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -664,8 +665,8 @@ def cache_lookups(spark, d):
 @query(r"""SELECT user_id AS run_id, ((epoch_us(ts) // 1000) // 3600000 * 3600000)::BIGINT AS tick, arg_min(event_id, struct_pack(a := ts, b := event_id)) AS event_id FROM events GROUP BY ALL""")
 def throttled_frames(spark, d):
     """The first row of each tick."""
-    e = events(spark, d)
-    return e.groupBy(F.col("user_id").alias("run_id"), F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w")).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id")).select("run_id", F.unix_millis("w.start").alias("tick"), "event_id")
+    e = events(spark, d).select(F.col("user_id").alias("scene_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("payload"))
+    return live.throttled(e, "1 hour").select(F.col("scene_id").alias("run_id"), F.unix_millis("start").alias("tick"), F.col("payload").alias("event_id"))
 
 
 @query(r"""WITH x AS (SELECT user_id, event_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS turn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

@@ -93,14 +93,55 @@ def without_stale(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("run_id", "url").transformWithStateInPandas(_Newest(), schema, "Append", "None")
 
 
-def debounced(changes: DataFrame, quiet: str = "120 milliseconds", late: str = "1 minute") -> DataFrame:
-    """The last row of each burst of changes, a burst ending after a quiet time."""
-    return changes.withWatermark("ts", late).groupBy("run_id", F.session_window("ts", quiet).alias("burst")).agg(F.max_by("payload", F.struct("ts", "seq")).alias("payload"), F.count("*").alias("changes")).select("run_id", F.col("burst.start").alias("start"), F.col("burst.end").alias("end"), "payload", "changes")
+class _Bursts(StatefulProcessor):
+    """State of one run: its open burst. A burst ends after a quiet time, and a long one is told at its bound."""
+
+    def __init__(self, quiet_ms: int, most_ms: int, kind: str):
+        self.quiet_ms, self.most_ms, self.kind = quiet_ms, most_ms, kind
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", f"begun long, last long, changes long, payload {self.kind}")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        pdf = pd.concat(list(rows)).sort_values(["ms", "seq"])
+        now = tuple(self.open.get()) if self.open.exists() else None
+        told = []
+        for ms, payload in zip(pdf["ms"].tolist(), pdf["payload"]):
+            if now is not None and (ms - now[1] >= self.quiet_ms or ms - now[0] >= self.most_ms):
+                told.append(now)
+                now = None
+            now = (ms, ms, 1, payload) if now is None else (now[0], max(now[1], ms), now[2] + 1, payload)
+        self.open.update(now)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(min(now[1] + self.quiet_ms, now[0] + self.most_ms))
+        yield self.rows(key, told)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        told = [tuple(self.open.get())] if self.open.exists() else []
+        self.open.clear()
+        yield self.rows(key, told)
+
+    def rows(self, key, told: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *x) for x in told], columns=["run_id", "begun", "last", "changes", "payload"])
+
+    def close(self) -> None:
+        pass
+
+
+def debounced(changes: DataFrame, quiet_ms: int = 120, most_ms: int = 600, late: str = "1 minute") -> DataFrame:
+    """(run_id, begun, last, changes, payload): the last row of each burst of changes (run_id, ts, seq, payload), a burst ending after a
+    quiet time, and at the latest ``most_ms`` after it began."""
+    kind, run = changes.schema["payload"].dataType.simpleString(), changes.schema["run_id"].dataType.simpleString()
+    rows = changes.withWatermark("ts", late).select("run_id", "ts", F.unix_millis("ts").alias("ms"), "seq", "payload")
+    schema = f"run_id {run}, begun long, last long, changes long, payload {kind}"
+    return rows.groupBy("run_id").transformWithStateInPandas(_Bursts(quiet_ms, most_ms, kind), schema, "Append", "EventTime")
 
 
 def throttled(frames: DataFrame, every: str = "120 milliseconds", late: str = "1 minute") -> DataFrame:
     """The first row of each tick."""
-    return frames.withWatermark("ts", late).groupBy("scene_id", F.window("ts", every).alias("tick")).agg(F.min_by("payload", "ts").alias("payload")).select("scene_id", F.col("tick.start").alias("start"), "payload")
+    return frames.withWatermark("ts", late).groupBy("scene_id", F.window("ts", every).alias("tick")).agg(F.min_by("payload", F.struct("ts", "payload")).alias("payload")).select("scene_id", F.col("tick.start").alias("start"), "payload")
 
 
 def append_batches(path: str, key: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
