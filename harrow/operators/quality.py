@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from harrow.functions import casts, jsonops
 from harrow.operators import records
@@ -12,8 +13,9 @@ ID_FIELDS = ("id", "videoId", "itemId", "webVideoUrl", "url")
 
 
 def fields_of(records: DataFrame, record: str = "record") -> DataFrame:
-    """Add ``fields``: the record's dotted paths and texts."""
-    return records.withColumn("fields", jsonops.flatten(F.col(record)))
+    """Add ``fields``: the dotted paths and texts of a record, typed or as JSON text."""
+    kind = records.schema[record].dataType
+    return records.withColumn("fields", jsonops.flatten_struct(F.col(record), kind) if isinstance(kind, StructType) else jsonops.flatten(F.col(record)))
 
 
 def key_field(fields: Column, route_key: Column | None = None) -> Column:

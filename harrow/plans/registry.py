@@ -518,8 +518,8 @@ def payload_fields(spark, d):
 def expected_produced(spark, d):
     o = load(spark, d, "orders")
     shown = F.concat(F.format_string("%.2f", F.col("o_totalprice") / 1000), F.lit("K"))
-    e = o.select(F.lit("orders").alias("route"), F.col("o_orderkey").alias("seq"), F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("id"), shown.alias("price"), F.col("o_orderstatus").alias("status"))).alias("record"))
-    p = o.where("o_orderkey % 5 <> 0").select(F.lit("orders").alias("route"), F.col("o_orderkey").alias("seq"), F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").alias("price"), F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")).alias("status"))).alias("record"))
+    e = o.select(F.lit("orders").alias("route"), F.col("o_orderkey").alias("seq"), F.struct(F.col("o_orderkey").cast("string").alias("id"), shown.alias("price"), F.col("o_orderstatus").alias("status")).alias("record"))
+    p = o.where("o_orderkey % 5 <> 0").select(F.lit("orders").alias("route"), F.col("o_orderkey").alias("seq"), F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").alias("price"), F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")).alias("status")).alias("record"))
     return quality.fields_of(e).drop("record"), quality.fields_of(p).drop("record")
 
 

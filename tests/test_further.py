@@ -40,6 +40,15 @@ def test_rates(spark):
     assert got == {"r": 2.0, "s": None}
 
 
+def test_typed_records_flatten_alike(spark):
+    schema = "r struct<a:int,b:struct<c:double,d:string>,l:array<struct<x:int,y:string>>,t:array<string>,n:boolean>"
+    rows = [((1, (2.5, "q"), [(1, "z"), (None, "w")], ["u", None], True),), ((None, (1e9, None), [], [], None),), ((3, None, None, None, False),)]
+    d = spark.createDataFrame(rows, schema)
+    text = F.to_json("r", {"ignoreNullFields": "false"})
+    for r in d.select(jsonops.flatten_struct(F.col("r"), d.schema["r"].dataType).alias("typed"), jsonops.flatten(text).alias("parsed"), F.col("r.b").isNull().alias("bare")).collect():
+        assert r.bare or {k: v or "" for k, v in r.typed.items()} == {k: v or "" for k, v in r.parsed.items()}
+
+
 def test_notes_agree(spark):
     texts = ["data:image/png;base64," + "QUJD" * 3, "DATA:text/x;charset=a;base64," + "A" * 5000, "aB3" * 60, "aB3" * 20, "0f" * 80, "0F" * 80, "x" * 700, "", "plain"]
     got = [r["s"] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", jsonops.sanitised_text(F.col("t")).alias("s")).orderBy("k").collect()]
