@@ -417,3 +417,14 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, counted; links followed to the smallest id.
+OP5_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, ws[i:i+4] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5) UNION SELECT doc_id, ws FROM w WHERE len(ws) BETWEEN 1 AND 4),
+n AS (SELECT w.doc_id, count(g.g) AS n FROM w LEFT JOIN g USING (doc_id) GROUP BY w.doc_id),
+m AS (SELECT md5(array_to_string(g, ' ')) AS h, doc_id, n FROM g JOIN n USING (doc_id)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM m a JOIN m b ON a.h = b.h AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p WHERE 100 * k >= 80 * (na + nb - k)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.b)::BIGINT AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n"""

@@ -18,7 +18,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_suffix_dedup": suffix_dedup.OP3_SQL,
     "op4_quality_rules": quality.OP4_SQL,
+    "op5_jaccard_join": jaccard_join.OP5_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op9_warc": warc.OP9_SQL,
+    "op10_html_text": html_text.OP10_SQL,
 }

@@ -18,7 +18,8 @@ Equal texts are one text here, known to repeat as a whole. No step gathers the r
 rows, and step 5 holds the distinct contexts of one gram.
 
 Cases: null and empty texts have no bytes; a text below ``LENGTH`` bytes keeps all; rows that repeat a text, with the same
-id or not, count as that many texts; very long texts are read whole; an empty table gives no rows.
+id or not, count as that many texts; very long texts are read whole; an empty table gives no rows. Texts and whole contexts are
+told apart by 64-bit hashes: of N different ones about N * N / 2 ** 65 pairs are confused.
 """
 
 from __future__ import annotations
@@ -407,3 +408,16 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed") / 2).cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+#: Every 200-byte string of the table, counted.
+OP3_SQL = r"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) AS h FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 199)) AS i FROM d WHERE length(x) >= 400)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM s) WHERE c > 1),
+o AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 200 THEN 0 ELSE 1 END AS opens FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM o) GROUP BY doc_id, k),
+q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM r),
+t AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS rest FROM q GROUP BY doc_id),
+k AS (SELECT q.doc_id, string_agg(substr(d.x, (2 * since + 1)::BIGINT, (2 * (a - since))::BIGINT), '' ORDER BY a) AS kept FROM q JOIN d USING (doc_id) GROUP BY q.doc_id)
+SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(x, (2 * coalesce(rest, 0) + 1)::BIGINT))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)"""

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from harrow.llm import decontaminate, html_text, jaccard_join, lm_score, pii, piece_lattice, warc
+from harrow.llm import decontaminate, html_text, jaccard_join, lm_score, pii, piece_lattice, quality, warc
 
 from . import brute
 
@@ -92,6 +92,13 @@ def test_pii_calibration():
     assert (np.diff(p) >= -0.05).all() and p[0] < 0.3 < 0.7 < p[-1] and len(at) == len(p) == 12
 
 
+def test_line_ratio_alone_rejects(spark):
+    lines = [x for k in range(24) for x in (prose(9), "the same old line")]
+    texts = ["\n".join(lines), "\n".join(lines[::2]), "\n".join(lines) + "\n" + "\n".join(prose(9) for _ in range(12)), None, ""]
+    got = {r.i: (r.quality.base_failed, r.quality.kept) for r in quality.judge(spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "i int, text string, quality int")).collect()}
+    assert got == {0: (False, False), 1: (False, True), 2: (False, True), 3: (True, False), 4: (True, False)} and all(got[i][1] == brute.kept_by_quality(t) for i, t in enumerate(texts))
+
+
 def test_masks_miss_no_stretch():
     for n in range(decontaminate.SPAN, decontaminate.STRETCH + 1):
         for k in range(n - int(np.ceil(decontaminate.SHARE * n)) + 1):
