@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from harrow.functions import jsonops
@@ -154,16 +155,20 @@ def append_batches(path: str, key: list[str], order: list[str]) -> Callable[[Dat
 
 
 def live_ledger(path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps the latest event per unit and the totals; versions are folders, the last one counts."""
+    """A foreachBatch sink that keeps the latest event per unit and the totals; versions are folders, the last one counts, and a batch
+    that is run again starts from the newest version before it."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        both = batch
         try:
-            both = spark.read.schema(batch.schema).parquet(f"{path}/units/batch={batch_id - 1}").unionByName(batch)
+            stored = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/units").where(F.col("batch") < batch_id)
+            newest = stored.agg(F.max("batch")).first()[0]  # batches that were left out leave no version
+            if newest is not None:
+                both = stored.where(F.col("batch") == newest).drop("batch").unionByName(batch)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            both = batch
         units = both.groupBy("id").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "id"]), "seq").alias("u")).select("id", "u.*").select(*batch.columns)
         units.write.mode("overwrite").parquet(f"{path}/units/batch={batch_id}")
         records.totals(spark.read.schema(batch.schema).parquet(f"{path}/units/batch={batch_id}")).write.mode("overwrite").parquet(f"{path}/totals/batch={batch_id}")
