@@ -42,6 +42,8 @@ TAIL = TOP  # stands for all rarer subwords
 #: Rounds of averaging, which share out all training texts; windows of a step; rate. A task of few texts goes through them again until
 #: it has made LEAST_STEPS, at most MOST_PASSES times.
 ROUNDS, STEP_WINDOWS, RATE, LEAST_STEPS, MOST_PASSES = 3, 96, 0.02, 300, 8
+#: Windows that are scored together: few enough for their attention to stay in a core's cache.
+SCORED_WINDOWS = 64
 #: Words above 1 / HOT of all tokens are broadcast.
 HOT = 500_000
 #: Rows of the weights' exchange; groups of tasks whose weights are summed apart first.
@@ -159,19 +161,35 @@ def forward(w: dict, x: np.ndarray) -> dict:
     return {"e": e, "q": q, "k": k, "v": v, "s": s, "a": a, "h1": h1, "r": r, "h": h1 + r @ w["w2"]}
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def last_states(w: dict, x: np.ndarray, n_last: int) -> np.ndarray:
+    """Hidden states of the last places of each window, as ``forward`` gives them: the places before only lend keys and values."""
+    b, n = x.shape
+    e = w["emb"][x]
+    e += w["pos"][:n]
+    own = np.ascontiguousarray(e[:, n - n_last :]).reshape(b * n_last, DIM)
+    flat = e.reshape(b * n, DIM)
+    q = (own @ (w["wq"] * F32(DIM**-0.5))).reshape(b, n_last, DIM)
+    k, v = ((flat @ w[name]).reshape(b, n, DIM) for name in ("wk", "wv"))
+    s = q @ k.transpose(0, 2, 1)
+    np.clip(s, -REACH, REACH, out=s)
+    np.exp(s, out=s)
+    s *= MASK[n - n_last : n, :n]
+    a = s @ v
+    a /= s.sum(axis=2, keepdims=True)
+    h = own + a.reshape(b * n_last, DIM) @ w["wo"]
+    r = h @ w["w1"]
+    r += w["b1"]
+    np.maximum(r, 0, out=r)
+    h += r @ w["w2"]
+    return h
 
 
-def class_members(y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Places of the targets of each class."""
-    c = y // CLASS
-    order = np.argsort(c, kind="stable")
-    bounds = np.searchsorted(c[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        if bounds[k + 1] > bounds[k]:
-            yield k, order[bounds[k] : bounds[k + 1]]
+def softmax(z: np.ndarray) -> np.ndarray:
+    """Shares of the exponentials of each row, in place."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
 
 
 def log_sums(z: np.ndarray) -> np.ndarray:
@@ -207,21 +225,24 @@ def gradients(w: dict, x: np.ndarray, y: np.ndarray, live: np.ndarray) -> dict:
     c, (b, n) = forward(w, x), x.shape
     flat = lambda t: t.reshape(b * n, -1)
     rows = np.flatnonzero(live.ravel())
+    rows = rows[np.argsort(y.ravel()[rows], kind="stable")]  # targets of a class side by side
     h, t = c["h"][rows], y.ravel()[rows]
     g = {name: np.zeros_like(v) for name, v in w.items()}
     scale = F32(1.0 / max(len(rows), 1))
-    dz = np.exp(log_softmax(h @ w["cls"] + w["bc"]))
+    dz = softmax(h @ w["cls"] + w["bc"])
     dz[np.arange(len(t)), t // CLASS] -= 1
     dz *= scale
     g["cls"], g["bc"] = h.T @ dz, dz.sum(axis=0)
     dh_rows = dz @ w["cls"].T
-    for k, at in class_members(t):
-        part = slice(k * CLASS, (k + 1) * CLASS)
-        dt = np.exp(log_softmax(h[at] @ w["tok"][part].T + w["bt"][part]))
-        dt[np.arange(len(at)), t[at] - k * CLASS] -= 1
-        dt *= scale
-        g["tok"][part], g["bt"][part] = dt.T @ h[at], dt.sum(axis=0)
-        dh_rows[at] += dt @ w["tok"][part]
+    bounds = np.searchsorted(t, np.arange(CLASSES + 1) * CLASS)
+    for k, (first, end) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+        if first < end:
+            part, own = slice(k * CLASS, (k + 1) * CLASS), h[first:end]
+            dt = softmax(own @ w["tok"][part].T + w["bt"][part])
+            dt[np.arange(end - first), t[first:end] - k * CLASS] -= 1
+            dt *= scale
+            g["tok"][part], g["bt"][part] = dt.T @ own, dt.sum(axis=0)
+            dh_rows[first:end] += dt @ w["tok"][part]
     dh = np.zeros((b * n, DIM), F32)
     dh[rows] = dh_rows
     g["w2"] = flat(c["r"]).T @ dh
@@ -233,7 +254,9 @@ def gradients(w: dict, x: np.ndarray, y: np.ndarray, live: np.ndarray) -> dict:
     dv = c["s"].transpose(0, 2, 1) @ da
     ds = da @ c["v"].transpose(0, 2, 1)
     # scores at the ends of the range are as good as never reached; their gradient passes
-    ds = c["s"] * (ds - (ds * c["s"]).sum(axis=2, keepdims=True)) * F32(DIM**-0.5)
+    ds -= np.einsum("bij,bij->bi", ds, c["s"])[:, :, None]
+    ds *= c["s"]
+    ds *= F32(DIM**-0.5)
     dq, dk = ds @ c["k"], ds.transpose(0, 2, 1) @ c["q"]
     e = flat(c["e"])
     g["wq"], g["wk"], g["wv"] = e.T @ flat(dq), e.T @ flat(dk), e.T @ flat(dv)
@@ -453,13 +476,16 @@ class Model:
         c = self.compact[ids].astype(np.int64)
         out = np.zeros(len(total))
         x, y, live, text = windows(c, total)
-        for a in range(0, len(x), 512):
-            part = slice(a, a + 512)
-            h = forward(w, x[part])["h"]
-            rows = np.flatnonzero(live[part].ravel())
-            p = log_probs(w, h[rows], y[part].ravel()[rows])
-            owner = text[a + rows // WINDOW]
-            out += np.bincount(owner, weights=p.astype(np.float64), minlength=len(out))
+        begins = live[:, 0]  # a text's first window scores all its places, the others their last ones
+        for whole, n_last in ((True, WINDOW), (False, STRIDE)):
+            own = np.flatnonzero(begins == whole)
+            for a in range(0, len(own), 8 * SCORED_WINDOWS):
+                at = own[a : a + 8 * SCORED_WINDOWS]
+                places = live[at, WINDOW - n_last :]
+                h = np.concatenate([last_states(w, x[at[k : k + SCORED_WINDOWS]], n_last) for k in range(0, len(at), SCORED_WINDOWS)])[places.ravel()]
+                p = log_probs(w, h, y[at, WINDOW - n_last :][places])
+                owner = np.repeat(text[at], places.sum(axis=1))
+                out += np.bincount(owner, weights=p.astype(np.float64), minlength=len(out))
         out *= 1 / np.log(10.0)
         rest = self.tail[ids]
         rest[np.cumsum(total) - total] = 0  # the end in front is given
