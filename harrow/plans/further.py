@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from harrow.functions import casts, html, jsonops
+from harrow.functions import casts, jsonops
 from harrow.operators import harvest, monitor, pages, quality, records, stream
-from harrow.plans.registry import HOST, SNAP_SQL, SURF_SQL, events, load, query, snapshots
+from harrow.plans.registry import SURF_SQL, VIEWS, events, fnv_sql, load, query, snapshots
 from harrow.sources import readers
 
 # --- sources ---
@@ -131,8 +131,6 @@ x AS (SELECT 'anchor' AS view, '/nav' AS pointer, 'list' AS kind, len(regexp_ext
 SELECT view, pointer, kind, count(*) AS pages, sum(hits)::BIGINT AS hits FROM x GROUP BY ALL""")
 def facet_coverage(spark, d):
     """Hits of each pointer of a page's view."""
-    from harrow.plans.registry import VIEWS
-
     return pages.facets(load(spark, d, "pages").where(F.col("url").rlike("^[a-z]+://[^/]*/(en/[0-9]+|fr/|de/|es/)")), VIEWS).groupBy("view", "pointer", "kind").agg(F.count("*").alias("pages"), F.sum("hits").cast("long").alias("hits"))
 
 
@@ -416,12 +414,7 @@ def address_equality(spark, d):
 # --- publication, costs, payloads ---
 
 
-def _fnv(expression: str) -> str:
-    """FNV-1a over an ASCII text in SQL."""
-    return f"list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(1, length({expression}) + 1), lambda i: ascii(substr({expression}, i::INT, 1))::HUGEINT)), lambda h, x: (xor(h, x) * 16777619) % 4294967296)"
-
-
-@query(rf"""WITH h AS (SELECT c_custkey, c_name, c_mktsegment, {_fnv("c_name")} AS h FROM customer) SELECT c_custkey, (h)::BIGINT AS hash, '‹caption›' AS caption, c_mktsegment AS segment, 'https://example.invalid/' AS link FROM h""")
+@query(rf"""WITH h AS (SELECT c_custkey, c_name, c_mktsegment, {fnv_sql("c_name")} AS h FROM customer) SELECT c_custkey, (h)::BIGINT AS hash, '‹caption›' AS caption, c_mktsegment AS segment, 'https://example.invalid/' AS link FROM h""")
 def redactions(spark, d):
     """Pseudonyms, captions, safe keys and addresses."""
     c = load(spark, d, "customer")

@@ -84,7 +84,9 @@ def page_elements(spark, d):
     return e.groupBy("page_id").agg(*[F.count_if(F.col("tag") == t).alias(t) for t in ("li", "p", "a", "article")])
 
 
-@query()
+@query(r"""WITH p AS (SELECT html, regexp_matches(url, '^[a-z]+://[^/]*/en/[0-9]+') AS en, regexp_matches(url, '^[a-z]+://[^/]*/(fr|de|es)/') AS other FROM pages),
+x AS (SELECT 'anchor' AS view, '/nav' AS pointer, 'list' AS kind, len(regexp_extract_all(html, '<li>')) AS hits FROM p WHERE en OR NOT other UNION ALL SELECT 'anchor', '/title', 'field', 1 FROM p WHERE en OR NOT other UNION ALL SELECT 'foreign', '/title', 'field', len(regexp_extract_all(html, '<h1')) FROM p WHERE other)
+SELECT view, pointer, kind, count(*) AS pages, sum(hits)::BIGINT AS hits FROM x GROUP BY ALL""")
 def page_facets(spark, d):
     """Coverage of each pointer of a page's view."""
     return pages.facets(load(spark, d, "pages"), VIEWS).groupBy("view", "pointer", "kind").agg(F.count("*").alias("pages"), F.sum("hits").alias("hits"))
@@ -105,7 +107,7 @@ def blocked_pages(spark, d):
     return pages.blocked(load(spark, d, "pages"), ["table"], [r"© m\."])
 
 
-@query()
+@query("""SELECT 'cookie-banner' AS kind, count(DISTINCT contains(html, '<div class="ad">')) AS n FROM pages WHERE contains(html, '<div class="ad">') HAVING count(*) > 0""")
 def page_overlays(spark, d):
     """Dialogs over pages, made from each page's advert."""
     p = load(spark, d, "pages").withColumn("html", F.replace("html", F.lit('<div class="ad">'), F.lit('<div class="ad" role="dialog"><button>Close</button> Accept cookies ')))
@@ -115,7 +117,7 @@ def page_overlays(spark, d):
 
 @query()
 def page_structures(spark, d):
-    """Structure tokens, their SimHash, thresholds per view and drifted pages."""
+    """Structure tokens, their SimHash, thresholds per view and drifted pages."""
     p = load(spark, d, "pages")
     s = pages.structures(p).join(p.select("page_id", "url"), "page_id").withColumn("view", F.concat(F.lit("v"), F.regexp_extract("url", r"//[^/]*/([a-z]+)/", 1)))
     samples = records.capped(s.select("view", F.col("page_id").alias("sample"), "shape").withColumn("h", F.crc32(F.encode(F.col("sample").cast("string"), "UTF-8"))), ["view"], ["h", "sample"], F.lit(5))
@@ -151,7 +153,7 @@ def path_patterns(spark, d):
 
 @query()
 def derived_schema(spark, d):
-    """Stable fields, their types and lists across the pages of a language."""
+    """Stable fields, their types and lists across the pages of a language."""
     p = load(spark, d, "pages")
     e = pages.elements(p).where("tag IN ('title', 'h1', 'footer', 'article')").join(p.select("page_id", F.regexp_extract("url", r"//[^/]*/([a-z]+)/", 1).alias("view")), "page_id")
     values = e.select("view", F.col("page_id").alias("sample"), F.col("sig").alias("selector"), F.col("text").alias("value"), "i")
@@ -159,7 +161,7 @@ def derived_schema(spark, d):
     return harvest.item_schema(harvest.static_labels(fields).join(harvest.inferred_types(values), ["view", "selector"])).select("view", "selector", "varies", "type", F.array_join("json_type", "|").alias("json_type"))
 
 
-@query()
+@query(r"""WITH x AS (SELECT page_id, len(regexp_extract_all(html, '<li><a href="([^"]*)">', 1)) AS links FROM pages) SELECT page_id, round((1 + links)::DOUBLE / (2 + links), 6) AS share, (2 + links)::BIGINT AS n FROM x""")
 def grounding(spark, d):
     """Share of extracted values that are visible on their page."""
     p = load(spark, d, "pages")
@@ -227,7 +229,7 @@ def record_validation(spark, d):
 
 @query(r"""SELECT event_id, (json_extract(props, '$.k'))::BIGINT AS k, event_type || '' AS kind FROM events""")
 def json_pointers(spark, d):
-    """Pointer reads of JSON bodies."""
+    """Pointer reads of JSON bodies."""
     return load(spark, d, "events").select("event_id", jsonops.pointer_get(F.col("props"), "/k", "long").alias("k"), F.col("event_type").alias("kind"))
 
 
@@ -254,9 +256,20 @@ def scrubbed_texts(spark, d):
     return c.select("conv_id", "turn", harvest.scrubbed(F.col("text")).alias("shown"))
 
 
-@query()
+def fnv_sql(text: str) -> str:
+    """FNV-1a over an ASCII text in SQL."""
+    return f"list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i::INT, 1))::HUGEINT)), lambda h, x: (xor(h, x) * 16777619) % 4294967296)"
+
+
+def base36_sql(number: str) -> str:
+    """The first five digits of a number to the base 36 in SQL."""
+    return f"left(ltrim(array_to_string(list_transform(range(6, -1, -1), lambda i: substr('0123456789abcdefghijklmnopqrstuvwxyz', ({number} // (36 ** i)::HUGEINT % 36 + 1)::INT, 1)), ''), '0'), 5)"
+
+
+@query(f"""WITH h AS (SELECT c_custkey, c_mktsegment, {fnv_sql("c_name")} AS a, {fnv_sql("'https://site.example/u/' || c_custkey")} AS b FROM customer)
+SELECT c_custkey, 'creator_' || {base36_sql("a")} AS who, 'https://example.invalid/' || {base36_sql("b")} AS link, c_mktsegment AS count FROM h""")
 def redacted_records(spark, d):
-    """Records by key: names, addresses and ids as pseudonyms, numbers as they are."""
+    """Records by key: names, addresses and ids as pseudonyms, numbers as they are."""
     c = load(spark, d, "customer")
     return c.select("c_custkey", harvest.redacted(F.col("c_name"), F.lit("authorName")).alias("who"), harvest.redacted(F.concat(F.lit("https://site.example/u/"), F.col("c_custkey").cast("string")), F.lit("link")).alias("link"), harvest.redacted(F.col("c_mktsegment"), F.lit("playCount")).alias("count"))
 
@@ -386,7 +399,7 @@ def surface_messages(spark, d):
 
 @query(f"WITH {SURF_SQL} SELECT run_id, surface_id, replace(arg_max(model, seq), ' ', '') AS model FROM f GROUP BY ALL")
 def folded_surfaces(spark, d):
-    """Messages folded back to the final state of each surface."""
+    """Messages folded back to the final state of each surface."""
     folded = stream.fold_surfaces(stream.surface_messages(snapshots(spark, d)))
     return folded.select("run_id", "surface_id", "model")
 
@@ -504,9 +517,9 @@ def capture_stats(spark, d):
     return harvest.capture_stats(load(spark, d, "events").select(F.when(F.col("event_type") == "error", "{torn").otherwise(F.col("props")).alias("body")))
 
 
-@query()
+@query("""SELECT 'itemList' AS list, f AS field, t AS type, count(*) AS n FROM orders, (VALUES ('o_orderkey', 'number'), ('o_orderstatus', 'string'), ('stats.o_totalprice', 'number')) AS v(f, t) GROUP BY f, t""")
 def payload_fields(spark, d):
-    """Lists, fields and types of payloads."""
+    """Lists, fields and types of payloads."""
     o = load(spark, d, "orders").select(F.to_json(F.struct(F.lit(True).alias("hasMore"), F.array(F.struct("o_orderkey", "o_orderstatus", F.struct("o_totalprice").alias("stats"))).alias("itemList"))).alias("body"))
     each = o.select(F.explode(jsonops.payload_fields(F.col("body"))).alias("f"))
     return each.groupBy(F.col("f.list").alias("list"), F.col("f.field").alias("field"), F.col("f.type").alias("type")).agg(F.count("*").alias("n"))
@@ -538,7 +551,7 @@ def parity_mismatches(spark, d):
     return quality.mismatches(quality.judged_fields(quality.pair_by_key(*expected_produced(spark, d))))
 
 
-@query()
+@query("""SELECT 'n' || c_nationkey AS route, c_custkey::BIGINT AS seq, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey::BIGINT END AS produced_seq FROM customer""")
 def parity_keyless(spark, d):
     """Keyless records by best overlap."""
     c = load(spark, d, "customer")
@@ -550,7 +563,7 @@ def parity_keyless(spark, d):
 @query("""WITH c AS (SELECT user_id, event_type, value FROM events)
 SELECT user_id AS run_id, coalesce(avg(CASE WHEN event_type = 'click' THEN (value >= 20)::INT END), 1.0) AS list_parity_rate, coalesce(avg(CASE WHEN event_type = 'view' THEN value / 100 END), 1.0) AS render_equivalence_mean, count(*) FILTER (event_type IN ('view', 'click') AND NOT value >= 20) AS failed FROM c GROUP BY user_id""")
 def run_gates(spark, d):
-    """Rates and means of checks per run."""
+    """Rates and means of checks per run (A5)."""
     kind = F.when(F.col("event_type") == "view", "render-equivalence").when(F.col("event_type") == "click", "list-parity").otherwise("other")
     c = load(spark, d, "events").select(F.col("user_id").alias("run_id"), kind.alias("kind"), (kind == "other").__or__(F.col("value") >= 20).alias("pass"), (F.col("value") / 100).alias("score"))
     return quality.run_gate(c).select("run_id", "list_parity_rate", "render_equivalence_mean", "failed")
@@ -581,7 +594,7 @@ def error_classes(spark, d):
 
 @query(r"""SELECT event_id AS fault_id, CASE WHEN event_type = 'error' THEN 'blocked' WHEN event_id % 3 = 0 THEN 'unhandled-state' WHEN value < 30 THEN 'site-changed' WHEN event_type = 'view' THEN 'false-positive-drift' WHEN event_type = 'click' THEN 'transient' ELSE 'unknown' END AS classification FROM events""")
 def diagnoses(spark, d):
-    """Faults by their evidence."""
+    """Faults by their evidence."""
     t = F.col("event_type")
     e = load(spark, d, "events").select(
         F.col("event_id").alias("fault_id"), F.when(t == "error", "captcha").alias("blocked_hit"), F.when(F.col("event_id") % 3 == 0, "other").otherwise("list").alias("matched"), F.lit("list").alias("expected"), F.lit(True).alias("expected_matches"),
@@ -602,7 +615,7 @@ def network_logs(spark, d):
 
 @query(r"""SELECT event_id::VARCHAR AS span_id, event_type AS name, (json_extract(props, '$.k'))::VARCHAR AS k, event_type = 'error' AS is_open FROM events""")
 def trace_spans(spark, d):
-    """Spans flattened: typed attributes, open spans."""
+    """Spans flattened: typed attributes, open spans."""
     attr = F.array(F.struct(F.lit("k").alias("key"), F.struct(F.get_json_object("props", "$.k").alias("intValue")).alias("value")))
     span = F.struct(F.lit("t").alias("traceId"), F.col("event_id").cast("string").alias("spanId"), F.lit("").alias("parentSpanId"), F.col("event_type").alias("name"), F.lit("1700000000000000000").alias("startTimeUnixNano"),
         F.when(F.col("event_type") == "error", "0").otherwise("1700000001000000000").alias("endTimeUnixNano"), attr.alias("attributes"))
@@ -699,7 +712,7 @@ def call_accounting(spark, d):
 
 @query(r"""SELECT p_partkey AS line, v AS volume, (p_retailprice / 1000) * v + 0.5 * greatest(1, ceil(v / 1000.0)) AS usd FROM part, (SELECT unnest([1, 1000, 100000, 1000000])::BIGINT AS v)""")
 def listing_costs(spark, d):
-    """Listing prices by model and volume."""
+    """Listing prices by model and volume."""
     price = F.concat(F.lit('{"pricingModel":"PAY_PER_EVENT","pricingPerEvent":{"actorChargeEvents":{"item":{"eventTitle":"result","isPrimaryEvent":true,"eventPriceUsd":'), (F.col("p_retailprice") / 1000).cast("string"), F.lit('},"start":{"isOneTimeEvent":true,"eventPriceUsd":0.5}}}}'))
     p = load(spark, d, "part").select(F.col("p_partkey").alias("line"), F.explode(F.array(harvest.listing_price(price))).alias("p")).select("line", "p.*")
     return harvest.listing_costs(p).select("line", "volume", "usd")
