@@ -49,7 +49,7 @@ def planted():
         for _ in range(6):
             texts.append(prose(9) + " " + decoy + " " + prose(8))
             truth.append(set())
-    texts += [None, "", "mail a.b@c.example.org and 10.0.0.1 ok", "x" * 200_000, texts[0], "é🎉 " + texts[5]]
+    texts += [None, "", "mail a.b@c.example.org and 10.0.0.1 ok", "x " * 100_000 + "x" * 5_000, texts[0], "é🎉 " + texts[5]]
     truth += [set(), set(), {(0, 5, 22), (1, 27, 35)}, set(), truth[0], {(k, a + 3, b + 3) for k, a, b in truth[5]}]
     return texts, truth
 
