@@ -19,6 +19,11 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes of terms: ASCII letters and whatever isn't ASCII; with digits in the second.
+LETTER = np.arange(256) > 127
+LETTER[65:91] = LETTER[97:123] = True
+LETTER_OR_DIGIT = LETTER.copy()
+LETTER_OR_DIGIT[48:58] = True
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -69,10 +74,10 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed((sums[ends] - sums[starts]) * powers(STEP, len(sums))[starts])
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and how many each text has."""
+def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words (runs of bytes that ``inside`` marks), and how many each text has."""
     solid = np.zeros(len(data) + 2, bool)
-    solid[1:-1] = ~SPACE[data]
+    solid[1:-1] = inside[data]
     begins, stops = solid[1:-1] & ~solid[:-2], solid[1:-1] & ~solid[2:]
     cuts = offsets[1:-1]
     cuts = cuts[(cuts > 0) & (cuts < len(data))]
@@ -87,3 +92,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """Hashes of the lower-cased words of all texts, and how many each text has."""
     starts, ends, counts = words(data, offsets)
     return span_hashes(prefix_sums(LOWER[data]), starts, ends), counts
+
+
+def spans_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.StringArray:
+    """The byte spans as an Arrow array of strings."""
+    sizes = ends - starts
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    whole = data[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])] if len(starts) else np.zeros(0, np.uint8)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(whole)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, jaccard_join, lm_score, pii, piece_lattice, quality, suffix_dedup, token_counts, warc
+from . import decontaminate, html_text, jaccard_join, lexical, lm_score, pii, piece_lattice, quality, source_audit, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_warc": warc.op9_warc,
     "op10_html_text": html_text.op10_html_text,
+    "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_source_audit": source_audit.op13_source_audit,
 }
 
 ORACLES = {
@@ -24,4 +26,6 @@ ORACLES = {
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op9_warc": warc.OP9_SQL,
     "op10_html_text": html_text.OP10_SQL,
+    "op12_lexical_search": lexical.OP12_SQL,
+    "op13_source_audit": source_audit.OP13_SQL,
 }
