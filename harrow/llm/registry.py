@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, jaccard_join, lexical, lm_score, pii, piece_lattice, quality, source_audit, suffix_dedup, token_counts, warc
+from . import decontaminate, html_text, jaccard_join, lexical, lm_score, pii, piece_lattice, quality, source_audit, suffix_dedup, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_warc": warc.op9_warc,
     "op10_html_text": html_text.op10_html_text,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op12_lexical_search": lexical.op12_lexical_search,
     "op13_source_audit": source_audit.op13_source_audit,
 }
