@@ -6,7 +6,7 @@ hash of the term; within a slice it is reordered so that equal counts stand side
 each pair of sources the boundaries of both runs are united, so that a difference is computed once for a stretch of terms and
 multiplied by its length. Differences add up over slices.
 
-A slice holds the columns of at most two tiles of TILE sources, whatever the number of sources, and some CELLS counts at most.
+A slice holds the columns of at most two tiles of TILE sources, whatever the number of sources, and some SLICE terms.
 
 Special cases: null text, language and source are ''. Repeated rows count each time. A group whose texts hold no kept term takes
 part with counts of 0; a language without a kept term has pairs of value 0 and no terms. An empty table gives no rows. Very long
@@ -28,8 +28,8 @@ from ._shared import keep, table
 
 #: Parts of a whole that probabilities are told in, and what is added to each count.
 WHOLE, ADDED = 1_000_000_000, 5
-#: Sources in a tile, and counts in a slice.
-TILE, CELLS = 512, 1 << 18
+#: Sources in a tile, and terms in a slice, on average.
+TILE, SLICE = 512, 1024
 CHUNK = 8 << 20
 
 
@@ -140,7 +140,7 @@ def audit(docs: DataFrame, least_docs: int = 30, top: int = 50, text: str = "tex
     in_lang = terms.groupBy("lang").agg(F.count_if(F.col("term") != "").alias("kept"), F.sum("total").alias("lang_total"))
     groups = entries.groupBy("lang", "source").agg(F.sum("n").alias("source_total")).withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long") - 1)
     sizes = groups.groupBy("lang").agg(F.count("*").alias("n_sources"))
-    in_lang = in_lang.join(sizes, "lang").withColumn("slices", F.ceil(F.col("kept") * F.least("n_sources", F.lit(2 * TILE)) / CELLS)).withColumn("slices", F.greatest("slices", F.lit(1)))
+    in_lang = in_lang.join(sizes, "lang").withColumn("slices", F.greatest(F.ceil(F.col("kept") / SLICE), F.lit(1)))
     groups = keep(groups.join(in_lang, "lang"), "groups")  # one row per group
 
     def tiled(df: DataFrame) -> DataFrame:
