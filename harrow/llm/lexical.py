@@ -58,10 +58,10 @@ def known_terms(raw: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) ->
 class Corpus:
     """Statistics of the documents, as far as a vocabulary needs them."""
 
-    def __init__(self, vocabulary: np.ndarray, df: np.ndarray, n_docs: int, n_terms: int):
-        self.vocabulary, self.n_docs, self.n_terms = vocabulary, n_docs, n_terms
+    def __init__(self, vocabulary: np.ndarray, df: np.ndarray, n_docs: int, n_terms: int, coordinates: int = COORDINATES):
+        self.vocabulary, self.n_docs, self.n_terms, self.coordinates = vocabulary, n_docs, n_terms, coordinates
         self.weight = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * d + 1))) for d in df.tolist()], np.int64)
-        self.coordinate = (B.mixed(vocabulary) % B.U(COORDINATES)).astype(np.int64)
+        self.coordinate = (B.mixed(vocabulary) % B.U(coordinates)).astype(np.int64)
 
     def impacts(self, doc: np.ndarray, at: np.ndarray, tf: np.ndarray, per_text: np.ndarray) -> np.ndarray:
         m = 100 - 50 + (50 * per_text.astype(np.int64) * self.n_docs) // max(1, self.n_terms)
@@ -69,13 +69,13 @@ class Corpus:
 
     def sketches(self, doc: np.ndarray, at: np.ndarray, impact: np.ndarray, n: int) -> np.ndarray:
         """A row of coordinatewise maxima for each document; doubles hold these integers exactly."""
-        out = np.zeros((n, COORDINATES))
+        out = np.zeros((n, self.coordinates))
         order = np.argsort(impact, kind="stable")  # of the values that an assignment gives one place, the last one stays
         out[doc[order], self.coordinate[at[order]]] = impact[order]
         return out
 
 
-def statistics(texts: DataFrame, vocabulary: np.ndarray) -> Corpus:
+def statistics(texts: DataFrame, vocabulary: np.ndarray, coordinates: int = COORDINATES) -> Corpus:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, docs, terms = np.zeros(len(vocabulary), np.int64), 0, 0
         for batch in batches:
@@ -88,7 +88,7 @@ def statistics(texts: DataFrame, vocabulary: np.ndarray) -> Corpus:
 
     found = texts.select("text").mapInArrow(scan, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # two rows and one for each term at most
     n = dict(zip(found.column("at").to_pylist(), found.column("n").to_pylist()))
-    return Corpus(vocabulary, np.array([n.get(k, 0) for k in range(len(vocabulary))], np.int64), n.get(-2, 0), n.get(-1, 0))
+    return Corpus(vocabulary, np.array([n.get(k, 0) for k in range(len(vocabulary))], np.int64), n.get(-2, 0), n.get(-1, 0), coordinates)
 
 
 class Best:
@@ -108,9 +108,9 @@ class Best:
         self.score, self.known, self.key = s[order], k[order], i[order]
 
 
-def ranked(texts: DataFrame, corpus: Corpus, items: list[np.ndarray], top: int) -> DataFrame:
+def ranked(texts: DataFrame, corpus: Corpus, items: list[np.ndarray], top: int, step: int, chunk: int) -> DataFrame:
     """(item, key, score): the best documents of each item (places in the vocabulary) in each task."""
-    counts = np.zeros((COORDINATES, len(items)))
+    counts = np.zeros((corpus.coordinates, len(items)))
     for q, terms in enumerate(items):
         np.add.at(counts[:, q], corpus.coordinate[terms], 1)
 
@@ -120,7 +120,7 @@ def ranked(texts: DataFrame, corpus: Corpus, items: list[np.ndarray], top: int)
         for batch in batches:
             ids = batch.column(0)
             keys, known = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
-            for a, b, raw, offsets in B.text_chunks(batch, 1, CHUNK):
+            for a, b, raw, offsets in B.text_chunks(batch, 1, chunk):
                 doc, at, tf, per_text = known_terms(raw, offsets, corpus.vocabulary)
                 impact = corpus.impacts(doc, at, tf, per_text)
                 bounds = corpus.sketches(doc, at, impact, b - a) @ counts
@@ -131,7 +131,7 @@ def ranked(texts: DataFrame, corpus: Corpus, items: list[np.ndarray], top: int)
                     left = left[np.argsort(-bound[left], kind="stable")]
                     wanted[terms] = True
                     while len(left) and bound[left[0]] >= mine.threshold:
-                        now, left = left[:STEP], left[STEP:]
+                        now, left = left[:step], left[step:]
                         sizes = begins[now + 1] - begins[now]
                         ends = np.cumsum(sizes)
                         places = np.repeat(begins[now] - (ends - sizes), sizes) + np.arange(ends[-1])
@@ -150,19 +150,22 @@ def ranked(texts: DataFrame, corpus: Corpus, items: list[np.ndarray], top: int)
     return texts.select("key", "text").mapInArrow(scan, "item long, key long, score long")
 
 
-def batches(items: DataFrame) -> list[DataFrame]:
+def batches(items: DataFrame, most: int) -> list[DataFrame]:
     """The items (id, text) in parts of bounded size, dealt by a hash of their texts."""
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    parts = max(1, math.ceil(2 * n / ITEMS), math.ceil(2 * size / ITEM_BYTES)) if n > ITEMS or size > ITEM_BYTES else 1
+    parts = max(1, math.ceil(2 * n / most), math.ceil(2 * size / ITEM_BYTES)) if n > most or size > ITEM_BYTES else 1
     return [items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == p) for p in range(parts)]
 
 
-def search(docs: DataFrame, items: DataFrame, top: int = 50, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(item_id, rank, doc_id, score): the ``top`` best documents of each item. ``key`` is a column of integers."""
+def search(
+    docs: DataFrame, items: DataFrame, top: int = 50, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
+    coordinates: int = COORDINATES, step: int = STEP, chunk: int = CHUNK, most_items: int = ITEMS,
+) -> DataFrame:
+    """(item_id, rank, doc_id, score): the ``top`` best documents of each item. ``key`` is a column of integers. The last four change the work only."""
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     asked = items.select(F.col(f"`{item_key}`").alias("id"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("text"))
     spark, out = docs.sparkSession, None
-    for part in batches(asked):
+    for part in batches(asked, most_items):
         held = part.toArrow()
         terms = []
         for text_of in held.column("text").to_pylist():
@@ -171,7 +174,7 @@ def search(docs: DataFrame, items: DataFrame, top: int = 50, key: str = "doc_id"
         vocabulary = np.unique(np.concatenate([*terms, np.zeros(0, B.U)]))
         if not len(vocabulary):
             continue
-        found = ranked(texts, statistics(texts, vocabulary), [np.searchsorted(vocabulary, t) for t in terms], top)
+        found = ranked(texts, statistics(texts, vocabulary, coordinates), [np.searchsorted(vocabulary, t) for t in terms], top, step, chunk)
         order = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_first("key")))
         first = found.withColumn("rank", order.cast("int")).where(F.col("rank") <= top)
         names = spark.createDataFrame(pa.table({"item": pa.array(range(len(terms)), pa.int64()), "id": held.column("id")}))

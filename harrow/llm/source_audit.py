@@ -33,7 +33,7 @@ TILE, SLICE = 512, 1024
 CHUNK = 8 << 20
 
 
-def term_counts(texts: DataFrame) -> DataFrame:
+def term_counts(texts: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(lang, source, term, n, docs) from (lang, source, text), added up within pieces of a task, and a row with the term '' for each group."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +41,7 @@ def term_counts(texts: DataFrame) -> DataFrame:
             langs, sources = batch.column(0).dictionary_encode(), batch.column(1).dictionary_encode()
             n_sources = max(1, len(sources.dictionary))
             group = langs.indices.to_numpy().astype(np.int64) * n_sources + sources.indices.to_numpy()
-            for a, b, raw, offsets in B.text_chunks(batch, 2, CHUNK):
+            for a, b, raw, offsets in B.text_chunks(batch, 2, chunk):
                 data = B.LOWER[raw]
                 starts, ends, per_text = B.words(data, offsets, B.LETTER)
                 h = B.span_hashes(B.prefix_sums(data), starts, ends)
@@ -101,7 +101,7 @@ def distance(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     return int((np.abs(first - second) * lengths).sum())
 
 
-def slice_pairs(key: tuple, rows: pa.Table) -> pa.Table:
+def slice_pairs(key: tuple, rows: pa.Table, in_tile: int = TILE) -> pa.Table:
     """(lang, a, b, value) of the pairs of sources in one slice. Rows without a term tell a source's total and the vocabulary's size."""
     lang, _, one, two = (k.as_py() for k in key)
     at, n, kept = (rows.column(c).to_numpy() for c in ("at", "n", "kept"))
@@ -116,7 +116,7 @@ def slice_pairs(key: tuple, rows: pa.Table) -> pa.Table:
     for j, total in enumerate(totals.tolist()):
         starts, values = runs(counts[:, j])
         columns.append((starts, shares(values, total, kept) if len(values) else values))
-    tile = sources // TILE
+    tile = sources // in_tile
     out = [
         (int(sources[i]), int(sources[j]), distance(columns[i], columns[j], len(counts)) if len(counts) else 0)
         for i in range(len(sources))
@@ -127,11 +127,15 @@ def slice_pairs(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"lang": pa.array([lang] * len(out), pa.string()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "value": pa.array(value, pa.int64())})
 
 
-def audit(docs: DataFrame, least_docs: int = 30, top: int = 50, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def audit(
+    docs: DataFrame, least_docs: int = 30, top: int = 50, text: str = "text", lang: str = "lang", source: str = "source",
+    in_tile: int = TILE, in_slice: int = SLICE, chunk: int = CHUNK,
+) -> DataFrame:
     """(lang, source, part, item, value, rank): of each source the distance to every other source of its language (``pair``), and the
-    terms that it uses more than its language does (``term``, at most ``top``). Terms count that ``least_docs`` texts of a language hold."""
+    terms that it uses more than its language does (``term``, at most ``top``). Terms count that ``least_docs`` texts of a language hold. The last three
+    change the work only."""
     texts = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for n, c in (("lang", lang), ("source", source), ("text", text))])
-    met = term_counts(texts).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    met = term_counts(texts, chunk).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     # the exchange by (lang, term) serves both groupings; a term's list has an entry for each source at most
     terms = met.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("by"))
     terms = keep(terms.where((F.col("docs") >= least_docs) | (F.col("term") == "")).drop("docs"), "terms")
@@ -140,18 +144,18 @@ def audit(docs: DataFrame, least_docs: int = 30, top: int = 50, text: str = "tex
     in_lang = terms.groupBy("lang").agg(F.count_if(F.col("term") != "").alias("kept"), F.sum("total").alias("lang_total"))
     groups = entries.groupBy("lang", "source").agg(F.sum("n").alias("source_total")).withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long") - 1)
     sizes = groups.groupBy("lang").agg(F.count("*").alias("n_sources"))
-    in_lang = in_lang.join(sizes, "lang").withColumn("slices", F.greatest(F.ceil(F.col("kept") / SLICE), F.lit(1)))
+    in_lang = in_lang.join(sizes, "lang").withColumn("slices", F.greatest(F.ceil(F.col("kept") / in_slice), F.lit(1)))
     groups = keep(groups.join(in_lang, "lang"), "groups")  # one row per group
 
     def tiled(df: DataFrame) -> DataFrame:
-        own, tiles = F.floor(F.col("at") / TILE), F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_sources") - 1) / TILE))
+        own, tiles = F.floor(F.col("at") / in_tile), F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_sources") - 1) / in_tile))
         with_other = F.transform(tiles, lambda t: F.struct(F.least(t, own).alias("one"), F.greatest(t, own).alias("two")))
         return df.withColumn("tiles", F.explode(with_other)).select("lang", "slice", "tiles.one", "tiles.two", "term", "at", "n", "kept")
 
     known = entries.where("term != ''").join(groups, ["lang", "source"])
     cells = tiled(known.withColumn("slice", F.pmod(F.xxhash64("term"), "slices")))
     heads = tiled(groups.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).withColumn("term", F.lit(None).cast("string")).withColumn("n", F.col("source_total")))
-    found = cells.unionByName(heads).groupBy("lang", "slice", "one", "two").applyInArrow(slice_pairs, "lang string, a long, b long, value long")
+    found = cells.unionByName(heads).groupBy("lang", "slice", "one", "two").applyInArrow(lambda key, rows: slice_pairs(key, rows, in_tile), "lang string, a long, b long, value long")
     pairs = found.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     both = pairs.unionByName(pairs.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))
     name = groups.select("lang", "at", "source")
