@@ -7,20 +7,28 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from harrow.operators.keyed import KeyedTable
 
 STATUSES = ("running", "done", "failed", "skipped")
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write a table in the folder that the cluster shares and read it back, so that rounds of a loop don't grow their lineage."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the folder that the cluster shares."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """Write a table in the folder that the cluster shares and read it back, so that rounds of a loop don't grow their lineage."""
+    spark = df.sparkSession
+    path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -61,16 +69,34 @@ def not_stored(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     return new.join(known, on, "left_anti")
 
 
-def append_once(spark: SparkSession, new: DataFrame, path: str, key: list[str], order: list[str]) -> None:
-    """Append the records whose keys are not in the dataset at ``path``; running it again appends nothing."""
-    fresh = first_wins(new, F.to_json(F.struct(*key)), order)
-    try:
-        stored = spark.read.schema(new.schema).parquet(path)
-        fresh = not_stored(fresh, stored, key)
-    except Exception as e:  # the first run finds no dataset
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    fresh.write.mode("append").parquet(path)
+def last_batch(spark: SparkSession, path: str) -> int | None:
+    """The number of the last batch that ``append_once`` has stored."""
+    return KeyedTable(spark, f"{path}/_keys", StructType(), ["__key"], []).version()
+
+
+def append_once(spark: SparkSession, new: DataFrame, path: str, key: list[str], order: list[str], version: int | None = None) -> None:
+    """Append the records whose keys are not in the dataset at ``path`` yet; running it again appends nothing.
+
+    A version is a folder ``batch=<version>`` of records; their keys go to ``path/_keys``, in hash buckets, and make the version count.
+    A batch that failed in between writes over its own folder. Only the buckets of the batch's keys are read, and written to.
+    """
+    text = F.to_json(F.struct(*[F.col(f"`{k}`") for k in key]), {"ignoreNullFields": "false"})
+    own = new.withColumn("__key", text)
+    keys = KeyedTable(spark, f"{path}/_keys", StructType([StructField("__key", StringType())]), ["__key"], [], first=True)
+    if version is None:
+        newest = keys.version()
+        version = 0 if newest is None else newest + 1
+    fresh = first_wins(own, F.col("__key"), order).join(keys.lookup(own, version), "__key", "left_anti")
+    fresh.drop("__key").write.mode("overwrite").parquet(f"{path}/batch={version}")
+    keys.put(spark.read.schema(new.schema).parquet(f"{path}/batch={version}").select(text.alias("__key")), version)
+
+
+def stored_records(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The records that ``append_once`` has stored, without a batch that never ended."""
+    last = last_batch(spark, path)
+    if last is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path).where(F.col("batch") <= last).drop("batch")
 
 
 def capped(df: DataFrame, group: list[str], order: list, cap: Column) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -109,6 +110,39 @@ def item_records(folded: DataFrame, items: Column, limit: Column | None = None)
     return folded.select("run_id", "surface_id", F.posexplode(items).alias("item_no", "item"))
 
 
+@dataclass(frozen=True)
+class Route:
+    """Records of the surfaces of a view: one as a surface closes, or one for each entry of its list ``each``, as ``item``. ``fields`` are
+    Columns over ``model``, ``context`` (the last model of each view, as text) and ``item``; ``key`` names the field that tells records apart."""
+
+    dataset: str
+    view: str
+    fields: dict[str, Column]
+    each: Column | None = None
+    key: str | None = None
+
+
+def emitted(closed: DataFrame, routes: list[Route]) -> DataFrame:
+    """(dataset, key, record, run_id, seq, close_no, route_no, item_no) of closed surfaces, batch or stream. Without a key field the record is its key."""
+    out = None
+    for no, r in enumerate(routes):
+        own = closed.where(F.col("view") == r.view)
+        own = own.withColumn("item_no", F.lit(0)) if r.each is None else own.select("*", F.posexplode(r.each).alias("item_no", "item"))
+        record = F.to_json(F.struct(*[c.alias(k) for k, c in r.fields.items()]), {"ignoreNullFields": "false"})
+        key = record if r.key is None else F.coalesce(r.fields[r.key].cast("string"), F.lit("null"))
+        one = own.select(F.lit(r.dataset).alias("dataset"), key.alias("key"), record.alias("record"), "run_id", F.col("closed_seq").alias("seq"), "close_no", F.lit(no).alias("route_no"), "item_no")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def message_texts(messages: DataFrame, of: str = "seq") -> DataFrame:
+    """(run_id, seq, raw): messages as one JSON text each, in one order: ``seq`` counts the parts of a message in."""
+    value = F.when(F.col("has_value"), F.concat(F.lit(',"value":'), F.coalesce("value", F.lit("null")))).otherwise("")
+    path = F.when(F.col("path").isNotNull(), F.concat(F.lit(',"path":'), F.to_json(F.array("path")).substr(F.lit(2), F.length(F.to_json(F.array("path"))) - 2))).otherwise("")
+    raw = F.concat(F.lit('{"version":"0.9","'), "kind", F.lit('":{"surfaceId":"'), "surface_id", F.lit('"'), path, value, F.lit("}}"))
+    return messages.select("run_id", (F.col(of) * 1000 + F.col("part") + 1).cast("long").alias("seq"), raw.alias("raw"))
+
+
 def interrupt_intervals(presence: DataFrame) -> DataFrame:
     """(run_id, interrupt, from_seq, to_seq) from rows (run_id, seq, interrupts): each stretch of snapshots that shows one."""
     order = Window.partitionBy("run_id").orderBy("seq")

@@ -3,64 +3,114 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from harrow.functions import jsonops
-from harrow.operators import records
+from harrow.operators import keyed, records
+from harrow.operators.keyed import KeyedTable
+
+
+CLOSED = "surface_id string, view string, model string, context map<string,string>, closed_seq long, close_no int"
 
 
 class SurfaceFold(StatefulProcessor):
-    """State of one run: its open surfaces. A deleted surface gives its final model; an idle run's open ones close on a timer."""
+    """State of one run: its open surfaces, and the last model of each view, which is what records of other views may read.
+
+    A deleted surface gives its final model with that context. A run's end (a row without a message) closes what is open in the order
+    of creation; so does a timer for a run that has been idle.
+    """
 
-    def __init__(self, idle_ms: int = 60_000):
-        self.idle_ms = idle_ms
+    def __init__(self, views: list[str] | None, idle_ms: int):
+        self.views, self.idle_ms = views, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.models = handle.getMapState("models", "surface_id string", "model string, seq long")
+        self.last = handle.getMapState("last", "view string", "model string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out = []
-        pdf = pd.concat(list(rows)).sort_values("seq")
-        for raw, seq in zip(pdf["raw"], pdf["seq"]):
+        open_ = {k[0]: (json.loads(v[0]), v[1]) for k, v in self.models.iterator()}
+        last = {k[0]: v[0] for k, v in self.last.iterator()}
+        stored, seen, out = set(open_), dict(last), []
+        pdf = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        for raw, seq in zip(pdf["raw"], pdf["seq"].tolist()):
+            if raw is None:
+                out += self.closed(key, open_, last, seq)
+                open_ = {}
+                continue
             m = jsonops.loads(raw)
-            if not isinstance(m, dict) or "action" in m:
+            if not isinstance(m, dict) or "version" not in m or "action" in m:
+                continue
+            sid = next((m[k].get("surfaceId") for k in ("createSurface", "updateDataModel", "deleteSurface") if k in m), None)
+            if sid is None:
+                continue
+            if "deleteSurface" in m:
+                if sid in open_:
+                    out += self.closed(key, {sid: open_.pop(sid)}, last, seq)
                 continue
             if "createSurface" in m:
-                self.models.updateValue((m["createSurface"]["surfaceId"],), ("{}", int(seq)))
-            elif "updateDataModel" in m:
+                open_[sid] = ({}, seq)
+            else:
                 u = m["updateDataModel"]
-                sid = (u["surfaceId"],)
-                model = json.loads(self.models.getValue(sid)[0]) if self.models.containsKey(sid) else {}
-                self.models.updateValue(sid, (jsonops.canonical_text(jsonops.set_at(model, u.get("path", "/"), u.get("value", jsonops.ABSENT))), int(seq)))
-            elif "deleteSurface" in m:
-                sid = (m["deleteSurface"]["surfaceId"],)
-                if self.models.containsKey(sid):
-                    out.append((key[0], sid[0], self.models.getValue(sid)[0], int(seq)))
-                    self.models.removeKey(sid)
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield pd.DataFrame(out, columns=["run_id", "surface_id", "model", "closed_seq"])
+                model, opened = open_.get(sid, ({}, seq))
+                open_[sid] = (jsonops.set_at(model, u.get("path", "/"), u.get("value", jsonops.ABSENT)), opened)
+            view = view_name(sid)
+            if view == "control" or self.known(view):
+                last[view] = jsonops.canonical_text(open_[sid][0])
+        for sid in stored - set(open_):
+            self.models.removeKey((sid,))
+        for sid, (model, opened) in open_.items():
+            self.models.updateValue((sid,), (jsonops.canonical_text(model), opened))
+        for view, text in last.items():
+            if seen.get(view) != text:
+                self.last.updateValue((view,), (text,))
+        if self.idle_ms:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield self.frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        left = sorted(((k[0], v[0], v[1]) for k, v in self.models.iterator()), key=lambda x: x[2])
+        open_ = {k[0]: (json.loads(v[0]), v[1]) for k, v in self.models.iterator()}
+        out = self.closed(key, open_, {k[0]: v[0] for k, v in self.last.iterator()}, max([n for _, n in open_.values()], default=0))
         self.models.clear()
-        yield pd.DataFrame([(key[0], s, m, n) for s, m, n in left], columns=["run_id", "surface_id", "model", "closed_seq"])
+        yield self.frame(out)
+
+    def known(self, view: str) -> bool:
+        return self.views is None or view in self.views
+
+    def closed(self, key, open_: dict, last: dict[str, str], seq: int) -> list[tuple]:
+        ending = [sid for sid in sorted(open_, key=lambda s: open_[s][1]) if self.known(view_name(sid))]
+        return [(key[0], sid, view_name(sid), jsonops.canonical_text(open_[sid][0]), dict(last), seq, k) for k, sid in enumerate(ending)]
+
+    def frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["run_id", "surface_id", "view", "model", "context", "closed_seq", "close_no"])
 
     def close(self) -> None:
         pass
 
 
-def closed_surfaces(messages: DataFrame, idle_ms: int = 60_000) -> DataFrame:
-    """(run_id, surface_id, model, closed_seq) as surfaces close, from a stream of (run_id, seq, raw)."""
-    return messages.groupBy("run_id").transformWithStateInPandas(SurfaceFold(idle_ms), "run_id string, surface_id string, model string, closed_seq long", "Append", "ProcessingTime")
+def view_name(surface_id: str) -> str:
+    """``<space>:<view>-<n>`` to the view."""
+    return re.sub(r"^.*[:/]", "", re.sub(r"-\d+$", "", surface_id))
+
+
+def closed_surfaces(messages: DataFrame, idle_ms: int = 60_000, views: list[str] | None = None) -> DataFrame:
+    """(run_id, surface_id, view, model, context, closed_seq, close_no) as surfaces close, from a stream of (run_id, seq, raw).
+
+    ``context`` holds the last model of every view (of ``views``, and of ``control``) at that moment. A raw of null ends its run.
+    With ``idle_ms`` 0 nothing else does, and no timers are set.
+    """
+    run = messages.schema["run_id"].dataType.simpleString()
+    timers = "ProcessingTime" if idle_ms else "None"
+    return messages.groupBy("run_id").transformWithStateInPandas(SurfaceFold(views, idle_ms), f"run_id {run}, {CLOSED}", "Append", timers)
 
 
 def deduplicated(stream: DataFrame, key: list[str], event_time: str | None = None, delay: str | None = None) -> DataFrame:
@@ -146,36 +196,52 @@ def throttled(frames: DataFrame, every: str = "120 milliseconds", late: str = "1
 
 
 def append_batches(path: str, key: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that stores each key once, also when batches are run again or the query restarts."""
+    """A foreachBatch sink that stores each key once, also when batches are run again or another query starts over on the same folder."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        records.append_once(batch.sparkSession, batch, path, key, order)
+        spark = batch.sparkSession
+        last = records.last_batch(spark, path)
+        # a query that starts over counts from 0 again: its batches come after those that are there, unless they are the last one run again
+        records.append_once(spark, batch, path, key, order, batch_id if last is None or batch_id >= last else None)
 
     return write
 
 
-def live_ledger(path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps the latest event per unit and the totals; versions are folders, the last one counts, and a batch
-    that is run again starts from the newest version before it."""
+def ledger(spark: SparkSession, path: str, schema: T.StructType, buckets: int = 64) -> KeyedTable:
+    return KeyedTable(spark, f"{path}/units", schema, ["id"], ["seq"], buckets=buckets)
+
+
+def live_ledger(path: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that keeps the latest event of each unit and the totals. Of the units only the batch's are looked up and
+    written; totals change by what these units were and are. A batch that is run again starts from the version before it."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        both = batch
-        try:
-            stored = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/units").where(F.col("batch") < batch_id)
-            newest = stored.agg(F.max("batch")).first()[0]  # batches that were left out leave no version
-            if newest is not None:
-                both = stored.where(F.col("batch") == newest).drop("batch").unionByName(batch)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        units = both.groupBy("id").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "id"]), "seq").alias("u")).select("id", "u.*").select(*batch.columns)
-        units.write.mode("overwrite").parquet(f"{path}/units/batch={batch_id}")
-        records.totals(spark.read.schema(batch.schema).parquet(f"{path}/units/batch={batch_id}")).write.mode("overwrite").parquet(f"{path}/totals/batch={batch_id}")
+        units = ledger(spark, path, batch.schema, buckets)
+        before = units.version(batch_id)
+        newest = units.chosen(batch)
+        old = units.lookup(newest, batch_id)
+        was = old.select("id", F.col("seq").alias("__seq"), F.col("type").alias("__type"), F.col("status").alias("__status"))
+        changed = records.cut(newest.join(was, "id", "left").where("__seq IS NULL OR seq > __seq"), "changed")
+        counted = changed.select("type", "status", F.lit(1).alias("n")).unionByName(changed.where("__seq IS NOT NULL").select(F.col("__type").alias("type"), F.col("__status").alias("status"), F.lit(-1).alias("n")))
+        change = counted.groupBy("type").agg(*[F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n"))), F.lit(0)).alias(s) for s in records.STATUSES])
+        stored = ledger_totals(spark, path, before)
+        totals = stored.unionByName(change).groupBy("type").agg(*[F.sum(s).alias(s) for s in records.STATUSES])
+        totals.write.mode("overwrite").parquet(f"{path}/totals/v{batch_id}")
+        units.put(changed.select(*batch.columns), batch_id)
+        for n in keyed.names(spark, f"{path}/totals"):
+            if n not in (f"v{batch_id}", f"v{before}"):
+                keyed.remove(spark, f"{path}/totals/{n}")
 
     return write
 
 
+def ledger_totals(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """Units by type and status of a version of a live ledger; empty for no version."""
+    schema = "type string, " + ", ".join(f"{s} long" for s in records.STATUSES)
+    return spark.createDataFrame([], schema) if version is None else spark.read.schema(schema).parquet(f"{path}/totals/v{version}")
+
+
 def drift_alerts(pages: DataFrame, references: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Drifted pages of a stream, once per view."""
     from harrow.operators.monitor import similarity

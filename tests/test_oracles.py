@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from harrow.plans import further, registry  # noqa: F401  further registers its queries with registry
+from harrow.plans import further, live, registry  # noqa: F401  the first two register their queries with registry
 
 DATA = "/root/testdata/sf0.001"
 
