@@ -74,7 +74,7 @@ def last_batch(spark: SparkSession, path: str) -> int | None:
     return KeyedTable(spark, f"{path}/_keys", StructType(), ["__key"], []).version()
 
 
-def append_once(spark: SparkSession, new: DataFrame, path: str, key: list[str], order: list[str], version: int | None = None) -> None:
+def append_once(spark: SparkSession, new: DataFrame, path: str, key: list[str], order: list[str], version: int | None = None, buckets: int = 64) -> None:
     """Append the records whose keys are not in the dataset at ``path`` yet; running it again appends nothing.
 
     A version is a folder ``batch=<version>`` of records; their keys go to ``path/_keys``, in hash buckets, and make the version count.
@@ -82,7 +82,7 @@ def append_once(spark: SparkSession, new: DataFrame, path: str, key: list[str],
     """
     text = F.to_json(F.struct(*[F.col(f"`{k}`") for k in key]), {"ignoreNullFields": "false"})
     own = new.withColumn("__key", text)
-    keys = KeyedTable(spark, f"{path}/_keys", StructType([StructField("__key", StringType())]), ["__key"], [], first=True)
+    keys = KeyedTable(spark, f"{path}/_keys", StructType([StructField("__key", StringType())]), ["__key"], [], first=True, buckets=buckets)
     if version is None:
         newest = keys.version()
         version = 0 if newest is None else newest + 1

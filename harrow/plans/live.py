@@ -12,7 +12,7 @@ from harrow.streaming.replay import replay, stopping
 
 def emitted_through_stream(spark, messages, routes, views, path) -> None:
     """Messages through the live fold into the records of ``routes``, stored once each."""
-    sink = stopping(live.append_batches(path, ["dataset", "key"], ["seq", "close_no", "route_no", "item_no"]), 1)
+    sink = stopping(live.append_batches(path, ["dataset", "key"], ["seq", "close_no", "route_no", "item_no"], 8), 1)
     replay(messages, "seq", lambda s: stream.emitted(live.closed_surfaces(s, 0, views), routes).writeStream.foreachBatch(sink))
 
 
@@ -28,7 +28,7 @@ SELECT dataset, key, run_id, k, b AS bought, item FROM a QUALIFY row_number() OV
 def live_records(spark, d):
     """Messages through a stream into records of two routes, with the last purchase of the run, each key once."""
     snaps = snapshots(spark, d)
-    messages = stream.message_texts(stream.surface_messages(snaps))
+    messages = records.cut(stream.message_texts(stream.surface_messages(snaps)), "messages")
     end = messages.agg(F.max("seq")).first()[0]
     # runs end one after the other
     ends = snaps.select("run_id").distinct().select("run_id", (F.lit(end) + 1 + F.dense_rank().over(records.Window.orderBy("run_id"))).cast("long").alias("seq"), F.lit(None).cast("string").alias("raw"))
@@ -71,7 +71,7 @@ def live_units(spark, d):
 def live_first_wins(spark, d):
     """The first event of each kind and user through a stream, over a restart and a batch that is run again."""
     path, rows = records.shared_path(spark, "first"), events(spark, d).select("user_id", "event_type", "event_id")
-    sink = stopping(live.append_batches(path, ["user_id", "event_type"], ["event_id"]), 1)
+    sink = stopping(live.append_batches(path, ["user_id", "event_type"], ["event_id"], 8), 1)
     replay(rows, "event_id", lambda s: s.writeStream.foreachBatch(sink))
     return records.stored_records(spark, path, rows.schema)
 
@@ -82,7 +82,7 @@ def replayed_twice(spark, d):
     path = records.shared_path(spark, "twice")
     rows = events(spark, d).select("user_id", (F.get_json_object("props", "$.k").cast("long") % 10).alias("k"), "event_id")
     for slices in (2, 3):
-        replay(rows, "event_id", lambda s: s.writeStream.foreachBatch(live.append_batches(path, ["user_id", "k"], ["event_id"])), slices)
+        replay(rows, "event_id", lambda s: s.writeStream.foreachBatch(live.append_batches(path, ["user_id", "k"], ["event_id"], 8)), slices)
     return records.stored_records(spark, path, rows.schema)
 
 

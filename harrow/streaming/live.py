@@ -32,13 +32,18 @@ class SurfaceFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.models = handle.getMapState("models", "surface_id string", "model string, seq long")
-        self.last = handle.getMapState("last", "view string", "model string")
+        # one value of a run: a call for each entry of a map costs more than the texts of what is open
+        self.state = handle.getValueState("state", "open map<string,struct<model:string,seq:long>>, last map<string,string>")
+
+    def stored(self) -> tuple[dict, dict[str, str]]:
+        """Open surfaces (model, seq of creation) and the last model of each view."""
+        if not self.state.exists():
+            return {}, {}
+        held, last = self.state.get()
+        return {sid: (json.loads(v[0]), v[1]) for sid, v in held.items()}, dict(last)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        open_ = {k[0]: (json.loads(v[0]), v[1]) for k, v in self.models.iterator()}
-        last = {k[0]: v[0] for k, v in self.last.iterator()}
-        stored, seen, out = set(open_), dict(last), []
+        (open_, last), out = self.stored(), []
         pdf = pd.concat(list(rows)).sort_values("seq", kind="stable")
         for raw, seq in zip(pdf["raw"], pdf["seq"].tolist()):
             if raw is None:
@@ -64,13 +69,7 @@ class SurfaceFold(StatefulProcessor):
             view = view_name(sid)
             if view == "control" or self.known(view):
                 last[view] = jsonops.canonical_text(open_[sid][0])
-        for sid in stored - set(open_):
-            self.models.removeKey((sid,))
-        for sid, (model, opened) in open_.items():
-            self.models.updateValue((sid,), (jsonops.canonical_text(model), opened))
-        for view, text in last.items():
-            if seen.get(view) != text:
-                self.last.updateValue((view,), (text,))
+        self.state.update(({sid: (jsonops.canonical_text(model), opened) for sid, (model, opened) in open_.items()}, last))
         if self.idle_ms:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
@@ -78,9 +77,9 @@ class SurfaceFold(StatefulProcessor):
         yield self.frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        open_ = {k[0]: (json.loads(v[0]), v[1]) for k, v in self.models.iterator()}
-        out = self.closed(key, open_, {k[0]: v[0] for k, v in self.last.iterator()}, max([n for _, n in open_.values()], default=0))
-        self.models.clear()
+        open_, last = self.stored()
+        out = self.closed(key, open_, last, max([n for _, n in open_.values()], default=0))
+        self.state.update(({}, last))
         yield self.frame(out)
 
     def known(self, view: str) -> bool:
@@ -195,14 +194,14 @@ def throttled(frames: DataFrame, every: str = "120 milliseconds", late: str = "1
     return frames.withWatermark("ts", late).groupBy("scene_id", F.window("ts", every).alias("tick")).agg(F.min_by("payload", F.struct("ts", "payload")).alias("payload")).select("scene_id", F.col("tick.start").alias("start"), "payload")
 
 
-def append_batches(path: str, key: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
+def append_batches(path: str, key: list[str], order: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that stores each key once, also when batches are run again or another query starts over on the same folder."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         last = records.last_batch(spark, path)
         # a query that starts over counts from 0 again: its batches come after those that are there, unless they are the last one run again
-        records.append_once(spark, batch, path, key, order, batch_id if last is None or batch_id >= last else None)
+        records.append_once(spark, batch, path, key, order, batch_id if last is None or batch_id >= last else None, buckets)
 
     return write
 

@@ -37,6 +37,7 @@ def replay(rows: DataFrame, order: str, start: Callable[[DataFrame], DataStreamW
     """
     spark = rows.sparkSession
     source, state = records.shared_path(spark, "replay"), records.shared_path(spark, "state")
+    rows = records.cut(rows, "replayed")
     low, high = rows.agg(F.min(order), F.max(order)).first()
     if low is None:
         return

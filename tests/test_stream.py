@@ -3,9 +3,10 @@ import time
 
 from pyspark.sql import functions as F
 
-from harrow.operators import harvest, monitor, quality, records, stream
+from harrow.operators import harvest, keyed, monitor, quality, records, stream
+from harrow.operators.keyed import KeyedTable
 from harrow.sources import readers
-from harrow.streaming import live
+from harrow.streaming import live, replay
 
 
 def test_replay_equals_live(spark):
@@ -115,5 +116,76 @@ def test_live_ledger_and_dedupe(spark, tmp_path):
     _lines(source, "b.jsonl", [row(3, "u1", "done")])
     run(live.live_ledger(store), str(tmp_path / "c1"))
     run(live.append_batches(data, ["id"], ["seq"]), str(tmp_path / "c2"))
-    assert {r["id"]: r["status"] for r in spark.read.parquet(f"{store}/units/batch=1").collect()} == {"u1": "done", "u2": "running"}
+    table = live.ledger(spark, store, spark.createDataFrame([], schema).schema)
+    assert {r["id"]: r["status"] for r in table.rows().collect()} == {"u1": "done", "u2": "running"}
+    assert [tuple(r) for r in live.ledger_totals(spark, store, table.version()).collect()] == [("t", 1, 1, 0, 0)]
     assert sorted(r["seq"] for r in spark.read.parquet(data).collect()) == [1, 2]
+
+
+def _keyed(spark, path, **more):
+    return KeyedTable(spark, str(path), spark.createDataFrame([], "id string, seq long, v string").schema, ["id"], ["seq"], **more)
+
+
+def test_batches_write_in_proportion(spark, tmp_path):
+    table = _keyed(spark, tmp_path / "t", most=3)
+    table.put(spark.range(20_000).selectExpr("cast(id AS string) AS id", "id AS seq", "repeat(cast(id AS string), 20) AS v"), 0)
+    whole, grown = keyed.size(spark, table.path), []
+    for k in range(1, 5):
+        before = keyed.size(spark, f"{table.path}/rows")
+        rows = spark.createDataFrame([(str(k * 10 + j), 100_000 + k, f"new{k}") for j in range(10)], "id string, seq long, v string")
+        table.put(rows, k)
+        table.put(rows, k)  # run again under its number
+        grown.append(keyed.size(spark, f"{table.path}/rows") - before)
+        assert keyed.names(spark, f"{table.path}/contents") == [f"v={k - 1}", f"v={k}"]
+    assert max(grown) < whole / 8
+    assert max(sum(1 for b, _ in table.parts(4) if b == c) for c in range(64)) <= 3
+    got = {r["id"]: r["v"] for r in table.rows().where("v LIKE 'new%'").collect()}
+    assert got == {str(k * 10 + j): f"new{k}" for k in range(1, 5) for j in range(10)} and table.rows().count() == 20_000
+
+
+def test_crowded_buckets_and_old_rows(spark, tmp_path):
+    table = _keyed(spark, tmp_path / "t", buckets=2, most=2)
+    for k in range(6):
+        table.put(spark.createDataFrame([("a", k, f"a{k}"), (f"b{k}", 1, "b"), ("late", 10 - k, f"l{k}"), (None, k, f"n{k}")], "id string, seq long, v string"))
+    assert len(table.parts(table.version())) <= 4
+    got = {r["id"]: r["v"] for r in table.rows().collect()}
+    assert got == {"a": "a5", "late": "l0", None: "n5"} | {f"b{k}": "b" for k in range(6)}
+    ask = spark.createDataFrame([("a",), ("nowhere",)], "id string")
+    assert [(r["id"], r["v"]) for r in table.lookup(ask).collect()] == [("a", "a5")]
+    assert [r["v"] for r in table.lookup(ask, table.version()).collect()] == ["a4"]  # before the last batch
+    assert table.lookup(spark.createDataFrame([], "id string")).count() == 0
+    table.put(spark.createDataFrame([], "id string, seq long, v string"))
+    assert table.rows().count() == len(got)
+
+
+def test_a_failed_batch_leaves_nothing(spark, tmp_path):
+    path = str(tmp_path / "d")
+    df = spark.createDataFrame([(k, f"k{k % 3}") for k in range(6)], "seq long, k string")
+    records.append_once(spark, df, path, ["k"], ["seq"])
+    df.where("seq = 5").write.parquet(f"{path}/batch=1")  # a batch that ended before its keys were stored
+    assert sorted(r["seq"] for r in records.stored_records(spark, path, df.schema).collect()) == [0, 1, 2]
+    more = spark.createDataFrame([(7, "k1"), (8, "new"), (9, None), (10, None)], "seq long, k string")
+    records.append_once(spark, more, path, ["k"], ["seq"])
+    assert sorted(r["seq"] for r in records.stored_records(spark, path, df.schema).collect()) == [0, 1, 2, 8, 9]
+
+
+def test_records_at_close_read_other_views(spark):
+    m = lambda seq, **body: ("r", seq, json.dumps({"version": "0.9", **body}))
+    rows = [
+        m(1, createSurface={"surfaceId": "control-0"}), m(2, updateDataModel={"surfaceId": "control-0", "path": "/n", "value": 2}), m(3, createSurface={"surfaceId": "x:list-1"}),
+        m(4, updateDataModel={"surfaceId": "x:list-1", "path": "/items", "value": ["a", "b", "a"]}), m(5, action={"name": "go"}), ("r", 6, "{torn"), m(7, createSurface={"surfaceId": "odd-3"}),
+        m(8, createSurface={"surfaceId": "page-2"}), m(9, updateDataModel={"surfaceId": "page-2", "value": {"id": 5}}), m(10, deleteSurface={"surfaceId": "page-2"}), m(11, deleteSurface={"surfaceId": "never-9"}), ("r", 12, None),
+    ]
+    messages = spark.createDataFrame(rows, "run_id string, seq long, raw string")
+    got = []
+    replay.replay(messages, "seq", lambda s: live.closed_surfaces(s, 0, ["list", "page"]).writeStream.foreachBatch(lambda b, i: got.extend(b.collect())), slices=4)
+    assert [(r["surface_id"], r["view"], json.loads(r["model"]), {k: json.loads(v) for k, v in r["context"].items()}, r["closed_seq"]) for r in got] == [
+        ("page-2", "page", {"id": 5}, {"control": {"n": 2}, "list": {"items": ["a", "b", "a"]}, "page": {"id": 5}}, 10),
+        ("x:list-1", "list", {"items": ["a", "b", "a"]}, {"control": {"n": 2}, "list": {"items": ["a", "b", "a"]}, "page": {"id": 5}}, 12),
+    ]
+    routes = [
+        stream.Route("pages", "page", {"id": F.get_json_object("model", "$.id")}, key="id"),
+        stream.Route("names", "list", {"name": F.col("item"), "page": F.get_json_object(F.try_element_at("context", F.lit("page")), "$.id")}, F.from_json(F.get_json_object("model", "$.items"), "array<string>"), "name"),
+    ]
+    out = stream.emitted(spark.createDataFrame(got), routes).orderBy("seq", "route_no", "item_no").collect()
+    assert [(r["dataset"], r["key"], json.loads(r["record"]), r["item_no"]) for r in out] == [("pages", "5", {"id": "5"}, 0), ("names", "a", {"name": "a", "page": "5"}, 0), ("names", "b", {"name": "b", "page": "5"}, 1), ("names", "a", {"name": "a", "page": "5"}, 2)]
