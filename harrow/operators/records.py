@@ -86,8 +86,9 @@ def append_once(spark: SparkSession, new: DataFrame, path: str, key: list[str],
     if version is None:
         newest = keys.version()
         version = 0 if newest is None else newest + 1
-    fresh = first_wins(own, F.col("__key"), order).join(keys.lookup(own, version), "__key", "left_anti")
-    fresh.drop("__key").write.mode("overwrite").parquet(f"{path}/batch={version}")
+    first = first_wins(own, F.col("__key"), order).persist()  # read more than once; a stream's batch would be folded anew each time
+    first.join(keys.lookup(first, version), "__key", "left_anti").drop("__key").write.mode("overwrite").parquet(f"{path}/batch={version}")
+    first.unpersist()
     keys.put(spark.read.schema(new.schema).parquet(f"{path}/batch={version}").select(text.alias("__key")), version)
 
 

@@ -218,16 +218,18 @@ def live_ledger(path: str, buckets: int = 64) -> Callable[[DataFrame, int], None
         spark = batch.sparkSession
         units = ledger(spark, path, batch.schema, buckets)
         before = units.version(batch_id)
-        newest = units.chosen(batch)
+        newest = units.chosen(batch).persist()
         old = units.lookup(newest, batch_id)
         was = old.select("id", F.col("seq").alias("__seq"), F.col("type").alias("__type"), F.col("status").alias("__status"))
-        changed = records.cut(newest.join(was, "id", "left").where("__seq IS NULL OR seq > __seq"), "changed")
+        changed = newest.join(was, "id", "left").where("__seq IS NULL OR seq > __seq").persist()
         counted = changed.select("type", "status", F.lit(1).alias("n")).unionByName(changed.where("__seq IS NOT NULL").select(F.col("__type").alias("type"), F.col("__status").alias("status"), F.lit(-1).alias("n")))
         change = counted.groupBy("type").agg(*[F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n"))), F.lit(0)).alias(s) for s in records.STATUSES])
         stored = ledger_totals(spark, path, before)
         totals = stored.unionByName(change).groupBy("type").agg(*[F.sum(s).alias(s) for s in records.STATUSES])
         totals.write.mode("overwrite").parquet(f"{path}/totals/v{batch_id}")
         units.put(changed.select(*batch.columns), batch_id)
+        changed.unpersist()
+        newest.unpersist()
         for n in keyed.names(spark, f"{path}/totals"):
             if n not in (f"v{batch_id}", f"v{before}"):
                 keyed.remove(spark, f"{path}/totals/{n}")
