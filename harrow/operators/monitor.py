@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harrow.operators import stream, sweep
+
 # --- faults ---
 
 
@@ -214,21 +216,20 @@ def signature_difference(a: Column, b: Column) -> Column:
 
 
 def thinned_frames(frames: DataFrame, gap_ms: int = 250, least_change: float = 1.5) -> DataFrame:
-    """Frames to keep of each scene: apart in time from the last kept one and visibly different from it; the last one always."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t").reset_index(drop=True)
-        kept, at, sig = [], -np.inf, None
-        for k, (t, s) in enumerate(zip(pdf["t"], pdf["signature"])):
-            last = k == len(pdf) - 1
-            if not last and (t - at < gap_ms or (sig is not None and np.abs(np.asarray(s) - sig).mean() < least_change)):
-                continue
-            kept.append(k)
-            at, sig = t, np.asarray(s)
-        return pdf.iloc[kept][["scene_id", "t"]]
+    """Frames to keep of each scene (scene_id, t): apart in time from the last kept one and visibly different from it; the last one always.
+    Frames stream by in order; of a scene the last kept frame and the one before the next are held."""
+
+    def step(state, scene, t, signature):
+        kept, before = state or (None, None)
+        told = []
+        if before is not None and (kept is None or (before[0] - kept[0] >= gap_ms and sum(abs(x - y) for x, y in zip(before[1], kept[1])) / max(1, len(kept[1])) >= least_change)):
+            kept = before
+            told = [(scene, before[0])]
+        return (kept, (t, signature)), told
 
     kind = frames.schema["scene_id"].dataType.simpleString()
-    return frames.groupBy("scene_id").applyInPandas(keep, f"scene_id {kind}, t long")
+    rows = frames.select("scene_id", F.col("t").cast("long").alias("t"), "signature")
+    return stream.by_run(rows, "scene_id", ["t"], step, lambda scene, state: [(scene, state[1][0])], f"scene_id {kind}, t long")
 
 
 # --- timelines ---
@@ -244,13 +245,16 @@ def newest_before(events: DataFrame, marks: DataFrame, group: list[str], lane: s
 
 
 def largest_overlap(sessions: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """The transcript that overlaps each session longest: sessions (session_id, start, end), transcripts (file, start, end); both in days."""
-    day = 86_400_000
-    cut = lambda df: df.withColumn("day", F.explode(F.sequence(F.floor(F.col("start") / day), F.floor(F.col("end") / day))))
-    s = cut(sessions.select("session_id", F.col("start"), F.col("end")))
-    t = cut(transcripts.select("file", F.col("start"), F.col("end"))).select("file", F.col("start").alias("b0"), F.col("end").alias("b1"), "day")
-    hit = s.join(t, "day").where("start < b1 AND b0 < end").select("session_id", "file", (F.least("end", "b1") - F.greatest("start", "b0")).alias("ms")).distinct()
-    return hit.groupBy("session_id").agg(F.max_by("file", F.struct("ms", "file")).alias("file"), F.max("ms").alias("overlap_ms"))
+    """The transcript that overlaps each session longest: sessions (session_id, start, end), transcripts (file, start, end), whole numbers.
+    Of equal overlaps the last file by name counts; a touch is no overlap.
+
+    No join of all that overlap: three sweeps ask for the best of those that began before the session, that ended within it, and that
+    ended after it. So an interval of years costs as much as one of a minute.
+    """
+    t = transcripts.where("start < end").select(F.col("file").cast("string").alias("file"), F.col("start").cast("long").alias("b0"), F.col("end").cast("long").alias("b1"))
+    s = sessions.where("start < end").select("session_id", F.col("start").cast("long").alias("a0"), F.col("end").cast("long").alias("a1"))
+    found = sweep.swept(s, t, "a0", "b0", sweep.Before).unionByName(sweep.swept(s, t, "a1", "b1", sweep.Within)).unionByName(sweep.swept(s, t, "-a1", "-b1", sweep.After))
+    return found.groupBy("session_id").agg(F.max_by("file", F.struct("ms", "file")).alias("file"), F.max("ms").alias("overlap_ms"))
 
 
 def newest_within(rows: DataFrame, group: list[str], order: str, most: int | Column, size: str | None = None, budget: int | None = None) -> DataFrame:

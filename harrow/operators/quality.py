@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -59,25 +63,54 @@ def rarer_values(expected: DataFrame, produced: DataFrame) -> DataFrame:
 
 def pair_by_overlap(expected: DataFrame, produced: DataFrame) -> DataFrame:
     """Pairs of keyless expected records. Candidates are told by their rarer values, scores count matching fields, and each route takes the
-    best unused candidate in expected order, if it holds at least half of the fields.
+    best unused candidate in expected order (of equal ones the first produced), if it holds at least half of the fields.
 
-    Picks are made in rounds: a record takes its best candidate once no earlier record can still ask for it. Each round settles the
-    first open record of every route at least, and mostly all of them.
+    A fixed number of jobs. Records of equal fields are one class, so that copies list no pairs. Classes are compared, and the
+    greedy picks are one pass over the expected records, in order and group by group: groups are stretches of a route's order that
+    no produced class spans, so that no group can take a record of another. A task holds the numbers of a group's produced records.
     """
-    near = rarer_values(expected, produced)
-    filled = lambda m: F.explode(F.map_entries(F.map_filter(m, lambda k, v: v.isNotNull() & (v != "")))).alias("f")
-    both = near.join(expected.select("route", "seq", F.col("fields").alias("expected")), ["route", "seq"]).join(produced.select("route", F.col("seq").alias("produced_seq"), F.col("fields").alias("produced")), ["route", "produced_seq"])
-    each = both.select("route", "seq", "produced_seq", "produced", filled(F.col("expected")))
-    each = each.select("route", "seq", "produced_seq", casts.values_match(F.col("f.value"), F.try_element_at("produced", F.col("f.key"))).cast("int").alias("hit"))
-    scored = each.groupBy("route", "seq", "produced_seq").agg(F.sum("hit").alias("hits"), F.count("*").alias("need")).where("hits >= greatest(1, need / 2)").select("route", "seq", "produced_seq", "hits")
-    open_, pairs = records.cut(scored, "candidates"), None
-    while not open_.isEmpty():
-        best = open_.groupBy("route", "seq").agg(F.min_by("produced_seq", F.struct((-F.col("hits")).alias("a"), "produced_seq")).alias("produced_seq"))
-        first = open_.groupBy("route", "produced_seq").agg(F.min("seq").alias("seq"))
-        took = records.cut(best.join(first, ["route", "produced_seq", "seq"]), "pairs")
-        pairs = took if pairs is None else pairs.unionByName(took)
-        open_ = records.cut(open_.join(took.select("route", "seq"), ["route", "seq"], "left_anti").join(took.select("route", "produced_seq"), ["route", "produced_seq"], "left_anti"), "candidates")
-    pairs = scored.select("route", "seq", "produced_seq").limit(0) if pairs is None else pairs
+    digest = lambda df: df.withColumn("cls", F.sha2(F.to_json(F.array_sort(F.map_entries("fields"))), 256))
+    e, p = digest(expected), digest(produced)
+    classes = lambda df: df.groupBy("route", "cls").agg(F.first("fields").alias("fields"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+    ec, pc = classes(e), classes(p)
+    near = rarer_values(ec.withColumnRenamed("cls", "seq"), pc.withColumnRenamed("cls", "seq"))
+    filled = lambda m: F.map_filter(m, lambda k, v: v.isNotNull() & (v != ""))
+    both = near.join(ec.select("route", F.col("cls").alias("seq"), F.col("fields").alias("expected"), "first", "last"), ["route", "seq"])
+    both = both.join(pc.select("route", F.col("cls").alias("produced_seq"), F.col("fields").alias("produced")), ["route", "produced_seq"])
+    need = F.size(filled(F.col("expected")))
+    hits = F.size(F.filter(F.map_entries(filled(F.col("expected"))), lambda f: casts.values_match(f["value"], F.try_element_at("produced", f["key"]))))
+    edges = records.cut(both.select("route", F.col("seq").alias("cls"), F.col("produced_seq").alias("want"), hits.alias("hits"), need.alias("need"), "first", "last").where("hits >= greatest(1, need / 2)").drop("need"), "candidates")
+    # produced classes as stretches of the route's order; where none is open a new group begins
+    spans = edges.groupBy("route", "want").agg(F.min("first").alias("lo"), F.max("last").alias("hi"))
+    order = Window.partitionBy("route").orderBy("lo", "want")
+    open_to = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    groups = records.cut(spans.withColumn("grp", F.sum((F.col("lo") > F.coalesce(open_to, F.col("lo") - 1)).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))).select("route", "want", "grp"), "groups")
+    members = p.select("route", F.col("cls").alias("want"), F.col("seq").alias("produced_seq")).join(groups, ["route", "want"])
+    wanted = edges.join(groups, ["route", "want"]).groupBy("route", "cls", "grp").agg(F.array_sort(F.collect_list(F.struct((-F.col("hits")).alias("a"), F.col("want").alias("want")))).alias("wants"))
+    asks = e.select("route", "seq", "cls").join(wanted, ["route", "cls"])
+    kind = expected.schema["seq"].dataType.simpleString()
+    none = F.array().cast("array<struct<a:int,want:string>>")
+    rows = members.select("route", "grp", F.lit(0).alias("asks"), F.col("produced_seq").cast(kind).alias("seq"), "want", none.alias("wants")).unionByName(
+        asks.select("route", "grp", F.lit(1).alias("asks"), "seq", F.lit(None).cast("string").alias("want"), F.col("wants").cast("array<struct<a:int,want:string>>").alias("wants"))
+    )
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, left = None, {}
+        for pdf in batches:
+            out = []
+            for route, grp, asking, seq, want, wants in zip(*[pdf[c] for c in ("route", "grp", "asks", "seq", "want", "wants")]):
+                if (route, grp) != now:
+                    now, left = (route, grp), {}
+                if not asking:
+                    left.setdefault(want, deque()).append(seq)
+                    continue
+                best = min(((w["a"], left[w["want"]][0], w["want"]) for w in wants if left[w["want"]]), default=None)
+                if best:
+                    out.append((route, seq, left[best[2]].popleft()))
+            yield pd.DataFrame(out, columns=["route", "seq", "produced_seq"])
+
+    dealt = rows.repartition("route", "grp").sortWithinPartitions("route", "grp", "asks", "seq")
+    pairs = dealt.mapInPandas(pick, f"route string, seq {kind}, produced_seq {kind}")
     return expected.select("route", "seq", F.lit("?").alias("key"), F.col("fields").alias("expected")).join(
         pairs.join(produced.select("route", F.col("seq").alias("produced_seq"), F.col("fields").alias("produced")), ["route", "produced_seq"]), ["route", "seq"], "left"
     ).select("route", "seq", "key", "expected", "produced_seq", "produced")
@@ -179,10 +212,49 @@ def same_page(a: Column, b: Column) -> Column:
     return plain(a) == plain(b)
 
 
-def targets(queries: DataFrame, elements: DataFrame) -> DataFrame:
-    """The smallest clickable element whose label holds a query's token: queries (query_id, token), elements (i, hay, w, h)."""
-    hits = elements.join(queries, F.contains(F.lower("hay"), F.lower("token")))
-    return hits.groupBy("query_id").agg(F.min_by("i", F.struct((F.col("w") * F.col("h")).alias("area"), "i")).alias("i"))
+GRAM = 3
+
+
+def grams(text: Column) -> Column:
+    """The distinct runs of GRAM characters of a text; a shorter text has none."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - GRAM + 1, F.lit(1))), lambda k: F.substring(text, k, GRAM)))
+
+
+def clickable(elements: DataFrame) -> DataFrame:
+    """Links, buttons and what acts as one, of more than four pixels either way, from (tag, role, w, h)."""
+    return elements.where((F.lower("tag").isin("a", "button") | F.col("role").eqNullSafe("button")) & (F.col("w") > 4) & (F.col("h") > 4))
+
+
+def targets(queries: DataFrame, elements: DataFrame, page: list[str] | None = None) -> DataFrame:
+    """The smallest element whose label holds one of a query's tokens or, for a query without tokens, one of its words.
+
+    Queries are (query_id, token) or (query_id, tokens, words); elements (i, hay, w, h); ``page`` names columns that both have, so
+    that a query meets the elements of its own page only. Returns (page, query_id, i).
+
+    Needles meet labels by page and one run of three characters, of a needle the one that fewest labels hold; needles of fewer characters
+    by a list of the labels that hold them. No needle is held against every label.
+    """
+    page = page or []
+    if "token" in queries.columns:
+        queries = queries.withColumn("tokens", F.array("token")).withColumn("words", F.array().cast("array<string>"))
+    filled = lambda c: F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: x.isNotNull())
+    needle = F.explode(F.array_distinct(F.when(F.size(filled("tokens")) > 0, F.transform(filled("tokens"), F.lower)).otherwise(filled("words"))))
+    asked = queries.select(*page, "query_id", needle.alias("needle"))
+    labels = elements.select(*page, "i", F.lower("hay").alias("hay"), (F.col("w") * F.col("h")).alias("area")).where("hay IS NOT NULL")
+    needles = asked.select(*page, "needle").distinct()
+    posted = labels.select(*page, "i", "hay", "area", F.explode(grams(F.col("hay"))).alias("gram"))
+    often = posted.groupBy(*page, "gram").agg(F.count("*").alias("n"))
+    long = needles.where(F.length("needle") >= GRAM).select(*page, "needle", F.explode(grams(F.col("needle"))).alias("gram"))
+    rare = long.join(often, [*page, "gram"]).groupBy(*page, "needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("*").alias("__met"))
+    rare = rare.where(F.col("__met") == F.size(grams(F.col("needle")))).drop("__met")  # a needle with a run that no label has isn't there
+    found = posted.join(rare, [*page, "gram"]).where(F.col("hay").contains(F.col("needle")))
+    short = needles.where(F.length("needle") < GRAM)
+    runs = lambda k: F.transform(F.sequence(F.lit(1), F.length("hay") + 1 - k), lambda at: F.substring(F.col("hay"), at, k))
+    lengths = F.explode(F.array_distinct(F.concat(*[runs(k) for k in range(1, GRAM)], F.array(F.lit("")))))
+    small = labels.where(F.length("hay") >= GRAM - 1).select(*page, "i", "area", lengths.alias("needle")).unionByName(labels.where(F.length("hay") < GRAM - 1).select(*page, "i", "area", F.explode(F.array_distinct(F.array(F.lit(""), "hay"))).alias("needle")))
+    met = found.select(*page, "needle", "i", "area").unionByName(small.join(short, [*page, "needle"]).select(*page, "needle", "i", "area"))
+    best = met.groupBy(*page, "needle").agg(F.min_by("i", F.struct("area", "i")).alias("i"), F.min(F.struct("area", "i")).alias("place"))
+    return asked.join(best, [*page, "needle"]).groupBy(*page, "query_id").agg(F.min_by("i", "place").alias("i"))
 
 
 def bound_rows(components: DataFrame, models: DataFrame, bindings: dict[str, tuple[str, str]]) -> DataFrame:

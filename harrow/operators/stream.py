@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -161,22 +161,69 @@ def islands(rows: DataFrame, group: list[str], value: list[str], order: list[str
     return numbered.withColumn("repeat", F.row_number().over(Window.partitionBy(*group, "island").orderBy(*order)) - 1).drop("__turn")
 
 
-def breadcrumb(states: DataFrame) -> DataFrame:
-    """(run_id, crumbs): states in order; coming back to one cuts the trail behind it and counts the visit."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        trail: list[list] = []
-        for s in pdf.sort_values("seq")["state"]:
-            at = next((k for k, (x, _) in enumerate(trail) if x == s), None)
-            if at is None:
-                trail.append([s, 1])
-            else:
-                trail = trail[: at + 1]
-                trail[at][1] += 1
-        return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "crumbs": [">".join(f"{s}:{n}" for s, n in trail)]})
+def by_run(rows: DataFrame, run: str, order: list[str], step: Callable, end: Callable, schema: str) -> DataFrame:
+    """Fold each run's rows in order: ``step(state, *row)`` gives the next state and the rows to tell, ``end(run, state)`` those of a run's end.
+
+    Rows are dealt and sorted by Spark and stream by in pieces; of a run only its state is held, however long it is.
+    """
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    columns = rows.columns
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begun, now, state = False, None, None
+        for pdf in batches:
+            out = []
+            for row in zip(*[pdf[c].tolist() for c in columns]):
+                own = row[columns.index(run)]
+                if not begun or own != now:
+                    if begun:
+                        out += end(now, state)
+                    begun, now, state = True, own, None
+                state, told = step(state, *row)
+                out += told
+            yield pd.DataFrame(out, columns=names)
+        if begun:
+            yield pd.DataFrame(end(now, state), columns=names)
+
+    return rows.repartition(run).sortWithinPartitions(run, *order).mapInPandas(fold, schema)
 
+
+def breadcrumb(states: DataFrame) -> DataFrame:
+    """(run_id, crumbs): states in order; coming back to one cuts the trail behind it and counts the visit. A trail holds each state once at most."""
+
+    def step(trail, run, seq, state):
+        trail = trail or {}  # in order of entry
+        if state not in trail:
+            trail[state] = 0
+        else:
+            while next(reversed(trail)) != state:
+                trail.popitem()
+        trail[state] += 1
+        return trail, []
+
+    end = lambda run, trail: [(run, ">".join(f"{s}:{n}" for s, n in trail.items()))]
     kind = states.schema["run_id"].dataType.simpleString()
-    return states.groupBy("run_id").applyInPandas(walk, f"run_id {kind}, crumbs string")
+    return by_run(states.select("run_id", "seq", F.coalesce(F.col("state").cast("string"), F.lit("null")).alias("state")), "run_id", ["seq"], step, end, f"run_id {kind}, crumbs string")
+
+
+def burst_step(now: tuple | None, ms: int, payload, quiet_ms: int, most_ms: int) -> tuple[tuple, list[tuple]]:
+    """The open burst (begun, last, changes, payload) after one more change, and the burst that it ended, if any."""
+    if now is not None and ms - now[1] < quiet_ms and ms - now[0] < most_ms:
+        return (now[0], max(now[1], ms), now[2] + 1, payload), []
+    return (ms, ms, 1, payload), [] if now is None else [now]
+
+
+def bursts(changes: DataFrame, quiet_ms: int = 120, most_ms: int = 600) -> DataFrame:
+    """(run_id, begun, last, changes, payload): the last of each burst of changes (run_id, ms, seq, payload). A burst ends after a quiet time,
+    and ``most_ms`` after it began at the latest; so its end hangs on its beginning, and no session window tells it."""
+
+    def step(now, run, ms, seq, payload):
+        now, ended = burst_step(now, ms, payload, quiet_ms, most_ms)
+        return now, [(run, *x) for x in ended]
+
+    kind, run = (changes.schema[c].dataType.simpleString() for c in ("payload", "run_id"))
+    rows = changes.select("run_id", F.col("ms").cast("long").alias("ms"), "seq", "payload")
+    return by_run(rows, "run_id", ["ms", "seq"], step, lambda run, now: [(run, *now)], f"run_id {run}, begun long, last long, changes long, payload {kind}")
 
 
 def classified(raw: Column) -> Column:

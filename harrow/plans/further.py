@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions import casts, jsonops
 from harrow.operators import harvest, monitor, pages, quality, records, stream
-from harrow.plans.registry import SURF_SQL, VIEWS, events, fnv_sql, load, query, snapshots
+from harrow.plans.registry import SURF_SQL, VIEWS, events, base36_sql, fnv_sql, load, query, snapshots
 from harrow.sources import readers
 
 # --- sources ---
@@ -364,12 +364,16 @@ def state_trails(spark, d):
     return stream.breadcrumb(first.unionAll(rest))
 
 
-@query("""SELECT user_id AS scene_id, min((epoch_us(ts) // 1000))::BIGINT AS first_t, max((epoch_us(ts) // 1000))::BIGINT AS last_t, CASE WHEN min(epoch_us(ts)) = max(epoch_us(ts)) THEN 1 ELSE 2 END::BIGINT AS frames FROM events GROUP BY user_id""")
+@query("""WITH RECURSIVE e AS (SELECT user_id, (epoch_us(ts) // 1000) AS t, min((json_extract(props, '$.k'))::DOUBLE) AS a, min(value)::DOUBLE AS b FROM events GROUP BY ALL),
+x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) AS n, count(*) OVER (PARTITION BY user_id) AS m FROM e),
+r AS (SELECT user_id, n, t, true AS kept, t AS kt, a AS ka, b AS kb FROM x WHERE n = 1
+  UNION ALL SELECT user_id, n, t, keep, CASE WHEN keep THEN t ELSE kt END, CASE WHEN keep THEN a ELSE ka END, CASE WHEN keep THEN b ELSE kb END
+  FROM (SELECT x.*, kt, ka, kb, x.n = x.m OR (x.t - kt >= 7200000 AND (abs(x.a - ka) + abs(x.b - kb)) / 2 >= 20) AS keep FROM r JOIN x ON x.user_id = r.user_id AND x.n = r.n + 1))
+SELECT user_id AS scene_id, t FROM r WHERE kept""")
 def thinned_scenes(spark, d):
-    """Frames that look alike thin out to the first and the last one."""
-    f = events(spark, d).groupBy(F.col("user_id").alias("scene_id"), F.col("ms").alias("t")).agg(F.lit(1).alias("n")).select("scene_id", "t", F.array(F.lit(10.0), F.lit(20.0)).alias("signature"))
-    kept = monitor.thinned_frames(f, 250, 1.5)
-    return kept.groupBy("scene_id").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count("*").alias("frames"))
+    """Frames two hours or more after the last kept one that look unlike it, and the last one."""
+    e = events(spark, d).groupBy(F.col("user_id").alias("scene_id"), F.col("ms").alias("t")).agg(F.min(F.get_json_object("props", "$.k").cast("double")).alias("a"), F.min("value").cast("double").alias("b"))
+    return monitor.thinned_frames(e.select("scene_id", "t", F.array("a", "b").alias("signature")), 7_200_000, 20.0)
 
 
 @query("""SELECT conv_id, turn, text, role = 'user' AS input FROM conversations WHERE trim(text) <> ''""")
@@ -422,6 +426,20 @@ def redactions(spark, d):
         F.substring(harvest.redacted(F.concat(F.lit("https://x.example/"), F.col("c_custkey").cast("string")), F.lit("link")), 1, 24).alias("link"))
 
 
+@query(rf"""WITH h AS (SELECT *, {fnv_sql("c_name")} AS n, {fnv_sql("c_mktsegment")} AS m, {fnv_sql("'9' || lpad(c_custkey::VARCHAR, 15, '0')")} AS long_id, {fnv_sql("'@user' || c_custkey")} AS u, {fnv_sql("'https://site.example/v/' || c_custkey")} AS v FROM customer)
+SELECT c_custkey, '{{"author":{{"id":"7' || rpad({base36_sql("long_id")}, 5, '0') || '…' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') || '","names":["creator_' || {base36_sql("n")} || '",["creator_' || {base36_sql("m")} || '"]]}},"n":' || c_custkey || ',"note":"by @creator_' || {base36_sql("u")}
+  || ' today","videos":[{{"cover":"‹image›","desc":"‹caption›","playCount":"38.2K"}},{{"link":"https://example.invalid/' || {base36_sql("v")} || '","live":true,"title":null}}]}}' AS record FROM h""")
+def nested_redactions(spark, d):
+    """Records of some depth before they are published: lists of texts under a key, records in lists."""
+    key = F.col("c_custkey").cast("string")
+    author = F.struct(F.concat(F.lit("9"), F.lpad(key, 15, "0")).alias("id"))
+    record = F.concat(
+        F.lit('{"note":"by @user'), key, F.lit(' today","n":'), key, F.lit(',"author":{"names":["'), "c_name", F.lit('",["'), "c_mktsegment", F.lit('"]],"id":"'), author["id"], F.lit('"},"videos":[{"desc":"'), "c_name",
+        F.lit('","playCount":"38.2K","cover":"'), "c_name", F.lit('"},{"link":"https://site.example/v/'), key, F.lit('","title":null,"live":true}]}'),
+    )
+    return load(spark, d, "customer").select("c_custkey", harvest.redacted_json(record).alias("record"))
+
+
 @query("""SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN '38.2K|‹›' ELSE '12|‹›' END AS shown, 'creator bought, Mycreator did not' AS names FROM customer""")
 def redacted_displays(spark, d):
     """Display values: counts stay, sensitive ones go; names of a deny list as whole words."""

@@ -13,7 +13,7 @@ from harrow.streaming.replay import replay, stopping
 def emitted_through_stream(spark, messages, routes, views, path) -> None:
     """Messages through the live fold into the records of ``routes``, stored once each."""
     sink = stopping(live.append_batches(path, ["dataset", "key"], ["seq", "close_no", "route_no", "item_no"], 8), 1)
-    replay(messages, "seq", lambda s: stream.emitted(live.closed_surfaces(s, 0, views), routes).writeStream.foreachBatch(sink))
+    replay(messages, "seq", lambda s: stream.emitted(live.closed_surfaces(s, 0, views), routes).writeStream.foreachBatch(sink), slices=2)
 
 
 RECORD = "dataset string, key string, record string, run_id long, seq long, close_no int, route_no int, item_no int"
@@ -81,7 +81,7 @@ def replayed_twice(spark, d):
     """Two queries, one after the other and each from the start, over one folder: each key once."""
     path = records.shared_path(spark, "twice")
     rows = events(spark, d).select("user_id", (F.get_json_object("props", "$.k").cast("long") % 10).alias("k"), "event_id")
-    for slices in (2, 3):
+    for slices in (1, 2):
         replay(rows, "event_id", lambda s: s.writeStream.foreachBatch(live.append_batches(path, ["user_id", "k"], ["event_id"], 8)), slices)
     return records.stored_records(spark, path, rows.schema)
 

@@ -460,7 +460,12 @@ def spacing_audit(spark, d):
     return monitor.waits(ops, 60_000).select("run_id", "seq", F.col("wait_ms").cast("long").alias("wait_ms"))
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT user_id, event_type AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT user_id, n, [s] AS states, [1] AS visits FROM x WHERE n = 1
+  UNION ALL SELECT x.user_id, x.n, CASE WHEN list_contains(states, s) THEN states[1:list_position(states, s)] ELSE list_append(states, s) END,
+    CASE WHEN list_contains(states, s) THEN list_append(visits[1:list_position(states, s) - 1], visits[list_position(states, s)] + 1) ELSE list_append(visits, 1) END
+  FROM r JOIN x ON x.user_id = r.user_id AND x.n = r.n + 1)
+SELECT user_id AS run_id, array_to_string(list_transform(range(1, len(states) + 1), lambda k: states[k] || ':' || visits[k]), '>') AS crumbs FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1""")
 def breadcrumbs(spark, d):
     """States in order, cut back on re-entry."""
     return stream.breadcrumb(events(spark, d).select(F.col("user_id").alias("run_id"), "seq", F.col("event_type").alias("state")))
@@ -656,14 +661,14 @@ def scene_summaries(spark, d):
     return monitor.scene_summary(f, f.where("event_type = 'purchase'"))
 
 
-@query(r"""WITH s AS (SELECT user_id AS session_id, min((epoch_us(ts) // 1000)) AS a, min((epoch_us(ts) // 1000)) + 86400000 * (1 + user_id % 3) AS b FROM events GROUP BY user_id), t AS (SELECT 'f' || user_id AS file, min((epoch_us(ts) // 1000)) AS a, min((epoch_us(ts) // 1000)) + 43200000 AS b FROM events WHERE user_id % 5 = 0 GROUP BY user_id),
+@query(r"""WITH s AS (SELECT user_id AS session_id, min((epoch_us(ts) // 1000)) AS a, min((epoch_us(ts) // 1000)) + CASE WHEN user_id % 9 = 0 THEN 315360000000 ELSE 86400000 * (1 + user_id % 3) END AS b FROM events GROUP BY user_id), t AS (SELECT 'f' || user_id AS file, min((epoch_us(ts) // 1000)) AS a, min((epoch_us(ts) // 1000)) + CASE WHEN user_id % 2 = 0 THEN 60000 * (user_id % 11 + 1) ELSE 43200000 END AS b FROM events WHERE user_id % 5 <> 0 GROUP BY user_id),
 o AS (SELECT session_id, file, least(s.b, t.b) - greatest(s.a, t.a) AS ms FROM s JOIN t ON s.a < t.b AND t.a < s.b)
 SELECT session_id, arg_max(file, struct_pack(ms := ms, file := file)) AS file, max(ms)::BIGINT AS overlap_ms FROM o GROUP BY session_id""")
 def largest_overlaps(spark, d):
     """The transcript that overlaps each session longest."""
     first = events(spark, d).groupBy("user_id").agg(F.min("ms").alias("a"))
-    s = first.select(F.col("user_id").alias("session_id"), F.col("a").alias("start"), (F.col("a") + 86_400_000 * (1 + F.col("user_id") % 3)).alias("end"))
-    t = first.where("user_id % 5 = 0").select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), F.col("a").alias("start"), (F.col("a") + 43_200_000).alias("end"))
+    s = first.select(F.col("user_id").alias("session_id"), F.col("a").alias("start"), (F.col("a") + F.when(F.col("user_id") % 9 == 0, 315_360_000_000).otherwise(86_400_000 * (1 + F.col("user_id") % 3))).alias("end"))
+    t = first.where("user_id % 5 <> 0").select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), F.col("a").alias("start"), (F.col("a") + F.when(F.col("user_id") % 2 == 0, 60_000 * (F.col("user_id") % 11 + 1)).otherwise(43_200_000)).alias("end"))
     return monitor.largest_overlap(s, t)
 
 
@@ -682,13 +687,17 @@ def throttled_frames(spark, d):
     return live.throttled(e, "1 hour").select(F.col("scene_id").alias("run_id"), F.unix_millis("start").alias("tick"), F.col("payload").alias("event_id"))
 
 
-@query(r"""WITH x AS (SELECT user_id, event_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS turn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-y AS (SELECT *, sum(turn) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS b FROM x)
-SELECT user_id AS run_id, count(*) AS changes, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS event_id FROM y GROUP BY user_id, b""")
+BURST_SQL = """x AS (SELECT user_id, event_id, (epoch_us(ts) // 1000) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+r AS (SELECT user_id, n, event_id, ms, ms AS begun, 1 AS changes FROM x WHERE n = 1
+  UNION ALL SELECT x.user_id, x.n, x.event_id, x.ms, CASE WHEN x.ms - r.ms < 21600000 AND x.ms - begun < 43200000 THEN begun ELSE x.ms END, CASE WHEN x.ms - r.ms < 21600000 AND x.ms - begun < 43200000 THEN changes + 1 ELSE 1 END
+  FROM r JOIN x ON x.user_id = r.user_id AND x.n = r.n + 1)"""
+
+
+@query(f"""WITH RECURSIVE {BURST_SQL} SELECT user_id AS run_id, begun, max(ms) AS last, max(changes)::BIGINT AS changes, arg_max(event_id, n) AS payload FROM r GROUP BY user_id, begun""")
 def debounced_changes(spark, d):
-    """The last row of each burst of changes."""
-    e = events(spark, d).withColumn("at", F.col("ts").cast("timestamp"))
-    return e.groupBy(F.col("user_id").alias("run_id"), F.session_window("at", "6 hours").alias("w")).agg(F.count("*").alias("changes"), F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")).select("run_id", "changes", "event_id")
+    """The last row of each burst of changes; a burst of half a day is told though no quiet time came."""
+    e = events(spark, d).select(F.col("user_id").alias("run_id"), "ms", "seq", F.col("event_id").alias("payload"))
+    return stream.bursts(e, 6 * 3_600_000, 12 * 3_600_000)
 
 
 # --- costs ---
@@ -755,12 +764,17 @@ def merged_scenes(spark, d):
     return monitor.merged_scenes(e.where("version % 2 = 0"), e.where("version % 2 = 1"))
 
 
-@query(r"""SELECT t AS query_id, arg_min(p_partkey, struct_pack(a := p_partkey % 7 * (p_partkey % 5), b := p_partkey)) AS i FROM part, (SELECT unnest(['a', 'e', 'st']) AS t) WHERE contains(lower(p_name), t) GROUP BY t""")
+@query(r"""WITH e AS (SELECT p_partkey AS i, lower(p_name) AS hay, 5 + p_partkey % 7 AS w, 5 + p_partkey % 5 AS h, p_partkey % 3 AS page FROM part WHERE p_partkey % 4 <> 0 OR p_partkey % 8 = 0),
+q AS (SELECT page, query_id, token FROM range(3) p(page), (VALUES ('a', 'a'), ('two', 'bo'), ('long', 'gizmo'), ('any', 'ring'), ('any', 'blue'), ('none', 'qqq'), ('end', 'e')) v(query_id, token))
+SELECT q.page, query_id, arg_min(i, struct_pack(a := w * h, b := i)) AS i FROM e JOIN q ON e.page = q.page AND contains(hay, token) GROUP BY ALL""")
 def action_targets(spark, d):
-    """The smallest element whose label holds a token."""
-    tokens = spark.createDataFrame([(t, t) for t in ("a", "e", "st")], "query_id string, token string")
-    e = load(spark, d, "part").select(F.col("p_partkey").alias("i"), F.col("p_name").alias("hay"), (F.col("p_partkey") % 7).alias("w"), (F.col("p_partkey") % 5).alias("h"))
-    return quality.targets(tokens, e)
+    """The smallest element of a page whose label holds a token, or any of the words where there is none."""
+    asked = [("a", ["A"], ["metal"]), ("two", ["bO"], []), ("long", ["GIZMO"], None), ("any", [], ["ring", "blue"]), ("none", ["qqq"], ["a"]), ("end", None, ["e"])]
+    tokens = spark.createDataFrame([(p, *q) for p in range(3) for q in asked], "page long, query_id string, tokens array<string>, words array<string>")
+    k = F.col("p_partkey")
+    tag = F.when(k % 4 == 0, F.when(k % 8 == 0, "div").otherwise("span")).when(k % 4 == 1, "a").otherwise("BUTTON")
+    e = load(spark, d, "part").select((k % 3).alias("page"), k.alias("i"), F.col("p_name").alias("hay"), (5 + k % 7).alias("w"), (5 + k % 5).alias("h"), tag.alias("tag"), F.when(k % 8 == 0, "button").alias("role"))
+    return quality.targets(tokens, quality.clickable(e), ["page"])
 
 
 @query(r"""SELECT page_id, rtrim(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/') = rtrim(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/') AS same FROM pages""")

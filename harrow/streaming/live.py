@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from harrow.functions import jsonops
-from harrow.operators import keyed, records
+from harrow.operators import keyed, records, stream
 from harrow.operators.keyed import KeyedTable
 
 
@@ -158,10 +158,8 @@ class _Bursts(StatefulProcessor):
         now = tuple(self.open.get()) if self.open.exists() else None
         told = []
         for ms, payload in zip(pdf["ms"].tolist(), pdf["payload"]):
-            if now is not None and (ms - now[1] >= self.quiet_ms or ms - now[0] >= self.most_ms):
-                told.append(now)
-                now = None
-            now = (ms, ms, 1, payload) if now is None else (now[0], max(now[1], ms), now[2] + 1, payload)
+            now, ended = stream.burst_step(now, ms, payload, self.quiet_ms, self.most_ms)
+            told += ended
         self.open.update(now)
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)

@@ -1,4 +1,5 @@
 import json
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -43,6 +44,24 @@ def test_thinning_and_hashes(spark):
     assert [r["t"] for r in monitor.thinned_frames(frames).orderBy("t").collect()] == [0, 400, 900]
 
 
+def test_long_runs_stream_by(spark):
+    """One run of 300,000 states and one scene of as many frames, in pieces of some thousand rows."""
+    n = 300_000
+    states = spark.range(n).select(F.lit("long").alias("run_id"), F.col("id").alias("seq"), F.concat(F.lit("s"), F.when(F.col("id") < n - 2, F.col("id")).otherwise(7).cast("string")).alias("state"))
+    short = spark.createDataFrame([("b", 2, "y"), ("b", 1, "x"), ("b", 3, "x"), ("b", 4, None), ("b", 5, "z"), ("b", 6, None)], "run_id string, seq long, state string")
+    got = {r["run_id"]: r["crumbs"] for r in stream.breadcrumb(states.unionByName(short)).collect()}
+    assert got == {"long": ">".join(f"s{k}:{3 if k == 7 else 1}" for k in range(8)), "b": "x:2>null:2"}
+    frames = spark.range(n).select(F.lit("one").alias("scene_id"), (F.col("id") * 100).alias("t"), F.array((F.col("id") / 1000).cast("double")).alias("signature"))
+    assert monitor.thinned_frames(frames).count() == n // 1500 + 1
+
+
+def test_bursts_end_after_quiet_or_at_their_bound(spark):
+    rows = [("r", 0, 1), ("r", 100, 2), ("r", 219, 3), ("r", 339, 4)] + [("long", 100 * k, k) for k in range(20)] + [("one", 5, 9), ("tie", 7, 2), ("tie", 7, 1)]
+    df = spark.createDataFrame([(r, ms, n, f"p{n}") for r, ms, n in rows], "run_id string, ms long, seq long, payload string")
+    got = sorted(tuple(r) for r in stream.bursts(df).collect())
+    assert got == [("long", 0, 500, 6, "p5"), ("long", 600, 1100, 6, "p11"), ("long", 1200, 1700, 6, "p17"), ("long", 1800, 1900, 2, "p19"), ("one", 5, 5, 1, "p9"), ("r", 0, 219, 3, "p3"), ("r", 339, 339, 1, "p4"), ("tie", 7, 7, 2, "p2")]
+
+
 def test_dhash(spark):
     import numpy as np
 
@@ -62,6 +81,84 @@ def test_overlap_pairing(spark):
     assert got == {0: 0, 1: 1, 2: None}
 
 
+def _fields(spark, rows):
+    return quality.fields_of(spark.createDataFrame([("r", k, json.dumps(x)) for k, x in rows], "route string, seq long, record string"))
+
+
+def _greedy(expected, produced):
+    used, out = set(), {}
+    for k, e in expected:
+        scored = [(-sum(p.get(f) == v for f, v in e.items()), n) for n, p in produced if n not in used]
+        best = min(scored, default=(0, None))
+        out[k] = best[1] if -best[0] >= max(1, len(e) / 2) else None
+        used.add(out[k])
+    return out
+
+
+def test_overlap_pairing_is_greedy(spark):
+    rng = random.Random(4)
+    make = lambda n: [(k, {f: f"{f}{rng.randrange(6)}x" for f in rng.sample("abcde", rng.randrange(2, 5))}) for k in range(n)]
+    e, p = make(120), make(90)
+    e += [(200 + k, {"a": "copy", "b": "copy"}) for k in range(30)]
+    p += [(300 + k, {"a": "copy", "b": "copy"}) for k in range(20)]
+    got = {r["seq"]: r["produced_seq"] for r in quality.pair_by_overlap(_fields(spark, e), _fields(spark, p)).collect()}
+    assert got == _greedy(e, p)
+
+
+def test_overlap_pairing_of_a_chain_and_of_copies(spark):
+    """Each record of the chain could take the one before it; a hundred thousand equal records share their values."""
+    n = 10_000
+    chain = spark.range(n).select(F.lit("r").alias("route"), F.col("id").alias("seq"), F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array(F.concat(F.lit("v"), F.col("id").cast("string"), F.lit("x")), F.concat(F.lit("w"), (F.col("id") + 1).cast("string"), F.lit("x")))).alias("fields"))
+    links = spark.range(1, n + 1).select(F.lit("r").alias("route"), F.col("id").alias("seq"), F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array(F.concat(F.lit("v"), F.col("id").cast("string"), F.lit("x")), F.concat(F.lit("w"), F.col("id").cast("string"), F.lit("x")))).alias("fields"))
+    got = quality.pair_by_overlap(chain, links).where("produced_seq IS NOT NULL")
+    assert got.agg(F.count("*"), F.min(F.col("produced_seq") - F.col("seq")), F.max(F.col("produced_seq") - F.col("seq"))).first()[:] == (n, 1, 1)
+    same = spark.range(100_000).select(F.lit("r").alias("route"), F.col("id").alias("seq"), F.create_map(F.lit("a"), F.lit("all")).alias("fields"))
+    got = quality.pair_by_overlap(same, same.where("seq % 2 = 0"))
+    assert got.agg(F.count("produced_seq"), F.max(F.abs(F.col("produced_seq") - 2 * F.col("seq")))).first()[:] == (50_000, 0)
+
+
+def test_targets_are_found_without_a_nested_loop(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abÉ ") for _ in range(rng.randrange(0, 9)))
+    els = [(p, k, word(), rng.randrange(1, 9), rng.randrange(1, 9)) for p in range(3) for k in range(40)] + [(0, 99, None, 1, 1)]
+    qs = [(p, f"q{k}", [word() for _ in range(rng.randrange(3))], [word().lower() for _ in range(2)]) for p in range(4) for k in range(9)]
+    e, q = spark.createDataFrame(els, "page int, i int, hay string, w int, h int"), spark.createDataFrame(qs, "page int, query_id string, tokens array<string>, words array<string>")
+    found = quality.targets(q, e, ["page"])
+    want = {}
+    for page, name, tokens, words in qs:
+        needles = [t.lower() for t in tokens] or words
+        own = [(w * h, i) for p, i, hay, w, h in els if p == page and hay is not None and any(x in hay.lower() for x in needles)]
+        if own:
+            want[page, name] = min(own)[1]
+    assert {(r["page"], r["query_id"]): r["i"] for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_largest_overlap_is_brute_force(spark):
+    rng = random.Random(9)
+    span = lambda most: (a := rng.randrange(-500, 2000), a + rng.randrange(0, most))
+    ss = [(k, *span(rng.choice([3, 60, 900]))) for k in range(150)] + [(500, 0, 315_360_000_000), (501, 10, 11), (502, 5, 5)]
+    ts = [(f"f{k}", *span(rng.choice([3, 60, 900]))) for k in range(120)] + [("years", -315_360_000_000, 300), ("instant", 40, 40), ("far", 10**11, 10**11 + 60_000)]
+    got = monitor.largest_overlap(spark.createDataFrame(ss, "session_id long, start long, end long"), spark.createDataFrame(ts, "file string, start long, end long"))
+    want = {}
+    for k, a, b in ss:
+        own = [(min(b, y) - max(a, x), f) for f, x, y in ts if min(b, y) > max(a, x)]
+        if own:
+            want[k] = max(own)
+    assert {r["session_id"]: (r["overlap_ms"], r["file"]) for r in got.collect()} == want
+
+
+def test_nested_redaction(spark):
+    secret = {"author": {"id": "7300000000000000001", "names": ["Ann", ["Bob"]]}, "list": [{"desc": "hi"}, "by @ann", 12, 1.5, True, None], "playCount": "38K", "deep": [[[[{"nick": "x"}]]]]}
+    rows = [json.dumps(secret), '"@ann says"', "[]", "{torn", None, "5"]
+    got = [r["r"] for r in spark.createDataFrame([(t,) for t in rows], "t string").select(harvest.redacted_json(F.col("t")).alias("r")).collect()]
+    out = json.loads(got[0])
+    assert out["author"]["names"][0].startswith("creator_") and out["author"]["names"][1][0].startswith("creator_") and out["author"]["id"].endswith("…001")
+    assert out["list"][0] == {"desc": "‹caption›"} and out["list"][1].startswith("by @creator_") and out["list"][2:] == [12, 1.5, True, None] and out["playCount"] == "38K"
+    assert out["deep"][0][0][0][0]["nick"].startswith("creator_") and got[1].startswith('"@creator_') and got[2:] == ["[]", None, None, "5"]
+
+
 def test_listing_prices(spark):
     tiers = '{"pricingModel":"PAY_PER_EVENT","pricingPerEvent":{"actorChargeEvents":{"r":{"isPrimaryEvent":true,"eventTieredPricingUsd":{"FREE":{"tieredEventPriceUsd":0.004},"GOLD":{"tieredEventPriceUsd":0.002}}},"s":{"isOneTimeEvent":true,"eventPriceUsd":0.1}}}}'
     p = spark.createDataFrame([(tiers,), ('{"pricingModel":"PRICE_PER_DATASET_ITEM","pricePerUnitUsd":5,"unitName":"1000 results"}',), ('{"pricingModel":"FLAT_PRICE_PER_MONTH","pricePerUnitUsd":30}',), (None,)], "x string")
