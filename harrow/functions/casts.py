@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 from urllib.parse import urljoin, urlsplit
 
@@ -12,6 +14,12 @@ from pyspark.sql import functions as F
 _WHITE = r"[\s\x{00A0}\x{FEFF}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1680}]+"
 
 
+#: Rules of the casts, for Columns and for single values alike: a leading number, a count with its unit, and what the units mean.
+NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+COUNT = r"(?i)([\d.,]+)\s*([KMB])?"
+UNITS = {"K": 1e3, "M": 1e6, "B": 1e9}
+
+
 def normalised(c: Column) -> Column:
     """White space runs as one space, ends trimmed."""
     return F.trim(F.regexp_replace(c, _WHITE, " "))
@@ -23,18 +31,20 @@ def normalised_lower(c: Column) -> Column:
 
 def _number(text: Column) -> Column:
     """The leading number of a text, as parseFloat reads it; null for none."""
-    return F.expr("try_cast(NULL AS DOUBLE)") if text is None else F.regexp_extract(text, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1).try_cast("double")
+    return F.regexp_extract(text, NUMBER, 1).try_cast("double")
 
 
 def _multiplier(unit: Column) -> Column:
-    return F.when(F.upper(unit) == "K", 1e3).when(F.upper(unit) == "M", 1e6).when(F.upper(unit) == "B", 1e9).otherwise(1.0)
+    out = F.lit(1.0)
+    for letter, times in UNITS.items():
+        out = F.when(F.upper(unit) == letter, times).otherwise(out)
+    return out
 
 
 def count(c: Column) -> Column:
     """``38.2K`` as 38200: found anywhere, commas dropped, rounded half up; null where there is no number."""
-    pattern = r"(?i)([\d.,]+)\s*([KMB])?"
-    n = _number(F.regexp_replace(F.regexp_extract(c, pattern, 1), ",", ""))
-    return F.floor(n * _multiplier(F.regexp_extract(c, pattern, 2)) + 0.5).cast("long")
+    n = _number(F.regexp_replace(F.regexp_extract(c, COUNT, 1), ",", ""))
+    return F.floor(n * _multiplier(F.regexp_extract(c, COUNT, 2)) + 0.5).cast("long")
 
 
 def display_count(c: Column) -> Column:
@@ -63,7 +73,7 @@ def as_bool(c: Column) -> Column:
 
 def as_seconds(c: Column) -> Column:
     """``1:02:03`` as 3723; null if a part is no number (an empty part is 0)."""
-    parts = F.transform(F.split(F.trim(c), ":"), lambda p: F.when(F.trim(p) == "", F.lit(0.0)).otherwise(F.trim(p).try_cast("double")))
+    parts = F.transform(F.split(F.trim(c), ":"), lambda p: F.when(F.trim(p) == "", F.lit(0.0)).when(F.trim(p).rlike(NUMBER + "$"), F.trim(p).try_cast("double")))
     return F.aggregate(parts, F.lit(0.0), lambda a, x: a * 60 + x)
 
 
@@ -98,10 +108,58 @@ def _resolve(link: str | None, page: str | None) -> str | None:
 CASTS = {"string": as_string, "int": as_int, "float": as_float, "count": count, "bool": as_bool, "seconds": as_seconds}
 
 
+def _whole(x: float | None) -> float | int | None:
+    """A number as JSON tells it."""
+    return int(x) if x is not None and x.is_integer() else x
+
+
+def _leading(text: str) -> float | None:
+    m = re.match(NUMBER, text, re.ASCII)
+    return float(m[1]) if m else None
+
+
+def _count_of(v: str) -> int | None:
+    m = re.search(COUNT, v, re.ASCII)
+    n = _leading(m[1].replace(",", "")) if m else None
+    return None if n is None else math.floor(n * UNITS.get((m[2] or "").upper(), 1.0) + 0.5)
+
+
+def _int_of(v: str) -> int | None:
+    m = re.match(r"-?\d+", re.sub(r"[^\d-]", "", v, flags=re.ASCII), re.ASCII)
+    return int(m[0]) if m else None
+
+
+def _seconds_of(v: str) -> float | int | None:
+    total = 0.0
+    for part in v.strip().split(":"):
+        m = re.fullmatch(NUMBER, part.strip(), re.ASCII) if part.strip() else None
+        if part.strip() and not m:
+            return None
+        total = total * 60 + (float(m[1]) if m else 0.0)
+    return _whole(total)
+
+
+#: The same casts for single values, as page models apply them: (text, address of the page).
+PLAIN = {
+    "string": lambda v, page: v,
+    "int": lambda v, page: _int_of(v),
+    "float": lambda v, page: _whole(_leading(v)),
+    "count": lambda v, page: _count_of(v),
+    "bool": lambda v, page: v not in ("", "false"),
+    "seconds": lambda v, page: _seconds_of(v),
+    "url": lambda v, page: _resolve(v, page),
+}
+
+
+def plain(v: str | None, kind: str, page: str = ""):
+    """One text cast; null stays null, and an unknown kind is an error."""
+    if kind not in PLAIN:
+        raise ValueError(f"no cast is named {kind!r}")
+    return None if v is None else PLAIN[kind](v, page)
+
+
 def capture(c: Column, pattern: str) -> Column:
     """Group 1 where the pattern has one and it took part, else the whole match, else null."""
-    import re
-
     whole = F.regexp_extract(c, pattern, 0)
     group = re.compile(pattern.replace("(?<", "(?P<") if "(?<" in pattern and "(?<=" not in pattern and "(?<!" not in pattern else pattern).groups
     # a group that took no part reads as the empty text; one that matched the empty text reads the same and yields it

@@ -173,42 +173,84 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, most_bits: int = 12) ->
     return both.withColumn("bits", bits).withColumn("outcome", F.when(F.col("stored").isNull(), "miss").when(F.col("bits") > most_bits, "visual-drift").otherwise("hit"))
 
 
-def _grey(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
-    x = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(float)
-    return x[..., 0] if channels == 1 else x[..., 2] * 0.299 + x[..., 1] * 0.587 + x[..., 0] * 0.114  # stored as BGR
+def _pixels(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
+    """Rows, columns and channels of an image as Spark's image source gives it: blue, green, red."""
+    return np.frombuffer(data, np.uint8).reshape(height, width, channels)
 
 
-def _boxes(grey: np.ndarray, rows: int, cols: int) -> np.ndarray:
-    r = np.linspace(0, grey.shape[0], rows + 1).astype(int)
-    c = np.linspace(0, grey.shape[1], cols + 1).astype(int)
-    return np.array([[grey[a : max(b, a + 1), x : max(y, x + 1)].mean() for x, y in zip(c[:-1], c[1:])] for a, b in zip(r[:-1], r[1:])])
+def _grey(x: np.ndarray) -> np.ndarray:
+    """Thousandths of grey, as whole numbers: equal areas then compare as equal."""
+    x = x.astype(np.int64)
+    return x[..., 0] * 1000 if x.shape[-1] == 1 else x[..., 2] * 299 + x[..., 1] * 587 + x[..., 0] * 114
 
 
-def dhash(images: DataFrame) -> DataFrame:
-    """Add the 64-bit difference hash of rows of Spark's image source; the pixels are dropped."""
+def _boxes(grey: np.ndarray, rows: int, cols: int, sampled: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and number of the pixels of each cell of a grid. ``sampled``: of a side of a cell every eighth part, whole steps."""
+    h, w = grey.shape
+    sums, n = np.zeros((rows, cols), np.int64), np.zeros((rows, cols), np.int64)
+    cut = lambda k, size, parts: (k * size // parts, max(k * size // parts + 1, (k + 1) * size // parts))
+    for r in range(rows):
+        y0, y1 = cut(r, h, rows)
+        for c in range(cols):
+            x0, x1 = cut(c, w, cols)
+            own = grey[y0 : y1 : max(1, (y1 - y0) >> 3), x0 : x1 : max(1, (x1 - x0) >> 3)] if sampled else grey[y0:y1, x0:x1]
+            sums[r, c], n[r, c] = own.sum(), own.size
+    return sums, n
+
 
-    @F.pandas_udf("long")
-    def hashed(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.Series:
-        out = []
-        for d, h, w, c in zip(data, height, width, channels):
-            b = _boxes(_grey(d, h, w, c), 8, 9)
-            bits = (b[:, :-1] < b[:, 1:]).ravel()
-            out.append(int(np.packbits(bits).view(">i8")[0]))
-        return pd.Series(out, dtype="int64")
+def _of_images(images: DataFrame, kind: str, f) -> DataFrame:
+    """The columns of rows of Spark's image source with ``f(pixels)`` for the image; the pixels are dropped."""
+
+    @F.pandas_udf(kind)
+    def told(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([f(_pixels(*image)) for image in zip(*batch)], dtype=object)
 
     i = F.col("image")
-    return images.select(*[c for c in images.columns if c != "image"], i["origin"].alias("origin"), hashed(i["data"], i["height"], i["width"], i["nChannels"]).alias("dhash"))
+    return images.select(*[c for c in images.columns if c != "image"], i["origin"].alias("origin"), told(i["data"], i["height"], i["width"], i["nChannels"]).alias("__told"))
+
+
+def dhash(images: DataFrame) -> DataFrame:
+    """Add the 64-bit difference hash of rows of Spark's image source."""
+
+    def hashed(x: np.ndarray) -> int:
+        s, n = _boxes(_grey(x), 8, 9, sampled=True)
+        bits = s[:, :-1] * n[:, 1:] < s[:, 1:] * n[:, :-1]
+        return int(np.packbits(bits.ravel()).view(">i8")[0])
+
+    return _of_images(images, "long", hashed).withColumnRenamed("__told", "dhash")
 
 
 def signature(images: DataFrame) -> DataFrame:
-    """Add the 8 x 8 grey signature of rows of Spark's image source."""
+    """Add the 8 x 8 grey signature of rows of Spark's image source, rounded half up."""
 
-    @F.pandas_udf("array<double>")
-    def signed(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.Series:
-        return pd.Series([np.round(_boxes(_grey(d, h, w, c), 8, 8)).ravel().tolist() for d, h, w, c in zip(data, height, width, channels)])
+    def signed(x: np.ndarray) -> list[float]:
+        s, n = _boxes(_grey(x), 8, 8)
+        return ((2 * s + 1000 * n) // (2000 * n)).ravel().astype(float).tolist()
 
-    i = F.col("image")
-    return images.select(*[c for c in images.columns if c != "image"], i["origin"].alias("origin"), signed(i["data"], i["height"], i["width"], i["nChannels"]).alias("signature"))
+    return _of_images(images, "array<double>", signed).withColumnRenamed("__told", "signature")
+
+
+def mosaic(images: DataFrame, block: int = 6, most_width: int = 640) -> DataFrame:
+    """Rows of Spark's image source with the image in blocks of one colour each, so that its layout can be published but nothing read from
+    it: scaled down by ``block`` and up again (to ``most_width`` at most), each pixel that of the nearest place."""
+
+    def nearest(x: np.ndarray, h: int, w: int) -> np.ndarray:
+        rows, cols = ((2 * np.arange(to) + 1) * size // (2 * to) for to, size in ((h, x.shape[0]), (w, x.shape[1])))
+        return x[rows][:, cols]
+
+    def blocked(x: np.ndarray) -> bytes:
+        h, w = x.shape[:2]
+        half_up = lambda a, b: (2 * a + b) // (2 * b)
+        small = nearest(x, max(1, half_up(h, block)), max(1, half_up(w, block)))
+        out_w = min(most_width, w)
+        return nearest(small, max(1, half_up(h * out_w, w)), out_w).tobytes()
+
+    w, h = F.col("image.width"), F.col("image.height")
+    out_w = F.least(F.lit(most_width), w)
+    sized = images.withColumns({"__h": F.greatest(F.lit(1), F.floor((2 * h * out_w + w) / (2 * w))).cast("int"), "__w": out_w, "__n": F.col("image.nChannels")})
+    told = _of_images(sized, "binary", blocked)
+    return told.withColumn("image", F.struct(F.col("__h").alias("height"), F.col("__w").alias("width"), F.col("__n").alias("nChannels"), F.col("__told").alias("data"))).drop("__h", "__w", "__n", "__told")
 
 
 def signature_difference(a: Column, b: Column) -> Column:

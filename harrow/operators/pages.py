@@ -27,24 +27,10 @@ def stripped(html: Column) -> Column:
 
 
 def _cast(v: str | None, spec: dict, url: str):
-    from urllib.parse import urljoin
-
     if v is not None and spec.get("re"):
         m = re.search(spec["re"], v)
         v = None if m is None else m[1] if m.re.groups and m[1] is not None else m[0]
-    if v is None:
-        return None
-    kind = spec.get("as", "string")
-    if kind == "count":
-        m = re.search(r"([\d.,]+)\s*([KMB])?", v, re.I)
-        n = re.match(r"\d+\.?\d*|\.\d+", m[1].replace(",", "")) if m else None
-        return int(float(n[0]) * {"K": 1e3, "M": 1e6, "B": 1e9}.get((m[2] or "").upper(), 1) + 0.5) if n else None
-    if kind == "int":
-        m = re.match(r"-?\d+", re.sub(r"[^\d-]", "", v))
-        return int(m[0]) if m else None
-    if kind == "url":
-        return urljoin(url, v.strip())
-    return v
+    return casts.plain(v, spec.get("as", "string"), url)
 
 
 def field_value(page: Page, spec: dict, root: Element | None, url: str):

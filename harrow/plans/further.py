@@ -104,6 +104,26 @@ def field_forms(spark, d):
     return out.select("page_id", F.coalesce("first_link", F.lit("")).alias("first_link"), "here", F.regexp_replace("advert", "&amp;", "&").alias("advert"), "embedded", "cover", "image")
 
 
+@query(r"""WITH k AS (SELECT page_id AS k, len(html) AS n FROM pages)
+SELECT k AS page_id, k % 60 + 60 * (n % 60) + 3600 * (k % 3) AS seconds, CASE WHEN k % 4 = 0 THEN NULL ELSE k % 90 END AS short, ((n * 10 + 5) / 100.0)::DOUBLE AS ratio, k % 3 <> 0 AS live,
+  CASE k % 3 WHEN 0 THEN k * 1000 + 500 WHEN 1 THEN k * 1000000 ELSE k END AS plays, -k AS change, regexp_extract(url, '^[a-z]+://[^/]*', 0) || '/v/' || k AS link FROM k JOIN pages ON page_id = k""")
+def field_casts(spark, d):
+    """Durations, numbers, flags, counts and addresses of page models."""
+    k, n = F.col("page_id"), F.length("html")
+    text = lambda c: c.cast("string")
+    two = lambda c: F.lpad(text(c), 2, "0")
+    mark = lambda name, c: F.concat(F.lit(f'<b class="{name}"> '), c, F.lit(" </b>"))
+    more = F.concat(
+        mark("long", F.concat(text(k % 3), F.lit(":"), two(n % 60), F.lit(":"), two(k % 60))), mark("short", F.when(k % 4 == 0, "soon").otherwise(text(k % 90))), mark("ratio", F.concat(text((n * 10 + 5) / 100.0), F.lit("x faster"))),
+        mark("live", F.when(k % 3 == 0, "false").otherwise("yes")), mark("plays", F.when(k % 3 == 0, F.concat(text(k), F.lit(".5K plays"))).when(k % 3 == 1, F.concat(text(k), F.lit(" m"))).otherwise(text(k))), mark("change", F.concat(F.lit("-"), text(k), F.lit(" pts"))),
+        F.lit('<a class="v" href="/v/'), text(k), F.lit('">x</a>'),
+    )
+    spec = {"seconds": {"sel": "b.long", "as": "seconds"}, "short": {"sel": "b.short", "as": "seconds"}, "ratio": {"sel": "b.ratio", "as": "float"}, "live": {"sel": "b.live", "as": "bool"}, "plays": {"sel": "b.plays", "as": "count"}, "change": {"sel": "b.change", "as": "int"}, "link": {"sel": "a.v", "get": "attr:href", "as": "url"}}
+    out = pages.extracted(load(spark, d, "pages").withColumn("html", F.concat("html", more)), spec)
+    whole = lambda c: F.col(c).cast("long").alias(c)
+    return out.select("page_id", whole("seconds"), whole("short"), F.col("ratio").cast("double").alias("ratio"), F.col("live").cast("boolean").alias("live"), whole("plays"), whole("change"), "link")
+
+
 @query(r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS heading, len(regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>', 0, 's'), '<a '))::INTEGER AS links, CAST(NULL AS VARCHAR) AS none FROM pages""")
 def scoped_objects(spark, d):
     """Objects within a scope, and a scope that is not there."""
@@ -560,3 +580,59 @@ def visual_drift(spark, d):
     k = F.col("p_partkey").cast("long")
     bits = casts.hamming(k * 31, k * 17).cast("int")
     return load(spark, d, "part").select("p_partkey", bits.alias("bits"), (bits > 12).alias("drifted"))
+
+
+# --- images ---
+
+WIDE, HIGH = 36, 32
+PIXEL_SQL = f"""g AS (SELECT s_suppkey AS k, x, y, CASE WHEN s_suppkey % 4 = 0 THEN 127 - (x * 3) % 128 ELSE (s_suppkey * 7 + x * 3 + y * 5 + ((x // 4) * (y // 4) * s_suppkey) % 31) % 128 END AS v FROM supplier, range({WIDE}) a(x), range({HIGH}) b(y)),
+p AS (SELECT k, x, y, (v + 2 * k) % 128 AS blue, (v + k) % 128 AS green, v AS red FROM g), grey AS (SELECT k, x, y, 299 * red + 587 * green + 114 * blue AS v FROM p)"""
+
+
+def pictures(spark, d):
+    """An image file of each supplier, written by Spark and read by its image source: (k, image).
+
+    Files are bitmaps of 24 bits whose bytes are all below 128, so that Spark's text writer can write them: a row, a file.
+    """
+    k = F.col("s_suppkey")
+    header = [66, 77, 0, 16, *[0] * 6, 54, 0, 0, 0, 40, 0, 0, 0, WIDE, 0, 0, 0, HIGH, 0, 0, 0, 1, 0, 24, 0, *[0] * 24]
+
+    def row(y):  # rows go from the bottom up
+        def at(x):
+            v = F.when(k % 4 == 0, 127 - (x * 3) % 128).otherwise((k * 7 + x * 3 + y * 5 + (F.floor(x / 4) * F.floor(y / 4) * k) % 31) % 128)
+            return F.concat(F.char((v + 2 * k) % 128), F.char((v + k) % 128), F.char(v))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(WIDE - 1)), at), "")
+
+    body = F.array_join(F.transform(F.sequence(F.lit(HIGH - 1), F.lit(0), F.lit(-1)), row), "")
+    path = records.shared_path(spark, "pictures")
+    load(spark, d, "supplier").select(k.alias("k"), F.concat(F.lit("".join(map(chr, header))), body).alias("value")).repartition("k").write.partitionBy("k").text(path)
+    return readers.frames(spark, path)
+
+
+@query(f"""WITH {PIXEL_SQL}, c AS (SELECT k, x // 4 AS cx, y // 4 AS cy, sum(v) AS s FROM grey GROUP BY ALL),
+b AS (SELECT l.k, l.cy * 8 + l.cx AS n, l.s < r.s AS bit FROM c l JOIN c r ON r.k = l.k AND r.cy = l.cy AND r.cx = l.cx + 1)
+SELECT k, sum(CASE WHEN NOT bit THEN 0 WHEN n = 0 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << (63 - n)) END)::BIGINT AS dhash FROM b GROUP BY k""")
+def picture_hashes(spark, d):
+    """Difference hashes of image files."""
+    return monitor.dhash(pictures(spark, d)).select(F.col("k").cast("long").alias("k"), "dhash")
+
+
+@query(f"""WITH {PIXEL_SQL}, n AS (SELECT k, y * 8 // {HIGH} AS r, c, v FROM grey, range(8) t(c) WHERE x >= c * {WIDE} // 8 AND x < (c + 1) * {WIDE} // 8),
+s AS (SELECT k, r, c, ((2 * sum(v) + 1000 * count(*)) // (2000 * count(*)))::BIGINT AS v FROM n GROUP BY ALL),
+o AS (SELECT k, string_agg(v::VARCHAR, ',' ORDER BY r, c) AS signature FROM s GROUP BY k), f AS (SELECT * FROM s WHERE k = (SELECT min(k) FROM s))
+SELECT o.k, signature, (SELECT sum(abs(s.v - f.v)) / 64.0 FROM s JOIN f ON s.r = f.r AND s.c = f.c WHERE s.k = o.k)::DOUBLE AS difference FROM o""")
+def picture_signatures(spark, d):
+    """Grey signatures of image files, and how far they are from the first one's."""
+    signed = monitor.signature(pictures(spark, d)).select(F.col("k").cast("long").alias("k"), "signature")
+    first = signed.agg(F.min_by("signature", "k").alias("other"))
+    text = F.array_join(F.transform("signature", lambda x: x.cast("long").cast("string")), ",")
+    return signed.crossJoin(F.broadcast(first)).select("k", text.alias("signature"), monitor.signature_difference(F.col("signature"), F.col("other")).alias("difference"))  # first: one row
+
+
+@query(f"""WITH {PIXEL_SQL}, o AS (SELECT x, y, (2 * ((2 * x + 1) * 6 // {2 * WIDE}) + 1) * {WIDE} // 12 AS sx, (2 * ((2 * y + 1) * 5 // {2 * HIGH}) + 1) * {HIGH} // 10 AS sy FROM range({WIDE}) a(x), range({HIGH}) b(y))
+SELECT k, {WIDE} AS width, {HIGH} AS height, sha256(string_agg(lower(printf('%02x%02x%02x', blue, green, red)), '' ORDER BY o.y, o.x)) AS pixels FROM o JOIN p ON p.x = sx AND p.y = sy GROUP BY k""")
+def picture_mosaics(spark, d):
+    """Images in blocks, as they are published."""
+    m = monitor.mosaic(pictures(spark, d))
+    return m.select(F.col("k").cast("long").alias("k"), "image.width", "image.height", F.sha2(F.lower(F.hex("image.data")), 256).alias("pixels"))

