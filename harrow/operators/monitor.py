@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harrow.operators import stream, sweep
+from harrow.operators import records, stream, sweep
 
 # --- faults ---
 
@@ -121,21 +121,14 @@ def similarity(shape_a: Column, shape_b: Column, ax_a: Column | None = None, ax_
 
 
 def simhash(tokens: Column) -> Column:
-    """32-bit SimHash of an array of tokens, as 8 hex digits."""
+    """32-bit SimHash of an array of tokens, as 8 hex digits: a bit is set where more tokens' CRC-32 have it than lack it. Null is empty."""
 
-    @F.pandas_udf("string")
-    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import zlib
+    def bits(hashes: Column) -> Column:
+        more = lambda k: F.aggregate(hashes, F.lit(0), lambda n, h: n + F.when(F.getbit(h, k) == 1, 1).otherwise(-1)) > 0
+        return F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda out, k: out + F.when(more(k), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(0))
 
-        for x in batches:
-            out = []
-            for t in x:
-                h = np.array([zlib.crc32(s.encode()) for s in t], np.uint32) if t is not None and len(t) else np.zeros(1, np.uint32)
-                bits = (((h[:, None] >> np.arange(32, dtype=np.uint32)) & 1).astype(int) * 2 - 1).sum(axis=0) > 0
-                out.append(f"{int((bits * (1 << np.arange(32, dtype=np.int64))).sum()):08x}")
-            yield pd.Series(out, dtype=object)
-
-    return hashed(tokens)
+    hashes = F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: F.crc32(F.encode(t, "UTF-8")))
+    return F.lower(F.lpad(F.hex(F.transform(F.array(hashes), bits)[0]), 8, "0"))  # the array holds the hashes once for all bits
 
 
 def sample_pairs(samples: DataFrame) -> DataFrame:
@@ -145,6 +138,35 @@ def sample_pairs(samples: DataFrame) -> DataFrame:
     return one.join(b, "view").where("sample < other").select("view", "sample", "other", similarity(F.col("shape"), F.col("other_shape")).alias("similarity"))
 
 
+def least_similarity(samples: DataFrame, bands: int = 32) -> DataFrame:
+    """(view, similarity): the least similarity of two distinct samples of a view, from (view, sample, shape); no row for a view of one shape.
+
+    Not by all pairs. Similarity is the cosine of an angle, and angles obey the triangle inequality: by their angles to a pivot two shapes
+    are at most the sum of both apart. A view has two pivots, a shape and the one farthest from it; the farthest from that gives a
+    least similarity already met, and only shapes that could be farther apart are compared, dealt by bands of their angle. A view that
+    has met similarity 0 is done. (Where most shapes are equally far from each other, most pairs are still compared.)
+    """
+    one = records.cut(samples.groupBy("view", "shape").agg(F.min("sample").alias("sample")), "shapes")
+    angle = lambda a, b: F.acos(F.least(F.lit(1.0), similarity(F.col(a), F.col(b))))
+    far = lambda df, by: df.groupBy("view").agg(F.max_by("shape", F.struct(by, "sample")).alias("pivot"))
+    first = one.groupBy("view").agg(F.min_by("shape", "sample").alias("pivot"))
+    near = records.cut(one.join(first, "view").withColumn("t0", angle("shape", "pivot")).drop("pivot"), "angles")
+    near = records.cut(near.join(far(near, "t0"), "view").withColumn("t1", angle("shape", "pivot")).drop("pivot"), "angles")
+    met = near.groupBy("view").agg(F.max("t1").alias("met"), F.max("t0").alias("m0"), F.max("t1").alias("m1"), F.count("*").alias("n")).where("n > 1").drop("n")
+    slack = F.lit(1e-9)
+    left = near.join(met, "view").where((F.col("met") < np.pi / 2 - 1e-9) & (F.col("t0") + F.col("m0") > F.col("met") - slack) & (F.col("t1") + F.col("m1") > F.col("met") - slack))
+    width = (F.col("m0") + slack) / bands
+    own = left.withColumn("band", F.floor(F.col("t0") / width).cast("int"))
+    # of bands i and j the sum is at most i + j + 2 widths
+    fewest = F.greatest(F.lit(0), F.floor((F.col("met") - slack) / width).cast("int") - F.col("band") - 2)
+    asks = own.where(fewest < bands).withColumn("band", F.explode(F.sequence(fewest, F.lit(bands - 1))))
+    other = own.select("view", "band", F.col("sample").alias("other"), F.col("shape").alias("other_shape"), F.col("t0").alias("u0"), F.col("t1").alias("u1"))
+    hit = asks.join(other, ["view", "band"]).where((F.col("sample") < F.col("other")) & (F.col("t0") + F.col("u0") > F.col("met") - slack) & (F.col("t1") + F.col("u1") > F.col("met") - slack))
+    exact = hit.select("view", similarity(F.col("shape"), F.col("other_shape")).alias("similarity"))
+    seen = near.join(met.select("view"), "view").join(far(near, "t0"), "view").where("shape <> pivot").select("view", similarity(F.col("shape"), F.col("pivot")).alias("similarity"))
+    return exact.unionByName(seen).groupBy("view").agg(F.min("similarity").alias("similarity"))
+
+
 def thresholds(views: DataFrame, pairs: DataFrame) -> DataFrame:
     """Least similarity per view: 0.85 of the smallest pair, at least 0.4; 0.85 without pairs."""
     low = pairs.groupBy("view").agg(F.min("similarity").alias("s"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions import casts, jsonops
 from harrow.operators import harvest, monitor, pages, quality, records, stream
-from harrow.plans.registry import SURF_SQL, VIEWS, events, base36_sql, fnv_sql, load, query, snapshots
+from harrow.plans.registry import SURF_SQL, VIEWS, base36_sql, events, fnv_sql, load, query, snapshots
 from harrow.sources import readers
 
 # --- sources ---
@@ -196,6 +196,31 @@ def view_thresholds(spark, d):
     return monitor.thresholds(s, monitor.sample_pairs(s))
 
 
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(t) + 1), lambda i: [ascii(substr(t, i::INT, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"""
+
+
+@query(f"""WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ') || ['div*', 'li*', 'x*y', p_brand]) AS t FROM part), h AS (SELECT p_partkey, {CRC_SQL} AS h FROM w),
+b AS (SELECT p_partkey, k, sum(CASE WHEN (h >> k) & 1 = 1 THEN 1 ELSE -1 END) > 0 AS bit FROM h, range(32) r(k) GROUP BY ALL)
+SELECT p_partkey, printf('%08x', sum(CASE WHEN bit THEN 1::BIGINT << k ELSE 0 END)::BIGINT) AS simhash FROM b GROUP BY p_partkey""")
+def token_simhashes(spark, d):
+    """SimHash of tokens whose repeat counts are dropped."""
+    tokens = F.concat(F.split("p_name", " "), F.array(F.concat(F.lit("div*"), F.col("p_size").cast("string")), F.lit("li*7"), F.lit("x*y"), F.col("p_brand")))
+    return load(spark, d, "part").select("p_partkey", monitor.simhash(casts.normalised_shape(tokens)).alias("simhash"))
+
+
+@query("""WITH s AS (SELECT DISTINCT p_brand AS view, string_split(p_name, ' ') || [p_type] AS shape FROM part), n AS (SELECT *, row_number() OVER (ORDER BY view, shape) AS id FROM s),
+t AS (SELECT view, id, token, count(*) AS c FROM (SELECT view, id, unnest(shape) AS token FROM n) GROUP BY ALL), l AS (SELECT view, id, sqrt(sum(c * c)) AS l FROM t GROUP BY ALL),
+d AS (SELECT a.view, a.id AS x, b.id AS y, sum(a.c * b.c) AS dot FROM t a JOIN t b ON a.view = b.view AND a.token = b.token AND a.id < b.id GROUP BY ALL),
+p AS (SELECT a.view, coalesce(dot, 0) / (a.l * b.l) AS s FROM l a JOIN l b ON a.view = b.view AND a.id < b.id LEFT JOIN d ON d.x = a.id AND d.y = b.id)
+SELECT v.view, round(min(s), 6) AS similarity, coalesce(round(greatest(0.4, min(s) * 0.85), 3), 0.85) AS min_similarity FROM (SELECT DISTINCT view FROM n) v LEFT JOIN p ON p.view = v.view GROUP BY v.view""")
+def least_similarities(spark, d):
+    """The least similarity of the distinct shapes of a view, and the threshold from it."""
+    s = load(spark, d, "part").select(F.col("p_brand").alias("view"), F.col("p_partkey").alias("sample"), F.concat(F.split("p_name", " "), F.array("p_type")).alias("shape"))
+    least = monitor.least_similarity(s)
+    return monitor.thresholds(s, least).join(least, "view", "left").select("view", F.round("similarity", 6).alias("similarity"), "min_similarity")
+
+
 @query("""WITH f AS (SELECT user_id, event_type, arg_min(value, event_id) AS v FROM events GROUP BY ALL) SELECT 'v' || user_id AS view, event_type AS url, v >= 50 AS drifted FROM f""")
 def drift_checks(spark, d):
     """One drift check per view and address, by the first page of each."""

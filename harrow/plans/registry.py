@@ -120,8 +120,8 @@ def page_structures(spark, d):
     """Structure tokens, their SimHash, thresholds per view and drifted pages."""
     p = load(spark, d, "pages")
     s = pages.structures(p).join(p.select("page_id", "url"), "page_id").withColumn("view", F.concat(F.lit("v"), F.regexp_extract("url", r"//[^/]*/([a-z]+)/", 1)))
-    samples = records.capped(s.select("view", F.col("page_id").alias("sample"), "shape").withColumn("h", F.crc32(F.encode(F.col("sample").cast("string"), "UTF-8"))), ["view"], ["h", "sample"], F.lit(5))
-    least = monitor.thresholds(samples, monitor.sample_pairs(samples.drop("h")))
+    samples = s.select("view", F.col("page_id").alias("sample"), "shape")
+    least = monitor.thresholds(samples, monitor.least_similarity(samples))
     reference = samples.groupBy("view").agg(F.min_by("shape", "sample").alias("shape")).join(least, "view")
     checks = monitor.drift_checks(s.select("view", "url", "shape", F.col("page_id").alias("seq")), reference)
     return checks.select("view", "url", F.round("similarity", 6).alias("similarity"), "min_similarity", "drifted")

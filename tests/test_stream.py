@@ -62,6 +62,37 @@ def test_bursts_end_after_quiet_or_at_their_bound(spark):
     assert got == [("long", 0, 500, 6, "p5"), ("long", 600, 1100, 6, "p11"), ("long", 1200, 1700, 6, "p17"), ("long", 1800, 1900, 2, "p19"), ("one", 5, 5, 1, "p9"), ("r", 0, 219, 3, "p3"), ("r", 339, 339, 1, "p4"), ("tie", 7, 7, 2, "p2")]
 
 
+def test_least_similarity_is_that_of_all_pairs(spark):
+    rng = random.Random(7)
+    rows = [(f"v{v}", k, [f"t{min(rng.randrange(9), rng.randrange(9))}" for _ in range(rng.randrange(3, 30))]) for v in range(6) for k in range(40)]
+    rows += [("one", 1, ["a"]), ("one", 2, ["a"]), ("apart", 1, ["a"]), ("apart", 2, ["b"]), ("apart", 3, ["b", "a"]), ("none", 1, [])]
+    s = spark.createDataFrame(rows, "view string, sample long, shape array<string>")
+    want = {r["view"]: r["s"] for r in monitor.sample_pairs(s).groupBy("view").agg(F.min("similarity").alias("s")).collect()}
+    got = {r["view"]: r["similarity"] for r in monitor.least_similarity(s).collect()}
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-12 for v in want)
+
+
+def test_least_similarity_of_many_shapes(spark):
+    """Twenty thousand shapes of one view, all near each other but two: compared are some of two hundred million pairs."""
+    n = 20_000
+    tokens = lambda k: F.concat(F.array_repeat(F.lit("div"), 60), F.array_repeat(F.lit("li"), 40), F.transform(F.sequence(F.lit(0), F.lit(13)), lambda b: F.when(F.getbit(k, b) == 1, F.concat(F.lit("x"), b.cast("string"))).otherwise("div")))
+    odd = spark.createDataFrame([("v", n, ["div"] * 50 + ["a"] * 40), ("v", n + 1, ["li"] * 50 + ["b"] * 40)], "view string, sample long, shape array<string>")
+    near = spark.range(n).select(F.lit("v").alias("view"), F.col("id").alias("sample"), tokens(F.col("id")).alias("shape"))
+    assert monitor.least_similarity(near.unionByName(odd)).collect()[0]["similarity"] == 0.0
+
+
+def test_simhash_is_the_plain_one(spark):
+    import zlib
+
+    def plain(tokens):
+        n = [sum(1 if zlib.crc32(t.encode()) >> k & 1 else -1 for t in tokens or []) for k in range(32)]
+        return f"{sum(1 << k for k in range(32) if n[k] > 0):08x}"
+
+    rows = [["0:html", "1:body", "1:body", "é"], [], None, ["a"], [str(k) for k in range(99)]]
+    got = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k long, t array<string>").select("k", monitor.simhash(F.col("t")).alias("h")).orderBy("k").collect()
+    assert [r["h"] for r in got] == [plain(r) for r in rows]
+
+
 def test_dhash(spark):
     import numpy as np
 
