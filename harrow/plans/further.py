@@ -567,12 +567,30 @@ def further_log_rules(spark, d):
     return load(spark, d, "events").select("event_id", p["kind"].alias("kind"), p["subject"].alias("subject"))
 
 
-@query("""SELECT p_partkey, 'videoDesc' AS plain, 'commentCount' AS hyphen, CASE WHEN p_partkey % 2 = 0 THEN 'title' ELSE 'field' END AS class, 'title|title2|field|field2' AS apart FROM part""")
+CAMEL_SQL = "(lower(left({0}, 1)) || substr({0}, 2))"
+
+
+@query(f"""WITH w AS (SELECT p_partkey, list_filter(regexp_split_to_array(p_name || '--' || p_brand, '[^a-zA-Z0-9]+'), lambda x: x <> '') AS ws, regexp_replace(p_name, '[^a-zA-Z]', '', 'g') AS bare FROM part),
+n AS (SELECT p_partkey, bare, list_reduce(list_prepend('', list_transform(ws, lambda x, i: CASE WHEN i = 1 THEN x ELSE upper(left(x, 1)) || substr(x, 2) END)), lambda a, b: a || b) AS name FROM w)
+SELECT p_partkey, {CAMEL_SQL.format("name")} AS attribute, {CAMEL_SQL.format("name")} AS selector, CASE p_partkey % 3 WHEN 0 THEN {CAMEL_SQL.format("bare")} WHEN 1 THEN 'x' || bare ELSE 'field' END AS class,
+  CASE p_partkey % 3 WHEN 0 THEN {CAMEL_SQL.format("bare")} || '|x|x2|field' WHEN 1 THEN 'x' || bare || '|x|x2|field' ELSE 'field|x|x2|field2' END AS apart FROM n""")
 def field_names(spark, d):
-    """Names from attributes, from classes without their element, else a fallback; told apart by numbers."""
+    """Names from attributes, from naming attributes of selectors, from classes without their element, else a fallback; told apart by numbers."""
     p = load(spark, d, "part")
-    last = F.when(F.col("p_partkey") % 2 == 0, '[class*="-DivTitle"] > span').otherwise("div > span")
-    return p.select("p_partkey", casts.field_name(F.lit('div > [data-e2e="video-desc"]')).alias("plain"), casts.field_name(F.lit('[aria-label="comment-count"]')).alias("hyphen"), casts.field_name(last).alias("class"), F.array_join(casts.unique_names(F.array(*map(F.lit, ("title", "title", "field", "")))), "|").alias("apart"))
+    text, bare = F.concat("p_name", F.lit("--"), "p_brand"), F.regexp_replace("p_name", "[^a-zA-Z]", "")
+    own = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('[class*="-Div'), F.upper(F.substring(bare, 1, 1)), bare.substr(F.lit(2), F.length(bare)), F.lit('"] > span'))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit('b[class*="-x'), bare, F.lit('"]'))).otherwise("div > span")
+    cls = casts.field_name(own)
+    return p.select("p_partkey", casts.field_name(F.lit("div"), text).alias("attribute"), casts.field_name(F.concat(F.lit('div > [data-testid="'), text, F.lit('"]'))).alias("selector"), cls.alias("class"), F.array_join(casts.unique_names(F.array(cls, F.lit("x"), F.lit("x"), F.lit(""))), "|").alias("apart"))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN '#over' WHEN 1 THEN '[role="dialog"]' WHEN 2 THEN 'div.promo' ELSE '[data-box="front' || page_id % 7 || '"]' END AS selector FROM pages""")
+def stable_selectors(spark, d):
+    """Selectors that last: an id, a telling attribute or class that is the only one of its page; generated ones are passed over."""
+    kind = F.col("page_id") % 4
+    box = F.concat(F.lit('<div data-box="front'), (F.col("page_id") % 7).cast("string"), F.lit('" data-v="a12345" role=dialog>Hello</div><p role=dialog>Hello</p>'))
+    over = F.when(kind == 0, '<div class=x id=over role=dialog>Hello</div>').when(kind == 1, '<div id=o12345 class="b c0ffee1234" role=dialog>Hello</div>').when(kind == 2, '<div role=dialog class="q98765 promo">Hello</div><p role=dialog>Hello</p>').otherwise(box)
+    p = load(spark, d, "pages").withColumn("html", F.concat(over, "html"))
+    return pages.overlays(p).where(F.col("selector").rlike(r"^(#over|\[role|\[data-box|div\.promo)")).select("page_id", "selector")
 
 
 @query(r"""SELECT page_id, 'x' AS leaf, 'videos' AS family FROM pages""")

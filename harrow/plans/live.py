@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from harrow.operators import records, stream
 from harrow.plans.registry import SNAP_SQL, SURF_SQL, events, query, snapshots
+from harrow.sources import readers
 from harrow.streaming import live
 from harrow.streaming.replay import replay, stopping
 
@@ -93,3 +94,38 @@ def live_on_time(spark, d):
     path, rows = records.shared_path(spark, "fresh"), snapshots(spark, d).select("run_id", "url", "seq", "ts")
     replay(rows, "seq", lambda s: live.without_stale(s).writeStream.format("parquet").option("path", path))
     return spark.read.schema(rows.schema).parquet(path).select("run_id", "seq")
+
+
+@query("""SELECT DISTINCT event_type AS view, 0.0::DOUBLE AS similarity FROM events WHERE (json_extract(props, '$.k'))::BIGINT % 4 = 0 AND event_type <> 'signup'""")
+def live_alerts(spark, d):
+    """Drifted pages of a stream against static references, once per view over restarts."""
+    k = F.get_json_object("props", "$.k").cast("int") % 4
+    tokens = F.array(*map(F.lit, ("0:html", "1:body", "2:p")))
+    rows = events(spark, d).select("seq", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("view"), F.concat(F.lit("/"), "seq").alias("url"), F.slice(tokens, 1, k).alias("shape"))
+    references = rows.select("view").distinct().where("view <> 'signup'").select("view", tokens.alias("shape"), F.lit(0.4).alias("min_similarity"))
+    path = records.shared_path(spark, "alerts")
+    references = records.cut(references, "references")
+    replay(rows, "seq", lambda s: live.drift_alerts(s, references, "10000 days").writeStream.format("parquet").option("path", path), slices=2)
+    return spark.read.schema("view string, url string, ts timestamp, similarity double").parquet(path).select("view", "similarity")
+
+
+@query(f"""WITH {UNIT_SQL} SELECT id, arg_max(type, seq) AS type, arg_max(CASE status WHEN 'running' THEN 'failed' ELSE status END, seq) AS status, max(seq) AS seq FROM u WHERE seq % 7 <> 0 AND seq % 11 <> 0 GROUP BY id""")
+def logged_units(spark, d):
+    """Units from a log of JSON lines that Spark wrote, with torn and blank lines in it."""
+    line = F.to_json(F.struct("seq", "id", "type", "status"))
+    path = records.shared_path(spark, "log")
+    units(spark, d).select(F.when(F.col("seq") % 7 == 0, F.substring(line, 1, 9)).when(F.col("seq") % 11 == 0, "  ").otherwise(line).alias("value")).write.text(path)
+    log = readers.log_lines(spark, path, "seq long, id string, type string, status string")
+    return records.latest_units(log.withColumn("error", F.lit(None).cast("string"))).select("id", "type", "status", "seq")
+
+
+@query(f"""WITH {SURF_SQL}, l AS (SELECT *, lag(model) OVER (PARTITION BY run_id, surface_id ORDER BY seq) AS before, lead(opens) OVER (PARTITION BY run_id ORDER BY seq) AS nx FROM f),
+m AS (SELECT run_id, 'createSurface' AS kind FROM l WHERE opens = 1 UNION ALL SELECT run_id, 'updateDataModel' FROM l WHERE opens = 1 UNION ALL SELECT run_id, 'updateDataModel' FROM l WHERE opens = 0 AND before <> model UNION ALL SELECT run_id, 'deleteSurface' FROM l WHERE nx = 1)
+SELECT run_id::VARCHAR AS run_id, kind, count(*) AS n FROM m GROUP BY ALL""")
+def message_lines(spark, d):
+    """The message stream as JSON lines, written and read again."""
+    texts = stream.message_texts(stream.surface_messages(snapshots(spark, d)))
+    path = records.shared_path(spark, "lines")
+    texts.select(F.concat(F.lit('{"run_id":"'), F.col("run_id").cast("string"), F.lit('","seq":'), F.col("seq").cast("string"), F.lit(","), F.expr("substring(raw, 2)")).alias("value")).unionByName(texts.limit(3).select(F.lit('{"torn').alias("value"))).write.text(path)
+    read = readers.messages(spark, path)
+    return read.groupBy("run_id", stream.classified(F.col("raw"))["kind"].alias("kind")).agg(F.count("*").alias("n"))

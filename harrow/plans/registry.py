@@ -777,10 +777,14 @@ def action_targets(spark, d):
     return quality.targets(tokens, quality.clickable(e), ["page"])
 
 
-@query(r"""SELECT page_id, rtrim(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/') = rtrim(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/') AS same FROM pages""")
+@query(r"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)) || rtrim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') AS place FROM pages)
+SELECT a.page_id, b.page_id AS other, a.place = b.place AS same FROM p a JOIN p b ON b.page_id = a.page_id OR b.page_id = a.page_id + 1""")
 def same_pages(spark, d):
-    """Addresses of one page, trailing slashes aside."""
-    return load(spark, d, "pages").select("page_id", quality.same_page(F.col("url"), F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.lit("/"))).alias("same"))
+    """Addresses of one page, trailing slashes, queries and the case of hosts aside."""
+    p = load(spark, d, "pages").select("page_id", "url")
+    other = p.select(F.col("page_id").alias("other"), F.concat(F.upper(F.substring("url", 1, 12)), F.expr("substring(url, 13)"), F.when(F.col("url").rlike("[?#]"), "").otherwise("/")).alias("there"))
+    both = p.select("*", F.explode(F.array(F.col("page_id"), F.col("page_id") + 1)).alias("other")).join(other, "other")
+    return both.select("page_id", "other", quality.same_page(F.col("url"), F.col("there")).alias("same"))
 
 
 @query(r"""SELECT regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, max(page_id) AS newest, min(page_id) AS first_seen FROM pages GROUP BY 1 ORDER BY 3 DESC LIMIT 5""")
