@@ -32,7 +32,7 @@ def live_records(spark, d):
     messages = records.cut(stream.message_texts(stream.surface_messages(snaps)), "messages")
     end = messages.agg(F.max("seq")).first()[0]
     # runs end one after the other
-    ends = snaps.select("run_id").distinct().select("run_id", (F.lit(end) + 1 + F.dense_rank().over(records.Window.orderBy("run_id"))).cast("long").alias("seq"), F.lit(None).cast("string").alias("raw"))
+    ends = snaps.select("run_id").distinct().select("run_id", (F.lit(end) + 1 + F.col("run_id")).cast("long").alias("seq"), F.lit(None).cast("string").alias("raw"))
     k, bought = F.get_json_object("model", "$.k").cast("long"), F.get_json_object(F.try_element_at("context", F.lit("purchase")), "$.k").cast("long")
     routes = [
         stream.Route("closed", "click", {"name": F.concat_ws(":", "run_id", "surface_id"), "k": k, "bought": bought}, key="name"),
