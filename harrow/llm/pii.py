@@ -9,13 +9,15 @@ fits small regression trees to those counts. The held-out half calibrates them:
 regression, and a kind's threshold is the least score with a probability of ``PRECISION`` or more. Trees and thresholds become
 one Column, which selects the spans to add: those within no base span.
 
-The labels are weak ones that need no person and no base span (``plausible``): the candidate's normal form is a well-formed
-address, its octets, checksum or area code hold, its characters are as mixed as those of a random key. Of these checks the
-features show the checksum alone.
-
-Positions are code points, end exclusive. Cases: null or empty text has no spans; repeated rows get equal spans; an empty
-table trains no trees and adds nothing; a kind whose candidates all fall into one half is calibrated on the half it learnt
-from; a row's matches are numbered within the row, nothing is gathered across rows.
+Labels have two sources. The candidates of the corpus have weak ones that need no person and no base span (``plausible``): the
+candidate's normal form is a well-formed address, its octets, checksum or area code hold, its characters change class as often
+as those of a random key and aren't words, a path or an address. Written lessons (``pii_lessons``) have true ones: a corpus
+may hold but one form of a kind, or only true candidates of it, and tells nothing of the rest. The corpus's candidates of a
+kind weigh at most as much as that kind's lessons together, so that the lessons count alike at every size.
+
+Positions are code points, end exclusive. Work on a row grows with its length and, but for a logarithm, with its matches. Cases:
+null or empty text has no spans; repeated rows get equal spans; an empty table has no rows; a row's matches are numbered
+within the row, nothing is gathered across rows.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import let, table
+from .pii_lessons import lessons
 
 KINDS = ("email", "ip", "card", "phone", "secret")  # the last has no base format
 #: Least calibrated probability of a span that is added.
@@ -46,10 +49,10 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: High-recall forms of each kind. They overlap the base forms and each other.
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}+(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?)[A-Za-z0-9-]{1,63}+){1,8}+",
-    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:[.,][0-9]{1,3}+){3}(?![0-9.])",
+    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:[.,][0-9]{1,3}+){3}(?![.,]?[0-9])",
     "card": r"(?<![0-9])[0-9]{4}[ .-]?[0-9]{4,6}[ .-]?[0-9]{4,5}(?:[ .-]?[0-9]{1,7})?(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+|00)?[0-9]{0,3}[ .-]?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}+={0,2}+(?![A-Za-z0-9_+/=-])",
+    "phone": r"(?<![0-9A-Za-z])(?:(?:\+|00)?[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}+(?![A-Za-z0-9_+/=-])",
 }
 
 #: Code points of context on either side, and the words in it that hint at each kind (fixed values).
@@ -57,44 +60,70 @@ CONTEXT = 24
 HINTS = r"(?i)mail|contact|phone|tel\b|tel[.:]|call|mobile|fax|card|visa|credit|account|\bip\b|address|host|server"
 
 
+#: Words in a key, its changes between classes of characters, and an address or a path in front of or behind a candidate.
+WORDY = r"[A-Za-z][a-z]{3,}+|[A-Z]{5,}+(?=_)|(?<=_)[A-Z]{5,}+"
+CHANGES = r"[a-z](?=[A-Z0-9])|[A-Z](?=[0-9])|[0-9](?=[A-Za-z])"
+IN_ADDRESS, BEFORE_NAME = r"(?:[A-Za-z0-9]\.|[/\\~?&#%]|://\S*|www\.\S*)$", r"^(?:\.[A-Za-z0-9]|[?&#%~\\:]\S)"
+ASSIGNED = r"(?i)(?:token|secret|key|passw|pwd|auth|bearer)[a-z]{0,8}[\"']?(?:\s{0,3}[=:]|\s)\s{0,3}[\"']?$"
+OCTET = "^(?:0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
+AREA = "^[2-9][0-9]{2}[2-9]"
+
+
+def octets_hold(c: Column) -> Column:
+    return F.forall(F.split(c, "[.,]"), lambda p: p.rlike(OCTET))
+
+
+def wordy(c: Column) -> Column:
+    """Whether words make up at least two fifths of a run."""
+    return 5 * F.length(F.regexp_replace(c, WORDY, "")) <= 3 * F.length(c)
+
+
+def changing(c: Column) -> Column:
+    """Whether the class of characters changes at least once in six."""
+    return 6 * F.regexp_count(c, F.lit(CHANGES)) >= F.length(c)
+
+
 def features(kind: Column, c: Column, left: Column, right: Column) -> dict[str, Column]:
     digits = F.length(F.regexp_replace(c, "[^0-9]", ""))
+    secret = kind == KINDS.index("secret")
     return {
         "plus": c.startswith("+"),
         "space": c.contains(" "),
         "hyphen": c.contains("-"),
         "dot": c.contains("."),
         "bracket": c.rlike(r"[\[(]"),
-        "at": c.contains("@"),
+        "spaced_at": c.rlike(" @|@ "),
         "digits_9_15": digits.between(9, 15),
-        "digits_16": digits == 16,
         "first_card_digit": F.substring(c, 1, 1).isin("3", "4", "5", "6"),
         "checksum": (kind == KINDS.index("card")) & luhn(digits_of(c)),
+        "octets": (kind == KINDS.index("ip")) & octets_hold(c),
+        "area": (kind == KINDS.index("phone")) & F.substring(digits_of(c), -10, 10).rlike(AREA),
         "comma": c.contains(","),
-        "hex": c.rlike("^[0-9a-f]+$"),
-        "word": c.rlike("^[A-Za-z]+$"),
-        "long": F.length(c) >= 32,
-        "assigned": left.rlike(r"(?i)(?:token|secret|key|passw|pwd|auth|bearer)[a-z]{0,8}[\"']?\s{0,3}[=:]\s{0,3}[\"']?$"),
-        "quoted": left.rlike("[\"'`]$") & right.rlike("^[\"'`]"),
-        "glued": left.rlike(r"[\p{L}\p{N}_/=-]$") | right.rlike(r"^[\p{L}\p{N}_@/=-]"),
+        "slash": c.contains("/"),
+        "separators": F.regexp_count(c, F.lit("[_/-]")) >= 3,
+        "both": secret & c.rlike("[0-9]") & c.rlike("[A-Za-z]"),
+        "wordy": secret & wordy(c),
+        "changing": secret & changing(c),
+        "address": secret & (left.rlike(IN_ADDRESS) | right.rlike(BEFORE_NAME) | c.rlike("^//|^/[a-z]{2,8}/")),
+        "assigned": left.rlike(ASSIGNED),
+        "glued": left.rlike(r"[\p{L}\p{N}_/-]$") | right.rlike(r"^[\p{L}\p{N}_@/=-]"),
         "hint": left.rlike(HINTS),
     }
 
 
-FEATURES = ("plus", "space", "hyphen", "dot", "bracket", "at", "digits_9_15", "digits_16", "first_card_digit", "checksum", "comma", "hex", "word", "long", "assigned", "quoted", "glued", "hint")
+FEATURES = ("plus", "space", "hyphen", "dot", "bracket", "spaced_at", "digits_9_15", "first_card_digit", "checksum", "octets", "area", "comma", "slash", "separators", "both", "wordy", "changing", "address", "assigned", "glued", "hint")
 
 
 def plausible(kind: Column, c: Column, left: Column) -> Column:
     """The weak label of a candidate: whether its normal form passes the check of its kind."""
     address = F.regexp_replace(F.regexp_replace(F.lower(c), r" ?(?:@|\[at\]|\(at\)) ?", "@"), r" ?(?:\[dot\]|\(dot\)) ?", ".")
-    octets = F.forall(F.split(c, "[.,]"), lambda p: p.rlike("^(?:0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
     digits = digits_of(c)
     checks = (
-        address.rlike(r"^[a-z0-9][a-z0-9._%+-]*@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,}$"),
-        octets & (~c.contains(",") | left.rlike(HINTS)),
+        address.rlike(r"^[a-z0-9][a-z0-9._%+-]*@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,}$") & ~c.rlike(" @|@ "),
+        octets_hold(c) & (~c.contains(",") | left.rlike(HINTS)),
         F.length(digits).between(13, 19) & digits.rlike("^[3-6]") & luhn(digits),
-        F.length(digits).between(9, 15) & F.substring(digits, -10, 10).rlike("^[2-9][0-9]{2}[2-9]"),
-        c.rlike("[0-9]") & c.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(c, ""))) >= 10),
+        F.length(digits).between(9, 15) & F.substring(digits, -10, 10).rlike(AREA),
+        c.rlike("[A-Za-z0-9]{16}") & c.rlike("[0-9]") & c.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(c, ""))) >= 10) & ~wordy(c) & ~left.rlike(IN_ADDRESS) & (changing(c) | left.rlike(ASSIGNED)),
     )
     out = F.lit(False)
     for k, check in enumerate(checks):
@@ -102,19 +131,40 @@ def plausible(kind: Column, c: Column, left: Column) -> Column:
     return out
 
 
+def running(values: Column, fold: Callable[[Column, Column], Column]) -> Column:
+    """Each element folded with all before it: in as many passes as the size has binary digits, since appending to an array copies it."""
+
+    def passes(held: Column) -> Column:
+        steps = F.filter(F.expr("transform(sequence(0, 30), k -> shiftleft(1, k))"), lambda s: s < F.size(held))
+        return F.aggregate(steps, held, lambda a, s: F.transform(a, lambda x, i: F.when(i >= s, fold(F.get(a, i - s), x)).otherwise(x)))
+
+    return let(values, passes)
+
+
 def located(text: Column, pattern: str) -> Column:
-    """Matches of a pattern as an array of (start, c), from the lengths of what lies between and in them."""
-    pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,c:string>>").alias("out"))
-    return F.aggregate(
-        F.arrays_zip(pieces.alias("gap"), matches.alias("c")),
-        start,
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["c"]), F.lit(0))).alias("at"),
-            F.when(x["c"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["gap"])).alias("start"), x["c"].alias("c"))))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    """Matches of a pattern as an array of (start, c), from the summed lengths of what lies between and in them."""
+
+    def placed(gaps: Column, matches: Column) -> Column:
+        lengths = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, c: F.length(g) + F.length(c))
+        return let(running(lengths, lambda a, b: a + b), lambda ends: F.transform(matches, lambda c, i: F.struct((F.get(ends, i) - F.length(c)).alias("start"), c.alias("c"))))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, let(F.split(text, pattern, -1), lambda g: placed(g, m))).otherwise(_none()))
+
+
+#: Code points of the blocks that parts of a text are read from: reading by position alone would count from the text's start each time.
+BLOCK = 256
+
+
+def blocks_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def part(blocks: Column, start: Column, n: Column) -> Column:
+    """``n`` code points from ``start`` (from 0) of a text given by its blocks."""
+    first = F.floor(start / BLOCK).cast("int")
+    last = F.floor((start + n) / BLOCK).cast("int")
+    held = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+    return F.when(n > 0, F.substring(held, start - first * BLOCK + 1, n)).otherwise("")
 
 
 def _none() -> Column:
@@ -153,42 +203,51 @@ def candidates(text: Column) -> Column:
 
     def proposed(kind: str, pattern: str) -> Column:
         asked = {"email": text.rlike(r"@|\[at\]|\(at\)"), "ip": text.rlike(r"[0-9][.,][0-9]{1,3}[.,][0-9]"), "secret": text.rlike("[A-Za-z0-9_+/-]{16}")}.get(kind, number)
-        return F.transform(
-            F.when(asked, located(text, pattern)).otherwise(none),
-            lambda x: F.struct(
-                F.lit(KINDS.index(kind)).alias("kind"),
-                x["start"].alias("start"),
-                (x["start"] + F.length(x["c"])).alias("end"),
-                x["c"].alias("c"),
-                F.substring(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT))).alias("left"),
-                F.substring(text, x["start"] + F.length(x["c"]) + 1, F.lit(CONTEXT)).alias("right"),
-            ),
-        )
+        found = F.when(asked, located(text, pattern)).otherwise(none)
+        return F.transform(found, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["c"])).alias("end"), x["c"].alias("c")))
+
+    def in_context(found: Column, blocks: Column) -> Column:
+        before = lambda p: F.least(p["start"], F.lit(CONTEXT))
+        return F.transform(found, lambda p: F.struct(*(p[f].alias(f) for f in ("kind", "start", "end", "c")), part(blocks, p["start"] - before(p), before(p)).alias("left"), part(blocks, p["end"], F.lit(CONTEXT)).alias("right")))
 
-    return F.concat(*[proposed(k, p) for k, p in LOOSE.items()])
+    return let(F.concat(*[proposed(k, p) for k, p in LOOSE.items()]), lambda found: let(F.when(F.size(found) > 0, blocks_of(text)), lambda blocks: in_context(found, blocks)))
 
 
 def with_spans(docs: DataFrame, text: str) -> DataFrame:
-    """Add ``base`` and ``proposed``, each computed once per row behind a generator."""
+    """Add ``base`` and ``proposed``, the candidates within no base span, each computed once per row behind a generator."""
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return docs.select("*", F.explode(F.array(F.struct(base_spans(whole).alias("base"), candidates(whole).alias("proposed")))).alias("__pii"))
+    both = let(F.struct(base_spans(whole).alias("base"), candidates(whole).alias("all")), lambda x: F.struct(x["base"].alias("base"), outside(x["all"], x["base"]).alias("proposed")))
+    return docs.select("*", F.explode(F.array(both)).alias("__pii"))
 
 
-def inside(p: Column, base: Column) -> Column:
-    """Whether a candidate lies within a base span."""
-    return F.exists(base, lambda b: (b["start"] <= p["start"]) & (p["end"] <= b["end"]))
+def outside(proposed: Column, base: Column) -> Column:
+    """The candidates that lie within no base span: by start, the base first, none reaches a candidate's end before it."""
+    fields = ("kind", "start", "end", "c", "left", "right")
+    marked = F.concat(
+        F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(0).alias("own"), b["end"].alias("reach"), F.lit(None).cast("struct<kind:int,start:int,end:int,c:string,left:string,right:string>").alias("p"))),
+        F.transform(proposed, lambda p: F.struct(p["start"].alias("at"), F.lit(1).alias("own"), F.lit(0).alias("reach"), F.struct(*(p[f].alias(f) for f in fields)).alias("p"))),
+    )
+
+    def free(rows: Column) -> Column:
+        reach = running(F.transform(rows, lambda x: x["reach"]), lambda a, b: F.greatest(a, b))
+        return let(reach, lambda ends: F.transform(F.filter(rows, lambda x, i: (x["own"] == 1) & (F.get(ends, i) < x["p"]["end"])), lambda x: x["p"]))
+
+    return F.when((F.size(proposed) > 0) & (F.size(base) > 0), let(F.sort_array(marked), free)).otherwise(proposed)
 
 
 # --- boosted trees over counted feature sets ---
 
 
-def cells(docs: DataFrame, text: str) -> list:
-    """Counts of the candidates that no base span contains, per kind, features, half and label."""
+def cells(docs: DataFrame, text: str, truth: Column | None = None) -> list:
+    """Counts of the candidates that no base span contains, per kind, features, half and label: ``plausible``, or whether it is one of ``truth``."""
     p = F.col("p")
-    found = with_spans(docs.select(F.col(f"`{text}`").alias("text")), "text").where(F.size("__pii.proposed") > 0).select(F.col("__pii.base").alias("base"), F.explode("__pii.proposed").alias("p")).where(~inside(p, F.col("base")))
+    truth = F.lit(None).cast("array<struct<kind:int,start:int,end:int>>") if truth is None else truth
+    found = with_spans(docs.select(F.col(f"`{text}`").alias("text"), truth.alias("truth")), "text").where(F.size("__pii.proposed") > 0).select("truth", F.explode("__pii.proposed").alias("p"))
     described = features(p["kind"], p["c"], p["left"], p["right"])
     held = F.pmod(F.crc32(F.encode(F.concat(p["left"], p["c"], p["right"]), "UTF-8")), F.lit(2)) == 1
-    rows = found.select(p["kind"].alias("kind"), held.alias("held"), F.coalesce(plausible(p["kind"], p["c"], p["left"]), F.lit(False)).alias("valid"), *[described[f].alias(f) for f in FEATURES])
+    true = F.exists("truth", lambda t: (t["kind"] == p["kind"]) & (t["start"] == p["start"]) & (t["end"] == p["end"]))
+    label = F.when(F.col("truth").isNotNull(), true).otherwise(F.coalesce(plausible(p["kind"], p["c"], p["left"]), F.lit(False)))
+    rows = found.select(p["kind"].alias("kind"), held.alias("held"), label.alias("valid"), *[described[f].alias(f) for f in FEATURES])
     return rows.groupBy(*rows.columns).count().collect()
 
 
@@ -254,13 +313,22 @@ def calibrated(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndar
 
 def train(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> dict[int, tuple[Trees, float]]:
     """Per kind: the trees, and the least score whose calibrated probability is the wanted precision; kinds without such a score are left out."""
-    rows, models = cells(docs, text), {}
+    taught = cells(lessons(docs.sparkSession), "text", F.col("truth"))
+    return fitted(cells(docs, text), taught, precision)
+
+
+def fitted(rows: list, taught: list, precision: float = PRECISION) -> dict[int, tuple[Trees, float]]:
+    """The models of counts from the corpus and from lessons."""
+    models = {}
     for kind in range(len(KINDS)):
-        own = sorted((r for r in rows if r["kind"] == kind), key=tuple)
-        fit, held = [r for r in own if not r["held"]], [r for r in own if r["held"]]
+        sources = [sorted((r for r in part if r["kind"] == kind), key=tuple) for part in (rows, taught)]
+        totals = [sum(r["count"] for r in part) for part in sources]
+        scale = min(1.0, totals[1] / totals[0]) if totals[0] and totals[1] else 1.0
+        own = [(r, r["count"] * by) for part, by in zip(sources, (scale, 1.0)) for r in part]
+        fit, held = [x for x in own if not x[0]["held"]], [x for x in own if x[0]["held"]]
         if not own:
             continue
-        as_arrays = lambda rs: (np.array([[r[f] for f in FEATURES] for r in rs], bool), np.array([r["valid"] for r in rs], float), np.array([r["count"] for r in rs], float))
+        as_arrays = lambda xs: (np.array([[r[f] for f in FEATURES] for r, _ in xs], bool), np.array([r["valid"] for r, _ in xs], float), np.array([w for _, w in xs], float))
         model = Trees().fit(*as_arrays(fit or held))
         x, y, w = as_arrays(held or fit)
         score, probability = calibrated(np.round(model.predict(x), 9), y, w)
@@ -270,10 +338,8 @@ def train(docs: DataFrame, text: str = "text", precision: float = PRECISION) ->
     return models
 
 
-def selected(proposed: Column, base: Column, models) -> Column:
-    """Proposed spans that score at their kind's threshold and lie within no base span."""
-    if not models:
-        return F.filter(base, lambda b: F.lit(False))
+def selected(proposed: Column, models) -> Column:
+    """Proposed spans that score at their kind's threshold."""
 
     def scored(p: Column) -> Column:  # features once per candidate, then trees over plain booleans
         found = features(p["kind"], p["c"], p["left"], p["right"])
@@ -283,7 +349,7 @@ def selected(proposed: Column, base: Column, models) -> Column:
         takes = F.lit(False)
         for kind, (model, least) in models.items():
             takes = F.when(p["kind"] == kind, model.column({f: p["f"][f] for f in FEATURES}, FEATURES) >= least).otherwise(takes)
-        return takes & ~inside(p, base)
+        return takes
 
     return F.transform(F.filter(F.transform(proposed, scored), chosen), lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
 
@@ -296,27 +362,24 @@ def find(docs: DataFrame, text: str = "text", models=None) -> DataFrame:
     return found.select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in ("base", "spans")],
         pii["base"].alias("base"),
-        F.array_sort(F.concat(pii["base"], F.when(F.size(pii["proposed"]) > 0, selected(pii["proposed"], pii["base"], models)).otherwise(F.filter(pii["base"], lambda b: F.lit(False))))).alias("spans"),
+        F.array_sort(F.concat(pii["base"], F.when(F.size(pii["proposed"]) > 0, selected(pii["proposed"], models)).otherwise(F.filter(pii["base"], lambda b: F.lit(False))))).alias("spans"),
     )
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; spans that overlap share one."""
+    """The text with each span replaced by its kind in brackets; spans that overlap share one, that of the first."""
     name = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     by_start = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.when(
-        F.size(spans) > 0,
-        F.aggregate(
-            by_start,
-            start,
-            lambda a, s: F.struct(
-                F.greatest(a["at"], s["end"]).alias("at"),
-                F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.get(name, s["kind"]))).alias("out"),
-            ),
-            lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-        ),
-    ).otherwise(text)
+
+    def joined(rows: Column, ends: Column, blocks: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        placed = F.filter(F.transform(rows, lambda s, i: F.struct(before(i).alias("at"), s["start"].alias("start"), s["kind"].alias("kind"))), lambda x: x["start"] >= x["at"])
+        pieces = F.transform(placed, lambda x: F.concat(part(blocks, x["at"], x["start"] - x["at"]), F.get(name, x["kind"])))
+        last = F.element_at(ends, -1)
+        return F.concat(F.array_join(pieces, ""), part(blocks, last, F.length(text) - last))
+
+    reaches = lambda rows: running(F.transform(rows, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    return F.when(F.size(spans) > 0, let(by_start, lambda rows: let(reaches(rows), lambda ends: let(blocks_of(text), lambda blocks: joined(rows, ends, blocks))))).otherwise(text)
 
 
 def written(spans: Column) -> Column:

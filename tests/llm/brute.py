@@ -79,13 +79,27 @@ def luhn(d):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
 
 
+def octets(c):
+    return all(re.fullmatch("0|[1-9][0-9]{0,2}", x) and int(x) <= 255 for x in re.split("[.,]", c))
+
+
+def wordy(c):
+    return 5 * len(re.sub(pii.WORDY, "", c)) <= 3 * len(c)
+
+
+def changing(c):
+    return 6 * len(re.findall(pii.CHANGES, c)) >= len(c)
+
+
 def described(kind, c, left, right):
     d = digits(c)
     return {
-        "plus": c[:1] == "+", "space": " " in c, "hyphen": "-" in c, "dot": "." in c, "bracket": "[" in c or "(" in c, "at": "@" in c, "digits_9_15": 9 <= len(d) <= 15, "digits_16": len(d) == 16,
-        "first_card_digit": c[:1] in "3456", "checksum": kind == 2 and luhn(d), "comma": "," in c, "hex": bool(re.fullmatch("[0-9a-f]+", c)), "word": bool(re.fullmatch("[A-Za-z]+", c)), "long": len(c) >= 32,
-        "assigned": bool(re.search(r"(?i)(?:token|secret|key|passw|pwd|auth|bearer)[a-z]{0,8}[\"']?\s{0,3}[=:]\s{0,3}[\"']?$", left)), "quoted": left[-1:] in set("\"'`") and right[:1] in set("\"'`"),
-        "glued": bool(re.search(r"[^\W_]$|[_/=-]$", left) or re.search(r"^[^\W_]|^[_@/=-]", right)), "hint": bool(re.search(pii.HINTS, left)),
+        "plus": c[:1] == "+", "space": " " in c, "hyphen": "-" in c, "dot": "." in c, "bracket": "[" in c or "(" in c, "spaced_at": " @" in c or "@ " in c, "digits_9_15": 9 <= len(d) <= 15,
+        "first_card_digit": c[:1] in "3456", "checksum": kind == 2 and luhn(d), "octets": kind == 1 and octets(c), "area": kind == 3 and bool(re.match("[2-9][0-9]{2}[2-9]", d[-10:])), "comma": "," in c, "slash": "/" in c,
+        "separators": sum(x in "_/-" for x in c) >= 3, "both": kind == 4 and bool(re.search("[0-9]", c) and re.search("[A-Za-z]", c)), "wordy": kind == 4 and wordy(c), "changing": kind == 4 and changing(c),
+        "address": kind == 4 and bool(re.search(pii.IN_ADDRESS, left) or re.search(pii.BEFORE_NAME, right) or re.search("^//|^/[a-z]{2,8}/", c)),
+        "assigned": bool(re.search(pii.ASSIGNED, left)),
+        "glued": bool(re.search(r"[^\W_]$|[_/-]$", left) or re.search(r"^[^\W_]|^[_@/=-]", right)), "hint": bool(re.search(pii.HINTS, left)),
     }
 
 
@@ -93,11 +107,11 @@ def label(kind, c, left):
     address = re.sub(r" ?(?:\[dot\]|\(dot\)) ?", ".", re.sub(r" ?(?:@|\[at\]|\(at\)) ?", "@", c.lower()))
     d = digits(c)
     return (
-        bool(re.fullmatch(r"[a-z0-9][a-z0-9._%+-]*@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,}", address)),
-        all(str(int(x)) == x and int(x) <= 255 for x in re.split("[.,]", c) if x.isdigit()) and ("," not in c or bool(re.search(pii.HINTS, left))),
+        bool(re.fullmatch(r"[a-z0-9][a-z0-9._%+-]*@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,}", address)) and " @" not in c and "@ " not in c,
+        octets(c) if kind == 1 and ("," not in c or re.search(pii.HINTS, left)) else False,
         13 <= len(d) <= 19 and d[:1] in "3456" and luhn(d),
         9 <= len(d) <= 15 and bool(re.match("[2-9][0-9]{2}[2-9]", d[-10:])),
-        bool(re.search("[0-9]", c) and re.search("[A-Za-z]", c)) and len(set(c)) >= 10,
+        bool(re.search("[A-Za-z0-9]{16}", c) and re.search("[0-9]", c) and re.search("[A-Za-z]", c)) and len(set(c)) >= 10 and not wordy(c) and not re.search(pii.IN_ADDRESS, left) and (changing(c) or bool(re.search(pii.ASSIGNED, left))),
     )[kind]
 
 
