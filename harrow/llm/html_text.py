@@ -12,8 +12,12 @@ A page is parsed in its own row, in time and memory in proportion to its length:
 digests, and open elements are found by tag. Nothing gathers pages. The votes are one row per (host, path); ties go to the
 higher summed score, then to the larger digest. A header within an article belongs to it; other headers are left out.
 
+Class words such as ``sidebar`` or ``comments`` make a part doubtful, not void: ``settled`` drops it beside other text and keeps it
+where it holds the page's text itself. Text outside any body belongs to an implied one around the page.
+
 Cases: null or empty html gives an empty text; a page without text blocks gives an empty text; a null url belongs to the
-host ``''``; repeated rows each give a row; broken markup is read as browsers do in the common cases (unclosed p, b, li).
+host ``''``; repeated rows each give a row; broken markup is read as browsers do in the common cases (unclosed p, b, li, a;
+no body or text behind its end).
 Other columns are kept by ``extract`` unless they are called ``text`` or ``n_chars``, which are replaced.
 """
 
@@ -47,14 +51,23 @@ BLOCKS = set(
 CONTAINERS = set("article body div main section td blockquote center".split())
 CLOSES_P = BLOCKS - {"html", "body"}
 #: Parts of a page that are no article text, by element, role and word in class or id.
-SKIP = set("nav header footer aside form script style noscript template iframe select button textarea menu dialog svg math head title object audio video canvas".split())
-SKIP_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+SKIP = set("nav header footer aside script style noscript template iframe select button textarea menu dialog svg math head title object audio video canvas".split())
+SKIP_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+_EDGE, _END = r"(?:^|[\s_-])(?:", r")(?=$|[\s_-])"
 SKIP_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebars?|side|aside|footer|header|masthead|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|"
-    r"overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|widget\w*|toolbar|pagination|pager|comments?|commentlist|discussion|disqus|replies|reply|respond|feedback|search\w*|copyright|skip|hidden|disclaimer|outbrain|taboola)(?=$|[\s_-])",
+    _EDGE + r"ads?|advert\w*|sponsor\w*|promo\w*|banner|breadcrumbs?|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
+    r"toolbar|pagination|pager|feedback|search\w*|copyright|skip|hidden|disclaimer|outbrain|taboola" + _END,
     re.I,
 )
+#: Words that name a part of a layout as well as the layout around the article, and among them those of reader comments.
+COMMENT_WORDS = re.compile(_EDGE + r"comments?|commentlist|discussion|disqus|replies|reply|respond" + _END, re.I)
+LAYOUT_WORDS = re.compile(_EDGE + r"nav\w*|menu\w*|sidebars?|side|aside|footer|header|masthead|share|sharing|social|related|recommended|recommendations|widget\w*" + _END, re.I)
+#: Names that deny or only mention a part, and words of the article's own containers.
+MENTIONS = re.compile(r"(?:^|(?<=\s))(?:(?:no|has|have|with|without)[_-]\S*|\S*[_-](?:free|off|none|closed|disabled)(?!\S))", re.I)
+CONTENT_WORDS = re.compile(_EDGE + r"content|entry|article|post|story|body|main|text|prose" + _END, re.I)
 
+#: Least characters outside links of a doubtful part that is kept.
+LEAST_TEXT = 200
 
 #: Bytes of host paths that are broadcast; parts of each host beyond that.
 BROADCAST_BYTES, SALTS = 32 << 20, 16
@@ -66,6 +79,9 @@ class Node:
     step: str
     skipped: bool
     holder: int = -1  # the container it opened
+    doubt: str = ""  # "layout", "content" (a layout word beside a content word) or "comments"
+    doubted: int = -1  # the doubtful part it opened
+    link: bool = False
 
 
 @dataclass
@@ -78,6 +94,16 @@ class Container:
     score: float = 0.0
 
 
+@dataclass
+class Doubt:
+    kind: str
+    parent: int  # the doubtful part around it, or -1
+    own: int = 0  # characters outside links, in no further doubtful part
+    text: int = 0  # all of them
+    main: bool = False  # holds a main element
+    kept: bool = False
+
+
 @dataclass
 class Page:
     """Containers and text blocks in page order; characters of the first k blocks, and those of them within links."""
@@ -111,9 +137,16 @@ def node(tag: str, rest: str, in_article: bool) -> Node:
         or found.get("role", "").lower() in SKIP_ROLES
         or "hidden" in found
         or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")))
-        or (tag not in ("html", "body", "article", "main") and bool(SKIP_WORDS.search(cls) or SKIP_WORDS.search(name)))
     )
-    return Node(tag, generalised(tag, cls), skipped)
+    doubt = ""
+    if tag not in ("html", "body", "article", "main"):
+        names = [MENTIONS.sub("", x) for x in (cls, name)]
+        skipped = skipped or any(map(SKIP_WORDS.search, names))
+        if any(map(COMMENT_WORDS.search, names)):
+            doubt = "comments"
+        elif tag == "form" or found.get("role", "").lower() == "form" or any(map(LAYOUT_WORDS.search, names)):
+            doubt = "content" if any(map(CONTENT_WORDS.search, names)) else "layout"
+    return Node(tag, generalised(tag, cls), skipped, doubt=doubt, link=tag == "a" and "href" in found)
 
 
 def longer(path: str, step: str) -> str:
@@ -129,7 +162,8 @@ class Open:
         self.places: dict[str, list[int]] = defaultdict(list)
         self.blocks: list[int] = []
         self.holders: list[int] = []  # open containers
-        self.skipped = 0
+        self.doubts: list[int] = []  # open doubtful parts
+        self.skipped = self.links = 0
 
     def last(self, *tags: str) -> int:
         return max((self.places[t][-1] for t in tags if self.places[t]), default=-1)
@@ -140,8 +174,11 @@ class Open:
             self.blocks.append(len(self.stack))
         if new.holder >= 0:
             self.holders.append(new.holder)
+        if new.doubted >= 0:
+            self.doubts.append(new.doubted)
         self.stack.append(new)
         self.skipped += new.skipped
+        self.links += new.link
 
     def pop(self) -> Node:
         top = self.stack.pop()
@@ -150,38 +187,68 @@ class Open:
             self.blocks.pop()
         if top.holder >= 0:
             self.holders.pop()
+        if top.doubted >= 0:
+            self.doubts.pop()
         self.skipped -= top.skipped
+        self.links -= top.link
         return top
 
 
+def settled(doubts: list[Doubt], certain: int) -> None:
+    """Decide which doubtful parts are kept, against the text that is certain by then: those that name content first, comments last, the largest first.
+
+    A part of the layout is kept if it holds ten times as much, one that names content too if it holds as much, reader comments
+    if besides next to nothing is certain; a part with a main element always; none of less than ``LEAST_TEXT`` characters.
+    """
+    for d in reversed(doubts):  # parts come in the order of their starts, so those within a part first
+        d.text += d.own
+        if d.parent >= 0:
+            doubts[d.parent].text += d.text
+            doubts[d.parent].main |= d.main
+    ranks: list[int] = []  # a part's turn comes no earlier than that of the part around it
+    for d in doubts:
+        ranks.append(max(("content", "layout", "comments").index(d.kind), ranks[d.parent] if d.parent >= 0 else 0))
+    for k in sorted(range(len(doubts)), key=lambda k: (ranks[k], -doubts[k].text, k)):
+        d = doubts[k]
+        enough = d.text >= LEAST_TEXT and (certain <= d.text if d.kind == "content" else 10 * certain < d.text and (d.kind == "layout" or certain < LEAST_TEXT))
+        d.kept = (d.parent < 0 or doubts[d.parent].kept) and (enough or (d.main and d.text > 0))
+        certain += d.own if d.kept else 0
+
+
 def parsed(page: str) -> Page:
     """The page's containers, each with its path and score, and its text blocks."""
     out, now = Page([], [], [0], [0]), Open()
     parts: list[str] = []
+    doubts: list[Doubt] = []
+    found: list[tuple[str, int, int, tuple[int, ...]]] = []  # blocks with linked characters, doubtful part, and containers from the inside
+    certain = 0
+    out.containers.append(Container("", -1, False, 0))
+    now.push(Node("", "", False, holder=0))  # the implied body
     linked = at = 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, certain
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
-        if text and not now.skipped and now.holders:
-            out.blocks.append(text)
-            out.sizes.append(out.sizes[-1] + len(text))
-            out.linked.append(out.linked[-1] + min(linked, len(text)))
-            for share, k in zip((1, 3, 9), reversed(now.holders)):  # a block counts for its own container, and less for those around it
-                out.containers[k].score += max(0.0, len(text) - 3.0 * linked) / share
+        if text and not now.skipped:
+            in_links, doubt = min(linked, len(text)), now.doubts[-1] if now.doubts else -1
+            if doubt >= 0:
+                doubts[doubt].own += len(text) - in_links
+            else:
+                certain += len(text) - in_links
+            found.append((text, linked, doubt, tuple(now.holders[-3:][::-1])))
         linked = 0
 
     def close(k: int) -> None:
         while len(now.stack) > k:
             if (holder := now.pop().holder) >= 0:
-                out.containers[holder].end = len(out.blocks)
+                out.containers[holder].end = len(found)
 
     def text(piece: str) -> None:
         nonlocal linked
         if piece and not now.skipped:
             parts.append(piece)
-            if any(x.tag == "a" for x in now.stack[-4:]):
+            if now.links:
                 linked += len(piece)
 
     page_end = len(page)
@@ -221,15 +288,34 @@ def parsed(page: str) -> Page:
             if tag == "li" and (p := now.last("li")) >= 0 and p > now.last("ul", "ol"):
                 close(p)
         new = node(tag, m[3][:-1] if m[3].endswith(">") else m[3], bool(now.places["article"]))
+        if tag == "a" and (p := now.last("a")) >= 0 and (not now.blocks or now.blocks[-1] <= p):
+            close(p)
+        if tag == "main" and now.doubts and not new.skipped:
+            doubts[now.doubts[-1]].main = True
+        if new.doubt and not now.skipped and not new.skipped:
+            new.doubted = len(doubts)
+            doubts.append(Doubt(new.doubt, now.doubts[-1] if now.doubts else -1))
         if tag in CONTAINERS and not now.skipped and not new.skipped:
             parent = now.holders[-1] if now.holders else -1
             new.holder = len(out.containers)
-            out.containers.append(Container(longer(out.containers[parent].path if parent >= 0 else "", new.step), parent, tag in ("article", "main"), len(out.blocks)))
+            out.containers.append(Container(longer(out.containers[parent].path if parent >= 0 else "", new.step), parent, tag in ("article", "main"), len(found)))
         now.push(new)
         if m[3].endswith("/>") and tag not in BLOCKS:
             close(len(now.stack) - 1)
     flush()
     close(0)
+    settled(doubts, certain)
+    before = [0]  # kept blocks among the first k found
+    for text_, in_links, doubt, holders in found:
+        if doubt < 0 or doubts[doubt].kept:
+            out.blocks.append(text_)
+            out.sizes.append(out.sizes[-1] + len(text_))
+            out.linked.append(out.linked[-1] + min(in_links, len(text_)))
+            for share, k in zip((1, 3, 9), holders):  # a block counts for its own container, and less for those around it
+                out.containers[k].score += max(0.0, len(text_) - 3.0 * in_links) / share
+        before.append(len(out.blocks))
+    for c in out.containers:
+        c.first, c.end = before[c.first], before[c.end]
     return out
 
 

@@ -117,6 +117,26 @@ def test_pii_calibration():
     assert (np.diff(p) >= -0.05).all() and p[0] < 0.3 < 0.7 < p[-1] and len(at) == len(p) == 12
 
 
+def test_html_text_loses_no_article():
+    """Class words around an article lose nothing; parts that they name go, whether smaller or larger than the article."""
+    body = "".join(f"<p>{prose(50)}</p>" for _ in range(2))
+    want = "\n".join(re.findall("<p>(.*?)</p>", body))
+    around = ["class='content no-sidebar'", "class='layout has-sidebar'", "class='post-header-wrap entry'", "class='page-content with-header'", "class='col side'", "class='article__share-body'", "class='widget-area'", "class='content-related'", "id='comments-free'"]
+    links = "".join(f"<li><a href='/{k}'>link number {k} of the site</a></li>" for k in range(40))
+    for attrs in around:
+        assert html_text.main_text(f"<body><div {attrs}>{body}</div></body>", None) == want
+        for k in (5, 900):
+            others = f"<div class='sidebar'><ul>{links}</ul><p>{prose(20)}</p></div><div class='comments'><div class='comment-body'><p>{prose(k)}</p></div></div><div class='footer'>{prose(9)}</div>"
+            assert html_text.main_text(f"<body><div {attrs}>{body}</div>{others}</body>", None) == want, attrs
+            assert html_text.main_text(f"<body><div class='layout has-sidebar'><div {attrs}>{body}</div>{others}</div></body>", None) == want, attrs
+            assert html_text.main_text(f"<body><div class='x'><article><h1>T</h1>{body}</article>{others}</div></body>", None) == "T\n" + want
+    assert html_text.main_text(f"<form action='/'>{body}</form>", None) == html_text.main_text(body, None) == html_text.main_text(f"<body></body>{body}", None) == want
+    assert html_text.main_text(f"<body><div>{body}</div><form><label>{prose(5)}</label></form></body>", None) == want
+    deep = f"<div><i><b><u><s><em><a href='/x'>{prose(300)}</a></em></s></u></b></i></div><div>{body}</div>"
+    assert html_text.main_text(f"<body>{deep}</body>", None) == want
+    assert html_text.main_text("<body><div class='sidebar'>About</div><div class='ad'>Buy</div></body>", None) == ""
+
+
 def test_line_ratio_alone_rejects(spark):
     lines = [x for k in range(24) for x in (prose(9), "the same old line")]
     texts = ["\n".join(lines), "\n".join(lines[::2]), "\n".join(lines) + "\n" + "\n".join(prose(9) for _ in range(12)), None, ""]
