@@ -232,7 +232,8 @@ def targets(queries: DataFrame, elements: DataFrame, page: list[str] | None = No
     that a query meets the elements of its own page only. Returns (page, query_id, i).
 
     Needles meet labels by page and one run of three characters, of a needle the one that fewest labels hold; needles of fewer characters
-    by a list of the labels that hold them. No needle is held against every label.
+    by a list of the labels that hold them. No needle is held against every label. Of both lists only runs that a needle asks for go on, and
+    they are never a join's broadcast side: they are far larger than the files that Spark tells their size by.
     """
     page = page or []
     if "token" in queries.columns:
@@ -242,17 +243,17 @@ def targets(queries: DataFrame, elements: DataFrame, page: list[str] | None = No
     asked = queries.select(*page, "query_id", needle.alias("needle"))
     labels = elements.select(*page, "i", F.lower("hay").alias("hay"), (F.col("w") * F.col("h")).alias("area")).where("hay IS NOT NULL")
     needles = asked.select(*page, "needle").distinct()
-    posted = labels.select(*page, "i", "hay", "area", F.explode(grams(F.col("hay"))).alias("gram"))
-    often = posted.groupBy(*page, "gram").agg(F.count("*").alias("n"))
     long = needles.where(F.length("needle") >= GRAM).select(*page, "needle", F.explode(grams(F.col("needle"))).alias("gram"))
+    posted = labels.select(*page, "i", "hay", "area", F.explode(grams(F.col("hay"))).alias("gram")).join(long, [*page, "gram"], "left_semi")
+    often = posted.groupBy(*page, "gram").agg(F.count("*").alias("n"))
     rare = long.join(often, [*page, "gram"]).groupBy(*page, "needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("*").alias("__met"))
     rare = rare.where(F.col("__met") == F.size(grams(F.col("needle")))).drop("__met")  # a needle with a run that no label has isn't there
-    found = posted.join(rare, [*page, "gram"]).where(F.col("hay").contains(F.col("needle")))
+    found = posted.hint("merge").join(rare, [*page, "gram"]).where(F.col("hay").contains(F.col("needle")))
     short = needles.where(F.length("needle") < GRAM)
     runs = lambda k: F.transform(F.sequence(F.lit(1), F.length("hay") + 1 - k), lambda at: F.substring(F.col("hay"), at, k))
     lengths = F.explode(F.array_distinct(F.concat(*[runs(k) for k in range(1, GRAM)], F.array(F.lit("")))))
     small = labels.where(F.length("hay") >= GRAM - 1).select(*page, "i", "area", lengths.alias("needle")).unionByName(labels.where(F.length("hay") < GRAM - 1).select(*page, "i", "area", F.explode(F.array_distinct(F.array(F.lit(""), "hay"))).alias("needle")))
-    met = found.select(*page, "needle", "i", "area").unionByName(small.join(short, [*page, "needle"]).select(*page, "needle", "i", "area"))
+    met = found.select(*page, "needle", "i", "area").unionByName(small.join(short, [*page, "needle"], "left_semi").select(*page, "needle", "i", "area"))
     best = met.groupBy(*page, "needle").agg(F.min_by("i", F.struct("area", "i")).alias("i"), F.min(F.struct("area", "i")).alias("place"))
     return asked.join(best, [*page, "needle"]).groupBy(*page, "query_id").agg(F.min_by("i", "place").alias("i"))
 

@@ -183,3 +183,11 @@ def test_scoped_objects_read_references_as_their_sql(spark, tmp_path):
 def test_page_models_read_references_as_their_sql(spark, tmp_path):
     got, want = headings(spark, tmp_path, "page_models", "title")
     assert got == want and got[0][1] == "x&&amp"
+
+
+def test_labels_are_no_broadcast_side(spark, tmp_path):
+    spark.range(200).selectExpr("id % 2 AS page", "id AS i", "concat('Ring ', id) AS hay", "5 AS w", "6 AS h").write.parquet(str(tmp_path / "e"))
+    q = spark.createDataFrame([(k, name, needle) for k in range(2) for name, needle in (("long", "ring 1"), ("short", "7"))], "page long, query_id string, token string")
+    found = quality.targets(q, spark.read.parquet(str(tmp_path / "e")), ["page"])
+    assert "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["page"], r["query_id"]): r["i"] for r in found.collect()} == {(0, "long"): 10, (0, "short"): 70, (1, "long"): 1, (1, "short"): 7}
