@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -280,22 +281,24 @@ def inline_scripts(pages: DataFrame) -> DataFrame:
 
 
 def role_tokens(nodes: DataFrame) -> DataFrame:
-    """(page_id, ax): preorder ``depth:role`` tokens from (page_id, node_id, parent_id, pos, role, ignored); skipped roles add no depth."""
+    """(page_id, ax): preorder ``depth:role`` tokens from (page_id, node_id, parent_id, pos, role, ignored); skipped roles add no depth.
+
+    Nodes stream by in order of their pages; a task holds the nodes of one page.
+    """
     skipped = {"", "none", "generic", "presentation", "InlineTextBox", "StaticText"}
+    names = ("page_id", "node_id", "parent_id", "role", "ignored")
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        kids: dict = {}
-        for r in pdf.sort_values("pos").itertuples():
-            kids.setdefault(r.parent_id if isinstance(r.parent_id, str) else None, []).append(r)
+    def told(kids: dict) -> list[str]:
         out: list[str] = []
-        todo = [(iter(kids.get(None, [])), 0, set(), 0)]  # children to come, their depth, what stood among them, where the parent began
+        todo = [(iter(kids.get(None, ())), 0, set(), 0)]  # children to come, their depth, what stood among them, where the parent began
         while todo:
             rest, depth, seen, begun = todo[-1]
-            r = next(rest, None)
-            if r is not None:
-                shown = not r.ignored and r.role not in skipped
-                todo.append((iter(kids.get(r.node_id, [])), depth + shown, set(), len(out)))
-                out += [f"{depth}:{r.role}"] if shown else []
+            node = next(rest, None)
+            if node is not None:
+                own, role, ignored = node
+                shown = not ignored and role not in skipped
+                todo.append((iter(kids.get(own, ()) if own is not None else ()), depth + shown, set(), len(out)))
+                out += [f"{depth}:{role}"] if shown else []
                 continue
             todo.pop()
             if todo:
@@ -303,9 +306,25 @@ def role_tokens(nodes: DataFrame) -> DataFrame:
                 if tokens and tokens in among:
                     del out[begun:]
                 among.add(tokens)
-        return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "ax": [out]})
+        return out
 
-    return nodes.groupBy("page_id").applyInPandas(walk, "page_id long, ax array<string>")
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kids = None, None
+        batch_of = lambda done: pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.int64()), pa.array([ax for _, ax in done], pa.list_(pa.string()))], ["page_id", "ax"])
+        for batch in batches:
+            done = []
+            for page, own, parent, role, ignored in zip(*[batch.column(c).to_pylist() for c in names]):
+                if kids is None or page != now:
+                    if kids is not None:
+                        done.append((now, told(kids)))
+                    now, kids = page, {}
+                kids.setdefault(parent, []).append((own, role, ignored))
+            yield batch_of(done)
+        if kids is not None:
+            yield batch_of([(now, told(kids))])
+
+    dealt = nodes.select(F.col("page_id").cast("long").alias("page_id"), "node_id", "parent_id", "pos", "role", "ignored").repartition("page_id").sortWithinPartitions("page_id", F.asc_nulls_last("pos"), "node_id")
+    return dealt.select(*names).mapInArrow(walk, "page_id long, ax array<string>")
 
 
 def articles(pages: DataFrame) -> DataFrame:

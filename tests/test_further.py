@@ -191,3 +191,13 @@ def test_labels_are_no_broadcast_side(spark, tmp_path):
     found = quality.targets(q, spark.read.parquet(str(tmp_path / "e")), ["page"])
     assert "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r["page"], r["query_id"]): r["i"] for r in found.collect()} == {(0, "long"): 10, (0, "short"): 70, (1, "long"): 1, (1, "short"): 7}
+
+
+def test_role_tokens_stream_by_pages(spark):
+    tree = [("m", None, 0, "main", False), ("g", "m", 0, "generic", False), ("l", "g", 0, "list", False), ("i", "l", 0, "item", False), ("j", "l", 1, "item", False), ("b", "m", 1, "button", None), ("x", "m", 2, "link", True)]
+    small = [("a", None, None, "last", False), ("b", None, 0, "first", False), (None, "b", 0, "text", False)]
+    rows = [(p, *n) for p in range(3000) for n in (tree if p % 2 else small)] + [(None, "z", None, 0, "main", False)]
+    got = pages.role_tokens(spark.createDataFrame(rows, "page_id long, node_id string, parent_id string, pos int, role string, ignored boolean"))
+    want = {p: ["0:main", "1:list", "2:item", "1:button"] if p % 2 else ["0:first", "1:text", "0:last"] for p in range(3000)} | {None: ["0:main"]}
+    assert {r["page_id"]: r["ax"] for r in got.collect()} == want
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
