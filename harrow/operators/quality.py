@@ -55,10 +55,10 @@ def rarer_values(expected: DataFrame, produced: DataFrame) -> DataFrame:
     words = lambda df: df.select("route", "seq", filled(F.col("fields"))).select("route", "seq", F.col("f.key").alias("field"), plain)
     own, theirs = words(expected), words(produced)
     often = theirs.groupBy("route", "field", "value").agg(F.count("*").alias("n"))
-    ranked = own.join(often, ["route", "field", "value"], "left").withColumn("place", F.row_number().over(Window.partitionBy("route", "seq").orderBy(F.coalesce("n", F.lit(0)), "field")))
+    ranked = own.hint("merge").join(often, ["route", "field", "value"], "left").withColumn("place", F.row_number().over(Window.partitionBy("route", "seq").orderBy(F.coalesce("n", F.lit(0)), "field")))
     need = Window.partitionBy("route", "seq")
     rare = ranked.withColumn("need", F.count("*").over(need)).where(F.col("place") <= F.col("need") - F.ceil(F.col("need") / 2) + 1).where("n IS NOT NULL")
-    return rare.select("route", "field", "value", "seq").join(theirs.withColumnRenamed("seq", "produced_seq"), ["route", "field", "value"]).select("route", "seq", "produced_seq").distinct()
+    return rare.select("route", "field", "value", "seq").hint("merge").join(theirs.withColumnRenamed("seq", "produced_seq"), ["route", "field", "value"]).select("route", "seq", "produced_seq").distinct()
 
 
 def pair_by_overlap(expected: DataFrame, produced: DataFrame) -> DataFrame:
@@ -68,6 +68,7 @@ def pair_by_overlap(expected: DataFrame, produced: DataFrame) -> DataFrame:
     A fixed number of jobs. Records of equal fields are one class, so that copies list no pairs. Classes are compared, and the
     greedy picks are one pass over the expected records, in order and group by group: groups are stretches of a route's order that
     no produced class spans, so that no group can take a record of another. A task holds the numbers of a group's produced records.
+    Both sides of each join are as long as the records, so none is broadcast, however small the files behind it.
     """
     digest = lambda df: df.withColumn("cls", F.sha2(F.to_json(F.array_sort(F.map_entries("fields"))), 256))
     e, p = digest(expected), digest(produced)
@@ -75,8 +76,8 @@ def pair_by_overlap(expected: DataFrame, produced: DataFrame) -> DataFrame:
     ec, pc = classes(e), classes(p)
     near = rarer_values(ec.withColumnRenamed("cls", "seq"), pc.withColumnRenamed("cls", "seq"))
     filled = lambda m: F.map_filter(m, lambda k, v: v.isNotNull() & (v != ""))
-    both = near.join(ec.select("route", F.col("cls").alias("seq"), F.col("fields").alias("expected"), "first", "last"), ["route", "seq"])
-    both = both.join(pc.select("route", F.col("cls").alias("produced_seq"), F.col("fields").alias("produced")), ["route", "produced_seq"])
+    both = near.hint("merge").join(ec.select("route", F.col("cls").alias("seq"), F.col("fields").alias("expected"), "first", "last"), ["route", "seq"])
+    both = both.hint("merge").join(pc.select("route", F.col("cls").alias("produced_seq"), F.col("fields").alias("produced")), ["route", "produced_seq"])
     need = F.size(filled(F.col("expected")))
     hits = F.size(F.filter(F.map_entries(filled(F.col("expected"))), lambda f: casts.values_match(f["value"], F.try_element_at("produced", f["key"]))))
     edges = records.cut(both.select("route", F.col("seq").alias("cls"), F.col("produced_seq").alias("want"), hits.alias("hits"), need.alias("need"), "first", "last").where("hits >= greatest(1, need / 2)").drop("need"), "candidates")
@@ -85,9 +86,9 @@ def pair_by_overlap(expected: DataFrame, produced: DataFrame) -> DataFrame:
     order = Window.partitionBy("route").orderBy("lo", "want")
     open_to = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     groups = records.cut(spans.withColumn("grp", F.sum((F.col("lo") > F.coalesce(open_to, F.col("lo") - 1)).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))).select("route", "want", "grp"), "groups")
-    members = p.select("route", F.col("cls").alias("want"), F.col("seq").alias("produced_seq")).join(groups, ["route", "want"])
-    wanted = edges.join(groups, ["route", "want"]).groupBy("route", "cls", "grp").agg(F.array_sort(F.collect_list(F.struct((-F.col("hits")).alias("a"), F.col("want").alias("want")))).alias("wants"))
-    asks = e.select("route", "seq", "cls").join(wanted, ["route", "cls"])
+    members = p.select("route", F.col("cls").alias("want"), F.col("seq").alias("produced_seq")).hint("merge").join(groups, ["route", "want"])
+    wanted = edges.hint("merge").join(groups, ["route", "want"]).groupBy("route", "cls", "grp").agg(F.array_sort(F.collect_list(F.struct((-F.col("hits")).alias("a"), F.col("want").alias("want")))).alias("wants"))
+    asks = e.select("route", "seq", "cls").hint("merge").join(wanted, ["route", "cls"])
     kind = expected.schema["seq"].dataType.simpleString()
     none = F.array().cast("array<struct<a:int,want:string>>")
     rows = members.select("route", "grp", F.lit(0).alias("asks"), F.col("produced_seq").cast(kind).alias("seq"), "want", none.alias("wants")).unionByName(
@@ -111,8 +112,8 @@ def pair_by_overlap(expected: DataFrame, produced: DataFrame) -> DataFrame:
 
     dealt = rows.repartition("route", "grp").sortWithinPartitions("route", "grp", "asks", "seq")
     pairs = dealt.mapInPandas(pick, f"route string, seq {kind}, produced_seq {kind}")
-    return expected.select("route", "seq", F.lit("?").alias("key"), F.col("fields").alias("expected")).join(
-        pairs.join(produced.select("route", F.col("seq").alias("produced_seq"), F.col("fields").alias("produced")), ["route", "produced_seq"]), ["route", "seq"], "left"
+    return expected.select("route", "seq", F.lit("?").alias("key"), F.col("fields").alias("expected")).hint("merge").join(
+        pairs.hint("merge").join(produced.select("route", F.col("seq").alias("produced_seq"), F.col("fields").alias("produced")), ["route", "produced_seq"]), ["route", "seq"], "left"
     ).select("route", "seq", "key", "expected", "produced_seq", "produced")
 
 

@@ -207,3 +207,11 @@ def test_json_functions_share_a_python_process(spark):
     d = spark.createDataFrame([('{"b":[1],"a":"x"}',), (None,), ("{",)], "t string").select(jsonops.canonical(F.col("t")).alias("c"), jsonops.structure_key(F.col("t")).alias("k"), F.size(jsonops.scalars(F.col("t"))).alias("n"))
     assert d._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert [(r["c"], r["n"]) for r in d.collect()] == [('{"a":"x","b":[1]}', 2), (None, None), (None, None)]
+
+
+def test_overlap_broadcasts_no_records(spark, tmp_path):
+    spark.range(50).selectExpr("'r' AS route", "id AS seq", "map('name', concat('n', id), 'tel', concat('t', id), 'kind', 'zz') AS fields").write.parquet(str(tmp_path / "r"))
+    r = spark.read.parquet(str(tmp_path / "r"))
+    got = quality.pair_by_overlap(r, r.where("seq % 2 = 0"))
+    assert {x["seq"]: x["produced_seq"] for x in got.collect()} == {k: None if k % 2 else k for k in range(50)}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
