@@ -1,5 +1,6 @@
 """Operators over their special cases: inputs, lookups, folded logs, notes, deep pages, live bounds."""
 
+import glob
 import json
 
 import duckdb
@@ -215,3 +216,21 @@ def test_overlap_broadcasts_no_records(spark, tmp_path):
     got = quality.pair_by_overlap(r, r.where("seq % 2 = 0"))
     assert {x["seq"]: x["produced_seq"] for x in got.collect()} == {k: None if k % 2 else k for k in range(50)}
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["picture_hashes", "picture_mosaics"])
+def test_pictures_share_folders(spark, tmp_path, name):
+    spark.range(1, 121).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    origins = [r["o"] for r in further.readers.frames(spark, written(spark, tmp_path)).select(F.col("image.origin").alias("o")).collect()]
+    assert len(origins) == 120 and len({o.rsplit("/", 1)[0] for o in origins}) <= further.PICTURE_FOLDERS
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    got = registry.QUERIES[name](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLES[name]})").fetchall())
+
+
+def written(spark, tmp_path):
+    """The folder that ``pictures`` wrote last."""
+    before = set(glob.glob(spark.conf.get("spark.checkpoint.dir") + "/pictures-*"))
+    further.pictures(spark, str(tmp_path))
+    return (set(glob.glob(spark.conf.get("spark.checkpoint.dir") + "/pictures-*")) - before).pop()
