@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
@@ -262,11 +262,16 @@ NAMING = "data-e2e|data-testid|data-test|aria-label|name|role"
 CLASS_PREFIX = r"^(?:Div|Span|Strong|Img|A|H\d|P|Picture|Video|Button|Ul|Li)(?=[A-Z])"
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` computed once, however often ``f`` names it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def camel(c: Column) -> Column:
     """Words of letters and digits as one camel-case name."""
     words = F.filter(F.split(c, "[^a-zA-Z0-9]+"), lambda w: w != "")
     name = F.array_join(F.transform(words, lambda w, i: F.when(i == 0, w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w))))), "")
-    return F.concat(F.lower(F.substring(name, 1, 1)), name.substr(F.lit(2), F.length(name)))
+    return bound(name, lambda n: F.concat(F.lower(F.substring(n, 1, 1)), n.substr(F.lit(2), F.length(n))))
 
 
 def field_name(selector: Column, attribute: Column | None = None, fallback: str = "field") -> Column:
@@ -281,4 +286,5 @@ def unique_names(names: Column) -> Column:
     """Names of one list told apart: the second of a name gets a 2, and so on; an empty one is called field."""
     full = F.transform(names, lambda n: F.when(n.isNull() | (n == ""), F.lit("field")).otherwise(n))
     seen = lambda arr, n, i: F.size(F.filter(F.slice(arr, 1, i + 1), lambda x: x == n))
-    return F.transform(full, lambda n, i: F.concat(n, F.when(seen(full, n, i) > 1, seen(full, n, i).cast("string")).otherwise("")))
+    number = lambda k: F.when(k > 1, k.cast("string")).otherwise("")
+    return bound(full, lambda arr: F.transform(arr, lambda n, i: F.concat(n, bound(seen(arr, n, i), number))))

@@ -32,6 +32,15 @@ def load(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Fixed value: tasks that the rows of a table go to before costly columns.
+SPREAD = 48
+
+
+def spread(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows dealt to tasks by a key, before costly columns: a compressed table of millions of rows is one split, and so one task."""
+    return rows.repartition(SPREAD, *key)
+
+
 def events(spark, d) -> DataFrame:
     e = load(spark, d, "events")
     return e.withColumns({"seq": F.col("event_id"), "ms": F.unix_millis(F.col("ts").cast("timestamp"))})
@@ -485,7 +494,8 @@ def classified_messages(spark, d):
     sid = F.concat(F.when(F.col("event_type") == "error", "interrupt:").otherwise(""), "event_type", F.lit("-1"))
     raw = F.concat(F.lit('{"version":"0.9","updateDataModel":{"surfaceId":"'), sid, F.lit('","path":"/k","value":'), F.get_json_object("props", "$.k"), F.lit("}}"))
     m = stream.classified(raw)
-    return load(spark, d, "events").select("event_id", m["kind"].alias("kind"), m["group"].alias("group"), m["path"].alias("path"), m["preview"].alias("preview"), F.array_join(stream.message_errors(raw), ";").alias("errors"))
+    e = spread(load(spark, d, "events").select("event_id", "event_type", "props"), "event_id")
+    return e.select("event_id", m["kind"].alias("kind"), m["group"].alias("group"), m["path"].alias("path"), m["preview"].alias("preview"), F.array_join(stream.message_errors(raw), ";").alias("errors"))
 
 
 # --- responses ---
@@ -534,7 +544,7 @@ def payload_fields(spark, d):
 
 
 def expected_produced(spark, d):
-    o = load(spark, d, "orders")
+    o = spread(load(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), "o_orderkey")
     shown = F.concat(F.format_string("%.2f", F.col("o_totalprice") / 1000), F.lit("K"))
     e = o.select(F.lit("orders").alias("route"), F.col("o_orderkey").alias("seq"), F.struct(F.col("o_orderkey").cast("string").alias("id"), shown.alias("price"), F.col("o_orderstatus").alias("status")).alias("record"))
     p = o.where("o_orderkey % 5 <> 0").select(F.lit("orders").alias("route"), F.col("o_orderkey").alias("seq"), F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").alias("price"), F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")).alias("status")).alias("record"))

@@ -234,3 +234,15 @@ def written(spark, tmp_path):
     before = set(glob.glob(spark.conf.get("spark.checkpoint.dir") + "/pictures-*"))
     further.pictures(spark, str(tmp_path))
     return (set(glob.glob(spark.conf.get("spark.checkpoint.dir") + "/pictures-*")) - before).pop()
+
+
+@pytest.mark.parametrize("name", ["field_names", "classified_messages", "parity", "parity_mismatches"])
+def test_costly_rows_go_to_many_tasks(spark, name):
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_names_and_errors_of_nulls(spark):
+    d = spark.createDataFrame([(["a", "a", None, ""], '{"version":"1","deleteSurface":{"surfaceId":"s"}}'), (None, None), (["field", "x", "x", "x"], "{")], "names array<string>, raw string")
+    got = d.select(casts.unique_names(F.col("names")).alias("n"), stream.message_errors(F.col("raw")).alias("e")).collect()
+    assert [tuple(r) for r in got] == [(["a", "a2", "field", "field2"], []), (None, ["not JSON"]), (["field", "x", "x2", "x3"], ["not JSON"])]
