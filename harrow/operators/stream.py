@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harrow.functions import jsonops
+from harrow.functions import casts, jsonops
 
 
 def fresh_snapshots(snaps: DataFrame) -> DataFrame:
@@ -231,26 +231,29 @@ def classified(raw: Column) -> Column:
     kinds = ("createSurface", "updateComponents", "updateDataModel", "deleteSurface", "action")
     kind = F.coalesce(*[F.when(F.get_json_object(raw, f"$.{k}").isNotNull(), F.lit(k)) for k in kinds], F.lit("unknown"))
     surface = F.coalesce(*[F.get_json_object(raw, f"$.{k}.surfaceId") for k in kinds])
-    group = F.when(surface.contains("interrupt:"), "interrupt").when(surface.startswith("control"), "control").otherwise("page")
+    group = casts.bound(surface, lambda s: F.when(s.contains("interrupt:"), "interrupt").when(s.startswith("control"), "control").otherwise("page"))
     value = F.get_json_object(raw, "$.updateDataModel.value")
     return F.struct(kind.alias("kind"), group.alias("group"), F.coalesce(F.get_json_object(raw, "$.updateDataModel.path"), F.lit("")).alias("path"), F.substring(F.coalesce(value, F.lit("")), 1, 80).alias("preview"))
 
 
 def message_errors(raw: Column) -> Column:
     """Why a server message is malformed; empty for a good one."""
-    parsed = F.try_parse_json(raw)
     bodies = ("createSurface", "updateComponents", "updateDataModel", "deleteSurface")
-    has = lambda k: F.try_variant_get(parsed, f"$.{k}", "variant").isNotNull()
-    n = sum((has(k).cast("int") for k in bodies[1:]), has(bodies[0]).cast("int"))
-    surface = F.coalesce(*[F.try_variant_get(parsed, f"$.{k}.surfaceId", "string") for k in bodies])
-    return F.array_compact(
-        F.array(
-            F.when(parsed.isNull(), "not JSON"),
-            F.when(parsed.isNotNull() & F.try_variant_get(parsed, "$.version", "variant").isNull(), "version is missing"),
-            F.when(parsed.isNotNull() & (n != 1), "exactly one body is needed"),
-            F.when((n == 1) & surface.isNull(), "surfaceId is missing"),
+
+    def errors(parsed: Column) -> Column:
+        has = lambda k: F.try_variant_get(parsed, f"$.{k}", "variant").isNotNull()
+        n = sum((has(k).cast("int") for k in bodies[1:]), has(bodies[0]).cast("int"))
+        surface = F.coalesce(*[F.try_variant_get(parsed, f"$.{k}.surfaceId", "string") for k in bodies])
+        return F.array_compact(
+            F.array(
+                F.when(parsed.isNull(), "not JSON"),
+                F.when(parsed.isNotNull() & F.try_variant_get(parsed, "$.version", "variant").isNull(), "version is missing"),
+                F.when(parsed.isNotNull() & (n != 1), "exactly one body is needed"),
+                F.when((n == 1) & surface.isNull(), "surfaceId is missing"),
+            )
         )
-    )
+
+    return casts.bound(F.try_parse_json(raw), errors)
 
 
 def with_lookup(items: DataFrame, listed: DataFrame, run: list[str], key: str, fields: list[str]) -> DataFrame:
