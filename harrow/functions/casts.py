@@ -50,11 +50,10 @@ def count(c: Column) -> Column:
 def display_count(c: Column) -> Column:
     """The whole text must be a count; without a unit the number stays as it is."""
     pattern = r"(?i)^([\d.,]+)\s*([KMB])?$"
-    text = F.trim(c)
-    n = _number(F.regexp_replace(F.regexp_extract(text, pattern, 1), ",", ""))
-    unit = F.regexp_extract(text, pattern, 2)
-    scaled = F.floor(n * _multiplier(unit) + 0.5)
-    return F.when(text.rlike(pattern), F.when((unit == "") | (scaled == 0), n).otherwise(scaled.cast("double")))
+    scaled = lambda n, unit: F.floor(n * _multiplier(unit) + 0.5)
+    shown = lambda n, unit: F.when((unit == "") | (scaled(n, unit) == 0), n).otherwise(scaled(n, unit).cast("double"))
+    parts = lambda text: F.struct(_number(F.regexp_replace(F.regexp_extract(text, pattern, 1), ",", "")).alias("n"), F.regexp_extract(text, pattern, 2).alias("unit"))
+    return bound(F.trim(c), lambda text: F.when(text.rlike(pattern), bound(parts(text), lambda p: shown(p["n"], p["unit"]))))
 
 
 def as_int(c: Column) -> Column:
@@ -174,13 +173,15 @@ TOLERANCES = {"unit": 0.051, "plain": 0.001}
 def values_match(expected: Column, got: Column) -> Column:
     """Tolerant equality of display values: an unseen expectation passes, counts match within what their display shows, texts
     match when equal or when one of at least four characters holds the other."""
-    e, g = display_count(expected), display_count(got)
     shown = expected.rlike(r"(?i)^[\d.,\sKMB]+$")
-    close = F.abs(e - g) <= F.greatest(F.lit(1.0), F.abs(e) * F.when(expected.rlike("(?i)[KMB]"), TOLERANCES["unit"]).otherwise(TOLERANCES["plain"]))
+    close = lambda e, g: F.abs(e - g) <= F.greatest(F.lit(1.0), F.abs(e) * F.when(expected.rlike("(?i)[KMB]"), TOLERANCES["unit"]).otherwise(TOLERANCES["plain"]))
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[#@]", ""), _WHITE, " "))
-    a, b = plain(expected), plain(got)
-    text = (a == b) | ((F.length(a) >= 4) & b.contains(a)) | ((F.length(b) >= 4) & a.contains(b))
-    return F.when(expected.isNull() | (expected == ""), True).when(got.isNull(), False).when(e.isNotNull() & g.isNotNull() & shown, close).otherwise(text)
+    held = lambda a, b: (a == b) | ((F.length(a) >= 4) & b.contains(a)) | ((F.length(b) >= 4) & a.contains(b))
+    text = bound(F.struct(plain(expected).alias("a"), plain(got).alias("b")), lambda x: held(x["a"], x["b"]))
+    counts = F.when(shown, F.struct(display_count(expected).alias("e"), display_count(got).alias("g")))  # null where the expectation shows no count
+    by_count = bound(counts, lambda x: F.when(x["e"].isNotNull() & x["g"].isNotNull(), close(x["e"], x["g"])))
+    # by_count is null where a side is no count
+    return F.when(expected.isNull() | (expected == ""), True).when(got.isNull(), False).otherwise(F.coalesce(by_count, text))
 
 
 def backoff(attempt: Column, base_ms: int = 1000, max_ms: int = 15_000, jitter: float = 0.3) -> dict[str, Column]:
