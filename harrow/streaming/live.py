@@ -120,27 +120,38 @@ def deduplicated(stream: DataFrame, key: list[str], event_time: str | None = Non
 
 
 class _Newest(StatefulProcessor):
+    """State of one bucket: the newest time of each of its keys. A call for each key would cost more than the numbers of many."""
+
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "ts long")
+        self.latest = handle.getValueState("latest", "newest map<string,long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         pdf = pd.concat(list(rows)).sort_values("seq")
-        latest = self.latest.get()[0] if self.latest.exists() else None
+        latest = dict(self.latest.get()[0]) if self.latest.exists() else {}
         kept = []
-        for ts in pdf["ts"]:
-            kept.append(latest is None or ts >= latest)
-            latest = ts if latest is None else max(latest, ts)
-        self.latest.update((int(latest),))
-        yield pdf[kept]
+        for k, ts in zip(pdf["state_key"], pdf["ts"].tolist()):
+            newest = latest.get(k)
+            kept.append(newest is None or ts >= newest)
+            latest[k] = ts if newest is None else max(newest, ts)
+        self.latest.update((latest,))
+        yield pdf[kept][self.columns]
 
     def close(self) -> None:
         pass
 
 
-def without_stale(snapshots: DataFrame) -> DataFrame:
-    """Drop snapshots older than the newest one seen at the same run and url; state is one number per url."""
+#: Fixed value: buckets of keys that share a state.
+STATE_BUCKETS = 512
+
+
+def without_stale(snapshots: DataFrame, buckets: int = STATE_BUCKETS) -> DataFrame:
+    """Drop snapshots older than the newest one seen at the same run and url; state is one number per url, held by hash buckets of keys."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in snapshots.schema)
-    return snapshots.groupBy("run_id", "url").transformWithStateInPandas(_Newest(), schema, "Append", "None")
+    keyed_rows = snapshots.withColumn("state_key", F.to_json(F.struct("run_id", "url"), {"ignoreNullFields": "false"})).withColumn("bucket", F.pmod(F.xxhash64("run_id", "url"), F.lit(buckets)))
+    return keyed_rows.groupBy("bucket").transformWithStateInPandas(_Newest(snapshots.columns), schema, "Append", "None")
 
 
 class _Bursts(StatefulProcessor):

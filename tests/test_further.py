@@ -138,6 +138,8 @@ def test_live_dedupe_and_stale(spark, tmp_path):
     source = spark.readStream.schema("run_id string, url string, seq long, ts long, k string").json(str(at))
     assert sorted(r["k"] for r in run(live.deduplicated(source, ["run_id", "k"]), tmp_path, "once")) == ["a", "b", "c", "d"]
     assert sorted(r["seq"] for r in run(live.without_stale(source), tmp_path, "fresh")) == [1, 2, 4]
+    # keys that share a state are told apart
+    assert sorted(r["seq"] for r in run(live.without_stale(source.withColumn("url", F.concat("url", "k")), buckets=1), tmp_path, "one")) == [1, 2, 3, 4, 5]
 
 
 def test_live_bursts_and_ticks(spark, tmp_path):
