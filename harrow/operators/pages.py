@@ -11,10 +11,11 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from harrow.functions import casts
 from harrow.functions.html import Element, Page, hidden, signature, stable_selector, structure, value_of
@@ -65,16 +66,38 @@ def _text(v) -> str | None:
     return v if v is None or isinstance(v, str) else json.dumps(v, separators=(",", ":"), ensure_ascii=False)
 
 
+#: Rows of a batch that goes back to Spark, and characters of pages that give one: a task holds one tree and so many rows, however many pages it reads.
+OUT_ROWS, OUT_CHARS = 2_000, 1 << 20
+
+
 def _each_page(pages: DataFrame, rows, schema: str) -> DataFrame:
     """Rows of each page from ``rows(page_id, url, page)``."""
-    columns = [x.strip().split(" ")[0] for x in re.split(r",(?![^<]*>)", schema)]
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [r for i, u, h in zip(pdf["page_id"], pdf["url"], pdf["html"]) for r in rows(i, u or "", Page(h))]
-            yield pd.DataFrame(out, columns=columns)
-
-    return pages.select("page_id", "url", "html").mapInPandas(parse, schema)
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, chars = [], 0
+        for batch in batches:
+            for i, u, h in zip(*batch.columns):
+                html, page_id = h.as_py() or "", i.as_py()
+                page = Page(html)
+                for r in rows(page_id, u.as_py() or "", page):
+                    out.append(r)
+                    if len(out) >= OUT_ROWS:
+                        yield batch_of(out)
+                        out, chars = [], 0
+                page.release()
+                chars += len(html)
+                if chars >= OUT_CHARS:
+                    yield batch_of(out)
+                    out, chars = [], 0
+        yield batch_of(out)
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out) if out else [()] * len(kinds)
+        held = [[v if v is None else list(v.items()) for v in c] if pa.types.is_map(t) else list(c) for c, t in zip(columns, kinds.types)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, kinds.types)], schema=kinds)
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    return pages.select("page_id", "url", "html").mapInArrow(parse, schema)
 
 
 def extracted(pages: DataFrame, fields: dict[str, dict]) -> DataFrame:
