@@ -123,16 +123,31 @@ class Route:
 
 
 def emitted(closed: DataFrame, routes: list[Route]) -> DataFrame:
-    """(dataset, key, record, run_id, seq, close_no, route_no, item_no) of closed surfaces, batch or stream. Without a key field the record is its key."""
-    out = None
+    """(dataset, key, record, run_id, seq, close_no, route_no, item_no) of closed surfaces, batch or stream. Without a key field the record is its key.
+
+    Surfaces are read once for all routes: in a union each route would have a fold, and its state, of its own.
+    """
+    none = F.array().cast("array<struct<route_no:int,item_no:int>>")
+
+    def places(no: int, r: Route) -> Column:
+        """The items of a surface that give a record of a route."""
+        place = lambda k: F.struct(F.lit(no).alias("route_no"), k.alias("item_no"))
+        each = F.array(place(F.lit(0))) if r.each is None else F.transform(r.each, lambda x, k: place(k))
+        return F.coalesce(F.when(F.col("view") == r.view, each), none)
+
+    told = closed.select("*", F.inline(F.flatten(F.array(*[places(no, r) for no, r in enumerate(routes)]))))
+    record, key, dataset = (F.lit(None).cast("string") for _ in range(3))
     for no, r in enumerate(routes):
-        own = closed.where(F.col("view") == r.view)
-        own = own.withColumn("item_no", F.lit(0)) if r.each is None else own.select("*", F.posexplode(r.each).alias("item_no", "item"))
-        record = F.to_json(F.struct(*[c.alias(k) for k, c in r.fields.items()]), {"ignoreNullFields": "false"})
-        key = record if r.key is None else F.coalesce(r.fields[r.key].cast("string"), F.lit("null"))
-        one = own.select(F.lit(r.dataset).alias("dataset"), key.alias("key"), record.alias("record"), "run_id", F.col("closed_seq").alias("seq"), "close_no", F.lit(no).alias("route_no"), "item_no")
-        out = one if out is None else out.unionByName(one)
-    return out
+        own = F.col("route_no") == no
+        if r.each is not None:
+            told = told.withColumn("item", F.when(own, F.get(r.each, F.col("item_no"))))
+        text = F.to_json(F.struct(*[c.alias(k) for k, c in r.fields.items()]), {"ignoreNullFields": "false"})
+        told = told.withColumns({
+            "__record": F.when(own, text).otherwise(record),
+            "__key": F.when(own, text if r.key is None else F.coalesce(r.fields[r.key].cast("string"), F.lit("null"))).otherwise(key),
+        })
+        record, key, dataset = F.col("__record"), F.col("__key"), F.when(own, F.lit(r.dataset)).otherwise(dataset)
+    return told.select(dataset.alias("dataset"), key.alias("key"), record.alias("record"), "run_id", F.col("closed_seq").alias("seq"), "close_no", "route_no", "item_no")
 
 
 def message_texts(messages: DataFrame, of: str = "seq") -> DataFrame:
