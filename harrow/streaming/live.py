@@ -44,9 +44,11 @@ class SurfaceFold(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         (open_, last), out = self.stored(), []
+        newest: dict[str, str] = {}  # the open surface of each view whose model is the view's last one, and not in ``last`` yet
         pdf = pd.concat(list(rows)).sort_values("seq", kind="stable")
         for raw, seq in zip(pdf["raw"], pdf["seq"].tolist()):
             if raw is None:
+                self.tell(open_, newest, last)
                 out += self.closed(key, open_, last, seq)
                 open_ = {}
                 continue
@@ -58,6 +60,7 @@ class SurfaceFold(StatefulProcessor):
                 continue
             if "deleteSurface" in m:
                 if sid in open_:
+                    self.tell(open_, newest, last)
                     out += self.closed(key, {sid: open_.pop(sid)}, last, seq)
                 continue
             if "createSurface" in m:
@@ -68,7 +71,8 @@ class SurfaceFold(StatefulProcessor):
                 open_[sid] = (jsonops.set_at(model, u.get("path", "/"), u.get("value", jsonops.ABSENT)), opened)
             view = view_name(sid)
             if view == "control" or self.known(view):
-                last[view] = jsonops.canonical_text(open_[sid][0])
+                newest[view] = sid
+        self.tell(open_, newest, last)
         self.state.update(({sid: (jsonops.canonical_text(model), opened) for sid, (model, opened) in open_.items()}, last))
         if self.idle_ms:
             for t in list(self.handle.listTimers()):
@@ -82,6 +86,12 @@ class SurfaceFold(StatefulProcessor):
         self.state.update(({}, last))
         yield self.frame(out)
 
+    def tell(self, open_: dict, newest: dict[str, str], last: dict[str, str]) -> None:
+        """Make the texts of the last models that changed: when a surface closes, not with each message."""
+        for view, sid in newest.items():
+            last[view] = jsonops.canonical_text(open_[sid][0])
+        newest.clear()
+
     def known(self, view: str) -> bool:
         return self.views is None or view in self.views
 
