@@ -51,7 +51,7 @@ def text_chunks(batch: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Ite
     whole = batch.column(column)
     if whole.null_count:
         whole = whole.fill_null("")
-    wide = whole.type == pa.large_string()
+    wide = whole.type in (pa.large_string(), pa.large_binary())
     _, offsets, data = whole.buffers()
     off = np.frombuffer(offsets, np.int64 if wide else np.int32)[whole.offset : whole.offset + len(whole) + 1].astype(np.int64) if len(whole) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

@@ -29,11 +29,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/harrow-{label}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
+def keep(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write a table in the shared folder and read it back: cuts lineage, and lost executors lose nothing."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,8 @@
 """Language-model scoring with a small causal self-attention model, trained in numpy on subword ids.
 
-Learning. One scan counts, over every training text, words, subwords and adjacent subword pairs; task-level sums combine
+Coding. Every text is split into subwords once; its ids are kept as bytes, from which counts, training and scoring read.
+
+Learning. Scans count, over every training text, words, subwords and adjacent subword pairs; task-level sums combine
 before and in the shuffle. The ``TOP`` most frequent subwords are set into classes of ``CLASS`` by halving along principal
 directions of their pair statistics; a factorization of those statistics gives the first embeddings and output weights.
 Attention, feed-forward and all weights are then trained by gradient steps over every training text, once: the texts are dealt
@@ -16,6 +18,8 @@ their counts. The probabilities of all ids sum to one at every place.
 The base score needs the count of every word. Words at least ``1 / HOT`` as frequent as all tokens (at most ``HOT`` of them, whatever
 the corpus) are broadcast; the others meet their counts in a join on word hashes.
 
+Arrays of a step or a block of windows are filled again in the next one, as fresh pages cost much of a step's time.
+
 Cases: null and empty texts are one end token; with no training text all counts are 0 and the model is uniform; rows
 that repeat an id and text get equal scores; a null id counts as the text ''. Very long texts are scored in pieces of windows.
 """
@@ -29,8 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _bytes as B
 from ._shared import keep, table
@@ -138,161 +144,255 @@ def shapes() -> dict[str, tuple[int, ...]]:
     }
 
 
+HALF = WINDOW // 2
 MASK = np.tril(np.ones((WINDOW, WINDOW), F32))
 REACH = 30.0
 
 
-def forward(w: dict, x: np.ndarray) -> dict:
-    """Hidden states of windows of compact ids (batch, length). Dense layers run over all places at once; scores are kept in a
-    range whose exponentials are finite."""
-    b, n = x.shape
-    e = (w["emb"][x] + w["pos"][:n]).reshape(b * n, DIM)
-    q, k, v = ((e @ w[name]).reshape(b, n, DIM) for name in ("wq", "wk", "wv"))
-    s = (q * F32(DIM**-0.5)) @ k.transpose(0, 2, 1)
-    np.clip(s, -REACH, REACH, out=s)
-    np.exp(s, out=s)
-    s *= MASK[:n, :n]
-    s /= s.sum(axis=2, keepdims=True)
-    a = (s @ v).reshape(b * n, DIM)
-    h1 = e + a @ w["wo"]
-    r = h1 @ w["w1"]
-    r += w["b1"]
-    np.maximum(r, 0, out=r)
-    return {"e": e, "q": q, "k": k, "v": v, "s": s, "a": a, "h1": h1, "r": r, "h": h1 + r @ w["w2"]}
+class Room:
+    """Arrays that are filled again step after step: fresh pages cost more than the sums that go into them."""
 
+    def __init__(self):
+        self.kept: dict[str, np.ndarray] = {}
 
-def last_states(w: dict, x: np.ndarray, n_last: int) -> np.ndarray:
-    """Hidden states of the last places of each window, as ``forward`` gives them: the places before only lend keys and values."""
-    b, n = x.shape
-    e = w["emb"][x]
-    e += w["pos"][:n]
-    own = np.ascontiguousarray(e[:, n - n_last :]).reshape(b * n_last, DIM)
-    flat = e.reshape(b * n, DIM)
-    q = (own @ (w["wq"] * F32(DIM**-0.5))).reshape(b, n_last, DIM)
-    k, v = ((flat @ w[name]).reshape(b, n, DIM) for name in ("wk", "wv"))
-    s = q @ k.transpose(0, 2, 1)
-    np.clip(s, -REACH, REACH, out=s)
-    np.exp(s, out=s)
-    s *= MASK[n - n_last : n, :n]
-    a = s @ v
-    a /= s.sum(axis=2, keepdims=True)
-    h = own + a.reshape(b * n_last, DIM) @ w["wo"]
-    r = h @ w["w1"]
-    r += w["b1"]
-    np.maximum(r, 0, out=r)
-    h += r @ w["w2"]
-    return h
+    def __call__(self, name: str, kind, *shape: int) -> np.ndarray:
+        size = int(np.prod(shape))
+        own = self.kept.get(name)
+        if own is None or own.size < size or own.dtype != kind:
+            own = self.kept[name] = np.empty(size, kind)
+        return own[:size].reshape(shape)
+
+
+def row_sums(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[-1], z.dtype)
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    """Shares of the exponentials of each row, in place."""
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+def by_value(ids: np.ndarray) -> np.ndarray:
+    """Stable order of compact ids."""
+    return np.argsort(ids.astype(np.int16), kind="stable")
 
 
-def log_sums(z: np.ndarray) -> np.ndarray:
-    """Logarithms of the summed exponentials of each column; logits are kept in a range whose exponentials are finite."""
-    return np.log(np.exp(z).sum(axis=0))
+def joint(w: dict) -> np.ndarray:
+    """Weights of queries, keys and values side by side, queries scaled."""
+    kind = w["wq"].dtype.type
+    return np.hstack([w["wq"] * kind(DIM**-0.5), w["wk"], w["wv"]])
 
 
-def log_probs(w: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Natural log probability of each compact target, the tail's ids together. Logits lie along columns, one per target."""
-    c, order = y // CLASS, np.argsort(y, kind="stable")
-    ht = np.ascontiguousarray(h[order].T)
-    c, y = c[order], y[order]
-    z = w["cls"].T @ ht
-    z += w["bc"][:, None]
-    np.clip(z, -2 * REACH, 2 * REACH, out=z)
-    out = z[c, np.arange(len(y))] - log_sums(z)
-    bounds = np.searchsorted(c, np.arange(CLASSES + 1))
+def attended(q: np.ndarray, k: np.ndarray, v: np.ndarray, s: np.ndarray, a: np.ndarray, begin: int) -> np.ndarray:
+    """Fill s with the exponentials of the scores of places from ``begin`` on over all places up to each, and a with the sums of values by
+    their shares; the exponentials' sums come back. Scores are kept in a range whose exponentials are finite."""
+    np.matmul(q, k.transpose(0, 2, 1), out=s)
+    np.clip(s, -REACH, REACH, out=s)
+    np.exp(s, out=s)
+    s *= MASK[begin : begin + q.shape[1], : k.shape[1]]
+    total = row_sums(s)
+    np.matmul(s, v, out=a)
+    a /= total[:, :, None]
+    return total
+
+
+def forward(w: dict, x: np.ndarray, room: Room | None = None) -> dict:
+    """Hidden states of windows of compact ids (batch, length). Dense layers run over all places at once. Attention runs over halves
+    of a window, for the first half never sees the second; ``s`` has the exponentials of scores of each half, ``sums`` their sums."""
+    room, kind = room or Room(), w["emb"].dtype
+    b, n = x.shape
+    e = room("e", kind, b, n, DIM)
+    np.take(w["emb"], x, axis=0, out=e, mode="clip")
+    e += w["pos"][:n]
+    e = e.reshape(b * n, DIM)
+    qkv = np.matmul(e, joint(w), out=room("qkv", kind, b * n, 3 * DIM)).reshape(b, n, 3 * DIM)
+    a, s, sums = room("a", kind, b, n, DIM), [], np.empty((b, n), kind)
+    for lo in range(0, n, HALF):
+        hi = min(lo + HALF, n)
+        s.append(room(f"s{lo}", kind, b, hi - lo, hi))
+        sums[:, lo:hi] = attended(qkv[:, lo:hi, :DIM], qkv[:, :hi, DIM : 2 * DIM], qkv[:, :hi, 2 * DIM :], s[-1], a[:, lo:hi], lo)
+    a = a.reshape(b * n, DIM)
+    h1 = np.matmul(a, w["wo"], out=room("h1", kind, b * n, DIM))
+    h1 += e
+    r = np.matmul(h1, w["w1"], out=room("r", kind, b * n, HIDDEN))
+    r += w["b1"]
+    np.maximum(r, 0, out=r)
+    h = np.matmul(r, w["w2"], out=room("h", kind, b * n, DIM))
+    h += h1
+    return {"e": e, "qkv": qkv, "s": s, "sums": sums, "a": a, "h1": h1, "r": r, "h": h}
+
+
+class Tables:
+    """What scoring looks up: embeddings, scaled queries, keys and values of every compact id, and what places add to them."""
+
+    def __init__(self, w: dict):
+        self.w, self.room = w, Room()
+        whole = np.hstack([np.eye(DIM, dtype=F32), joint(w)])
+        self.own, self.own_at = (np.ascontiguousarray((w[k] @ whole)[:, : 2 * DIM]) for k in ("emb", "pos"))  # embedding, query
+        self.lent, self.lent_at = (np.ascontiguousarray((w[k] @ whole)[:, 2 * DIM :]) for k in ("emb", "pos"))  # key, value
+
+    def last_states(self, x: np.ndarray, n_last: int) -> np.ndarray:
+        """Hidden states of the last places of each window, as ``forward`` gives them: the places before only lend keys and values."""
+        (b, n), w, room = x.shape, self.w, self.room
+        own, lent = room("own", F32, b, n_last, 2 * DIM), room("lent", F32, b, n, 2 * DIM)
+        np.take(self.own, x[:, n - n_last :], axis=0, out=own, mode="clip")
+        np.take(self.lent, x, axis=0, out=lent, mode="clip")
+        own += self.own_at[n - n_last : n]
+        lent += self.lent_at[:n]
+        a = room("a", F32, b, n_last, DIM)
+        for lo in range(n - n_last, n, HALF):
+            hi, at = min(lo + HALF, n), lo - (n - n_last)
+            upto = at + min(HALF, n - lo)
+            attended(own[:, at:upto, DIM:], lent[:, :hi, :DIM], lent[:, :hi, DIM:], room("s", F32, b, hi - lo, hi), a[:, at:upto], lo)
+        h = np.matmul(a.reshape(b * n_last, DIM), w["wo"], out=room("h1", F32, b * n_last, DIM))
+        h += own.reshape(b * n_last, 2 * DIM)[:, :DIM]
+        r = np.matmul(h, w["w1"], out=room("r", F32, b * n_last, HIDDEN))
+        r += w["b1"]
+        np.maximum(r, 0, out=r)
+        return h + r @ w["w2"]
+
+
+def class_logits(w: dict, h: np.ndarray, bounds: list[int], room: Room) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of the classes at all places, and of each place's own class's members. Places come by class, class k from bounds[k] on; the
+    last class has no members. Logits are kept in a range whose exponentials are finite."""
+    z = np.matmul(h, w["cls"], out=room("z", h.dtype, len(h), CLASSES + 1))
+    z += w["bc"]
+    m = room("m", h.dtype, bounds[CLASSES], CLASS)
     for k in range(CLASSES):
         a, b = bounds[k], bounds[k + 1]
         if a < b:
             part = slice(k * CLASS, (k + 1) * CLASS)
-            z = w["tok"][part] @ ht[:, a:b]
-            z += w["bt"][part][:, None]
-            np.clip(z, -2 * REACH, 2 * REACH, out=z)
-            out[a:b] += z[y[a:b] - k * CLASS, np.arange(b - a)] - log_sums(z)
+            np.matmul(h[a:b], w["tok"][part].T, out=m[a:b])
+            m[a:b] += w["bt"][part]
+    for logits in (z, m):
+        np.clip(logits, -2 * REACH, 2 * REACH, out=logits)
+    return z, m
+
+
+def class_bounds(y: np.ndarray) -> list[int]:
+    """Where each class begins among ordered compact ids; the end of the last."""
+    return [*np.searchsorted(y, np.arange(CLASSES + 1) * CLASS).tolist(), len(y)]
+
+
+def picked(z: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Flat places of one column in each row."""
+    return np.arange(len(z)) * z.shape[1] + column
+
+
+def log_probs(w: dict, h: np.ndarray, y: np.ndarray, room: Room | None = None) -> np.ndarray:
+    """Natural log probability of each compact target, the tail's ids together."""
+    room, order = room or Room(), by_value(y)
+    y = y[order]
+    h = np.take(h, order, axis=0, out=room("ordered", h.dtype, *h.shape), mode="clip")
+    bounds = class_bounds(y)
+    z, m = class_logits(w, h, bounds, room)
+    out = z.ravel()[picked(z, y // CLASS)]
+    out[: len(m)] += m.ravel()[picked(m, y[: len(m)] % CLASS)]
+    out -= np.log(row_sums(np.exp(z, out=z)))
+    out[: len(m)] -= np.log(row_sums(np.exp(m, out=m)))
     back = np.empty_like(out)
     back[order] = out
     return back
 
 
-def gradients(w: dict, x: np.ndarray, y: np.ndarray, live: np.ndarray) -> dict:
-    """Gradients of the mean loss over the live places of windows x with targets y."""
-    c, (b, n) = forward(w, x), x.shape
-    flat = lambda t: t.reshape(b * n, -1)
+def gradients(w: dict, x: np.ndarray, y: np.ndarray, live: np.ndarray, room: Room | None = None, g: dict | None = None) -> dict:
+    """Gradients of the mean loss over the live places of windows x with targets y; into g, if given."""
+    room, kind = room or Room(), w["emb"].dtype
+    c, (b, n) = forward(w, x, room), x.shape
     rows = np.flatnonzero(live.ravel())
-    rows = rows[np.argsort(y.ravel()[rows], kind="stable")]  # targets of a class side by side
-    h, t = c["h"][rows], y.ravel()[rows]
-    g = {name: np.zeros_like(v) for name, v in w.items()}
-    scale = F32(1.0 / max(len(rows), 1))
-    dz = softmax(h @ w["cls"] + w["bc"])
-    dz[np.arange(len(t)), t // CLASS] -= 1
-    dz *= scale
-    g["cls"], g["bc"] = h.T @ dz, dz.sum(axis=0)
-    dh_rows = dz @ w["cls"].T
-    bounds = np.searchsorted(t, np.arange(CLASSES + 1) * CLASS)
-    for k, (first, end) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+    rows = rows[by_value(y.ravel()[rows])]  # targets of a class side by side
+    t = y.ravel()[rows]
+    h = np.take(c["h"], rows, axis=0, out=room("ordered", kind, len(rows), DIM), mode="clip")
+    g = g or {name: np.empty_like(v) for name, v in w.items()}
+    for name in ("emb", "pos", "tok", "bt"):
+        g[name][...] = 0
+    bounds, scale = class_bounds(t), kind.type(1.0 / max(len(rows), 1))
+    z, m = class_logits(w, h, bounds, room)
+    for dz, target in ((z, t // CLASS), (m, t[: len(m)] % CLASS)):
+        np.exp(dz, out=dz)
+        dz *= (scale / row_sums(dz))[:, None]
+        dz.ravel()[picked(dz, target)] -= scale
+    g["cls"][...], g["bc"][...] = h.T @ z, z.sum(axis=0)
+    dh_rows = np.matmul(z, w["cls"].T, out=room("dh_rows", kind, len(rows), DIM))
+    for k in range(CLASSES):
+        first, end = bounds[k], bounds[k + 1]
         if first < end:
-            part, own = slice(k * CLASS, (k + 1) * CLASS), h[first:end]
-            dt = softmax(own @ w["tok"][part].T + w["bt"][part])
-            dt[np.arange(end - first), t[first:end] - k * CLASS] -= 1
-            dt *= scale
-            g["tok"][part], g["bt"][part] = dt.T @ own, dt.sum(axis=0)
+            part, dt = slice(k * CLASS, (k + 1) * CLASS), m[first:end]
+            np.matmul(dt.T, h[first:end], out=g["tok"][part])
+            np.sum(dt, axis=0, out=g["bt"][part])
             dh_rows[first:end] += dt @ w["tok"][part]
-    dh = np.zeros((b * n, DIM), F32)
+    dh = room("dh", kind, b * n, DIM)
+    dh[...] = 0
     dh[rows] = dh_rows
-    g["w2"] = flat(c["r"]).T @ dh
-    dr = (dh @ w["w2"].T) * (flat(c["r"]) > 0)
-    g["w1"], g["b1"] = flat(c["h1"]).T @ dr, dr.sum(axis=0)
-    dh1 = dh + dr @ w["w1"].T
-    g["wo"] = flat(c["a"]).T @ dh1
-    da = (dh1 @ w["wo"].T).reshape(b, n, DIM)
-    dv = c["s"].transpose(0, 2, 1) @ da
-    ds = da @ c["v"].transpose(0, 2, 1)
+    r, s, sums = c["r"], c["s"], c["sums"]
+    np.matmul(r.T, dh, out=g["w2"])
+    dr = np.matmul(dh, w["w2"].T, out=room("dr", kind, b * n, HIDDEN))
+    dr *= np.greater(r, 0, out=room("up", np.bool_, b * n, HIDDEN))
+    np.matmul(c["h1"].T, dr, out=g["w1"])
+    g["b1"][...] = np.ones(b * n, kind) @ dr
+    de = np.matmul(dr, w["w1"].T, out=room("de", kind, b * n, DIM))
+    de += dh
+    np.matmul(c["a"].T, de, out=g["wo"])
+    da = np.matmul(de, w["wo"].T, out=room("da", kind, b * n, DIM))
+    da /= sums.reshape(b * n, 1)  # the exponentials in s are not divided by their sums
+    q, k, v = (c["qkv"][:, :, i * DIM : (i + 1) * DIM] for i in range(3))
+    own = row_sums(np.multiply(da, c["a"], out=dh)).reshape(b, n, 1)
+    da, d = da.reshape(b, n, DIM), room("d", kind, b, n, 3 * DIM)
+    dq, dk, dv = (d[:, :, i * DIM : (i + 1) * DIM] for i in range(3))
     # scores at the ends of the range are as good as never reached; their gradient passes
-    ds -= np.einsum("bij,bij->bi", ds, c["s"])[:, :, None]
-    ds *= c["s"]
-    ds *= F32(DIM**-0.5)
-    dq, dk = ds @ c["k"], ds.transpose(0, 2, 1) @ c["q"]
-    e = flat(c["e"])
-    g["wq"], g["wk"], g["wv"] = e.T @ flat(dq), e.T @ flat(dk), e.T @ flat(dv)
-    de = dh1 + flat(dq) @ w["wq"].T + flat(dk) @ w["wk"].T + flat(dv) @ w["wv"].T
-    g["pos"][:n] = de.reshape(b, n, DIM).sum(axis=0)
-    order = np.argsort(x, axis=None, kind="stable")
+    for i, lo in reversed(list(enumerate(range(0, n, HALF)))):  # the last half reaches all places: it fills, the first adds
+        hi = min(lo + HALF, n)
+        ds = np.matmul(da[:, lo:hi], v[:, :hi].transpose(0, 2, 1), out=room("ds", kind, b, hi - lo, hi))
+        ds -= own[:, lo:hi]
+        ds *= s[i]
+        np.matmul(ds, k[:, :hi], out=dq[:, lo:hi])
+        if hi == n:
+            np.matmul(ds.transpose(0, 2, 1), q[:, lo:hi], out=dk)
+            np.matmul(s[i].transpose(0, 2, 1), da[:, lo:hi], out=dv)
+        else:
+            dk[:, :hi] += ds.transpose(0, 2, 1) @ q[:, lo:hi]
+            dv[:, :hi] += s[i].transpose(0, 2, 1) @ da[:, lo:hi]
+    d = d.reshape(b * n, 3 * DIM)
+    dw = c["e"].T @ d
+    g["wq"][...], g["wk"][...], g["wv"][...] = dw[:, :DIM] * kind.type(DIM**-0.5), dw[:, DIM : 2 * DIM], dw[:, 2 * DIM :]
+    de += np.matmul(d, joint(w).T, out=dh)
+    np.sum(de.reshape(b, n, DIM), axis=0, out=g["pos"][:n])
+    order = by_value(x.ravel())
     ids = x.ravel()[order]
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    g["emb"][ids[first]] = np.add.reduceat(de[order], first)
+    g["emb"][ids[first]] = np.add.reduceat(np.take(de, order, axis=0, out=dh, mode="clip"), first)
     return g
 
 
+def window_starts(total: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each window's first id among all, how many targets of its text lie from there on, its text, and whether it is the text's first."""
+    n = total - 1
+    per = np.maximum(1, -(-(n - (WINDOW - stride)) // stride))
+    text = np.repeat(np.arange(len(n)), per)
+    j = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
+    return np.repeat(np.cumsum(total) - total, per) + j * stride, n[text] - j * stride, text, j == 0
+
+
+def window_ids(ids: np.ndarray, start: np.ndarray, left: np.ndarray, fresh: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets, and which places score, of some windows."""
+    place = np.arange(WINDOW)
+    inside = place < left[:, None]
+    at = np.where(inside, start[:, None] + place, 0)
+    return ids[at], ids[np.where(inside, at + 1, 0)], inside & ((place >= overlap) | fresh[:, None])
+
+
 def windows(ids: np.ndarray, total: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Windows over the sequences of texts: inputs, targets, which places score, and each place's text.
 
     A text of n + 1 ids has n targets. Window j covers targets from j * stride on; all but a text's first window score only
     their last ``stride`` places, so every target is scored once.
     """
-    n = total - 1
-    overlap = WINDOW - stride
-    per = np.maximum(1, -(-(n - overlap) // stride))
-    text = np.repeat(np.arange(len(n)), per)
-    j = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-    start = np.repeat(np.cumsum(total) - total, per) + j * stride
-    place = np.arange(WINDOW)
-    inside = j[:, None] * stride + place < n[text][:, None]
-    at = np.where(inside, start[:, None] + place, 0)
-    return ids[at], ids[np.where(inside, at + 1, 0)], inside & ((place >= overlap) | (j[:, None] == 0)), text
+    start, left, text, fresh = window_starts(total, stride)
+    return *window_ids(ids, start, left, fresh, WINDOW - stride), text
 
 
 class Learner:
     """Adam steps over the windows of a task's texts, chunk by chunk; weights, moments and the count of steps are carried on."""
 
     def __init__(self, w: dict, round_no: int):
-        self.w, self.steps, self.seen = w, 0, 0
-        self.first, self.second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+        self.flat, self.steps, self.seen, self.room = packed(w), 0, 0, Room()
+        self.first, self.second, self.change = (np.zeros_like(self.flat) for _ in range(3))
+        self.w, self.g = parts_of(self.flat), parts_of(np.zeros_like(self.flat))
         self.rate, self.rng = RATE / (1 + round_no), np.random.default_rng(round_no)
         self.few: list[tuple[np.ndarray, np.ndarray]] = []  # all chunks so far, while they gave less than LEAST_STEPS
 
@@ -312,33 +412,50 @@ class Learner:
         return self.w
 
     def learn(self, ids: np.ndarray, total: np.ndarray) -> None:
-        x, y, live, _ = windows(ids, total, WINDOW)  # side by side: every id is learnt once in a pass, most with a long context
-        order = self.rng.permutation(len(x))
+        start, left, _, fresh = window_starts(total, WINDOW)  # side by side: every id is learnt once in a pass, most with a long context
+        order = self.rng.permutation(len(start))
         for s in range(0, len(order), STEP_WINDOWS):
             own = order[s : s + STEP_WINDOWS]
-            g = gradients(self.w, x[own], y[own], live[own])
-            self.steps += 1
-            t, w = self.steps, self.w
-            rate = self.rate * min(1, t / 20) / (1 + t / LEAST_STEPS) ** 0.5
-            for k in w:
-                self.first[k] += F32(0.1) * (g[k] - self.first[k])
-                self.second[k] += F32(0.02) * (g[k] * g[k] - self.second[k])
-                w[k] -= F32(rate / (1 - 0.9**t)) * self.first[k] / (np.sqrt(self.second[k] / F32(1 - 0.98**t)) + F32(1e-6))
+            gradients(self.w, *window_ids(ids, start[own], left[own], fresh[own], 0), self.room, self.g)
+            self.step(self.g["emb"].base)
+
+    def step(self, g: np.ndarray) -> None:
+        self.steps += 1
+        t, change = self.steps, self.change
+        rate = self.rate * min(1, t / 20) / (1 + t / LEAST_STEPS) ** 0.5
+        np.subtract(g, self.first, out=change)
+        change *= F32(0.1)
+        self.first += change
+        np.multiply(g, g, out=change)
+        change -= self.second
+        change *= F32(0.02)
+        self.second += change
+        np.multiply(self.second, F32(1 / (1 - 0.98**t)), out=change)
+        np.sqrt(change, out=change)
+        change += F32(1e-6)
+        np.divide(self.first, change, out=change)
+        change *= F32(rate / (1 - 0.9**t))
+        self.flat -= change
 
 
 def packed(w: dict) -> np.ndarray:
     return np.concatenate([w[k].ravel() for k in shapes()]).astype(F32)
 
 
-def unpacked(flat: np.ndarray) -> dict:
+def parts_of(flat: np.ndarray) -> dict:
+    """Views of all weights by name."""
     out, at = {}, 0
     for k, shape in shapes().items():
         size = int(np.prod(shape))
-        out[k] = flat[at : at + size].reshape(shape).astype(F32)
+        out[k] = flat[at : at + size].reshape(shape)
         at += size
     return out
 
 
+def unpacked(flat: np.ndarray) -> dict:
+    return parts_of(flat.astype(F32))
+
+
 def initial(unigrams: np.ndarray, pairs: np.ndarray) -> dict:
     """First weights from counts of compact ids (TOP + 1) and of adjacent pairs: a weighted factorization of smoothed log-ratios."""
     rng = np.random.default_rng(7)
@@ -387,30 +504,60 @@ def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "UTF-8")), F.lit(5)) == 1
 
 
-def counted(texts: DataFrame, path: str) -> DataFrame:
-    """(kind, item, n): words (0), subwords (1) and adjacent subwords (2: first << 20 | second) of the training texts, summed per batch of a task."""
+def id_kind(path: str) -> type:
+    return np.uint16 if vocabulary(path) < 1 << 16 else np.uint32
+
+
+def coded(texts: DataFrame, path: str) -> DataFrame:
+    """Every text as bytes of its sequence of subword ids, and its number of words; other columns stay."""
+    others = [f for f in texts.schema if f.name != "text"]
+    schema = T.StructType([*others]).add("n_words", "long").add("ids", "binary")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, end = Subwords(path), vocabulary(path)
+        subwords, end, kind = Subwords(path), vocabulary(path), id_kind(path)
         for batch in batches:
-            seen, ends = {0: [], 1: [], 2: []}, 0
-            for a, b, data, starts, stops, counts, h in chunks(batch, 0):
+            for a, b, data, starts, stops, counts, h in chunks(batch, len(others)):
                 ids, total = sequences(*subwords(data, starts, stops, h), counts, end)
+                offsets = np.concatenate([[0], np.cumsum(total)]) * np.dtype(kind).itemsize
+                own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(kind))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(others))), pa.array(counts), own], names=schema.names)
+
+    return texts.select(*(F.col(f"`{f.name}`") for f in others), "text").mapInArrow(scan, schema)
+
+
+def coded_chunks(batch: pa.RecordBatch, column: int, kind: type) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, ids of all sequences, length of each) of coded texts."""
+    for a, b, data, off in B.text_chunks(batch, column, 2 << 20):
+        yield a, b, np.ascontiguousarray(data).view(kind).astype(np.int64), np.diff(off) // np.dtype(kind).itemsize
+
+
+def counted(texts: DataFrame, codes: DataFrame, path: str) -> DataFrame:
+    """(kind, item, n): words (0), subwords (1) and adjacent subwords (2: first << 20 | second) of the training texts, summed per batch of a task."""
+
+    def tallies(seen: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        for kind, found in seen.items():
+            if found:
+                item, n = summed(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(item), kind, np.int32)), pa.array(item.view(np.int64)), pa.array(n)], names=["kind", "item", "n"])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(h, return_counts=True) for *_, h in chunks(batch, 0)]
+            yield from tallies({0: [*found, (END_WORD, np.array([batch.num_rows]))]})
+
+    def subwords(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = {1: [], 2: []}
+            for _, _, ids, total in coded_chunks(batch, 0, id_kind(path)):
                 inner = np.ones(len(ids), bool)
                 inner[np.cumsum(total) - 1] = False
                 at = np.flatnonzero(inner)
-                seen[0].append(np.unique(h, return_counts=True))
                 seen[1].append(np.unique(ids[at + 1], return_counts=True))  # every id but the end in front
                 seen[2].append(np.unique(ids[at] << 20 | ids[at + 1], return_counts=True))
-                ends += b - a
-            seen[0].append((END_WORD, np.array([ends])))
-            for kind, found in seen.items():
-                if found:
-                    item, n = summed(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(item), kind, np.int32)), pa.array(item.view(np.int64)), pa.array(n)], names=["kind", "item", "n"])
+            yield from tallies(seen)
 
-    rows = texts.where("NOT held_out").select("text").mapInArrow(scan, "kind int, item long, n long")
-    return rows.groupBy("kind", "item").agg(F.sum("n").alias("n"))
+    of = lambda rows, column, scan: rows.where("NOT held_out").select(column).mapInArrow(scan, "kind int, item long, n long")
+    return of(texts, "text", words).unionByName(of(codes, "ids", subwords)).groupBy("kind", "item").agg(F.sum("n").alias("n"))
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -435,15 +582,15 @@ def pair_counts(counts: DataFrame, compact) -> np.ndarray:
 
 
 def averaged(texts: DataFrame, path: str, compact, start: np.ndarray, round_no: int) -> np.ndarray:
-    """One round: every task trains from the same weights on all its texts; averages are weighted by ids and made per block."""
+    """One round: every task trains from the same weights on all its texts, coded or not; averages are weighted by ids and made per block."""
+    codes = texts if "ids" in texts.columns else coded(texts, path)
     shared = texts.sparkSession.sparkContext.broadcast(start)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, end, of = Subwords(path), vocabulary(path), compact.value
+        of = compact.value
         learner = Learner(unpacked(shared.value), round_no)
         for batch in batches:
-            for _, _, data, starts, stops, counts, h in chunks(batch, 0):
-                ids, total = sequences(*subwords(data, starts, stops, h), counts, end)
+            for _, _, ids, total in coded_chunks(batch, 0, id_kind(path)):
                 learner.add(of[ids].astype(np.int64), total)
         if learner.seen:
             parts = np.array_split(packed(learner.finish()), WEIGHT_BLOCKS)
@@ -460,7 +607,7 @@ def averaged(texts: DataFrame, path: str, compact, start: np.ndarray, round_no:
         yield pa.RecordBatch.from_arrays([keys[0], keys[-1], pa.array([seen]), pa.array([(total / seen).astype(F32).tobytes()], pa.binary())], names=names)
 
     names, schema = ["block", "part", "seen", "weights"], "block int, part int, seen double, weights binary"
-    rows = texts.where(~F.col("held_out")).select("text").mapInArrow(scan, schema).groupBy("block", "part").applyInArrow(mean, schema)
+    rows = codes.where(~F.col("held_out")).select("ids").mapInArrow(scan, schema).groupBy("block", "part").applyInArrow(mean, schema)
     got = {r["block"]: np.frombuffer(r["weights"], F32) for r in rows.groupBy("block").applyInArrow(mean, schema).collect()}
     return np.concatenate([got[k] for k in range(WEIGHT_BLOCKS)]) if got else start
 
@@ -471,30 +618,34 @@ class Model:
     def __init__(self, weights: np.ndarray, compact: np.ndarray, tail: np.ndarray):
         self.weights, self.compact, self.tail = weights, compact, tail
 
-    def score(self, w: dict, ids: np.ndarray, total: np.ndarray) -> np.ndarray:
+    def score(self, tables: Tables, ids: np.ndarray, total: np.ndarray) -> np.ndarray:
         """log10 probability of each text's sequence."""
         c = self.compact[ids].astype(np.int64)
         out = np.zeros(len(total))
-        x, y, live, text = windows(c, total)
-        begins = live[:, 0]  # a text's first window scores all its places, the others their last ones
-        for whole, n_last in ((True, WINDOW), (False, STRIDE)):
+        start, left, text, begins = window_starts(total, STRIDE)
+        for whole, n_last in ((True, WINDOW), (False, STRIDE)):  # a text's first window scores all its places, the others their last ones
             own = np.flatnonzero(begins == whole)
             for a in range(0, len(own), 8 * SCORED_WINDOWS):
-                at = own[a : a + 8 * SCORED_WINDOWS]
-                places = live[at, WINDOW - n_last :]
-                h = np.concatenate([last_states(w, x[at[k : k + SCORED_WINDOWS]], n_last) for k in range(0, len(at), SCORED_WINDOWS)])[places.ravel()]
-                p = log_probs(w, h, y[at, WINDOW - n_last :][places])
-                owner = np.repeat(text[at], places.sum(axis=1))
-                out += np.bincount(owner, weights=p.astype(np.float64), minlength=len(out))
+                h, ys, counts, at = [], [], [], own[a : a + 8 * SCORED_WINDOWS]
+                for k in range(0, len(at), SCORED_WINDOWS):
+                    few = at[k : k + SCORED_WINDOWS]
+                    x, y, live = window_ids(c, start[few], left[few], begins[few], WINDOW - STRIDE)
+                    places = live[:, WINDOW - n_last :]
+                    h.append(tables.last_states(x, n_last)[places.ravel()])
+                    ys.append(y[:, WINDOW - n_last :][places])
+                    counts.append(places.sum(axis=1))
+                p = log_probs(tables.w, np.concatenate(h), np.concatenate(ys), tables.room)
+                owner = np.repeat(text[at], np.concatenate(counts))
+                out += np.bincount(owner, weights=p, minlength=len(out))
         out *= 1 / np.log(10.0)
         rest = self.tail[ids]
         rest[np.cumsum(total) - total] = 0  # the end in front is given
         return out + np.add.reduceat(rest, np.cumsum(total) - total)
 
 
-def fit(texts: DataFrame, counts: DataFrame, path: str) -> Model:
-    """Learn from (text, held_out) rows and the table of counts."""
-    spark, size = texts.sparkSession, vocabulary(path) + 1
+def fit(codes: DataFrame, counts: DataFrame, path: str) -> Model:
+    """Learn from coded texts and the table of counts."""
+    spark, size = codes.sparkSession, vocabulary(path) + 1
     seen = counts.where("kind = 1").select("item", "n").toArrow()  # at most one row per subword
     unigrams = np.zeros(size)
     unigrams[seen.column("item").to_numpy()] = seen.column("n").to_numpy()
@@ -513,64 +664,68 @@ def fit(texts: DataFrame, counts: DataFrame, path: str) -> Model:
     weights = packed(initial(totals[whole], pairs[np.ix_(whole, whole)]))
     shared = spark.sparkContext.broadcast(compact)
     for k in range(ROUNDS):
-        part = texts.where(F.pmod(F.xxhash64("row_key"), F.lit(ROUNDS)) == k)
+        part = codes.where(F.pmod(F.xxhash64("row_key"), F.lit(ROUNDS)) == k)
         weights = averaged(part, path, shared, weights, k)
     return Model(weights, compact, tail)
 
 
-def scored(texts: DataFrame, path: str, model: Model, hot: dict[str, np.ndarray]) -> DataFrame:
-    """One row per text: the model's score, its tokens, and the hot words' part of the base (sum of log10(c + 0.5), tokens known)."""
-    shared, frequent = (texts.sparkSession.sparkContext.broadcast(x) for x in (model, hot))
+def scored(codes: DataFrame, path: str, model: Model) -> DataFrame:
+    """One row per text: the model's score, and its tokens."""
+    shared = codes.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, end, own = Subwords(path), vocabulary(path), shared.value
-        w = unpacked(own.weights)
-        keys, logs = frequent.value["key"], frequent.value["log"]
+        own = shared.value
+        tables = Tables(unpacked(own.weights))
         for batch in batches:
-            for a, b, data, starts, stops, counts, h in chunks(batch, 3):
-                ids, total = sequences(*subwords(data, starts, stops, h), counts, end)
-                score = own.score(w, ids, total)
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = keys[at] == h
-                owner = np.repeat(np.arange(b - a), counts)
-                part = np.bincount(owner[hit], weights=logs[at[hit]], minlength=b - a)
-                known = np.bincount(owner[hit], minlength=b - a)
-                head = [batch.column(k).slice(a, b - a) for k in range(3)]
-                part = part.astype(np.float64)  # whole numbers where there is no word
-                yield pa.RecordBatch.from_arrays([*head, pa.array(counts + 1), pa.array(known), pa.array(part), pa.array(score)], names=names)
+            for a, b, ids, total in coded_chunks(batch, 4, id_kind(path)):
+                tokens = pc.add(batch.column(3).slice(a, b - a), 1)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), tokens, pa.array(own.score(tables, ids, total))], names=names)
 
-    names = ["id", "row_key", "held_out", "n_tokens", "hot_known", "hot_sum", "score"]
-    kind = texts.schema["id"].dataType.simpleString()
-    rows = texts.select("id", "row_key", "held_out", "text")
-    return rows.mapInArrow(scan, f"id {kind}, row_key long, held_out boolean, n_tokens long, hot_known long, hot_sum double, score double")
+    names = ["id", "row_key", "held_out", "n_tokens", "score"]
+    kind = codes.schema["id"].dataType.simpleString()
+    rows = codes.select("id", "row_key", "held_out", "n_words", "ids")
+    return rows.mapInArrow(scan, f"id {kind}, row_key long, held_out boolean, n_tokens long, score double")
 
 
-def rare_words(texts: DataFrame, hot: dict[str, np.ndarray]) -> DataFrame:
-    """(item, row_key, times): the words of each text that are not hot."""
-    frequent = texts.sparkSession.sparkContext.broadcast(hot["key"])
+def base_words(texts: DataFrame, hot: dict[str, np.ndarray]) -> DataFrame:
+    """(item, row_key, times, hot_sum, hot_known): the words of each text that are not hot; and a row for the hot ones together, with their
+    part of the base (sum of log10(c + 0.5), tokens known). That row's item is its key, so that no task gets them all; it has no times."""
+    shared = texts.sparkSession.sparkContext.broadcast(hot)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = frequent.value
+        keys, logs = shared.value["key"], shared.value["log"]
         for batch in batches:
             for a, b, _, _, _, counts, h in chunks(batch, 1):
-                rare = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] != h
-                h, owner = h[rare], np.repeat(np.arange(b - a), counts)[rare]
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit, owner = keys[at] == h, np.repeat(np.arange(b - a), counts)
+                hot_sum = np.bincount(owner[hit], weights=logs[at[hit]], minlength=b - a).astype(np.float64)  # whole numbers where there is no word
+                hot_known = np.bincount(owner[hit], minlength=b - a)
+                h, owner = h[~hit], owner[~hit]
                 order = np.lexsort((h, owner))
                 h, owner = h[order], owner[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-                at = np.flatnonzero(new)
-                row_key = batch.column(0).slice(a, b - a).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(row_key[owner[at]]), pa.array(np.diff(np.append(at, len(h))).astype(np.int32))], names=["item", "row_key", "times"])
+                first = np.flatnonzero(new)
+                row_key, none = batch.column(0).slice(a, b - a).to_numpy(), np.zeros(len(first), np.int64)
+                columns = (
+                    [h[first].view(np.int64), row_key],
+                    [row_key[owner[first]], row_key],
+                    [np.diff(np.append(first, len(h))), np.zeros(b - a, np.int64)],
+                    [none.astype(np.float64), hot_sum],
+                    [none, hot_known],
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=names)
 
-    return texts.select("row_key", "text").mapInArrow(scan, "item long, row_key long, times int")
+    names = ["item", "row_key", "times", "hot_sum", "hot_known"]
+    return texts.select("row_key", "text").mapInArrow(scan, "item long, row_key long, times long, hot_sum double, hot_known long")
 
 
 def score(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     k, t = F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))
     texts = docs.select(k.alias("id"), F.xxhash64(k, t).alias("row_key"), held_out(k).alias("held_out"), t.alias("text"))
-    counts = keep(counted(texts, path), "counts")
+    codes = keep(coded(texts, path), "ids", "zstd")
+    counts = keep(counted(texts, codes, path), "counts")
     words = counts.where("kind = 0")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     above = words.where((F.col("n") * HOT >= n) | (F.col("item") == int(END_WORD.view(np.int64)[0]))).select("item", "n").toArrow()  # at most HOT + 1 rows
@@ -581,10 +736,11 @@ def score(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
     hot = {"key": item[order], "log": np.log10(often[order] + 0.5)}
     end_log, end_known = (float(np.log10(often[item == END_WORD][0] + 0.5)), int(often[item == END_WORD][0] > 0)) if (item == END_WORD).any() else (float(np.log10(0.5)), 0)
 
-    own = keep(scored(texts, path, fit(texts, counts, path), hot), "scored")
-    met = rare_words(texts, hot).join(words.select("item", "n"), "item", "left")
+    own = keep(scored(codes, path, fit(codes, counts, path)), "scored")
+    met = base_words(texts, hot).join(words.select("item", "n"), "item", "left")
     part = met.groupBy("row_key").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_sum"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known")
+        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5) + F.col("hot_sum")).alias("word_sum"),
+        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0) + F.col("hot_known")).alias("word_known"),
     )
     again = own.groupBy("row_key").count()  # rows that repeat an id and text each gave their words
     norm = float(np.log10(max(n, 0) + 0.5 * (v + 1)))
@@ -595,9 +751,9 @@ def score(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
             F.col("id").alias(key),
             "held_out",
             "n_tokens",
-            (F.col("hot_known") + end_known + F.coalesce(F.col("rare_known") / F.col("times"), F.lit(0)).cast("long")).cast("long").alias("n_known"),
+            (F.lit(end_known) + (F.col("word_known") / F.col("times")).cast("long")).cast("long").alias("n_known"),
             F.lit(int(n)).cast("long").alias("train_tokens"),
-            (F.col("hot_sum") + end_log + F.coalesce(F.col("rare_sum") / F.col("times"), F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"),
+            (F.lit(end_log) + F.col("word_sum") / F.col("times") - F.col("n_tokens") * norm).alias("base_score"),
             "score",
         )
     )

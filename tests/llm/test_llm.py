@@ -346,6 +346,36 @@ def test_lm_learns_from_every_text_and_batch(spark):
     assert learner.steps == 5 and np.allclose(lm_score.packed(learner.finish()), got, atol=1e-3) and learner.steps == 40
 
 
+def test_lm_codes_are_the_words_subwords(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    texts = [words(n) for n in (3, 40, 1)] + ["", "Two\n\nLINES é"]
+    rows = lm_score.coded(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, text string").repartition(2), path)
+    kind, end, encode = lm_score.id_kind(path), lm_score.vocabulary(path), lm_score.encoder(path).encode_ordinary
+    got = {r.k: (r.n_words, np.frombuffer(r.ids, kind).tolist()) for r in rows.collect()}
+    assert got == {k: (len(WORD.findall(t)), [end, *(i for w in WORD.findall(t) for i in encode(" " + low(w))), end]) for k, t in enumerate(texts)}
+
+
+def test_lm_scoring_looks_up_what_the_model_computes():
+    r = np.random.default_rng(5)
+    w = {k: (r.standard_normal(v) * 0.3).astype(np.float32) for k, v in lm_score.shapes().items()}
+    x, tables = r.integers(0, lm_score.TOP + 1, (7, lm_score.WINDOW)), lm_score.Tables(w)
+    h = lm_score.forward(w, x)["h"].reshape(7, lm_score.WINDOW, -1)
+    for n_last in (lm_score.WINDOW, lm_score.STRIDE, lm_score.WINDOW):
+        assert np.allclose(tables.last_states(x, n_last).reshape(7, n_last, -1), h[:, -n_last:], atol=1e-4)
+
+
+def test_lm_steps_take_no_fresh_pages():
+    import resource
+
+    r = np.random.default_rng(6)
+    ids, total = r.integers(0, lm_score.TOP + 1, 60_000), np.full(60, 1000)
+    learner = lm_score.Learner(lm_score.unpacked(lm_score.packed({k: r.standard_normal(v) * 0.1 for k, v in lm_score.shapes().items()})), 0)
+    learner.learn(ids, total)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    learner.learn(ids, total)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 3_000
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
