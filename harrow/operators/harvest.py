@@ -88,9 +88,9 @@ def path_patterns(urls: DataFrame) -> DataFrame:
 
 def stable_fields(values: DataFrame, samples: DataFrame) -> DataFrame:
     """Selectors found in every sample of a view, from (view, sample, selector, value, i): those whose value varies are fields,
-    the others labels; in document order. One sample varies by itself."""
+    the others labels; in the order of the first sample. One sample varies by itself."""
     n = samples.groupBy("view").agg(F.count_distinct("sample").alias("n"))
-    own = values.groupBy("view", "selector").agg(F.count_distinct("sample").alias("found"), F.count_distinct("value").alias("different"), F.min("i").alias("i"), F.min("value").alias("value"))
+    own = values.groupBy("view", "selector").agg(F.count_distinct("sample").alias("found"), F.count_distinct("value").alias("different"), F.min_by("i", F.struct("sample", "i")).alias("i"), F.min("value").alias("value"))
     kept = own.join(n, "view").where("found = n")
     varies = (F.col("different") > 1) | (F.col("n") == 1)
     return kept.select("view", "selector", "i", varies.alias("varies"), F.when(~varies, F.col("value")).alias("label"))
@@ -104,25 +104,49 @@ def stable_lists(items: DataFrame, samples: DataFrame) -> DataFrame:
     return keys.join(in_all, ["view", "list"]).where("found = n").groupBy("view", "list").agg(F.array_sort(F.collect_list("field")).alias("fields"))
 
 
-def inferred_types(values: DataFrame) -> DataFrame:
+def inferred_types(values: DataFrame, by: tuple[str, ...] = ("view", "selector")) -> DataFrame:
     """count where all samples of a field look like counts, else string."""
-    return values.groupBy("view", "selector").agg(F.when(F.bool_and(F.col("value").rlike(r"(?i)^[\d.,]+\s*[KMB]?$")), "count").otherwise("string").alias("type"))
+    return values.groupBy(*by).agg(F.when(F.bool_and(F.col("value").rlike(r"(?i)^[\d.,]+\s*[KMB]?$")), "count").otherwise("string").alias("type"))
 
 
-def inferred_keys(links: DataFrame) -> DataFrame:
-    """id where all links of a list hold six digits or more, else url."""
-    return links.groupBy("view", "list").agg(F.when(F.bool_and(F.col("value").rlike(r"\d{6,}")), "id").otherwise("url").alias("key"))
+def inferred_keys(links: DataFrame, by: tuple[str, ...] = ("view", "list")) -> DataFrame:
+    """id where all links of a list, or of a field of it, hold six digits or more, else url."""
+    return links.groupBy(*by).agg(F.when(F.bool_and(F.col("value").rlike(r"\d{6,}")), "id").otherwise("url").alias("key"))
 
 
 def item_schema(fields: DataFrame) -> DataFrame:
-    """Fields with nullable JSON types."""
-    return fields.withColumn("json_type", F.array(F.when(F.col("type") == "count", "integer").otherwise("string"), F.lit("null")))
-
-
-def static_labels(fields: DataFrame) -> DataFrame:
-    """Fields ``x-count`` take the constant text of selector ``x`` as their label."""
-    labels = fields.where("NOT varies").select("view", F.concat("selector", F.lit("-count")).alias("selector"), F.col("label").alias("label_text"))
-    return fields.where("varies").join(labels, ["view", "selector"], "left")
+    """Fields with nullable JSON types; lists are arrays."""
+    null = F.array(F.when(F.col("type") == "count", "integer").otherwise("string"), F.lit("null"))
+    return fields.withColumn("json_type", F.when(F.col("type") == "list", F.array(F.lit("array"))).otherwise(null))
+
+
+def static_labels(fields: DataFrame, by: str = "selector") -> DataFrame:
+    """Fields ``x-count`` take the constant text of ``x`` as their label; of several the last one."""
+    last = F.max_by("label", "i" if "i" in fields.columns else "label").alias("label_text")
+    labels = fields.where("NOT varies").groupBy("view", F.col(by).alias("__of")).agg(last)
+    return fields.where("varies").withColumn("__of", F.regexp_replace(by, "-count$", "")).join(labels, ["view", "__of"], "left").drop("__of")
+
+
+def derived_schemas(found: DataFrame, samples: DataFrame) -> DataFrame:
+    """One row per property of a view: its stable fields, lists and fields of lists, typed, from the (view, sample, list, selector, kind, attr,
+    many, value, i) of its pages. ``found`` is read several times. What an element is, and its place, are those of the first sample."""
+    single, of_list = found.where("list IS NULL"), ["view", "list", "field"]
+    items = found.where("list IS NOT NULL").withColumn("field", F.concat_ws("|", "kind", "selector"))
+    first = single.groupBy("view", "selector").agg(F.min_by(F.struct("kind", "attr", "many"), "sample").alias("f")).select("view", "selector", "f.*")
+    fields = stable_fields(single, samples).join(first, ["view", "selector"]).join(inferred_types(single), ["view", "selector"])
+    fields = fields.withColumn("type", F.when(F.col("many"), "list").when(F.col("kind") == "image", "url").when(F.col("kind") == "canvas", "string").otherwise(F.col("type")))
+    texts, others = fields.where("kind = 'text'"), fields.where("kind <> 'text'").withColumn("label_text", F.lit(None).cast("string"))
+    told = static_labels(texts, "attr").withColumn("label_text", F.when(F.col("type") == "count", F.col("label_text"))).unionByName(others)
+    page = told.select("view", F.lit(None).cast("string").alias("list"), "selector", "kind", "i", "varies", "type", F.lit(None).cast("string").alias("key"), "label_text")
+
+    kept = stable_lists(items, samples).select("view", "list", F.explode("fields").alias("field"))
+    begun = items.groupBy(*of_list).agg(F.min_by(F.struct("selector", "kind", "i"), F.struct("sample", "i")).alias("f")).select(*of_list, "f.*")
+    keys = inferred_keys(items.where("kind = 'link'"), tuple(of_list))
+    own = kept.join(begun, of_list).join(inferred_types(items, tuple(of_list)), of_list).join(keys, of_list, "left")
+    own = own.withColumn("key", F.when(F.col("kind") == "item", F.min("key").over(Window.partitionBy("view", "list"))).otherwise(F.col("key")))
+    types = F.when(F.col("kind") == "item", F.array(F.lit("list"))).when(F.col("kind") == "image", F.array(F.lit("url"))).when(F.col("key") == "id", F.array(F.lit("id"), F.lit("url"))).when(F.col("kind") == "link", F.array(F.lit("url"))).otherwise(F.array("type"))
+    lists = own.withColumn("type", F.explode(types)).select("view", "list", "selector", "kind", "i", F.lit(None).cast("boolean").alias("varies"), "type", "key", F.lit(None).cast("string").alias("label_text"))
+    return item_schema(page.unionByName(lists)).withColumn("place", F.row_number().over(Window.partitionBy("view", "list").orderBy("i", F.col("kind") != "item", "kind", "selector", "type"))).drop("i")
 
 
 def repeated_groups(elements: DataFrame, least: int = 3, most: int = 10) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from harrow.functions import casts
+from harrow.functions.capture import Capture
 from harrow.functions.html import Element, Page, hidden, signature, stable_selector, structure, value_of
 
 VISIBLE_TEXT = 8000
@@ -272,6 +273,23 @@ def group_fields(pages: DataFrame, least: int = 3, sample: int = 12, share: floa
     return _each_page(pages, rows, "page_id long, parent int, sig string, n int, field string")
 
 
+def candidates(pages: DataFrame) -> DataFrame:
+    """(page_id, url, list, selector, kind, attr, many, value, i): what may become fields and lists of a derived view. One row per single
+    element (list null); per list one of kind ``item``, and one per value of a field that most of its items share."""
+
+    def rows(i, url, page):
+        found = Capture(page)
+        for name, first, leaves in found.lists(url):
+            yield (i, url, name, "", "item", None, False, None, first)
+            for (kind, selector), (at, values) in leaves.items():
+                for v in values:
+                    yield (i, url, name, selector, kind, None, False, v, at)
+        for selector, kind, attr, many, value, at in found.singles(url):
+            yield (i, url, None, selector, kind, attr, many, value, at)
+
+    return _each_page(pages, rows, "page_id long, url string, list string, selector string, kind string, attr string, many boolean, value string, i int")
+
+
 def blocked(pages: DataFrame, selectors: list[str], texts: list[str]) -> DataFrame:
     """(page_id, hit): the first blocking selector or text pattern, null for none."""
 

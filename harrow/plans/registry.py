@@ -162,12 +162,12 @@ def path_patterns(spark, d):
 
 @query()
 def derived_schema(spark, d):
-    """Stable fields, their types and lists across the pages of a language."""
+    """Stable fields with types and labels, and stable lists with keys and typed fields, across all pages of a language."""
+    view = F.coalesce(F.regexp_extract("url", r"//[^/]*/([a-z]+)/", 1), F.lit("")).alias("view")
     p = load(spark, d, "pages")
-    e = pages.elements(p).where("tag IN ('title', 'h1', 'footer', 'article')").join(p.select("page_id", F.regexp_extract("url", r"//[^/]*/([a-z]+)/", 1).alias("view")), "page_id")
-    values = e.select("view", F.col("page_id").alias("sample"), F.col("sig").alias("selector"), F.col("text").alias("value"), "i")
-    fields = harvest.stable_fields(values, values.select("view", "sample").distinct())
-    return harvest.item_schema(harvest.static_labels(fields).join(harvest.inferred_types(values), ["view", "selector"])).select("view", "selector", "varies", "type", F.array_join("json_type", "|").alias("json_type"))
+    found = records.cut(pages.candidates(p).select(view, F.col("page_id").alias("sample"), "list", "selector", "kind", "attr", "many", "value", "i"), "candidates")
+    schema = harvest.derived_schemas(found, p.select(view, F.col("page_id").alias("sample")))
+    return schema.select("view", "list", "place", "selector", "kind", "varies", "type", F.array_join("json_type", "|").alias("json_type"), "key", "label_text")
 
 
 @query(r"""WITH x AS (SELECT page_id, len(regexp_extract_all(html, '<li><a href="([^"]*)">', 1)) AS links FROM pages) SELECT page_id, round((1 + links)::DOUBLE / (2 + links), 6) AS share, (2 + links)::BIGINT AS n FROM x""")
