@@ -162,11 +162,12 @@ def path_patterns(spark, d):
 
 @query()
 def derived_schema(spark, d):
-    """Stable fields with types and labels, and stable lists with keys and typed fields, across all pages of a language."""
-    view = F.coalesce(F.regexp_extract("url", r"//[^/]*/([a-z]+)/", 1), F.lit("")).alias("view")
-    p = load(spark, d, "pages")
-    found = records.cut(pages.candidates(p).select(view, F.col("page_id").alias("sample"), "list", "selector", "kind", "attr", "many", "value", "i"), "candidates")
-    schema = harvest.derived_schemas(found, p.select(view, F.col("page_id").alias("sample")))
+    """Stable fields with types and labels, and stable lists with keys and typed fields, across all pages of a language.
+    A page is told by its id and address, so that one without an id is a sample, too."""
+    p = load(spark, d, "pages").withColumn("url", F.coalesce("url", F.lit("")))
+    of_page = [F.regexp_extract("url", r"//[^/]*/([a-z]+)/", 1).alias("view"), F.struct("page_id", "url").alias("sample")]
+    found = records.cut(pages.candidates(p).select(*of_page, "list", "selector", "kind", "attr", "many", "value", "i"), "candidates")
+    schema = harvest.derived_schemas(found, p.select(*of_page))
     return schema.select("view", "list", "place", "selector", "kind", "varies", "type", F.array_join("json_type", "|").alias("json_type"), "key", "label_text")
 
 

@@ -62,6 +62,11 @@ def test_all_items_and_whole_texts(spark, tmp_path):
     assert rows["en", "ul > li", "a", "url"]["key"] == "url" and ("en", "ul > li", "b", "string") in rows
 
 
+def test_pages_without_id_or_with_one_id(spark, tmp_path):
+    rows, _ = rows_of(spark, tmp_path, [(None, "http://h/en/1", "<h1>a</h1><h2>x</h2>"), (None, "http://h/en/2", "<h1>b</h1>"), (1, "http://h/de/1", "<h1>a</h1>"), (1, "http://h/de/2", "<h1>b</h1><h2>x</h2>")])
+    assert {k: r["varies"] for k, r in rows.items()} == {("en", None, "h1", "string"): True, ("de", None, "h1", "string"): True}
+
+
 def test_shared_leaves_are_counted_by_item():
     item = lambda n: "<li>" + ("<div>" * 7 + "<a href=/x>x</a>" + "</div>" * 7) * n + "<a href=/y>y</a></li>"
     ((name, _, leaves),) = Capture(Page("<ul>" + item(4) + item(0) * 4 + "</ul>")).lists("http://h/")
